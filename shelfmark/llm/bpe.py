@@ -14,7 +14,7 @@ need no local copy.
 
 Cases with a defined result
     null or empty text: no ids; the digests are those of the empty string
-    very long text or word: merging is n log n; words over CACHE_WORD bytes are not kept
+    very long text or word: merging is n log n; words over units.CACHE_CHARS are not kept
     special tokens written out in a text: encoded as their ids, as the library does
     repeated rows and ids, nulls in other columns: each row is encoded on its own
     empty table: an empty result
@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
 from collections.abc import Iterator
 from itertools import chain, pairwise
 
@@ -34,11 +35,13 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .common import ship
+from .units import PATTERN, UnitEncoder
 
 MAX_VOCABULARY = 64 << 20
-#: Words a worker keeps, and the longest word it keeps.
-CACHE_WORDS, CACHE_WORD = 400_000, 64
+#: Words up to this many bytes are merged by plain search, longer ones with a heap.
+SHORT = 24
 _NONE = np.int64(1) << 40
+_PACK = struct.Struct("<I").pack
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -70,7 +73,7 @@ class Bpe:
             symbols.append(a + b)
         self.left, self.right = left, right
         self.data = [text[s] for s in symbols]
-        self.ids = [vocab[s] for s in symbols]
+        self.ids = np.array([vocab[s] for s in symbols])
         self.rank_of = {text[s]: r for s, r in rank.items()}
         codes = left[256:] << 20 | right[256:]
         order = np.argsort(codes, kind="stable")
@@ -81,14 +84,14 @@ class Bpe:
             longest[d[0]] = max(longest[d[0]], len(d))
         self.longest = longest
         self.special = {t["content"]: t["id"] for t in j["added_tokens"]}
-        self.by_id = dict(zip(self.ids, self.data, strict=True)) | {i: s.encode() for s, i in self.special.items()}
+        self.by_id = dict(zip(self.ids.tolist(), self.data, strict=True)) | {i: s.encode() for s, i in self.special.items()}
         # tokens that merging their own bytes does not give back are never proposed unchecked
         self.whole = np.ones(n, dtype=bool)
         first, second = left[256:], right[256:]
         self.whole[256:] = self.compatible(first, second, within=np.arange(256, n))
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        self.split = regex.compile(PATTERN)
         self.on_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.units = UnitEncoder(self.learn, self.encode_text, tuple(self.special))
         self.exactly_merged = 0
 
     def across(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -129,6 +132,19 @@ class Bpe:
     def merge_exactly(self, word: bytes) -> list[int]:
         """Merges in rank order, leftmost first among equals."""
         self.exactly_merged += 1
+        merge, none = self.merge, 1 << 40
+        if len(word) <= SHORT:
+            token = list(word)
+            ranks = [merge.get(p, none) for p in pairwise(token)]
+            while ranks and (r := min(ranks)) < none:
+                i = ranks.index(r)
+                token[i : i + 2] = [r]
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = merge.get((token[i - 1], r), none)
+                if i < len(ranks):
+                    ranks[i] = merge.get((r, token[i + 1]), none)
+            return token
         token, after = list(word), [*range(1, len(word)), -1]
         before = list(range(-1, len(word) - 1))
         heap = [(r, i, a, b) for i, (a, b) in enumerate(pairwise(token)) if (r := self.merge.get((a, b))) is not None]
@@ -148,8 +164,10 @@ class Bpe:
                 heapq.heappush(heap, (m, h, token[h], r))
         return [t for t in token if t >= 0]
 
-    def learn(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+    def learn(self, words: list[str]) -> list[bytes]:
         """Encodings of distinct words: proposed one by one, verified all at once."""
+        if not words:
+            return []
         data = [w.encode() for w in words]
         proposed = [self.propose(d) for d in data]
         size = np.fromiter(map(len, proposed), dtype=np.int64, count=len(words))
@@ -162,35 +180,30 @@ class Bpe:
         pairs, back = np.unique(a << 20 | b, return_inverse=True)
         good = self.compatible(pairs >> 20, pairs & 0xFFFFF)
         failing[of[1:][inner][~good[back]]] = True
-        ids = self.ids
-        return {
-            w: tuple(ids[r] for r in (self.merge_exactly(d) if bad else p))
-            for w, d, p, bad in zip(words, data, proposed, failing, strict=True)
-        }
+        for k in np.flatnonzero(failing).tolist():
+            proposed[k] = self.merge_exactly(data[k])
+        size = np.fromiter(map(len, proposed), dtype=np.int64, count=len(words))
+        flat = np.fromiter(chain.from_iterable(proposed), dtype=np.int64, count=int(size.sum()))
+        raw, ends = self.ids[flat].astype("<u4").tobytes(), (4 * np.cumsum(size)).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def encode_text(self, text: str) -> bytes:
+        """The ids of one whole text, special tokens among them, as little-endian 32-bit numbers."""
+        parts = self.on_special.split(text) if self.on_special else [text]
+        out = []
+        for part in parts:
+            if part in self.special:
+                out.append(_PACK(self.special[part]))
+            elif part:
+                words = self.split.findall(part)
+                new = list(set(words))
+                known = dict(zip(new, self.learn(new), strict=True))
+                out += map(known.__getitem__, words)
+        return b"".join(out)
 
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
-        pieces = [self.on_special.split(t) if self.on_special and any(s in t for s in self.special) else (t,) for t in texts]
-        for parts in pieces:
-            out: list[int] = []
-            for part in parts:
-                if part in self.special:
-                    out.append(self.special[part])
-                    continue
-                words = self.split.findall(part)
-                missing = [w for w in set(words) if w not in self.cache]
-                new = self.learn(missing) if missing else {}
-                if len(self.cache) + len(new) > CACHE_WORDS:
-                    self.cache.clear()
-                    missing = [w for w in set(words) if w not in new]
-                    new |= self.learn(missing) if missing else {}
-                self.cache |= {w: e for w, e in new.items() if len(w) <= CACHE_WORD}
-                if any(len(w) > CACHE_WORD for w in new):
-                    known = self.cache
-                    for w in words:
-                        out += known[w] if w in known else new[w]
-                else:
-                    out += chain.from_iterable(map(self.cache.__getitem__, words))
-            yield out
+        for raw in self.units.encode(texts):
+            yield np.frombuffer(raw, dtype="<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.by_id.__getitem__, ids)).decode("utf-8", "replace")

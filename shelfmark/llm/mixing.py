@@ -5,8 +5,8 @@ part is taken outright.  The fractional parts of a source are settled in pairs:
 receives words from the other until one of the two is integral, the direction being drawn so that
 both keep their expectation, and the words of the pair are kept.  Pairs are folded within blocks of
 about FAN_IN documents; each block leaves one undecided document, and these residuals meet in
-blocks again until every source has one left, which is rounded to the nearer integer.  So a
-source misses its target by half a document at most.
+blocks again until every source has one left, which is rounded to the nearer integer.  The gap that
+this leaves (half a document at most) is closed by moving MOVES documents of fitting size by a copy.
 
 Random numbers are hashes of the rows and SEED, so reruns agree on any cluster.
 
@@ -29,6 +29,8 @@ MAX_COPIES = 3
 #: Undecided documents of a block, on average.
 FAN_IN = 48
 SEED = 20_240_607
+#: Documents of each source moved by one copy at the end.
+MOVES = 3
 #: Source tables up to this many rows are broadcast; larger ones are joined by shuffle.
 MAX_BROADCAST_SOURCES = 10_000
 
@@ -146,9 +148,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     out = settled[0]
     for part in settled[1:]:
         out = out.unionByName(part)
+    for _ in range(MOVES):
+        out = _even_out(scratch.cut(out, "settled"), n_sources <= MAX_BROADCAST_SOURCES)
     return out
 
 
+def _even_out(rows: DataFrame, small: bool) -> DataFrame:
+    """Move one document of each source by one copy: the one that brings the source's words nearest to
+    its target, where the rounding of its last document had left a gap."""
+    words = F.col("size") * F.col("m")
+    gaps = rows.groupBy("source").agg((F.sum(F.col("copies") * words) - F.max("target")).alias("gap")).withColumnRenamed("source", "_source")
+    hint = F.broadcast if small else (lambda df: df)
+    can = F.when(F.col("gap") > 0, F.col("copies") > 0).otherwise(F.col("copies") < MAX_COPIES)
+    left = F.abs(F.abs("gap") - words)
+    moves = rows.join(hint(gaps), F.col("source").eqNullSafe(F.col("_source"))).where(can & (words > 0) & (left < F.abs("gap")))
+    best = moves.groupBy("source").agg(F.min(F.struct(left.alias("left"), F.xxhash64("doc_id", "size").alias("h"), "doc_id", "size", "gap")).alias("b"))
+    best = best.select(F.col("source").alias("_s"), F.col("b.doc_id").alias("_d"), F.col("b.size").alias("_z"), F.when(F.col("b.gap") > 0, -1).otherwise(1).alias("by"))
+    on = F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("size") == F.col("_z"))
+    moved = rows.join(hint(best), on, "left")
+    return moved.withColumn("copies", F.col("copies") + F.coalesce("by", F.lit(0))).select(*rows.columns)
+
+
 def mix_report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
     rows = mix(docs).withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("m"))))

@@ -5,20 +5,38 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, quality_rules, simhash
+from . import bpe, exact_dedup, language_id, mixing, pii, quality_gam, quality_rules, simhash, token_store, url_filter
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_gam.score(docs, quality_gam.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.train(spark))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,11 +50,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")), carry=["doc_id"])
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.store_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 QUERIES = {
-    "op3_exact_dedup": op3_exact_dedup,
-    "op5_mixing": op5_mixing,
-    "op7_simhash": op7_simhash,
-    "op8_bpe": op8_bpe,
-    "op9_quality_rules": op9_quality_rules,
-}
+    f.__name__: f
+    for f in (
+        op1_quality_gam, op2_pii_surrogates, op3_exact_dedup, op4_language_id, op5_mixing,
+        op6_url_filter, op7_simhash, op8_bpe, op9_quality_rules, op10_token_store,
+    )
+}
 ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE}
