@@ -15,7 +15,7 @@ import regex
 #: The split of byte-level vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces a worker keeps of each kind, and the longest one it keeps.
-CACHE_PIECES, CACHE_CHARS = 700_000, 48
+CACHE_PIECES, CACHE_CHARS = 250_000, 48
 _GROUP_CHARS = 1 << 18
 
 
