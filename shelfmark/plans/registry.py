@@ -3,18 +3,43 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import predicates_joins, readmodels
+from . import catalog
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
+#: Modules whose queries are one SQL text for both engines.
+SQL_MODULES = (readmodels, predicates_joins)
+#: Modules with QUERIES (name -> function) and ORACLES (name -> SQL).
+FRAME_MODULES = ()
+
+
+def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return catalog.run(spark, sf_dir, sql)
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES
+    out: dict[str, Query] = {}
+    for m in SQL_MODULES:
+        out |= {name: partial(_run, sql=sql) for name, sql in m.QUERIES.items()}
+    for m in FRAME_MODULES:
+        out |= m.QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return _ORACLES
+    out: dict[str, str] = {}
+    for m in SQL_MODULES:
+        out |= {name: catalog.oracle_text(sql) for name, sql in m.QUERIES.items()}
+    for m in FRAME_MODULES:
+        out |= m.ORACLES
+    return out
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each category's product families with their best unit price and number of suppliers."""
+    return catalog.run(spark, sf_dir, readmodels.QUERIES["q12_category_listing"])
