@@ -37,6 +37,8 @@ from .units import UnitEncoder
 END_ID = 2
 WINDOW, MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 16, 64, 8, 2048
 ADDRESS_BYTES = 20
+#: Pieces that a worker keeps in a generation of its cache (see units).
+CACHE_PIECES = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -139,6 +141,7 @@ def _encoder(spec: str) -> UnitEncoder:
             lambda words: [pack(e) for e in t.encode_batch_fast(words, add_special_tokens=False)] if words else [],
             lambda text: pack(t.encode_batch_fast([text], add_special_tokens=False)[0]),
             special,
+            CACHE_PIECES,
         )
     return _encoders[key]
 

@@ -14,52 +14,81 @@ import regex
 
 #: The split of byte-level vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces a worker keeps of each kind, and the longest one it keeps.
-CACHE_PIECES, CACHE_CHARS = 250_000, 48
+#: Pieces a generation of a cache holds, and the longest one it keeps.
+CACHE_PIECES, CACHE_CHARS = 200_000, 48
 _GROUP_CHARS = 1 << 18
 
 
+class Cache:
+    """The latest pieces: when a generation is full, only what the next one meets again is kept."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def recall(self, pieces: set[str]) -> tuple[dict[str, bytes], list[str]]:
+        """Of pieces that ``now`` lacks: those known from before, and those that are new."""
+        before = self.before
+        old = {p: before[p] for p in pieces if p in before}
+        return old, [p for p in pieces if p not in old]
+
+    def add(self, found: dict[str, bytes]) -> None:
+        if len(self.now) + len(found) > self.size:
+            self.before, self.now = self.now, {}
+        self.now |= {p: e for p, e in found.items() if len(p) <= CACHE_CHARS}
+
+
 class UnitEncoder:
     """``encode_words`` takes distinct words of the split and gives the bytes of each one's ids
     (little-endian, 32 bits); ``encode_text`` does so for one whole text."""
 
-    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], encode_text: Callable[[str], bytes], special: tuple[str, ...] = ()):
+    def __init__(
+        self, encode_words: Callable[[list[str]], list[bytes]], encode_text: Callable[[str], bytes], special: tuple[str, ...] = (), pieces: int = CACHE_PIECES
+    ):
         self.encode_words, self.encode_text, self.special = encode_words, encode_text, special
-        self.words = regex.compile(PATTERN)
-        self.odd = regex.compile(r"\s ")
-        self.units: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.find = regex.compile(PATTERN).findall
+        self.odd = regex.compile(r"\s ").search
+        self.units, self.words = Cache(pieces), Cache(pieces // 2)
 
     def _learn(self, units: list[str]) -> dict[str, bytes]:
         """Encodings of units, each as it stands after a space."""
-        find, known = self.words.findall, self.known
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        pieces = [find(" " + u) for u in units]
-        new = list(set(chain.from_iterable(pieces)).difference(known))
-        fresh = dict(zip(new, self.encode_words(new), strict=True))
-        known |= {w: e for w, e in fresh.items() if len(w) <= CACHE_CHARS}
-        get = lambda w: known[w] if w in known else fresh[w]
-        return {u: get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for u, p in zip(units, pieces, strict=True)}
+        find = self.find
+        split = [find(" " + u) for u in units]
+        words = set(chain.from_iterable(split))
+        known = {w: e for w in words if (e := self.words.now.get(w)) is not None}
+        old, new = self.words.recall(words.difference(known))
+        old |= zip(new, self.encode_words(new), strict=True)
+        self.words.add(old)
+        known |= old
+        return {u: known[p[0]] if len(p) == 1 else b"".join(map(known.__getitem__, p)) for u, p in zip(units, split, strict=True)}
 
     def _group(self, texts: list[str]) -> Iterator[bytes]:
-        whole = [bool(self.odd.search(t)) or any(s in t for s in self.special) for t in texts]
-        split = [t.split(" ") if not w else None for t, w in zip(texts, whole, strict=True)]
-        units = self.units
-        if len(units) > CACHE_PIECES:
-            units.clear()
-        new = list(set(chain.from_iterable(s[1:] for s in split if s)).difference(units))
-        fresh = self._learn(new) if new else {}
-        units |= fresh
-        for text, parts in zip(texts, split, strict=True):
-            if parts is None:
-                yield self.encode_text(text)
+        flat: list[str] = []
+        ends = []
+        for t in texts:
+            if not (self.odd(t) or any(s in t for s in self.special)):
+                flat += t.split(" ")
+                ends.append(len(flat))
             else:
-                first = parts[0]
-                yield b"".join([self.encode_text(first) if first else b"", *map(units.__getitem__, parts[1:])])
-        for u in fresh:
-            if len(u) > CACHE_CHARS:
-                del units[u]
+                ends.append(-1)
+        found = list(map(self.units.now.get, flat))
+        missing = [i for i, e in enumerate(found) if e is None]
+        if missing:
+            old, new = self.units.recall({flat[i] for i in missing})
+            if new:
+                old |= self._learn(new)
+            for i in missing:
+                found[i] = old[flat[i]]
+            self.units.add(old)
+        start = 0
+        for t, end in zip(texts, ends, strict=True):
+            if end < 0:
+                yield self.encode_text(t)
+            else:  # the first piece has no space before it
+                found[start] = self.encode_text(flat[start]) if flat[start] else b""
+                yield b"".join(found[start:end])
+                start = end
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, as bytes; texts are taken in groups of bounded size."""
