@@ -7,13 +7,13 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import predicates_joins, readmodels
+from ..operators import aggregates, ordering_views, predicates_joins, readmodels
 from . import catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules whose queries are one SQL text for both engines.
-SQL_MODULES = (readmodels, predicates_joins)
+SQL_MODULES = (readmodels, predicates_joins, aggregates, ordering_views)
 #: Modules with QUERIES (name -> function) and ORACLES (name -> SQL).
 FRAME_MODULES = ()
 
