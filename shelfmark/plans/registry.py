@@ -7,7 +7,8 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import aggregates, ordering_views, predicates_joins, readmodels
+from ..operators import aggregates, matching_queries, ordering_views, predicates_joins, readmodels, scalars
+from ..streaming import queries as streaming_queries
 from . import catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Modules whose queries are one SQL text for both engines.
 SQL_MODULES = (readmodels, predicates_joins, aggregates, ordering_views)
 #: Modules with QUERIES (name -> function) and ORACLES (name -> SQL).
-FRAME_MODULES = ()
+FRAME_MODULES = (scalars, matching_queries, streaming_queries)
 
 
 def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
