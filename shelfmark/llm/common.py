@@ -7,8 +7,9 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,6 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def positional(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """``docs`` with its columns named by position, the new name of each, and the way back.  So no name of
+    the caller's can clash with one that an operator adds."""
+    names = docs.columns
+    at = {n: f"c{i}" for i, n in enumerate(names)}
+    return docs.toDF(*at.values()), at, lambda out: out.select(*[F.col(c).alias(n) for n, c in at.items()])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

@@ -22,7 +22,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import BLANKS, Scratch
+from .common import BLANKS, Scratch, positional
 
 N_BUCKETS = 64
 ENTRY = "digest binary, keep_id long, keep_chars long, group_size long"
@@ -92,8 +92,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their own columns; a repeated row stays once for each time it occurs."""
     kept = deduplicate(docs).where("kept").select(F.col("doc_id").alias("_keep"), F.unhex("text_sha256").alias("_digest")).distinct()
     # the digest is part of the key, so rows that share an id but not a text are told apart
-    probe = docs.withColumn("_d", F.unhex(F.sha2(normalised(docs["text"]), 256)))
-    return probe.join(kept, F.col("_d").eqNullSafe(F.col("_digest")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_keep")), "left_semi").drop("_d")
+    rows, at, back = positional(docs)
+    probe = rows.withColumn("_d", F.unhex(F.sha2(normalised(F.col(at["text"])), 256)))
+    on = F.col("_d").eqNullSafe(F.col("_digest")) & F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("_keep"))
+    return back(probe.join(kept, on, "left_semi"))
 
 
 ORACLE = r"""

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import WORD, Scratch
+from .common import WORD, Scratch, positional
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
@@ -178,7 +178,7 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def apply_mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each document as often as it is taken, with its own columns."""
     plan = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    own = docs.columns
-    rows = docs.withColumn("_words", word_count(docs["text"]))
-    on = rows["doc_id"].eqNullSafe(F.col("_id")) & rows["source"].eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    return rows.join(plan, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*own)
+    rows, at, back = positional(docs)
+    rows = rows.withColumn("_words", word_count(F.col(at["text"])))
+    on = F.col(at["doc_id"]).eqNullSafe(F.col("_id")) & F.col(at["source"]).eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
+    return back(rows.join(plan, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))))

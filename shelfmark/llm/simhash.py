@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, ship
+from .common import Scratch, positional, ship
 from .components import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -123,4 +123,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component stays (the smallest id), with its own columns."""
     kept = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    rows, at, back = positional(docs)
+    return back(rows.join(kept, F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("_keep")), "left_semi"))
