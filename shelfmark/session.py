@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -11,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+_shipped: set[str] = set()
 
 
 def build(app: str = "shelfmark", **conf: str) -> SparkSession:
@@ -44,3 +46,14 @@ def saver(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
         return spark.read.schema(df.schema).parquet(path)
 
     return save
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a session, so that Python tasks can import it."""
+    key = spark.sparkContext.applicationId
+    if key not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        into = tempfile.mkdtemp(prefix="shelfmark-ship-")
+        atexit.register(shutil.rmtree, into, ignore_errors=True)
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{into}/shelfmark", "zip", os.path.dirname(package), os.path.basename(package)))
+        _shipped.add(key)
