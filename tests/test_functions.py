@@ -148,3 +148,22 @@ def test_versioned_table_repeats_a_batch(spark, tmp_path):
     for number in (0, 1, 1):
         t.write(state.merge_events(t.read(before=number), df), number)
     assert t.read().count() == 1
+
+
+def test_stored_packs(spark):
+    from shelfmark.functions import axes as A
+
+    cases = [
+        ("200/Box", "", 200, "box", "each"), ("20 - 0.2g Capsules", "", 20, "pack", "each"), ("24x1.2mL Syringe", "", 24, "pack", "each"), ("Pkg of 10", "", 10, "pack", "each"),
+        ("Case of 10", "", 10, "case", "each"), ("10 x 100", "", 1000, "case", "each"), ("", "Gauze (Pkg. 200)", 200, "pack", "each"), ("60/Can x 12/Case", "", 720, "case", "each"), ("Jar 50gm", "", 50, "each", "g"),
+    ]
+    got = _one(spark, *[A.parse_pack(F.lit(p), F.lit(n)) for p, n, *_ in cases])
+    assert [(int(g.pack_quantity), g.basis, g.base_unit) for g in got] == [tuple(c[2:]) for c in cases]
+    assert _one(spark, A.parse_pack(F.lit("Set-up Tray Box 3 System"), F.lit("")))[0] is None
+
+
+def test_label_text(spark):
+    from shelfmark.functions import axes as A
+
+    x = _one(spark, A.lot_and_expiry(F.lit("LOT: AB123 EXP 2027-04")), A.catalog_refs(F.lit("REF 45-A1 code AB1234")), A.decode_entities(F.lit("3M&trade;  Tape &amp; Co - Blue - Blue")))
+    assert (x[0].lot, str(x[0].expiry)) == ("AB123", "2027-04-30") and x[1] == ["45-A1", "AB1234"] and x[2] == "3M™ Tape & Co - Blue"
