@@ -58,13 +58,15 @@ class DigestIndex:
     def entries(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def append_new(self, rows: DataFrame) -> None:
-        """Add one entry per digest of ``rows`` that the index lacks."""
+    def append_new(self, rows: DataFrame, scratch: Scratch) -> None:
+        """Add one entry per digest of ``rows`` that the index lacks.
+
+        The entries are written before the anti-join: the optimizer would else move the join below the
+        aggregate, and every row of a hot digest would be shuffled."""
         best = F.max(F.struct(F.col("n"), (-F.coalesce("doc_id", F.lit(2**63 - 1))).alias("negative_id"), F.col("doc_id"))).alias("best")
-        batch = rows.groupBy("digest").agg(best, F.count(F.lit(1)).alias("group_size"))
-        new = batch.join(self.entries().hint("merge"), "digest", "left_anti").select(
-            "digest", F.col("best.doc_id").alias("keep_id"), F.col("best.n").alias("keep_chars"), "group_size"
-        )
+        groups = rows.groupBy("digest").agg(best, F.count(F.lit(1)).alias("group_size"))
+        batch = scratch.cut(groups.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.n").alias("keep_chars"), "group_size"), "batch")
+        new = batch.join(self.entries().hint("merge"), "digest", "left_anti")
         new.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").option("path", self.path).saveAsTable(self.name)
 
     def look_up(self, rows: DataFrame) -> DataFrame:
@@ -80,7 +82,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, scratch: Scra
     scratch = scratch or Scratch(spark, "exact-dedup")
     index = index or DigestIndex(spark, scratch.path("index"))
     rows = scratch.cut(digests(docs), "digests")
-    index.append_new(rows)
+    index.append_new(rows, scratch)
     return index.look_up(rows).select(
         "doc_id", "keep_id", "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
