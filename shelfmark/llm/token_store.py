@@ -23,6 +23,7 @@ Cases with a defined result
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -135,7 +136,11 @@ def _encoder(spec: str) -> UnitEncoder:
         t = Tokenizer.from_str(spec)
         t.no_truncation()
         t.no_padding()
-        pack = lambda e: np.array(e.ids, dtype="<u4").tobytes()
+
+        def pack(e) -> bytes:
+            ids = e.ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+
         special = tuple(x.content for x in t.get_added_tokens_decoder().values())
         _encoders[key] = UnitEncoder(
             lambda words: [pack(e) for e in t.encode_batch_fast(words, add_special_tokens=False)] if words else [],
