@@ -1,4 +1,8 @@
-"""Connected components by large and small stars; rounds are checkpointed by the caller."""
+"""Connected components of an edge table, by rounds of large and small stars.
+
+A round is one combined minimum per vertex and one join that adaptive execution can split, so a vertex
+with very many links is no single task.  The caller says how a round's lineage is cut.
+"""
 
 from __future__ import annotations
 
