@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import shared_folder, ship
+
+__all__ = ["BLANKS", "WORD", "Scratch", "positional", "ship", "table"]
+
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The same six characters, for translate().
 BLANKS = " \t\n\x0b\x0c\r"
 
-_own: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,41 +29,12 @@ def positional(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[Da
     return docs.toDF(*at.values()), at, lambda out: out.select(*[F.col(c).alias(n) for n, c in at.items()])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local master gets a temporary folder that ends with the
-    process; any other master is refused, since its machines share no local disk.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    master = spark.conf.get("spark.master", "")
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if "dir" not in _own:
-        _own["dir"] = tempfile.mkdtemp(prefix="shelfmark-")
-        atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
-    return "file://" + _own["dir"]
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a session, so that tasks can import it."""
-    key = spark.sparkContext.applicationId
-    if _own.get("shipped") != key:
-        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        into = tempfile.mkdtemp(prefix="shelfmark-ship-")
-        atexit.register(shutil.rmtree, into, ignore_errors=True)
-        spark.sparkContext.addPyFile(shutil.make_archive(f"{into}/shelfmark", "zip", os.path.dirname(package), os.path.basename(package)))
-        _own["shipped"] = key
-
-
 class Scratch:
     """Parquet tables of one run, in a folder of its own below the shared one."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
 
     def path(self, name: str) -> str:

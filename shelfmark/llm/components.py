@@ -1,44 +1,14 @@
-"""Connected components of an edge table, by alternating large-star and small-star rounds.
-
-Each round is one combined minimum per vertex and one join that adaptive execution can split,
-so a vertex with very many links is no single task.  Rounds are written to the shared folder.
-"""
+"""Connected components of an edge table, its rounds written to the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
+from ..operators.graph import connected_components
 from .common import Scratch
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """Large star: each vertex links its larger neighbours to the least vertex it knows."""
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-
-
-def _small_stars(edges: DataFrame) -> DataFrame:
-    """Small star: each vertex and its smaller neighbours link to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v")))
-
-
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(vertex, label) of every vertex that has a link; label is the least vertex reachable.
-
-    ``edges`` has two comparable columns u and v.  Its empty table gives an empty result.
-    """
-    pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    pairs = scratch.cut(pairs, "links")
-    before = None
-    while True:
-        large = _stars(pairs).where("u <> v").distinct()
-        pairs = scratch.cut(_small_stars(large).where("u <> v").distinct(), "stars")
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    roots = pairs.select(F.col("v").alias("vertex"), F.col("v").alias("label")).distinct()
-    return pairs.select(F.col("u").alias("vertex"), F.col("v").alias("label")).unionByName(roots)
+    """(vertex, label) of every vertex that has a link; label is the least vertex reachable.  An empty table
+    gives an empty result."""
+    return connected_components(edges, lambda df: scratch.cut(df, "stars"))
