@@ -167,3 +167,11 @@ def test_label_text(spark):
 
     x = _one(spark, A.lot_and_expiry(F.lit("LOT: AB123 EXP 2027-04")), A.catalog_refs(F.lit("REF 45-A1 code AB1234")), A.decode_entities(F.lit("3M&trade;  Tape &amp; Co - Blue - Blue")))
     assert (x[0].lot, str(x[0].expiry)) == ("AB123", "2027-04-30") and x[1] == ["45-A1", "AB1234"] and x[2] == "3M™ Tape & Co - Blue"
+
+
+def test_decoding_and_leads(spark):
+    from shelfmark.functions import ingest_text as I
+
+    raw = spark.createDataFrame([(1, bytearray("größe".encode("windows-1252")), None), (2, bytearray("größe".encode()), None), (3, bytearray(b'<meta charset="latin-1">\xe9'), None), (4, None, "x")], "id long, body binary, charset string")
+    assert {r.id: r.text for r in I.decode_pages(raw).collect()} == {1: "größe", 2: "größe", 3: '<meta charset="latin-1">é', 4: None}
+    assert _one(spark, I.classify_lead(F.lit("Dental supply catalog: add to cart")), I.classify_lead(F.lit("hello"))) == [("supplier", 100), ("unknown", 10)]
