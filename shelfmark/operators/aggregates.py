@@ -75,7 +75,7 @@ QUERIES = {
         GROUP BY canonical_id HAVING count(*) >= 3""",
     # tokens that are in too many names are no use for blocking
     "ag34_token_frequency": """
-        SELECT token, count(*) AS df FROM (SELECT DISTINCT p_partkey, split_part(p_type, ' ', 3) AS token FROM part) q GROUP BY token HAVING count(*) <= 600""",
+        SELECT token, count(*) AS df FROM (SELECT DISTINCT p_partkey, lower(p_brand) AS token FROM part) q GROUP BY token HAVING count(*) <= 600""",
     # the strict winner of the counts; a tie has none
     "ag35_basis_plurality": """
         SELECT category, CASE WHEN n_top = 1 THEN basis END AS basis FROM (SELECT category, min(basis) AS basis, count(*) AS n_top FROM (

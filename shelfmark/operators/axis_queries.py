@@ -102,8 +102,8 @@ def er14_orphan_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def er19_name_brand_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of one brand with two shared type words and names that are alike."""
-    p = _read(spark, sf_dir, "part").select("p_partkey", "p_brand", F.split(F.lower("p_type"), " ").alias("w"), "p_type", "p_size")
+    """Parts of one brand whose names share two words and whose sizes are close."""
+    p = _read(spark, sf_dir, "part").select("p_partkey", "p_brand", F.split(F.lower("p_name"), " ").alias("w"), "p_size")
     two = F.flatten(F.transform("w", lambda a, i: F.transform(F.slice("w", i + 2, F.size("w")), lambda b: F.concat(a, F.lit(" "), b))))
     k = p.select("p_partkey", "p_brand", F.explode(F.array_distinct(two)).alias("k"), "p_size")
     short = k.join(k.groupBy("p_brand", "k").agg(F.count(F.lit(1)).alias("n")).where("n BETWEEN 2 AND 100"), ["p_brand", "k"])

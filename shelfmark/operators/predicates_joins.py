@@ -8,7 +8,7 @@ QUERIES = {
     "src03_scan_all": "SELECT doc_id, lang, source, n_chars FROM documents",
     "src17_latest_price_read": "SELECT l.listing_id, l.name, c.price_cents FROM listing l LEFT JOIN current_price c ON c.listing_id = l.listing_id",
     "p01_substring_search": "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%er%' OR p_brand ILIKE '%3%'",
-    "p02_regex_search": "SELECT p_partkey, p_type FROM part WHERE regexp_like(p_type, '(?i)(brass|steel|tin)$')",
+    "p02_regex_search": "SELECT p_partkey, p_type FROM part WHERE regexp_like(p_type, '(?i)(standard|economy|tin)$')",
     "p03_optional_predicate": "SELECT p_partkey FROM part WHERE (CAST(NULL AS VARCHAR(10)) IS NULL OR p_brand = 'x') AND (p_size = 5 OR 5 IS NULL)",
     "p04_unique_prefix_hit": """
         SELECT prefix, min(p_partkey) AS part_id FROM (SELECT substr(p_name, 1, 6) AS prefix, p_partkey FROM part WHERE regexp_like(p_name, '^[A-Za-z]')) q
