@@ -11,14 +11,42 @@ def _best(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def overlap_join(left: DataFrame, right: DataFrame, least: int, most_df: int = 600) -> DataFrame:
-    """(left_id, right_id, shared) of rows (id, words) that share ``least`` words or more; words of
-    more than ``most_df`` right rows are passed over, as the index does."""
-    r = right.select(F.col("id").alias("right_id"), F.explode(F.array_distinct("words")).alias("word"))
-    common = r.groupBy("word").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > most_df)
-    l = left.select(F.col("id").alias("left_id"), F.explode(F.array_distinct("words")).alias("word"))  # noqa: E741
-    met = l.join(r.join(common, "word", "left_anti"), "word")
-    return met.groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+#: Distinct word sets of one key and block of the candidate grid.
+BLOCK = 600
+
+
+def _word_sets(rows: DataFrame, side: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """(id, set) of rows (id, words) with ``least`` different words or more, and each set once with its words,
+    named by its least id."""
+    own = rows.select("id", F.array_sort(F.array_distinct(F.filter("words", lambda w: w.isNotNull()))).alias("words")).where(F.size("words") >= least)
+    sets = own.groupBy("words").agg(F.min("id").alias(f"{side}_set"))
+    return own.join(sets, "words").select(F.col("id").alias(f"{side}_id"), f"{side}_set"), sets.select(f"{side}_set", F.col("words").alias(f"{side}_words"))
+
+
+def _set_pairs(left: DataFrame, right: DataFrame, least: int, block: int) -> DataFrame:
+    """(left_set, right_set, shared) of all sets that share ``least`` words or more.  A key is a word, or a pair of
+    words if two are asked for, so that no single common word makes candidates; a pair of sets is made under its
+    first shared key only.  Keys of more than ``block`` sets are split into a grid of blocks on both sides."""
+    n_key = 2 if least >= 2 else 1
+    one = "transform({0}, a -> array(a))"
+    two = "flatten(transform({0}, (a, i) -> transform(slice({0}, i + 2, size({0})), b -> array(a, b))))"
+    keyed = lambda df, c: df.withColumn("key", F.explode(F.expr((two if n_key == 2 else one).format(c))))
+    l, r = keyed(left, "left_words"), keyed(right, "right_words")  # noqa: E741
+    count = lambda df, n: df.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(n))
+    grid = count(l, "rows").join(count(r, "cols"), "key").where("rows > 1 OR cols > 1")
+    of = lambda c, n: F.coalesce(F.pmod(F.xxhash64(c), F.col(n)).cast("int"), F.lit(0))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
+    l = l.join(grid, "key", "left").withColumn("i", of("left_set", "rows")).withColumn("j", every("cols")).drop("rows", "cols")  # noqa: E741
+    r = r.join(grid, "key", "left").withColumn("j", of("right_set", "cols")).withColumn("i", every("rows")).drop("rows", "cols")
+    met = l.join(r, ["key", "i", "j"]).withColumn("both", F.array_intersect("left_words", "right_words"))
+    return met.where((F.slice("both", 1, n_key) == F.col("key")) & (F.size("both") >= least)).select("left_set", "right_set", F.size("both").cast("long").alias("shared"))
+
+
+def overlap_join(left: DataFrame, right: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
+    """(left_id, right_id, shared) of rows (id, words) that share ``least`` (at least 1) words or more, however
+    common the words are; ids are unique.  Rows of one word set are matched once and get its matches back."""
+    (l_rows, l_sets), (r_rows, r_sets) = _word_sets(left, "left", least), _word_sets(right, "right", least)
+    return _set_pairs(l_sets, r_sets, least, block).join(l_rows, "left_set").join(r_rows, "right_set").select("left_id", "right_id", "shared")
 
 
 def suffix_join(codes: DataFrame, models: DataFrame, least: int = 5) -> DataFrame:
@@ -82,6 +110,26 @@ def resolve_barcodes(scans: DataFrame, products: DataFrame, references: DataFram
     return found.withColumn("least", least).where("tier = least").select("scan_id", "tier", "product_id")
 
 
+def _like_names(lines: DataFrame, listings: DataFrame, cut: float) -> DataFrame:
+    """(line_id, listing_id, sim): the listing whose name is most like each line's, of those with two shared core
+    words and ``cut`` or more; the least id wins ties.  Each word list is matched once.  No likeness passes 1, so a
+    word list that meets a 1 among the listings of its own set of words needs no other candidate; the rest is
+    matched with every listing that shares two core words."""
+    once = lambda df, i, c, s: df.groupBy("words").agg(F.min(i).alias(f"{s}_set"), F.first("core").alias("core")).withColumn("grams", T.trigrams(F.array_join("words", " "))).select(
+        f"{s}_set", F.col("words").alias(c), F.array_sort("core").alias(f"{s}_words"), F.col("grams").alias(f"{s}_grams")
+    )
+    a, b = once(lines, "line_id", "a", "left"), once(listings, "listing_id", "b", "right")
+    sim = 0.45 * T.jaccard("a", "b") + 0.55 * T.dice(F.col("left_grams"), F.col("right_grams"))
+    best = lambda pairs: _best(pairs.withColumn("sim", sim).where(F.col("sim") >= cut), ["left_set"], [F.desc("sim"), "right_set"]).select("left_set", "right_set", "sim")
+    same = a.withColumn("key", F.array_sort(F.array_distinct("a"))).join(b.withColumn("key", F.array_sort(F.array_distinct("b"))), "key")
+    sure = best(same.where("size(left_words) >= 2")).where("sim >= 1")
+    rest = a.join(sure, "left_set", "left_anti")
+    pairs = _set_pairs(rest.select("left_set", "left_words"), b.select("right_set", "right_words"), 2, BLOCK)
+    like = best(pairs.join(rest.drop("left_words"), "left_set").join(b.drop("right_words"), "right_set"))
+    found = sure.unionByName(like).join(a.select("left_set", F.col("a").alias("words")), "left_set")
+    return lines.select("line_id", "words").join(found, "words").select("line_id", F.col("right_set").alias("listing_id"), "sim")
+
+
 def match_invoice_lines(lines: DataFrame, listings: DataFrame, cut: float = 0.55) -> DataFrame:
     """Q21: the listing of each line (line_id, supplier_id, sku, description): the vendor's own SKU if it names
     one product (exact 97), else a shared code (exact), else a like name with two shared core words
@@ -92,12 +140,7 @@ def match_invoice_lines(lines: DataFrame, listings: DataFrame, cut: float = 0.55
     one = by_sku.groupBy("line_id").agg(F.count_distinct("name").alias("n"), F.min("listing_id").alias("listing_id")).where("n = 1")
     t1 = one.select("line_id", "listing_id", F.lit(1).alias("tier"), F.lit(97).alias("confidence"))
     t2 = l.where("length(code) >= 5").join(r.select("code", "listing_id"), "code").groupBy("line_id").agg(F.min("listing_id").alias("listing_id")).select("line_id", "listing_id", F.lit(2).alias("tier"), F.lit(85).alias("confidence"))
-    pairs = overlap_join(l.select(F.col("line_id").alias("id"), F.col("core").alias("words")), r.select(F.col("listing_id").alias("id"), F.col("core").alias("words")), 2)
-    like = pairs.join(l.select(F.col("line_id").alias("left_id"), F.col("words").alias("a")), "left_id").join(r.select(F.col("listing_id").alias("right_id"), F.col("words").alias("b")), "right_id")
-    sim = 0.45 * T.jaccard("a", "b") + 0.55 * T.dice(T.trigrams(F.array_join("a", " ")), T.trigrams(F.array_join("b", " ")))
-    t3 = _best(like.withColumn("sim", sim).where(F.col("sim") >= cut), ["left_id"], [F.desc("sim"), "right_id"]).select(
-        F.col("left_id").alias("line_id"), F.col("right_id").alias("listing_id"), F.lit(3).alias("tier"), F.floor(40 + 30 * F.col("sim") + 0.5).cast("int").alias("confidence")
-    )
+    t3 = _like_names(l, r, cut).select("line_id", "listing_id", F.lit(3).alias("tier"), F.floor(40 + 30 * F.col("sim") + 0.5).cast("int").alias("confidence"))
     best = _best(t1.unionByName(t2).unionByName(t3), ["line_id"], ["tier"]).drop("rank")
     status = F.when(F.col("tier") <= 2, "exact").when(F.col("tier") == 3, "needs_review").otherwise("unmatched")
     return l.select("line_id").join(best, "line_id", "left").select("line_id", "listing_id", status.alias("match_status"), F.coalesce("confidence", F.lit(0)).alias("confidence"))
