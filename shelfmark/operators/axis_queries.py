@@ -106,9 +106,8 @@ def er19_name_brand_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _read(spark, sf_dir, "part").select("p_partkey", "p_brand", F.split(F.lower("p_name"), " ").alias("w"), "p_size")
     two = F.flatten(F.transform("w", lambda a, i: F.transform(F.slice("w", i + 2, F.size("w")), lambda b: F.concat(a, F.lit(" "), b))))
     k = p.select("p_partkey", "p_brand", F.explode(F.array_distinct(two)).alias("k"), "p_size")
-    short = k.join(k.groupBy("p_brand", "k").agg(F.count(F.lit(1)).alias("n")).where("n BETWEEN 2 AND 100"), ["p_brand", "k"])
-    other = short.select("p_brand", "k", F.col("p_partkey").alias("right_id"), F.col("p_size").alias("s"))
-    return short.join(other, ["p_brand", "k"]).where("p_partkey < right_id AND abs(p_size - s) <= 2").select(F.col("p_partkey").alias("left_id"), "right_id").distinct()
+    near = k.select("p_brand", "k", F.col("p_partkey").alias("right_id"), F.explode(F.sequence(F.col("p_size") - 2, F.col("p_size") + 2)).alias("p_size"))
+    return k.join(near, ["p_brand", "k", "p_size"]).where("p_partkey < right_id").select(F.col("p_partkey").alias("left_id"), "right_id").distinct()
 
 
 def er17_commit(spark: SparkSession, sf_dir: str) -> DataFrame:

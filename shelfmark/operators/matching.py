@@ -1,8 +1,8 @@
 """Entity resolution: features, blocking, pair scores, clusters and stable ids.
 
 Listings are (listing_id, supplier_id, sku, brand, name, pack_size).  Pairs come from inverted lists
-(a shared code, or a brand and two shared core words); a list longer than MAX_POSTING is passed
-over, as the blocking rule says, so no list makes pairs in the square of an unbounded size.
+(a shared code, or a brand and two shared core words).  No list is passed over: one longer than BLOCK is
+split into blocks, so no task makes the pairs of a long list alone.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions import text as T
 from .graph import connected_components
 
-MAX_POSTING, MAX_TOKEN_DF = 100, 600
+#: Listings of one key in a block of a long posting list.
+BLOCK = 600
 
 
 def features(listings: DataFrame) -> DataFrame:
@@ -26,23 +27,22 @@ def features(listings: DataFrame) -> DataFrame:
 
 
 def blocking_index(feats: DataFrame) -> DataFrame:
-    """ER03: (listing_id, key) postings: strong codes, and brand with core words that are not too common."""
+    """ER03: (listing_id, key) postings: strong codes, and brand with every two core words."""
     codes = F.array_distinct(F.filter(F.concat(F.array("code", "core"), "name_codes"), lambda c: F.length(c) >= 4))
     by_code = feats.where("strength > 0.1 OR size(name_codes) > 0").select("listing_id", F.explode(codes).alias("c")).select("listing_id", F.concat(F.lit("code:"), "c").alias("key"))
-    words = feats.select("listing_id", F.get("brand_words", 0).alias("brand"), F.explode("core_words").alias("word"))
-    common = words.groupBy("word").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > MAX_TOKEN_DF)
-    rare = words.join(common, "word", "left_anti").where("brand IS NOT NULL")
-    lists = rare.groupBy("listing_id", "brand").agg(F.array_sort(F.collect_set("word")).alias("w"))
+    words = feats.select("listing_id", F.get("brand_words", 0).alias("brand"), F.array_sort(F.array_distinct("core_words")).alias("w"))
     two = F.expr("flatten(transform(w, (a, i) -> transform(slice(w, i + 2, size(w)), b -> concat('words:', brand, ':', a, ':', b))))")
-    return by_code.unionByName(lists.select("listing_id", F.explode(two).alias("key")))
+    return by_code.unionByName(words.where("brand IS NOT NULL").select("listing_id", F.explode(two).alias("key")))
 
 
-def candidate_pairs(index: DataFrame) -> DataFrame:
-    """ER04, J08, J12: distinct pairs that share a posting list of MAX_POSTING or fewer."""
-    sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, MAX_POSTING)).select("key")
-    short = index.join(sizes, "key")
-    other = short.select("key", F.col("listing_id").alias("right_id"))
-    return short.withColumnRenamed("listing_id", "left_id").join(other, "key").where("left_id < right_id").select("left_id", "right_id").distinct()
+def candidate_pairs(index: DataFrame, block: int = BLOCK) -> DataFrame:
+    """ER04, J08, J12: distinct pairs that share a posting list.  A list of more than ``block`` listings becomes a
+    grid of blocks, a row of it for the left side and a column for the right."""
+    sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("key", F.ceil(F.col("n") / block).cast("int").alias("n"))
+    lists = index.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("listing_id"), "n").cast("int")).withColumn("every", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    left = lists.select("key", F.col("listing_id").alias("left_id"), F.col("own").alias("i"), F.col("every").alias("j"))
+    right = lists.select("key", F.col("listing_id").alias("right_id"), F.col("every").alias("i"), F.col("own").alias("j"))
+    return left.join(right, ["key", "i", "j"]).where("left_id < right_id").select("left_id", "right_id").distinct()
 
 
 def score_pairs(pairs: DataFrame, feats: DataFrame) -> DataFrame:

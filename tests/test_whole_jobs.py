@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from shelfmark.operators import search
+from shelfmark.operators import axis_queries, matching as M, search
+from shelfmark.session import saver
 
 
 def test_overlap_join_keeps_common_words(spark):
@@ -33,3 +34,33 @@ def test_invoice_names_match_by_common_words(spark):
     for r in lines.where("line_id IN ('near', 'turned')").collect():
         best = min(names, key=lambda i: (-sim(r.description, names[i]), i))
         assert got[r.line_id] == (best, "needs_review", int(40 + 30 * sim(r.description, names[best]) + 0.5))
+
+
+def _features(spark, n: int, sku: str, name: str):
+    rows = [(i, str(i), sku.format(i), "Acme", name.format(i), "10/Box") for i in range(n)]
+    return M.features(spark.createDataFrame(rows, "listing_id long, supplier_id string, sku string, brand string, name string, pack_size string"))
+
+
+def test_long_posting_lists_make_all_their_pairs(spark):
+    f = _features(spark, 130, "AB1234", "Fine Paper Point")
+    want = {(a, b) for b in range(130) for a in range(b)}
+    for block in (600, 50):
+        got = M.candidate_pairs(M.blocking_index(f), block).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+    save = saver(spark)
+    f = save(f)
+    scored = save(M.score_pairs(M.candidate_pairs(M.blocking_index(f)), f))
+    assert scored.count() == len(want) and {r.cluster for r in M.clusters(scored, f, save).collect()} == {0}
+
+
+def test_common_words_are_indexed(spark):
+    keys = M.blocking_index(_features(spark, 650, "", "Fine Paper Point{}")).groupBy("key").count().where("count > 600")
+    assert [r.key for r in keys.collect()] == ["words:acme:fine:paper"]
+
+
+def test_name_brand_probe_keeps_long_lists(spark, tmp_path):
+    rows = [(i, "Acme", "Fine Point", i % 7) for i in range(130)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_name string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = axis_queries.er19_name_brand_probe(spark, str(tmp_path)).collect()
+    want = {(a, b) for b in range(130) for a in range(b) if abs(a % 7 - b % 7) <= 2}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
