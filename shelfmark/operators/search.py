@@ -206,8 +206,8 @@ def q16_barcode_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q21_invoice_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _read(spark, sf_dir, "part")
     listings = p.select(F.col("p_partkey").alias("listing_id"), (F.col("p_partkey") % 10).alias("supplier_id"), F.concat(F.lit("K"), "p_partkey", F.lit("X")).alias("sku"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("name"))
-    lines = _read(spark, sf_dir, "lineitem").where("l_linenumber = 1").join(p, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey").alias("line_id"), (F.col("l_partkey") % 7).alias("supplier_id"),
+    lines = _read(spark, sf_dir, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("line_id"), (F.col("l_partkey") % 7).alias("supplier_id"),
         F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("K"), "l_partkey", F.lit("X"))).alias("sku"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("description"),
     ).dropDuplicates(["line_id"])
     return match_invoice_lines(lines, listings)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from shelfmark.operators import axis_queries, matching as M, search
 from shelfmark.session import saver
 
@@ -64,3 +66,9 @@ def test_name_brand_probe_keeps_long_lists(spark, tmp_path):
     got = axis_queries.er19_name_brand_probe(spark, str(tmp_path)).collect()
     want = {(a, b) for b in range(130) for a in range(b) if abs(a % 7 - b % 7) <= 2}
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_invoice_match_reads_every_line(spark, data):
+    lines = spark.read.parquet(f"{data}/lineitem.parquet").select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("line_id")).distinct()
+    got = search.q21_invoice_match(spark, data).select("line_id")
+    assert got.count() == lines.count() and lines.join(got, "line_id", "left_anti").isEmpty()
