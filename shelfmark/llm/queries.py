@@ -9,6 +9,8 @@ from . import bpe, exact_dedup, language_id, mixing, pii, quality_gam, quality_r
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
+#: For synthetic tables; a session with real data sets spark.shelfmark.pii.key from its secret store.
+SAMPLE_KEY = "synthetic documents only"
 
 
 def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +19,7 @@ def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), spark.conf.get("spark.shelfmark.pii.key", SAMPLE_KEY).encode())
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
