@@ -5,16 +5,24 @@ part is taken outright.  The fractional parts of a source are settled in pairs:
 receives words from the other until one of the two is integral, the direction being drawn so that
 both keep their expectation, and the words of the pair are kept.  Pairs are folded within blocks of
 about FAN_IN documents; each block leaves one undecided document, and these residuals meet in
-blocks again until every source has one left, which is rounded to the nearer integer.  The gap that
-this leaves (half a document at most) is closed by moving MOVES documents of fitting size by a copy.
+blocks again until every source has one left, which is drawn by its fraction.
 
-Random numbers are hashes of the rows and SEED, so reruns agree on any cluster.
+That last draw misses the target by a document at most, up or down, so that the words expected are
+the target.  MOVES documents of fitting size are then moved by a copy against the miss.  As its sign
+is drawn, they go up as many words as down on average; which of the fitting ones it is, is drawn too.
+
+Rows that agree in every column are one unit of m rows.  Settled among themselves they take the
+whole part of their m fractions between them, and one row stays for the pairs above; so different
+rows of a unit may take different copies.  Random numbers are hashes of the rows and SEED, so reruns
+agree on any cluster.
 
 Cases with a defined result
-    null text or no words: size 0, taken 0
+    null text or no words: size 0, taken 0; very long text: one document like any other, never cut
     null source: a source of its own, after all others
-    rows equal in id, source and size: settled together, one result row each
-    null id: like any other id
+    repeated rows: one unit, see above; one result row each
+    rows that share an id but differ otherwise: documents of their own
+    ties in a document's hash: broken by its other fields
+    null id: like any other id; extra columns, whatever their names, are kept by ``apply_mix``
     empty table: an empty result
 """
 
@@ -39,36 +47,47 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _row_hash(docs: DataFrame) -> F.Column:
+    """A hash of all columns; maps, which have none, by their JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(docs[f.name])) if "map<" in f.dataType.simpleString() else docs[f.name] for f in docs.schema.fields], F.lit(SEED))
+
+
 def units(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(doc_id, source, size, m): rows that agree in all three, with their number."""
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"))
-    return rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("m"))
+    """(doc_id, source, size, g, m): rows that agree in all columns, their hash and their number."""
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), _row_hash(docs).alias("g"))
+    return rows.groupBy("doc_id", "source", "size", "g").agg(F.count(F.lit(1)).alias("m"))
 
 
-def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
+def running(df: DataFrame, order: list[F.Column], sums: dict[str, F.Column], scratch: Scratch) -> DataFrame:
+    """``df`` with, for each of ``sums``, the sum over all rows before in ``order``.  Rows are partitioned by
+    range; only one row a partition is brought together."""
+    parts = scratch.cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ordered")
+    each = parts.groupBy("_part").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    upto = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # as many rows as partitions
+    start = each.select(F.col("_part").alias("_p"), *[F.coalesce(F.sum(n).over(upto), F.lit(0)).alias(f"_{n}") for n in sums])
+    before = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = parts.join(F.broadcast(start), F.col("_part") == F.col("_p"))
+    return out.select(*df.columns, *[(F.col(f"_{n}") + F.coalesce(F.sum(c).over(before), F.lit(0))).alias(n) for n, c in sums.items()])
+
+
+def targets(rows: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
     """(source, source_size, n, target): one row per source.
 
     All words are shared by weight; a source stops at ``max_copies`` times its size and the excess
     is shared anew.  The level at which that ends is found from running sums over the sources in
-    order of cap per weight.  The windows run over one row per source, not over documents.
+    order of cap per weight: that of the first source whose cap it does not pass.
     """
     total = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count(F.lit(1)).alias("n"))
-    by_name = W.orderBy(F.asc_nulls_last("source"))
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    total = total.withColumn("weight", weight.cast("double")).withColumn("cap", F.col("source_size") * F.lit(float(max_copies)))
-    ratio = F.col("cap") / F.col("weight")
-    everything = W.partitionBy()
-    by_ratio = W.orderBy(ratio, F.asc_nulls_last("source"))
-    before = by_ratio.rowsBetween(W.unboundedPreceding, -1)
+    named = running(total, [F.asc_nulls_last("source")], {"place": F.lit(1)}, scratch)
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("place"), F.lit(len(weights))) + 1).cast("int")).cast("double")
+    named = named.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(max_copies))).withColumn("ratio", F.col("cap") / F.col("weight"))
+    ranked = scratch.cut(running(named, [F.col("ratio"), F.asc_nulls_last("source")], {"capped": F.col("cap"), "gone": F.col("weight")}, scratch), "ranked")
+    words, weighed = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
     # the level if exactly the sources before this one are at their caps
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (
-        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    )
-    total = total.withColumn("ratio", ratio).withColumn("level", level)
-    free = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(everything)["level"]
-    return total.withColumn("free", free).select(
-        "source", "source_size", "n", F.when(F.col("ratio") <= F.col("free"), F.col("cap")).otherwise(F.col("free") * F.col("weight")).alias("target")
-    )
+    level = (F.lit(float(words or 0)) - F.col("capped")) / (F.lit(weighed or 1.0) - F.col("gone"))
+    # "gone" grows with the order, so its least value is the first source that stays below its cap
+    free = F.lit(ranked.withColumn("level", level).where("level <= ratio").agg(F.min(F.struct("gone", "level"))["level"]).first()[0])
+    return ranked.select("source", "source_size", "n", F.when(F.col("ratio") <= free, F.col("cap")).otherwise(free * F.col("weight")).alias("target"))
 
 
 #: One step of a block's fold: ``a.c`` is the undecided document, ``x`` the next one.
@@ -98,7 +117,7 @@ aggregate(list, named_struct('c', CAST(NULL AS {unit}), 'done', CAST(array() AS
 
 def _round_once(pending: DataFrame, seed: int) -> DataFrame:
     """One level of the tree: each (source, block) settles all its documents but one."""
-    fields = [f for f in pending.schema.fields if f.name in ("h", "w", "doc_id", "size", "m", "base", "source_size", "target")]
+    fields = [f for f in pending.schema.fields if f.name in ("h", "w", "doc_id", "size", "g", "m", "whole", "source_size", "target")]
     unit = "struct<" + ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in fields) + ", p: double>"
     keep = {v: ", ".join(f"'{f.name}', {v}.{f.name}" for f in fields) for v in ("a.c", "x")}
     fold = _FOLD.format(unit=unit, seed=seed, keep_x=keep["x"], keep_c=keep["a.c"])
@@ -111,10 +130,10 @@ def _round_once(pending: DataFrame, seed: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """One row per unit: doc_id, source, size, m, source_size, target, copies (taken per row)."""
+    """One row per unit: doc_id, source, size, g, m, source_size, target, copies (of its m rows together)."""
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
     rows = scratch.cut(units(docs, id_col, source_col, text_col), "units")
-    shares = scratch.cut(targets(rows), "targets")
+    shares = scratch.cut(targets(rows, scratch), "targets")
     n_sources, most = shares.agg(F.count(F.lit(1)), F.max("n")).first()
     right = shares.withColumnRenamed("source", "_source")
     if n_sources <= MAX_BROADCAST_SOURCES:
@@ -122,19 +141,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     all_rows = (
         rows.join(right, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-        .withColumn("f", F.when(F.col("size") > 0, copies).otherwise(F.lit(0.0)))
-        .withColumn("base", F.floor("f").cast("long"))
+        .withColumn("f", F.when(F.col("size") > 0, copies * F.col("m")).otherwise(F.lit(0.0)))
+        .withColumn("whole", F.floor("f").cast("long"))
         .withColumn("p", F.col("f") - F.floor("f"))
-        .withColumn("h", F.xxhash64("doc_id", "source", "size", F.lit(SEED)))
-        .withColumn("w", (F.col("size") * F.col("m")).cast("double"))
+        .withColumn("h", F.xxhash64("doc_id", "source", "size", "g", F.lit(SEED)))
+        .withColumn("w", F.col("size").cast("double"))
     )
-    names = ["doc_id", "source", "size", "m", "source_size", "target"]
-    whole = all_rows.where("p = 0").select(*names, F.col("base").alias("copies"))
+    names = ["doc_id", "source", "size", "g", "m", "source_size", "target"]
+    whole = all_rows.where("p = 0").select(*names, F.col("whole").alias("copies"))
     pending = all_rows.where("p > 0").select(
-        "source", F.ceil(F.col("n") / F.lit(FAN_IN)).cast("long").alias("blocks"), "h", "w", "doc_id", "size", "m", "base", "source_size", "target", "p"
+        "source", F.ceil(F.col("n") / F.lit(FAN_IN)).cast("long").alias("blocks"), "h", "w", "doc_id", "size", "g", "m", "whole", "source_size", "target", "p"
     )
     settled = [whole]
-    taken = (F.col("base") + F.floor(F.col("p") + F.lit(0.5))).cast("long").alias("copies")
+    taken = (F.col("whole") + F.floor(F.col("p") + F.lit(0.5))).cast("long").alias("copies")
     blocks, level = -(-(most or 0) // FAN_IN), 0
     while True:
         level += 1
@@ -144,7 +163,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         if blocks <= 1:
             break
         blocks = -(-blocks // FAN_IN)
-    settled.append(pending.select(*names, taken))  # one document of each source: to the nearer integer
+    # one document of each source: up with the probability of its fraction
+    drawn = F.pmod(F.xxhash64("h", F.lit(SEED)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    settled.append(pending.select(*names, (F.col("whole") + (drawn < F.col("p")).cast("long")).alias("copies")))
     out = settled[0]
     for part in settled[1:]:
         out = out.unionByName(part)
@@ -154,31 +175,52 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 
 def _even_out(rows: DataFrame, small: bool) -> DataFrame:
-    """Move one document of each source by one copy: the one that brings the source's words nearest to
-    its target, where the rounding of its last document had left a gap."""
-    words = F.col("size") * F.col("m")
-    gaps = rows.groupBy("source").agg((F.sum(F.col("copies") * words) - F.max("target")).alias("gap")).withColumnRenamed("source", "_source")
+    """Move one document of each source by one copy: of those that bring the source's words nearest to its
+    target, the one with the least hash."""
+    gaps = rows.groupBy("source").agg((F.sum(F.col("copies") * F.col("size")) - F.max("target")).alias("gap")).withColumnRenamed("source", "_source")
     hint = F.broadcast if small else (lambda df: df)
-    can = F.when(F.col("gap") > 0, F.col("copies") > 0).otherwise(F.col("copies") < MAX_COPIES)
-    left = F.abs(F.abs("gap") - words)
-    moves = rows.join(hint(gaps), F.col("source").eqNullSafe(F.col("_source"))).where(can & (words > 0) & (left < F.abs("gap")))
-    best = moves.groupBy("source").agg(F.min(F.struct(left.alias("left"), F.xxhash64("doc_id", "size").alias("h"), "doc_id", "size", "gap")).alias("b"))
-    best = best.select(F.col("source").alias("_s"), F.col("b.doc_id").alias("_d"), F.col("b.size").alias("_z"), F.when(F.col("b.gap") > 0, -1).otherwise(1).alias("by"))
-    on = F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("size") == F.col("_z"))
+    can = F.when(F.col("gap") > 0, F.col("copies") > 0).otherwise(F.col("copies") < MAX_COPIES * F.col("m"))
+    left = F.abs(F.abs("gap") - F.col("size"))
+    moves = rows.join(hint(gaps), F.col("source").eqNullSafe(F.col("_source"))).where(can & (F.col("size") > 0) & (left < F.abs("gap")))
+    best = moves.groupBy("source").agg(F.min(F.struct(left.alias("left"), F.xxhash64("g", F.lit(SEED)).alias("h"), "doc_id", "size", "g", "gap")).alias("b"))
+    best = best.select(F.col("source").alias("_s"), F.col("b.doc_id").alias("_d"), F.col("b.size").alias("_z"), F.col("b.g").alias("_g"), F.when(F.col("b.gap") > 0, -1).otherwise(1).alias("by"))
+    on = F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("size") == F.col("_z")) & (F.col("g") == F.col("_g"))
     moved = rows.join(hint(best), on, "left")
     return moved.withColumn("copies", F.col("copies") + F.coalesce("by", F.lit(0))).select(*rows.columns)
 
 
+#: Rows that a unit is written out in at a time.
+_RUN = 1000
+
+
+def _spread(units_: DataFrame, count: F.Column, name: str) -> DataFrame:
+    """Each row ``count`` times, numbered from 0 in ``name``; long runs are cut and shuffled first, so one row is
+    never written out by one task alone."""
+    if not units_.where(count > _RUN).isEmpty():
+        starts = units_.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((count - 1) / F.lit(_RUN)))) * F.lit(_RUN))
+        units_ = starts.repartition(F.col("_from"), *[F.col(c) for c in units_.columns if c in ("_g", "g")])
+        return units_.withColumn(name, F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + F.lit(_RUN), count) - 1))).drop("_from")
+    return units_.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+
+
 def mix_report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
-    rows = mix(docs).withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("m"))))
+    rows = _spread(mix(docs), F.col("m"), "_row")
+    # the copies of a unit are spread evenly over its rows
+    rows = rows.withColumn("copies", F.floor(F.col("copies") / F.col("m")) + (F.col("_row") < F.col("copies") % F.col("m")).cast("long"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each document as often as it is taken, with its own columns."""
-    plan = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
+    scratch = Scratch(docs.sparkSession, "mixing")
+    plan = scratch.cut(mix(docs, scratch=scratch).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("g").alias("_g"), "m", F.col("copies").alias("_copies")), "plan")
     rows, at, back = positional(docs)
-    rows = rows.withColumn("_words", word_count(F.col(at["text"])))
-    on = F.col(at["doc_id"]).eqNullSafe(F.col("_id")) & F.col(at["source"]).eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    return back(rows.join(plan, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))))
+    rows = rows.withColumn("_h", _row_hash(rows))
+    on = F.col(at["doc_id"]).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g"))
+    single, many = plan.where("m = 1"), plan.where("m > 1")
+    out = rows.join(single, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*at.values())
+    if not many.isEmpty():  # equal rows: one of them, as often as all are taken
+        one = rows.join(many, on).dropDuplicates(["_id", "_g"])
+        out = out.unionByName(_spread(one, F.col("_copies"), "_copy").select(*at.values()))
+    return back(out)
