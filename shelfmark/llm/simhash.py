@@ -1,15 +1,22 @@
 """SimHash near-dedup over a byte-position inverted index with count filtering.
 
 A 64-bit fingerprint has eight positional bytes.  Two fingerprints within MAX_BITS = 2 bits differ
-in two bytes at most, so they share six or more positional bytes; taken as four blocks of two
-bytes, at least two blocks agree.  Postings are therefore keyed by two whole blocks (four
-positional bytes).  For each pair that meets in a posting list the shared positional bytes are
-tallied, pairs under six are dropped, and the rest is verified by the bits of their XOR.
+in two bytes at most, so they share six or more positional bytes.  Lists of single bytes would grow
+with the corpus, so a posting list is kept for each value of four positional bytes, for the
+fourteen LISTED sets of four places whose numbers XOR to zero.  Any three places lie together in
+exactly one such set, so two fingerprints that share
+
+    8, 7 or 6 positional bytes   meet in 14, 7 or 3 lists,
+    5 or fewer                   meet in one list at most.
+
+The lists in which a pair meets are tallied over all lists, which gives its shared positional bytes;
+pairs below the guaranteed minimum of MIN_LISTS = 3 lists are dropped, and the rest is verified by
+the bits of their XOR.
 
 A posting list longer than MAX_POSTING is not expanded into pairs.  Its fingerprints take an exact
 linear way: two fingerprints are within 2 bits exactly when some value is within 1 bit of both, so
 each is listed under itself and its 64 one-bit neighbours, and the (65 at most) fingerprints of
-a value are linked to the least of them.  A link that the first way misses has both ends in a long
+a value are linked to the least of them.  A link that the tally misses has both ends in a long
 list, so no link is lost.
 
 Everything from the postings on works on distinct fingerprints: copies, however many, are one.
@@ -17,14 +24,19 @@ Everything from the postings on works on distinct fingerprints: copies, however
 Cases with a defined result
     null, empty or blank text: no words, fingerprint zero, linked like any other
     fewer than three words: the whole word sequence is the one shingle
+    very long text: read whole, its shingles hashed a bounded slice at a time
     null id: takes part, but is a component's id only if all its ids are null
-    repeated rows and ids: each row gets its own result row
+    repeated rows and ids: each row gets its own result row; ``keep_one`` keeps the text of the least id,
+        of several texts with that id the one with the least fingerprint, then hash; equal rows stay together
+    a fingerprint bit set in exactly half the shingles: 0
+    extra columns, whatever their names: not read, kept by ``keep_one``
     empty table: an empty result
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +47,12 @@ from .common import Scratch, positional, ship
 from .components import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
-#: Shared positional bytes that a pair within MAX_BITS has at least.
-MIN_SHARED = 8 - MAX_BITS
+#: Sets of four places, one posting list for each value of their bytes.
+LISTED = [c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
+#: Lists in which a pair that shares 8 - MAX_BITS positional bytes meets at least.
+MIN_LISTS = 3
 #: Longer posting lists take the linear way.
-MAX_POSTING = 16
+MAX_POSTING = 64
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 _SLICE = 1 << 16
@@ -65,24 +79,24 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every whole text."""
-
+    """(doc_id, fp, h) of every whole text; h is a hash of the text itself."""
     ship(docs.sparkSession)
+
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # one text at a time, so that a batch is never in memory twice
-            fp = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), dtype=np.int64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(x.as_py()) for x in batch.column(2)), dtype=np.int64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(1)], names=["doc_id", "fp", "h"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(per_task, "doc_id long, fp long")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("h"), docs[text_col].alias("text"))
+    return rows.mapInArrow(per_task, "doc_id long, fp long, h long")
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
-    """(key, fp): the fingerprint under each two of its four blocks, with the blocks' places."""
-    block = [f"(shiftrightunsigned(fp, {16 * k}) & 65535)" for k in range(4)]
-    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    keys = ", ".join(f"(shiftleft({n}L, 32) | shiftleft({block[i]}, 16) | {block[j]})" for n, (i, j) in enumerate(pairs))
-    return nodes.selectExpr(f"explode(array({keys})) AS key", "fp")
+    """(key, fp): the fingerprint under its four bytes of each listed set, with the set's number."""
+    byte = [f"(shiftrightunsigned(fp, {8 * k}) & 255)" for k in range(8)]
+    keys = (f"({n}L << 32 | {byte[a]} << 24 | {byte[b]} << 16 | {byte[c]} << 8 | {byte[d]})" for n, (a, b, c, d) in enumerate(LISTED))
+    return nodes.selectExpr(f"explode(array({', '.join(keys)})) AS key", "fp")
 
 
 def links(nodes: DataFrame, scratch: Scratch, max_posting: int = MAX_POSTING) -> DataFrame:
@@ -92,28 +106,37 @@ def links(nodes: DataFrame, scratch: Scratch, max_posting: int = MAX_POSTING) ->
     sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("key", "k")
     met = scratch.cut(postings.join(sizes, F.col("key") == F.col("k")).select("key", "fp", "n"), "postings")
 
-    shared = " + ".join(f"int((shiftrightunsigned(x ^ y, {8 * k}) & 255) = 0)" for k in range(8))
-    short = met.where(F.col("n") <= max_posting).groupBy("key").agg(F.collect_list("fp").alias("list"))
-    near = f"filter(list, y -> y > x AND ({shared}) >= {MIN_SHARED} AND bit_count(x ^ y) <= {MAX_BITS})"
-    pairs = short.selectExpr(f"explode(flatten(transform(list, x -> transform({near}, y -> struct(x AS u, y AS v))))) AS e").select("e.u", "e.v")
+    short = met.where(F.col("n") <= max_posting).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("list"))
+    pairs = short.selectExpr("explode(list) AS u", "list").selectExpr("u", "explode(filter(list, v -> v > u)) AS v")
+    tally = pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("lists")).where(F.col("lists") >= MIN_LISTS)
+    near = tally.where(f"bit_count(u ^ v) <= {MAX_BITS}").select("u", "v")
 
     # the linear way for what lies in a long list
     long = met.where(F.col("n") > max_posting).select("fp").distinct()
     ball = long.selectExpr("fp", "explode(concat(array(fp), transform(sequence(0, 63), b -> fp ^ shiftleft(1L, b)))) AS value")
     least = ball.groupBy("value").agg(F.collect_list("fp").alias("list")).where("size(list) > 1")  # 65 at most
     stars = least.selectExpr("explode(list) AS u", "array_min(list) AS v").where("u <> v").distinct()
-    return pairs.unionByName(stars)
+    return near.unionByName(stars)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row; component_id is the smallest reachable id."""
-    scratch = scratch or Scratch(docs.sparkSession, "simhash")
+def _classes(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, h) of every row, and of every distinct fingerprint its component: the least id, and the
+    text (keep_fp, keep_h) that stays for it."""
     rows = scratch.cut(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = scratch.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    last = F.coalesce("doc_id", F.lit(2**63 - 1))
+    nodes = rows.groupBy("fp").agg(F.min(F.struct(last.alias("at"), F.col("doc_id").alias("id"), "h")).alias("first"))
+    nodes = scratch.cut(nodes.select("fp", "first.*"), "distinct")
     labels = scratch.cut(components(links(nodes, scratch), scratch), "labels")
-    linked = nodes.join(labels, F.col("fp") == F.col("vertex"), "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
-    first = linked.groupBy("label").agg(F.min("first_id").alias("component_id")).withColumnRenamed("label", "l")
-    classes = scratch.cut(linked.join(first, F.col("label") == F.col("l")).select("fp", "component_id"), "classes")
+    linked = nodes.join(labels, F.col("fp") == F.col("vertex"), "left").select("fp", "at", "id", "h", F.coalesce("label", "fp").alias("label"))
+    first = linked.groupBy("label").agg(F.min(F.struct("at", "fp", "h", "id")).alias("b"))
+    first = first.select(F.col("label").alias("l"), F.col("b.id").alias("component_id"), F.col("b.fp").alias("keep_fp"), F.col("b.h").alias("keep_h"))
+    classes = linked.join(first, F.col("label") == F.col("l")).select("fp", "component_id", "keep_fp", "keep_h")
+    return rows, scratch.cut(classes, "classes")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row; component_id is the smallest reachable id."""
+    rows, classes = _classes(docs, id_col, text_col, scratch or Scratch(docs.sparkSession, "simhash"))
     # a plain join with exchanges on both sides: a fingerprint of very many rows is split
     return rows.join(classes.withColumnRenamed("fp", "f"), F.col("fp") == F.col("f")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -122,6 +145,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component stays (the smallest id), with its own columns."""
-    kept = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    _, classes = _classes(docs, "doc_id", "text", Scratch(docs.sparkSession, "simhash"))
+    kept = classes.where("fp = keep_fp").select(F.col("component_id").alias("_keep"), F.col("keep_h").alias("_h"))
     rows, at, back = positional(docs)
-    return back(rows.join(kept, F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("_keep")), "left_semi"))
+    # the text is part of the key, so rows that share an id but not a text are told apart
+    on = F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("_keep")) & (F.xxhash64(at["text"]) == F.col("_h"))
+    return back(rows.join(kept, on, "left_semi"))
