@@ -14,7 +14,7 @@ need no local copy.
 
 Cases with a defined result
     null or empty text: no ids; the digests are those of the empty string
-    very long text or word: merging is n log n; words over units.CACHE_CHARS are not kept
+    very long text or word: merging is n log n; words over units.CACHE_BYTES are not kept
     special tokens written out in a text: encoded as their ids, as the library does
     repeated rows and ids, nulls in other columns: each row is encoded on its own
     empty table: an empty result
@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .common import ship
-from .units import PATTERN, UnitEncoder
+from .units import PATTERN, Runs, UnitEncoder, as_runs
 
 MAX_VOCABULARY = 64 << 20
 #: Words up to this many bytes are merged by plain search, longer ones with a heap.
@@ -91,7 +91,7 @@ class Bpe:
         self.whole[256:] = self.compatible(first, second, within=np.arange(256, n))
         self.split = regex.compile(PATTERN)
         self.on_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.units = UnitEncoder(self.learn, self.encode_text, tuple(self.special))
+        self.units = UnitEncoder(self.learn_units, self.encode_texts, tuple(self.special))
         self.exactly_merged = 0
 
     def across(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -187,23 +187,26 @@ class Bpe:
         raw, ends = self.ids[flat].astype("<u4").tobytes(), (4 * np.cumsum(size)).tolist()
         return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def encode_text(self, text: str) -> bytes:
-        """The ids of one whole text, special tokens among them, as little-endian 32-bit numbers."""
-        parts = self.on_special.split(text) if self.on_special else [text]
-        out = []
-        for part in parts:
-            if part in self.special:
-                out.append(_PACK(self.special[part]))
-            elif part:
-                words = self.split.findall(part)
-                new = list(set(words))
-                known = dict(zip(new, self.learn(new), strict=True))
-                out += map(known.__getitem__, words)
-        return b"".join(out)
-
-    def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
-        for raw in self.units.encode(texts):
-            yield np.frombuffer(raw, dtype="<u4").tolist()
+    def learn_units(self, units: pa.Array) -> Runs:
+        """Encodings of units, each as it stands after a space; one of letters alone is one word."""
+        find = self.split.findall
+        split = [[" " + u] if u.isalpha() else find(" " + u) for u in units.to_pylist()]
+        words = list(dict.fromkeys(chain.from_iterable(split)))
+        known = dict(zip(words, self.learn(words), strict=True))
+        return as_runs([b"".join(map(known.__getitem__, w)) for w in split])
+
+    def encode_texts(self, texts: list[str]) -> Runs:
+        """The ids of whole texts, special tokens among them."""
+        find, special = self.split.findall, self.special
+        parts = [[p for p in (self.on_special.split(t) if self.on_special else [t]) if p] for t in texts]
+        split = [[[p] if p in special else find(p) for p in ps] for ps in parts]
+        new = list({w for ws in split for w in chain.from_iterable(ws) if w not in special})
+        known = dict(zip(new, self.learn(new), strict=True)) | {s: _PACK(i) for s, i in special.items()}
+        return as_runs([b"".join(map(known.__getitem__, chain.from_iterable(ws))) for ws in split])
+
+    def encode_batch(self, texts: pa.Array | list[str]) -> Iterator[list[int]]:
+        for ids in self.units.each(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())):
+            yield ids.tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.by_id.__getitem__, ids)).decode("utf-8", "replace")
@@ -235,7 +238,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _model(spec.value)
         for batch in batches:
-            ids = bpe.encode_batch([t or "" for t in batch.column(1).to_pylist()])
+            ids = bpe.encode_batch(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(ids), type=pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(per_task, _with_id(docs, id_col, "ids array<int>"))
@@ -265,7 +268,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
         sha, digits = hashlib.sha256, {i: str(i) for i in bpe.by_id}
         for batch in batches:
             n, a, b = [], [], []
-            for ids in bpe.encode_batch([t or "" for t in batch.column(1).to_pylist()]):
+            for ids in bpe.encode_batch(batch.column(1)):
                 n.append(len(ids))
                 a.append(sha(",".join(map(digits.__getitem__, ids)).encode()).hexdigest())
                 b.append(sha(bpe.decode(ids).encode()).hexdigest())

@@ -1,11 +1,12 @@
 """Content-addressed store of token-id streams.
 
 A document's ids (with the end id) are cut where a rolling hash over WINDOW ids says so, so like
-passages give like chunks wherever they stand.  The store has three Parquet tables below one path:
+passages give like chunks wherever they stand.  The store has four Parquet tables below one path:
 
 ``chunks``    address, data: each distinct chunk once; the address is a digest of the data
 ``recipes``   in ascending document order: part, row, doc_id, n_tokens, start in the part, addresses
 ``manifest``  part, n_docs, n_tokens, root: the Merkle root over the part's recipes
+``root``      n_docs, n_tokens, root: the Merkle root over the parts' roots
 
 Ids are stored in 16 bits where the vocabulary allows it, else in 32.  Encoding writes each task's
 new chunks once; a shuffle by address leaves each chunk once overall.  Reading never moves chunk
@@ -17,59 +18,74 @@ Cases with a defined result
     null id: before every other id; rows that repeat an id: in order of their chunk addresses
     very long text: cut like any other; a chunk has MAX_CHUNK ids at most
     empty table: an empty store, an empty result
-    a changed chunk or recipe: reading raises an error
+    repeated rows: stored and read each on its own, their chunks once
+    extra columns, whatever their names: not read
+    a changed or lost chunk: reading raises an error; a changed or lost recipe or part of the manifest:
+        ``verify`` does
 """
 
 from __future__ import annotations
 
 import hashlib
-import struct
+import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .bpe import read_vocabulary
 from .common import Scratch, ship
-from .units import UnitEncoder
+from .units import Runs, UnitEncoder, as_runs
 
 END_ID = 2
 WINDOW, MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 16, 64, 8, 2048
 ADDRESS_BYTES = 20
 #: Pieces that a worker keeps in a generation of its cache (see units).
 CACHE_PIECES = 500_000
+#: How byte-level vocabularies write a space.
+SPACE = "\u0120"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of ``ids``: where the sum of WINDOW mixed ids has MEAN_BITS zero bits."""
-    n = len(ids)
-    if n <= MIN_CHUNK:
-        return [n]
+def cut_places(ids: np.ndarray) -> np.ndarray:
+    """Where the sum of the WINDOW mixed ids before has MEAN_BITS zero bits."""
+    if len(ids) < WINDOW:
+        return np.zeros(0, np.int64)
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * _MIX
     mixed ^= mixed >> np.uint64(29)
     mixed *= _MIX
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
     rolling = total[WINDOW:] - total[:-WINDOW]
-    at = np.flatnonzero((rolling >> np.uint64(64 - MEAN_BITS)) == 0) + WINDOW
-    ends, last = [], 0
-    for c in at.tolist():
+    return np.flatnonzero((rolling >> np.uint64(64 - MEAN_BITS)) == 0) + WINDOW
+
+
+def chunk_ends(places: list[int], start: int, end: int) -> list[int]:
+    """Ends of the chunks of the document at start..end, from its cut places.  A chunk has MIN_CHUNK ids or
+    more, so no window reaches into the document before."""
+    ends, last = [], start
+    for c in places:
         while c - last > MAX_CHUNK:
             last += MAX_CHUNK
             ends.append(last)
         if c - last >= MIN_CHUNK:
             ends.append(c)
             last = c
-    while n - last > MAX_CHUNK:
+    while end - last > MAX_CHUNK:
         last += MAX_CHUNK
         ends.append(last)
-    if last < n:
-        ends.append(n)
+    if last < end:
+        ends.append(end)
     return ends
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one document."""
+    return chunk_ends(cut_places(ids).tolist(), 0, len(ids))
+
+
 def address(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=ADDRESS_BYTES).digest()
 
@@ -123,11 +139,31 @@ def join_crc(first: int, second: int, second_bytes: int) -> int:
 
 
 _encoders: dict[str, UnitEncoder] = {}
+#: New pieces that the library gets as one text.
+_JOINED = 1 << 14
 
 
-def _encoder(spec: str) -> UnitEncoder:
-    import os
+def _library_units(tokenizer, starts: np.ndarray) -> Callable[[pa.Array], Runs]:
+    """Encodes pieces as one text, set apart by spaces, and cuts its ids where a token begins with a space:
+    a piece has no space of its own, so there is one such token a piece."""
+
+    def encode(pieces: pa.Array) -> Runs:
+        ids, size = [np.zeros(0, "<u4")], [np.zeros(0, np.int32)]
+        for k in range(0, len(pieces), _JOINED):
+            run = pieces.slice(k, _JOINED)
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(run)], pa.int32()), run), " ")[0].as_py()
+            got = np.array(tokenizer.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = np.flatnonzero(starts[got])
+            if len(at) != len(run):
+                raise ValueError("the vocabulary joins tokens across spaces")
+            ids.append(got)
+            size.append(np.diff(at, append=len(got)).astype(np.int32))
+        return np.concatenate(ids), np.concatenate(size)
+
+    return encode
 
+
+def _encoder(spec: str) -> UnitEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
@@ -136,18 +172,15 @@ def _encoder(spec: str) -> UnitEncoder:
         t = Tokenizer.from_str(spec)
         t.no_truncation()
         t.no_padding()
+        vocabulary = t.get_vocab()
+        starts = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        starts[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
+        special = tuple(x.content for x in t.get_added_tokens_decoder().values())
 
-        def pack(e) -> bytes:
-            ids = e.ids
-            return struct.pack(f"<{len(ids)}I", *ids)
+        def whole(texts: list[str]) -> Runs:
+            return as_runs([np.array(e.ids, dtype="<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)])
 
-        special = tuple(x.content for x in t.get_added_tokens_decoder().values())
-        _encoders[key] = UnitEncoder(
-            lambda words: [pack(e) for e in t.encode_batch_fast(words, add_special_tokens=False)] if words else [],
-            lambda text: pack(t.encode_batch_fast([text], add_special_tokens=False)[0]),
-            special,
-            CACHE_PIECES,
-        )
+        _encoders[key] = UnitEncoder(_library_units(t, starts), whole, special, CACHE_PIECES)
     return _encoders[key]
 
 
@@ -165,30 +198,35 @@ def write(docs: DataFrame, vocabulary: str, path: str, scratch: Scratch, id_col:
     ship(spark)
     text_of = read_vocabulary(vocabulary)
     spec, width = spark.sparkContext.broadcast(text_of), _id_width(text_of)
-    end = np.array([END_ID], dtype="<u4").tobytes()
-    binaries = pa.list_(pa.binary())
+    size, binaries = int(width[-1]), pa.list_(pa.binary())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = _encoder(spec.value), set()
         for batch in batches:
             n, addresses, fresh, data = [], [], [], []
-            for raw in encoder.encode([t or "" for t in batch.column(1).to_pylist()]):
-                ids = np.frombuffer(raw + end, dtype="<u4")
-                stored, last, own, new, new_data = ids.astype(width).tobytes(), 0, [], [], []
-                size = int(width[-1])
-                for c in cuts(ids):
-                    chunk = stored[size * last : size * c]
-                    a = address(chunk)
-                    own.append(a)
-                    if a not in seen:
-                        seen.add(a)
-                        new.append(a)
-                        new_data.append(chunk)
-                    last = c
-                n.append(len(ids))
-                addresses.append(own)
-                fresh.append(new)
-                data.append(new_data)
+            for ids, ends in encoder.encode(batch.column(1)):
+                ids = np.insert(ids, ends, END_ID)
+                ends = ends.astype(np.int64) + np.arange(1, len(ends) + 1)
+                places = cut_places(ids)
+                upto = np.searchsorted(places, ends, side="right").tolist()
+                places, stored = places.tolist(), ids.astype(width).tobytes()
+                start = first = 0
+                for end, k in zip(ends.tolist(), upto, strict=True):
+                    last, own, new, new_data = start, [], [], []
+                    for c in chunk_ends(places[first:k], start, end):
+                        chunk = stored[size * last : size * c]
+                        a = address(chunk)
+                        own.append(a)
+                        if a not in seen:
+                            seen.add(a)
+                            new.append(a)
+                            new_data.append(chunk)
+                        last = c
+                    n.append(end - start)
+                    addresses.append(own)
+                    fresh.append(new)
+                    data.append(new_data)
+                    start, first = end, k
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(addresses, binaries), pa.array(fresh, binaries), pa.array(data, binaries)],
                 names=["doc_id", "n_tokens", "addresses", "fresh", "data"],
@@ -232,7 +270,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, scratch: Scratch, id_col:
         .mapInArrow(in_order, "part int, row long, doc_id long, n_tokens long, addresses array<binary>, start_in_part long")
     )
     recipes.write.parquet(f"{path}/recipes")
-    _roots(_recipes(spark, path)).write.parquet(f"{path}/manifest")
+    _write_manifest(spark, path)
     scratch.drop(staged)
 
 
@@ -240,36 +278,71 @@ def _recipes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("part int, row long, doc_id long, n_tokens long, addresses array<binary>, start_in_part long").parquet(f"{path}/recipes")
 
 
-def _roots(recipes: DataFrame) -> DataFrame:
-    """(part, n_docs, n_tokens, root), one row per part: leaves are hashed where they lie, and only
-    digests are brought together, a bounded run of rows at a time."""
-    run = 1024
+#: Nodes below a node of the Merkle trees as they are folded here.
+_FAN_IN = 1024
 
-    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            digest = [hashlib.sha256(leaf(d, n, a)).digest() for _, _, d, n, a in zip(*cols, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(digest, pa.binary())], names=["part", "row", "n", "leaf"])
+
+def _fold(level: DataFrame, most: int) -> DataFrame:
+    """(part, n_docs, n, leaf) of ``level`` (part, row, n_docs, n, leaf): one root a part, by runs of _FAN_IN
+    rows; ``most`` is the highest row number."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             roots = [merkle_root(x) for x in batch.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(roots, pa.binary())], names=["part", "row", "n_docs", "n", "leaf"])
 
-    level = recipes.select("part", "row", "doc_id", "n_tokens", "addresses").mapInArrow(leaves, "part int, row long, n long, leaf binary").withColumn("n_docs", F.lit(1).cast("long"))
-    for _ in range(3):  # up to run ** 3 documents in a part
-        lists = level.groupBy("part", F.floor(F.col("row") / run).cast("long").alias("row")).agg(
+    while True:
+        lists = level.groupBy("part", F.floor(F.col("row") / _FAN_IN).cast("long").alias("row")).agg(
             F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("row", "leaf"))).alias("l")
         )
         level = lists.select("part", "row", "n_docs", "n", F.expr("transform(l, x -> x.leaf)").alias("leaf")).mapInArrow(fold, "part int, row long, n_docs long, n long, leaf binary")
-    return level.select("part", "n_docs", F.col("n").alias("n_tokens"), F.col("leaf").alias("root"))
+        most //= _FAN_IN
+        if not most:
+            return level.drop("row")
+
+
+def _roots(recipes: DataFrame) -> DataFrame:
+    """(part, n_docs, n_tokens, root), one row per part: leaves are hashed where they lie, and only
+    digests are brought together."""
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [c.to_pylist() for c in batch.columns]
+            digest = [hashlib.sha256(leaf(d, n, a)).digest() for _, _, d, n, a in zip(*cols, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(digest, pa.binary())], names=["part", "row", "n", "leaf"])
+
+    level = recipes.select("part", "row", "doc_id", "n_tokens", "addresses").mapInArrow(leaves, "part int, row long, n long, leaf binary").withColumn("n_docs", F.lit(1).cast("long"))
+    most = recipes.agg(F.max("row")).first()[0] or 0
+    return _fold(level, most).select("part", "n_docs", F.col("n").alias("n_tokens"), F.col("leaf").alias("root"))
+
+
+def _store_root(manifest: DataFrame) -> DataFrame:
+    """One row (n_docs, n_tokens, root): the Merkle root over the parts' roots; none for an empty store."""
+    level = manifest.select(F.lit(0).alias("part"), F.col("part").cast("long").alias("row"), "n_docs", F.col("n_tokens").alias("n"), F.col("root").alias("leaf"))
+    most = manifest.agg(F.max("part")).first()[0] or 0
+    return _fold(level, most).select("n_docs", F.col("n").alias("n_tokens"), F.col("leaf").alias("root"))
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("part int, n_docs long, n_tokens long, root binary").parquet(f"{path}/manifest")
+
+
+def _write_manifest(spark: SparkSession, path: str) -> None:
+    _roots(_recipes(spark, path)).write.parquet(f"{path}/manifest")
+    _store_root(_manifest(spark, path)).write.parquet(f"{path}/root")
 
 
 def verify(spark: SparkSession, path: str) -> None:
-    """Raise an error unless every part's recipes give its Merkle root in the manifest."""
-    wrong = _roots(_recipes(spark, path)).join(spark.read.parquet(f"{path}/manifest"), ["part", "n_docs", "n_tokens", "root"], "left_anti")
-    if wrong.limit(1).count():
+    """Raise an error unless the recipes give just the parts and Merkle roots of the manifest, and the manifest
+    the store's root.  A part that either side lacks is an error too."""
+    manifest, same = _manifest(spark, path), ["part", "n_docs", "n_tokens", "root"]
+    found = _roots(_recipes(spark, path)).select(*same, F.lit(True).alias("found"))
+    sides = manifest.select(*same, F.lit(True).alias("listed")).join(found, same, "full_outer")
+    if not sides.where("found IS NULL OR listed IS NULL").isEmpty():
         raise ValueError(f"the recipes of {path} do not agree with its manifest")
+    stated = spark.read.schema("n_docs long, n_tokens long, root binary").parquet(f"{path}/root").collect()
+    if _store_root(manifest).collect() != stated:
+        raise ValueError(f"the manifest of {path} does not agree with its root")
 
 
 def read_sums(spark: SparkSession, path: str, width: str) -> DataFrame:
@@ -308,10 +381,10 @@ def read_sums(spark: SparkSession, path: str, width: str) -> DataFrame:
 
     found = lists.selectExpr("part", "row", "transform(l, x -> x.n) AS ns", "transform(l, x -> x.crc) AS cs").mapInArrow(combine, "p int, r long, n long, crc long")
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    parts = spark.read.parquet(f"{path}/manifest").select(F.col("part").alias("m"), F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("offset"))  # one row per part
+    parts = _manifest(spark, path).select(F.col("part").alias("m"), F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("offset"))
     return (
         recipes.select("part", "row", "doc_id", "start_in_part").join(found, (F.col("part") == F.col("p")) & (F.col("row") == F.col("r")))
-        .join(F.broadcast(parts), F.col("part") == F.col("m"))  # a row for each file of recipes
+        .join(F.broadcast(parts), F.col("part") == F.col("m"))  # as many rows as write() had partitions
         .select("doc_id", (F.col("offset") + F.col("start_in_part")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
     )
 

@@ -9,21 +9,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import text as T
+from ..functions import axes as A, packs as P, text as T
 from .graph import connected_components
 
 #: Listings of one key in a block of a long posting list.
 BLOCK = 600
 
 
+# --- fixed values
+GENERIC_BUR_WORDS = [
+    "bur", "box", "carbide", "coarse", "diamond", "diameter", "end", "fg", "fine", "friction", "grit", "grip", "head", "length", "medium", "mm",
+    "pack", "pk", "round", "shape", "single", "sterile", "super", "taper", "use",
+]
+GENERIC_BUR_CODE = r"^(?:\d{3,4}|[A-Z]\d{3}|[A-Z]{1,2}\d{3,4})\d{3}(?:F|M|C|SC|UF)?$"
+BUR_GEOMETRY_CODE = r"^\d{6}[A-Z]{0,2}$"
+LINE_CODE, LINE_WORDS = r"^DOC[PSW]\d{2,}", (["opticide3"], ["opti", "cide", "3"])
+
+
 def features(listings: DataFrame) -> DataFrame:
     """ER02: the normalised fields that pairs are scored on."""
+    supplier = F.col("supplier_id").cast("string")
     out = listings.withColumn("code", T.normalize_sku("sku")).withColumn("strength", T.sku_strength(F.col("code")))
-    out = out.withColumn("core", T.sku_model_core("sku")).withColumn("brand_words", T.brand_tokens("brand"))
-    out = out.withColumn("words", T.tokenize_name("name")).withColumn("core_words", T.core_tokens(F.col("words")))
-    return out.withColumn("name_codes", T.sku_like_tokens("name")).withColumn("grams", T.trigrams(F.array_join("words", " "))).withColumn("pack", T.parse_pack_quantity("pack_size", "name"))
+    out = out.withColumn("core", F.when(supplier.isin(T.PREFIX_CODED_SUPPLIERS), T.sku_model_core("sku")).otherwise(""))
+    out = out.withColumn("brand_words", T.brand_tokens("brand", supplier)).withColumn("words", T.tokenize_name("name")).withColumn("name_codes", T.sku_like_tokens("name"))
+    out = out.withColumn("core_words", T.core_tokens(F.col("words"), F.col("brand_words"), F.col("name_codes"))).withColumn("grams", T.trigrams(F.array_join("words", " ")))
+    found = A.axis_values(F.col("name"), F.col("code"), F.col("sku"), F.col("brand"))
+    # a prefixed listing's own model sets it apart from its supplier's others
+    model = F.when(F.col("core") != "", F.map_from_arrays(F.array(F.lit("model")), F.array(F.array("core")))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<string>>")))
+    out = out.withColumn("axes", F.map_concat(found, model)).withColumn("stated", P.parse_pack_quantity(F.col("pack_size"), F.col("name")))
+    # a number that is a code of the name is no pack
+    out = out.withColumn("pack", F.when((F.col("stated") <= T.MAX_PACK) & ~F.array_contains("name_codes", F.col("stated").cast("string")), F.col("stated"))).drop("stated")
+    return out.withColumn("loose", T.bare_numbers(F.col("words"), F.col("pack"), F.flatten(F.map_values("axes"))))
 
 
 def blocking_index(feats: DataFrame) -> DataFrame:
@@ -45,51 +63,121 @@ def candidate_pairs(index: DataFrame, block: int = BLOCK) -> DataFrame:
     return left.join(right, ["key", "i", "j"]).where("left_id < right_id").select("left_id", "right_id").distinct()
 
 
+def _code_evidence(a: Callable, b: Callable, brand: Column) -> Column:
+    """(score, code) of what two listings' codes say: the same code, a shared model behind a prefix, one's
+    code in the other's name, or a code in both names."""
+    made = lambda score, code: F.struct(score.cast("double").alias("score"), code.alias("code"))
+    core = F.when((a("core") != "") & ((a("core") == b("code")) | (a("core") == b("core"))), a("core")).when((b("core") != "") & (b("core") == a("code")), b("core"))
+    bur = F.array_contains(a("words"), "bur") | F.array_contains(a("words"), "diamond") | F.array_contains(b("words"), "bur") | F.array_contains(b("words"), "diamond")
+    shape = lambda code: bur & code.rlike(BUR_GEOMETRY_CODE)
+    a_in_b = (F.length(a("code")) >= 5) & F.array_contains(b("name_codes"), a("code"))
+    b_in_a = (F.length(b("code")) >= 5) & F.array_contains(a("name_codes"), b("code"))
+    named, strength = F.when(a_in_b, a("code")).when(b_in_a, b("code")), F.when(a_in_b, a("strength")).otherwise(b("strength"))
+    both = F.get(F.filter(F.array_intersect(a("name_codes"), b("name_codes")), lambda c: F.length(c) >= 6), 0)
+    return (
+        F.when((a("code") != "") & (a("code") == b("code")), made(F.least(a("strength"), b("strength")), a("code")))
+        .when(core.isNotNull() & (brand == "match"), made(T.sku_strength(core), core))
+        .when(named.isNotNull(), made(F.when(shape(named), 0.3).otherwise(F.least(F.lit(0.9), strength * 0.95)), named))
+        .when(both.isNotNull(), made(F.when(shape(both), 0.3).otherwise(F.lit(0.55)), both))
+        .otherwise(made(F.lit(0.0), F.lit("")))
+    )
+
+
 def score_pairs(pairs: DataFrame, feats: DataFrame) -> DataFrame:
-    """ER05: (left_id, right_id, status, confidence) of every candidate pair."""
-    cols = [c for c in feats.columns if c != "listing_id"]
+    """ER05, ER06: (left_id, right_id, status, confidence, name_sim) of every candidate pair."""
+    cols = ["code", "strength", "core", "brand_words", "words", "name_codes", "grams", "pack", "axes", "loose"]
     side = lambda s: feats.select(F.col("listing_id").alias(f"{s}_id"), F.struct(*cols).alias(s))
     p = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
     a, b = (lambda c: F.col(f"left.{c}")), (lambda c: F.col(f"right.{c}"))
-    brand = T.brands_agree(a("brand_words"), b("brand_words"))
-    same_code = (a("code") != "") & (a("code") == b("code"))
-    shared_core = F.when((a("core") != "") & ((a("core") == b("code")) | (a("core") == b("core"))), a("core")).when((b("core") != "") & (b("core") == a("code")), b("core"))
-    in_name = ((F.length(a("code")) >= 5) & F.array_contains(b("name_codes"), a("code"))) | ((F.length(b("code")) >= 5) & F.array_contains(a("name_codes"), b("code")))
-    named = F.when(F.array_contains(b("name_codes"), a("code")), a("strength")).otherwise(b("strength"))
-    both_named = F.size(F.filter(F.array_intersect(a("name_codes"), b("name_codes")), lambda c: F.length(c) >= 6)) > 0
-    p = p.withColumn("brand_rel", brand)
-    sku = (
-        F.when(same_code, F.least(a("strength"), b("strength"))).when(shared_core.isNotNull() & (F.col("brand_rel") == "match"), T.sku_strength(shared_core))
-        .when(in_name, F.least(F.lit(0.9), named * 0.95)).when(both_named, 0.55).otherwise(0.0)
-    )
-    like = 0.45 * T.jaccard(a("core_words"), b("core_words")) + 0.55 * T.dice(a("grams"), b("grams")) + F.when(F.col("brand_rel") == "match", 0.05).otherwise(0.0)
-    p = p.withColumn("sku", sku).withColumn("n", F.greatest(F.lit(0.0), F.least(F.lit(1.0), like))).withColumn("packs", F.when(a("pack").isNotNull() & b("pack").isNotNull() & (a("pack") != b("pack")), "differs").otherwise("same"))
-    s, n, rel = F.col("sku"), F.col("n"), F.col("brand_rel")
+    p = p.withColumn("brand", T.brands_agree(a("brand_words"), b("brand_words")))
+    p = p.withColumn("sku", _code_evidence(a, b, F.col("brand")))
+    code, s = F.col("sku.code"), F.col("sku.score")
+
+    line = lambda x: F.lit(False) | F.arrays_overlap(x("words"), F.array(*map(F.lit, LINE_WORDS[0]))) | (F.size(F.array_except(F.array(*map(F.lit, LINE_WORDS[1])), x("words"))) == 0)
+    one_line = (a("code") == b("code")) & code.rlike(LINE_CODE) & line(a) & line(b)
+    p = p.withColumn("rel", F.when(one_line, "match").otherwise(F.col("brand"))).withColumn("loosely", A.bare_conflict(a("loose"), b("loose")))
+    rel, loosely = F.col("rel"), F.col("loosely")
+    like = 0.45 * T.jaccard(F.array_distinct(a("words")), F.array_distinct(b("words"))) + 0.55 * T.dice(a("grams"), b("grams")) + F.least(A.axis_agreements(a("axes"), b("axes")) * 0.05, F.lit(0.15))
+    like = like + F.when(rel == "match", 0.05).otherwise(0.0) - F.when(loosely, 0.1).otherwise(0.0)
+    p = p.withColumn("n", F.greatest(F.lit(0.0), F.least(F.lit(1.0), like)))
+    n = F.col("n")
+
+    special = lambda x: F.filter(x("words"), lambda w: w.rlike("^[a-z]{3,}$") & ~w.isin(GENERIC_BUR_WORDS))
+    only_shape = (s >= 0.55) & code.rlike(GENERIC_BUR_CODE) & (rel != "match") & ~F.arrays_overlap(special(a), special(b))
+    apart = (F.size(a("name_codes")) > 0) & (F.size(b("name_codes")) > 0) & ~F.arrays_overlap(a("name_codes"), b("name_codes"))
     decide = lambda yes, maybe: F.when(yes, "accept").when(maybe, "review").otherwise("reject")
+    never = F.lit(False)
     verdict = (
-        F.when((s >= 0.55) & (rel == "conflict"), decide(F.lit(False), n >= 0.5)).when(s >= 0.55, decide(n >= 0.45, n >= 0.25))
+        F.when(A.axes_conflict(a("axes"), b("axes")), "reject").when(only_shape, decide(never, n >= 0.5))
+        .when((s >= 0.55) & (rel == "conflict"), decide(never, n >= 0.5)).when(s >= 0.55, decide(n >= 0.45, n >= 0.25))
         .when(s >= 0.3, decide((n >= 0.6) & (rel != "conflict"), n >= 0.45)).when(s > 0, decide((n >= 0.8) & (rel == "match"), n >= 0.7))
-        .when(rel == "match", decide((n >= 0.92) & ((a("code") == "") | (b("code") == "")), n >= 0.8)).otherwise("reject")
+        .when((rel == "match") & ~loosely, decide((n >= 0.92) & ~apart, n >= 0.8)).otherwise("reject")
     )
+    differs = T.pack_relation("left.pack", "right.pack") == "differs"
     p = p.withColumn("verdict", verdict)
-    status = F.when(F.col("verdict") == "accept", F.when(F.col("packs") == "differs", "variant").otherwise("exact")).when(F.col("verdict") == "review", "needs_review").otherwise("reject")
-    base = F.when(F.col("packs") == "differs", 70).otherwise(75)
-    confidence = F.when(F.col("verdict") == "accept", F.least(F.lit(99), F.floor(base + 12.5 * (s + n) + 0.5))).when(F.col("verdict") == "review", F.floor(40 + 20 * n + 0.5)).otherwise(0)
-    return p.select("left_id", "right_id", status.alias("status"), confidence.cast("int").alias("confidence"))
+    taken, open_ = F.col("verdict") == "accept", F.col("verdict") == "review"
+    status = F.when(taken, F.when(differs, "variant").otherwise("exact")).when(open_, "needs_review").otherwise("reject")
+    confidence = F.when(taken, F.least(F.lit(99), F.floor(F.when(differs, 70).otherwise(75) + 12.5 * (s + n) + 0.5))).when(open_, F.floor(40 + 20 * n + 0.5)).otherwise(0)
+    return p.select("left_id", "right_id", status.alias("status"), confidence.cast("int").alias("confidence"), F.round("n", 9).alias("name_sim"))
+
+
+def _bounds(feats: DataFrame) -> DataFrame:
+    """(id, bounds): what keeps listings apart: axis values, the pack, and the supplier's own code."""
+    own = F.map_from_entries(F.filter(F.array(
+        F.struct(F.lit("pack").alias("k"), F.array(F.col("pack").cast("string")).alias("v")),
+        F.struct(F.concat(F.lit("code of "), F.col("supplier_id").cast("string")).alias("k"), F.array(F.nullif("code", F.lit(""))).alias("v")),
+    ), lambda e: F.get(e["v"], 0).isNotNull() & e["k"].isNotNull()))
+    return feats.select(F.col("listing_id").alias("id"), F.map_concat("axes", own).alias("bounds"), F.struct(F.map_entries("axes").alias("axes"), "pack", "code").alias("alike"))
+
+
+_SHARED = "array_intersect(map_keys(x), map_keys(y))"
+_APART = f"exists({_SHARED}, k -> NOT arrays_overlap(x[k], y[k]))"
+_MET = f"""map_concat(map_from_entries(transform({_SHARED}, k -> struct(k, array_intersect(x[k], y[k])))),
+  map_filter(x, (k, v) -> NOT map_contains_key(y, k)), map_filter(y, (k, v) -> NOT map_contains_key(x, k)))"""
 
 
 def clusters(scored: DataFrame, feats: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """ER07, ER08: (listing_id, cluster).  Edges join listings of equal or unknown pack only, so a listing
-    without one does not weld two packs: it goes with the least of its compatible neighbours."""
-    edges = scored.where("status IN ('exact', 'variant')").select(F.col("left_id").alias("u"), F.col("right_id").alias("v"))
-    packs = feats.select(F.col("listing_id").alias("k"), F.coalesce(F.col("pack").cast("string"), F.lit("")).alias("pack"))
-    e = edges.join(packs.withColumnsRenamed({"k": "u", "pack": "pu"}), "u").join(packs.withColumnsRenamed({"k": "v", "pack": "pv"}), "v")
-    firm = e.where("pu = pv").select("u", "v")
-    loose = e.where("(pu = '') <> (pv = '')").select(F.when(F.col("pu") == "", F.col("u")).otherwise(F.col("v")).alias("u"), F.when(F.col("pu") == "", F.col("v")).otherwise(F.col("u")).alias("v"))
-    one = loose.groupBy("u").agg(F.min("v").alias("v"))
-    attached = one.join(firm.select("u").unionByName(firm.select(F.col("v").alias("u"))).distinct(), "u", "left_anti")
-    labels = connected_components(firm.unionByName(attached), save)
-    return feats.select("listing_id").join(labels, F.col("listing_id") == F.col("vertex"), "left").select("listing_id", F.coalesce("label", "listing_id").alias("cluster"))
+    """ER07, ER08: (listing_id, cluster).
+
+    Clusters grow over accepted pairs.  All members of a cluster have a value in common on every bound that more
+    than one states (an axis, the pack, their supplier's code), so none holds two sizes, and a listing without a
+    size goes with one of its neighbours.  Listings that agree in all bounds and the code are joined at once.
+    Then, in rounds, each cluster names its best open pair (confidence, likeness, then a hash), and pairs that
+    both ends name are merged; pairs whose ends have come apart are dropped.  The best pair of all is always
+    merged, so the rounds end when no pair is open.
+    """
+    bounds = save(_bounds(feats))
+    pairs = scored.where("status IN ('exact', 'variant')").select("left_id", "right_id", F.struct("confidence", "name_sim").alias("w"))
+    alike = pairs.join(bounds.select(F.col("id").alias("left_id"), F.col("alike").alias("a")), "left_id").join(bounds.select(F.col("id").alias("right_id"), F.col("alike").alias("b")), "right_id")
+    labels = connected_components(alike.where("a = b").select(F.col("left_id").alias("u"), F.col("right_id").alias("v")), save)
+    of = save(bounds.select("id").join(labels, F.col("id") == F.col("vertex"), "left").select("id", F.coalesce("label", "id").alias("cluster")))
+    # equal but for the supplier's key, of which members share the code
+    nodes = of.join(bounds.select("id", F.explode("bounds").alias("k", "v")), "id").groupBy("cluster", "k").agg(F.min("v").alias("v"))
+    nodes = nodes.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("bounds"))
+    none = "map_from_arrays(cast(array() AS array<string>), cast(array() AS array<array<string>>))"
+    nodes = save(of.select("cluster").distinct().join(nodes, "cluster", "left").select("cluster", F.coalesce("bounds", F.expr(none)).alias("bounds")))
+    l, r = of.withColumnsRenamed({"id": "left_id", "cluster": "u"}), of.withColumnsRenamed({"id": "right_id", "cluster": "v"})
+    links = pairs.join(l, "left_id").join(r, "right_id").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w")
+    turn = 0
+    while True:
+        turn += 1
+        links = links.groupBy("u", "v").agg(F.max("w").alias("w"))
+        met = links.join(nodes.select(F.col("cluster").alias("u"), F.col("bounds").alias("x")), "u").join(nodes.select(F.col("cluster").alias("v"), F.col("bounds").alias("y")), "v")
+        links = save(met.where(f"NOT {_APART}").select("u", "v", "w"))
+        if links.isEmpty():
+            break
+        rank = F.struct("w", F.xxhash64("u", "v", F.lit(turn)).alias("h"), "u", "v")
+        both = links.select(F.col("u").alias("end"), rank.alias("r")).unionByName(links.select(F.col("v").alias("end"), rank.alias("r")))
+        named = both.groupBy("end").agg(F.max("r").alias("r")).groupBy("r.u", "r.v").agg(F.count(F.lit(1)).alias("n"))
+        merged = save(named.where("n = 2").select(F.col("u").alias("into"), F.col("v").alias("gone")))
+        moved = lambda df, c: df.join(merged, F.col(c) == F.col("gone"), "left").withColumn(c, F.coalesce("into", c)).drop("into", "gone")
+        sides = nodes.join(merged, F.col("cluster") == F.col("gone")).select(F.col("into").alias("cluster"), F.col("bounds").alias("y"))
+        grown = nodes.join(sides, "cluster").select("cluster", F.expr(_MET.replace("(x", "(bounds").replace("x[k]", "bounds[k]").replace("map_keys(x)", "map_keys(bounds)")).alias("bounds"))
+        same = nodes.join(merged.select(F.explode(F.array("into", "gone")).alias("cluster")), "cluster", "left_anti")
+        nodes, of = save(same.unionByName(grown)), save(moved(of, "cluster"))
+        links = moved(moved(links, "u"), "v").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w")
+    least = of.groupBy("cluster").agg(F.min("id").alias("least"))
+    return of.join(least, "cluster").select(F.col("id").alias("listing_id"), F.col("least").alias("cluster"))
 
 
 def representatives(members: DataFrame, feats: DataFrame) -> DataFrame:
@@ -102,15 +190,41 @@ def representatives(members: DataFrame, feats: DataFrame) -> DataFrame:
 
 
 def canonical_ids(members: DataFrame, feats: DataFrame) -> DataFrame:
-    """ER10, ER11: (cluster, canonical_id): a digest of what the cluster is, whatever its order or neighbours;
-    equal digests are numbered by least member."""
-    f = members.join(feats.select("listing_id", F.array_join("brand_words", " ").alias("brand"), F.col("code"), F.coalesce(F.col("pack").cast("string"), F.lit("")).alias("pack"), F.array_join(F.array_sort("core_words"), " ").alias("model")), "listing_id")
-    key = f.groupBy("cluster").agg(F.concat_ws("|", F.min("brand"), F.min("code"), F.min("pack"), F.min("model")).alias("content"), F.min("listing_id").alias("first"))
+    """ER10, ER11: (cluster, canonical_id): a digest of what the cluster is (brand, model, pack, variant), whatever
+    its order or neighbours; equal digests are numbered by least member."""
+    text = lambda c: F.array_join(F.array_sort(c), " ")
+    variant = F.array_join(F.transform(F.array_sort(F.map_entries("axes")), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ","))), ";")
+    own = feats.select("listing_id", text("brand_words").alias("brand"), "code", F.coalesce(F.col("pack").cast("string"), F.lit("")).alias("pack"), text("core_words").alias("model"), variant.alias("variant"))
+    key = members.join(own, "listing_id").groupBy("cluster").agg(F.concat_ws("|", F.min("brand"), F.min("code"), F.min("pack"), F.min("model"), F.min("variant")).alias("content"), F.min("listing_id").alias("first"))
     digest = key.withColumn("d", F.substring(F.sha1("content"), 1, 12))
     n = F.row_number().over(W.partitionBy("d").orderBy("content", "first"))
     return digest.withColumn("n", n).select("cluster", F.concat(F.lit("mcp_auto_"), "d", F.when(F.col("n") > 1, F.concat(F.lit("_"), "n")).otherwise("")).alias("canonical_id"))
 
 
+def families(members: DataFrame, feats: DataFrame) -> DataFrame:
+    """ER12, ER13, ER15: (cluster, family, axis, value, label, rank) of clusters that are variants of one product:
+    equal brand and core words but for those that say the axis, two members and two labels or more.  An axis of a
+    cluster counts where all members that state it agree on one value."""
+    axes = members.join(feats.select("listing_id", F.explode("axes").alias("axis", "v")), "listing_id")
+    agreed = axes.groupBy("cluster", "axis").agg(F.array_distinct(F.flatten(F.collect_set("v"))).alias("v")).where("size(v) = 1").select("cluster", "axis", F.get("v", 0).alias("value"))
+    shown = None
+    for a, x in A.SELECTORS.items():
+        f = F.struct(F.lit(x.priority).alias("priority"), F.lit(a).alias("axis"), A.format_variant(a, F.col("value")).alias("f"), F.col("value").alias("value"))
+        shown = F.when(F.col("axis") == a, f) if shown is None else shown.when(F.col("axis") == a, f)
+    best = agreed.withColumn("s", shown).where("s IS NOT NULL").groupBy("cluster").agg(F.min("s").alias("s"))
+    first = members.groupBy("cluster").agg(F.min("listing_id").alias("listing_id"))
+    words = first.join(feats.select("listing_id", "brand_words", "core_words"), "listing_id").join(best, "cluster")
+    kept = None
+    for a, _ in A.SELECTORS.items():
+        k = F.filter("core_words", lambda w, a=a: ~A.is_strip_token(w, a))
+        kept = F.when(F.col("s.axis") == a, k) if kept is None else kept.when(F.col("s.axis") == a, k)
+    keyed = words.withColumn("model", F.array_sort(kept)).where("size(brand_words) > 0 OR size(model) >= 3")
+    key = F.sha1(F.concat_ws("|", F.array_join("brand_words", " "), F.array_join("model", " "), "s.axis"))
+    rows = keyed.select("cluster", key.alias("family"), "s.axis", "s.value", "s.f.label", "s.f.rank")
+    good = rows.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("labels")).where("n >= 2 AND labels >= 2")
+    return rows.join(good.select("family"), "family", "left_semi")
+
+
 def discover_axes(feats: DataFrame) -> DataFrame:
     """ER18: words whose removal makes names of one brand equal: the values of an axis not yet modelled."""
     left_out = feats.select("listing_id", F.array_join("brand_words", " ").alias("brand"), F.explode("core_words").alias("value"), "core_words")

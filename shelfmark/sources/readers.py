@@ -11,11 +11,11 @@ from ..functions import text as T
 
 #: Header aliases of invoice columns.
 INVOICE_ALIASES = {
-    "description": ["description", "item", "item description", "product", "name", "product name"],
-    "sku": ["sku", "item #", "item number", "product code", "catalog", "catalog #", "code"],
-    "qty": ["qty", "quantity", "qty shipped", "units"],
-    "unit": ["unit", "uom", "unit of measure"],
-    "price": ["price", "unit price", "price each", "unit cost", "cost"],
+    "description": ["description", "item", "product", "name", "details"],
+    "sku": ["sku", "item #", "item#", "item number", "catalog", "catalog #", "part", "part #", "mfg #"],
+    "qty": ["qty", "quantity", "qty ordered", "ordered", "count"],
+    "unit": ["unit", "uom", "unit of measure", "pack"],
+    "price": ["unit price", "price", "unit cost", "cost", "each", "price ea"],
 }
 
 
