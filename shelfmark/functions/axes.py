@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-from .text import strip_diacritics
+from .text import plain_sql, strip_diacritics
 
 # --- fixed values: words and patterns of the axes
 COLORS = "black blue brown clear gold gray green grey orange pink purple red silver teal white yellow".split()
@@ -138,47 +138,44 @@ def _all(c: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
-def _values(a: At, fields: dict[str, Column]) -> Column:
-    """The array of values that one row of AXES finds."""
-    text, none = fields[a.field], F.array().cast("array<string>")
+def _literal(pattern: str) -> str:
+    return f"r'{pattern}'" if "'" not in pattern else f'r"{pattern}"'
+
+
+def _values(a: At) -> str:
+    """The array of values that one row of AXES finds in the fields of f."""
+    text, find, none = f"f.{a.field}", _literal(a.find), "cast(array() AS array<string>)"
     if "{" not in a.shape:
-        out = F.when(text.rlike(a.find), F.array(F.lit(a.shape))).otherwise(none)
+        out = f"if(regexp({text}, {find}), array('{a.shape}'), {none})"
     elif "{2}" in a.shape:
         before, between = a.shape.split("{1}")
         middle = between.split("{2}")[0]
-        out = F.zip_with(_all(text, a.find, 1), _all(text, a.find, 2), lambda x, y: F.concat(F.lit(before), x, F.lit(middle), y))
+        out = f"zip_with(regexp_extract_all({text}, {find}, 1), regexp_extract_all({text}, {find}, 2), (x, y) -> concat('{before}', x, '{middle}', y))"
     else:
         before, after = a.shape.split("{1}")
-        out = F.filter(_all(text, a.find, 1), lambda v: v != "")
+        out = f"filter(regexp_extract_all({text}, {find}, 1), v -> v <> '')"
         if before or after:
-            out = F.transform(out, lambda v: F.concat(F.lit(before), v, F.lit(after)))
+            out = f"transform({out}, v -> concat('{before}', v, '{after}'))"
     if a.last:
-        out = F.slice(out, F.greatest(F.size(out), F.lit(1)), 1)
-    fits = F.lit(True)
-    for w in a.where:
-        fits = fits & fields["named"].rlike(w)
-    if a.unless:
-        fits = fits & ~fields["named"].rlike(a.unless)
-    return F.when(fits, out).otherwise(none) if a.where or a.unless else out
-
-
-def axis_values(name, code=None, raw_code=None, brand=None) -> Column:
-    """Map of axis to its sorted distinct values, axes without a value left out.  ``code`` is the normalised
-    code of the maker, ``raw_code`` the code as it stands."""
-    empty = F.lit("")
-    low = F.lower(strip_diacritics(name))
-    fields = {
-        "low": low, "code": code if code is not None else empty,
-        "coded": F.concat_ws(" ", raw_code if raw_code is not None else empty, low),
-        "named": F.concat_ws(" ", low, F.lower(brand)) if brand is not None else low,
-    }
-    rows: dict[str, list[Column]] = {}
+        out = f"slice({out}, -1, 1)"
+    named = "f.named" if a.field == "code" else "f.low"
+    fits = [f"regexp({named}, {_literal(w)})" for w in a.where] + ([f"NOT regexp({named}, {_literal(a.unless)})"] if a.unless else [])
+    return f"if({' AND '.join(fits)}, {out}, {none})" if fits else out
+
+
+def axis_values(name: str, code: str = "''", raw_code: str = "''", brand: str = "''") -> Column:
+    """Map of axis to its sorted distinct values, axes without a value left out.  The arguments are SQL
+    expressions: ``code`` is the normalised code of the maker, ``raw_code`` the code as it stands.
+
+    One SQL text over the fields, which are computed once a row."""
+    low = f"lower({plain_sql(name)})"
+    fields = f"named_struct('low', {low}, 'code', {code}, 'coded', concat_ws(' ', {raw_code}, {low}), 'named', concat_ws(' ', {low}, lower({brand})))"
+    rows: dict[str, list[str]] = {}
     for a in AXES:
-        used = fields if a.field == "code" else fields | {"named": low}
-        rows.setdefault(a.axis, []).append(_values(a, used))
-    clean = lambda v: F.regexp_replace(v, r"^0+(\d)", "$1")
-    entries = [F.struct(F.lit(a).alias("k"), F.array_sort(F.array_distinct(F.transform(F.concat(*vs), clean))).alias("v")) for a, vs in rows.items()]
-    return F.map_from_entries(F.filter(F.array(*entries), lambda e: F.size(e["v"]) > 0))
+        rows.setdefault(a.axis, []).append(_values(a))
+    clean = r"v -> regexp_replace(v, r'^0+(\d)', '$1')"
+    entries = ", ".join(f"struct('{a}' AS k, array_sort(array_distinct(transform(concat({', '.join(vs)}), {clean}))) AS v)" for a, vs in rows.items())
+    return F.expr(f"transform(array({fields}), f -> map_from_entries(filter(array({entries}), e -> size(e.v) > 0)))[0]")
 
 
 def selector(values: Column) -> Column:

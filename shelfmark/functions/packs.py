@@ -7,6 +7,7 @@ numbers and which word it means.  The first rule of a list that fits gives the p
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
@@ -86,9 +87,10 @@ class Read:
         return F.when(good, quantity), (token(r.word) if r.word is not None else F.lit(None).cast("string"))
 
 
-def read(text: Column) -> Read:
-    tokens = _tokens(text)
-    return Read(tokens, F.array_join(F.transform(tokens, _sign), ""))
+def over(text: Column, make: Callable[[Read], Column]) -> Column:
+    """``make`` of the text's tokens and shape, which are found once a row however often they are used."""
+    bound = lambda tokens: F.get(F.transform(F.array(F.array_join(F.transform(tokens, _sign), "")), lambda shape: make(Read(tokens, shape))), 0)
+    return F.get(F.transform(F.array(_tokens(text)), bound), 0)
 
 
 #: How many units a listing has, for matching.
@@ -122,7 +124,8 @@ TRUST = {"pack_size": {"slash": 0.92, "of": 0.92, "product": 0.92, "unit": 0.85,
 
 def parse_pack_quantity(pack: Column, name: Column) -> Column:
     """units in a pack, from the pack text, else from the name; null when neither says."""
-    return F.coalesce(*[read(text).fit(r)[0] for text in (pack, name) for r in UNITS]).cast("int")
+    units = lambda read: F.coalesce(*[read.fit(r)[0] for r in UNITS])
+    return F.coalesce(over(pack, units), over(name, units)).cast("int")
 
 
 def basis_of(word: Column) -> Column:
@@ -132,18 +135,18 @@ def basis_of(word: Column) -> Column:
 
 def parse_pack(pack_size: Column, name: Column) -> Column:
     """Quantity, base unit, basis, confidence and source of a stored pack."""
-    texts = {"pack_size": read(pack_size), "name": read(name)}
-    options = []
-
-    def option(source: str, rule: Rule, trust: float) -> Column:
-        quantity, word = texts[source].fit(rule)
-        unit = F.lit("each")
-        if rule.kind == "measure":
-            unit = F.coalesce(F.create_map(*[F.lit(x) for kv in MEASURE_NAMES.items() for x in kv])[word], word)
-        made = F.struct(quantity.cast("decimal(12,3)").alias("pack_quantity"), unit.alias("base_unit"), (F.lit(rule.basis) if rule.basis else basis_of(word)).alias("basis"), F.lit(trust).alias("confidence"), F.lit(source).alias("source"))
-        return F.when(quantity.isNotNull(), made)
-
-    options += [option("pack_size", NESTED, 0.92), option("name", NESTED, 0.8)]
-    for source, trust in TRUST.items():
-        options += [option(source, r, trust.get(r.kind, trust[None])) for r in STORED if source == "pack_size" or r.kind != "product"]
-    return F.coalesce(*options)
+    def options(texts: dict[str, Read]) -> Column:
+        def option(source: str, rule: Rule, trust: float) -> Column:
+            quantity, word = texts[source].fit(rule)
+            unit = F.lit("each")
+            if rule.kind == "measure":
+                unit = F.coalesce(F.create_map(*[F.lit(x) for kv in MEASURE_NAMES.items() for x in kv])[word], word)
+            made = F.struct(quantity.cast("decimal(12,3)").alias("pack_quantity"), unit.alias("base_unit"), (F.lit(rule.basis) if rule.basis else basis_of(word)).alias("basis"), F.lit(trust).alias("confidence"), F.lit(source).alias("source"))
+            return F.when(quantity.isNotNull(), made)
+
+        found = [option("pack_size", NESTED, 0.92), option("name", NESTED, 0.8)]
+        for source, trust in TRUST.items():
+            found += [option(source, r, trust.get(r.kind, trust[None])) for r in STORED if source == "pack_size" or r.kind != "product"]
+        return F.coalesce(*found)
+
+    return over(pack_size, lambda a: over(name, lambda b: options({"pack_size": a, "name": b})))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ..functions import axes as A, codes as C, text as T
+from ..functions import axes as A, codes as C, packs as P
 
 DEPARTMENTS = [("Metals", ["steel", "brass", "copper", "nickel", "tin"]), ("Economy", ["economy", "promo"]), ("Standard", ["standard"]), ("Other", ["small", "medium", "large"])]
 
@@ -24,7 +24,7 @@ def ag19_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def c28_axis_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = A.axis_values("name")
-    return _named(spark, sf_dir, "'Item'").select("p_partkey", F.array_join(v["mm"], "|").alias("mm"), F.array_join(v["color"], "|").alias("color"), F.array_join(v["hash"], "|").alias("hash"), F.array_join(v["apparel_size"], "|").alias("size"))
+    return _named(spark, sf_dir, "'Item'").select("p_partkey", F.array_join(v["mm"], "|").alias("mm"), F.array_join(v["color"], "|").alias("color"), F.array_join(v["#"], "|").alias("hash"), F.array_join(v["size"], "|").alias("size"))
 
 
 def c29_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def c29_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c09_parse_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _named(spark, sf_dir).select("p_partkey", A.parse_pack(F.lit(None).cast("string"), F.concat("p_size", F.lit("/Box"))).alias("p")).select("p_partkey", F.col("p.pack_quantity").cast("int").alias("qty"), "p.basis", "p.confidence")
+    return _named(spark, sf_dir).select("p_partkey", P.parse_pack(F.lit(None).cast("string"), F.concat("p_size", F.lit("/Box"))).alias("p")).select("p_partkey", F.col("p.pack_quantity").cast("int").alias("qty"), "p.basis", "p.confidence")
 
 
 def f31_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,30 +101,15 @@ def er14_orphan_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("p_partkey").agg(F.min(F.struct(-F.col("n"), "family")).alias("b")).select("p_partkey", F.col("b.family").alias("family"))
 
 
-def er19_name_brand_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of one brand whose names share two words and whose sizes are close."""
-    p = _read(spark, sf_dir, "part").select("p_partkey", "p_brand", F.split(F.lower("p_name"), " ").alias("w"), "p_size")
-    two = F.flatten(F.transform("w", lambda a, i: F.transform(F.slice("w", i + 2, F.size("w")), lambda b: F.concat(a, F.lit(" "), b))))
-    k = p.select("p_partkey", "p_brand", F.explode(F.array_distinct(two)).alias("k"), "p_size")
-    near = k.select("p_brand", "k", F.col("p_partkey").alias("right_id"), F.explode(F.sequence(F.col("p_size") - 2, F.col("p_size") + 2)).alias("p_size"))
-    return k.join(near, ["p_brand", "k", "p_size"]).where("p_partkey < right_id").select(F.col("p_partkey").alias("left_id"), "right_id").distinct()
-
-
-def er17_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rebuild keeps the rows set by hand and replaces the rest."""
-    o = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
-    manual = o.where("status = 'P'")
-    auto = o.withColumn("status", F.lit("auto"))
-    return manual.unionByName(auto.join(manual.select("id"), "id", "left_anti"))
-
-
 QUERIES = {f.__name__: f for f in (
     ag19_sample, c28_axis_values, c29_selector, c09_parse_pack, f31_taxonomy, f35_name_differs, f36_pack_label, f41_family_name, f22_anchor, f37_variant_options,
-    c04_base_units, c15_ground_days, c26_versions, c27_gaps, er14_orphan_bridge, er19_name_brand_probe, er17_commit,
+    c04_base_units, c15_ground_days, c26_versions, c27_gaps, er14_orphan_bridge,
 )}
 ORACLES = {
-    "c28_axis_values": "SELECT p_partkey, CAST(p_size AS VARCHAR) AS mm, CASE WHEN p_size % 2 = 0 THEN 'blue' END AS color, CAST(p_partkey % 9 AS VARCHAR) AS hash, CASE WHEN p_size % 2 <> 0 THEN 's' END AS size FROM part",
-    "c29_selector": "SELECT p_partkey, 'mm' AS axis, 'Length' AS label, CAST(p_size AS VARCHAR) AS value FROM part",
+    "c28_axis_values": "SELECT p_partkey, CAST(p_size AS VARCHAR) AS mm, CASE WHEN p_size % 2 = 0 THEN 'blue' END AS color, CAST(p_partkey % 9 AS VARCHAR) AS hash, CASE WHEN p_size % 2 <> 0 THEN 'S' END AS size FROM part",
+    "c29_selector": """
+        SELECT p_partkey, CASE WHEN s <> l THEN 'size' ELSE '#' END AS axis, CASE WHEN s <> l THEN 'Size' ELSE 'Number' END AS label, CASE WHEN s AND NOT l THEN 'S' WHEN l AND NOT s THEN 'L' ELSE CAST(p_partkey % 9 AS VARCHAR) END AS value
+        FROM (SELECT p_partkey, p_name LIKE '%small%' OR p_size % 2 <> 0 AS s, p_name LIKE '%large%' AS l FROM part) q""",
     "c09_parse_pack": "SELECT p_partkey, p_size AS qty, 'box' AS basis, 0.7 AS confidence FROM part",
     "f35_name_differs": "SELECT p_partkey, false AS differs FROM part",
     "f36_pack_label": "SELECT p_partkey, concat(p_size, '/Box') AS label FROM part",
@@ -136,5 +121,4 @@ ORACLES = {
         SELECT p_partkey, family FROM (SELECT l.p_partkey, t.family, row_number() OVER (PARTITION BY l.p_partkey ORDER BY t.n DESC, t.family) AS rn
           FROM part l JOIN g ON g.p_name = l.p_name AND g.p_brand = l.p_brand AND g.n = 1 JOIN g t ON t.p_name = l.p_name AND t.n >= 2
           WHERE NOT EXISTS (SELECT 1 FROM part x WHERE x.p_name = t.p_name AND x.p_brand = t.p_brand AND x.p_size = l.p_size)) q WHERE rn = 1""",
-    "er17_commit": "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'P' ELSE 'auto' END AS status FROM orders",
 }

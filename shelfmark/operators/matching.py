@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import axes as A, packs as P, text as T
 from .graph import connected_components
+from .overlap import similar_sets
 
 #: Listings of one key in a block of a long posting list.
 BLOCK = 600
@@ -35,7 +36,7 @@ def features(listings: DataFrame) -> DataFrame:
     out = out.withColumn("core", F.when(supplier.isin(T.PREFIX_CODED_SUPPLIERS), T.sku_model_core("sku")).otherwise(""))
     out = out.withColumn("brand_words", T.brand_tokens("brand", supplier)).withColumn("words", T.tokenize_name("name")).withColumn("name_codes", T.sku_like_tokens("name"))
     out = out.withColumn("core_words", T.core_tokens(F.col("words"), F.col("brand_words"), F.col("name_codes"))).withColumn("grams", T.trigrams(F.array_join("words", " ")))
-    found = A.axis_values(F.col("name"), F.col("code"), F.col("sku"), F.col("brand"))
+    found = A.axis_values("name", "code", "sku", "brand")
     # a prefixed listing's own model sets it apart from its supplier's others
     model = F.when(F.col("core") != "", F.map_from_arrays(F.array(F.lit("model")), F.array(F.array("core")))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<string>>")))
     out = out.withColumn("axes", F.map_concat(found, model)).withColumn("stated", P.parse_pack_quantity(F.col("pack_size"), F.col("name")))
@@ -53,14 +54,17 @@ def blocking_index(feats: DataFrame) -> DataFrame:
     return by_code.unionByName(words.where("brand IS NOT NULL").select("listing_id", F.explode(two).alias("key")))
 
 
-def candidate_pairs(index: DataFrame, block: int = BLOCK) -> DataFrame:
-    """ER04, J08, J12: distinct pairs that share a posting list.  A list of more than ``block`` listings becomes a
-    grid of blocks, a row of it for the left side and a column for the right."""
+def candidate_pairs(index: DataFrame, block: int = BLOCK, rules: bool = False) -> DataFrame:
+    """ER04, J08, J12: distinct pairs that share a posting list, with ``rules`` also by which kind of key.  A list of
+    more than ``block`` listings becomes a grid of blocks, a row of it for the left side and a column for the right."""
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("key", F.ceil(F.col("n") / block).cast("int").alias("n"))
     lists = index.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("listing_id"), "n").cast("int")).withColumn("every", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     left = lists.select("key", F.col("listing_id").alias("left_id"), F.col("own").alias("i"), F.col("every").alias("j"))
     right = lists.select("key", F.col("listing_id").alias("right_id"), F.col("every").alias("i"), F.col("own").alias("j"))
-    return left.join(right, ["key", "i", "j"]).where("left_id < right_id").select("left_id", "right_id").distinct()
+    met = left.join(right, ["key", "i", "j"]).where("left_id < right_id")
+    if not rules:
+        return met.select("left_id", "right_id").distinct()
+    return met.groupBy("left_id", "right_id").agg(F.bool_or(F.startswith("key", F.lit("code:"))).alias("by_code"), F.bool_or(F.startswith("key", F.lit("words:"))).alias("by_words"))
 
 
 def _code_evidence(a: Callable, b: Callable, brand: Column) -> Column:
@@ -83,24 +87,38 @@ def _code_evidence(a: Callable, b: Callable, brand: Column) -> Column:
     )
 
 
-def score_pairs(pairs: DataFrame, feats: DataFrame) -> DataFrame:
-    """ER05, ER06: (left_id, right_id, status, confidence, name_sim) of every candidate pair."""
-    cols = ["code", "strength", "core", "brand_words", "words", "name_codes", "grams", "pack", "axes", "loose"]
+def _sides() -> tuple[Callable[[str], Column], Callable[[str], Column]]:
+    return (lambda c: F.col(f"left.{c}")), (lambda c: F.col(f"right.{c}"))
+
+
+def _signals(pairs: DataFrame, feats: DataFrame, conflicts: bool = True) -> DataFrame:
+    """``pairs`` with both sides' features, brand (relation), sku (code evidence), rel (brand, or one product line),
+    loosely (bare numbers apart) and n (likeness of the names); without ``conflicts``, pairs whose axes conflict are
+    dropped before the names are compared."""
+    cols = ["supplier_id", "code", "strength", "core", "brand_words", "words", "name_codes", "grams", "pack", "axes", "loose"]
     side = lambda s: feats.select(F.col("listing_id").alias(f"{s}_id"), F.struct(*cols).alias(s))
     p = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
-    a, b = (lambda c: F.col(f"left.{c}")), (lambda c: F.col(f"right.{c}"))
+    a, b = _sides()
+    if not conflicts:
+        p = p.where(~A.axes_conflict(a("axes"), b("axes")))
     p = p.withColumn("brand", T.brands_agree(a("brand_words"), b("brand_words")))
     p = p.withColumn("sku", _code_evidence(a, b, F.col("brand")))
-    code, s = F.col("sku.code"), F.col("sku.score")
-
+    code = F.col("sku.code")
     line = lambda x: F.lit(False) | F.arrays_overlap(x("words"), F.array(*map(F.lit, LINE_WORDS[0]))) | (F.size(F.array_except(F.array(*map(F.lit, LINE_WORDS[1])), x("words"))) == 0)
     one_line = (a("code") == b("code")) & code.rlike(LINE_CODE) & line(a) & line(b)
     p = p.withColumn("rel", F.when(one_line, "match").otherwise(F.col("brand"))).withColumn("loosely", A.bare_conflict(a("loose"), b("loose")))
     rel, loosely = F.col("rel"), F.col("loosely")
     like = 0.45 * T.jaccard(F.array_distinct(a("words")), F.array_distinct(b("words"))) + 0.55 * T.dice(a("grams"), b("grams")) + F.least(A.axis_agreements(a("axes"), b("axes")) * 0.05, F.lit(0.15))
     like = like + F.when(rel == "match", 0.05).otherwise(0.0) - F.when(loosely, 0.1).otherwise(0.0)
-    p = p.withColumn("n", F.greatest(F.lit(0.0), F.least(F.lit(1.0), like)))
-    n = F.col("n")
+    return p.withColumn("n", F.greatest(F.lit(0.0), F.least(F.lit(1.0), like)))
+
+
+def score_pairs(pairs: DataFrame, feats: DataFrame, rejected: bool = True) -> DataFrame:
+    """ER05, ER06: (left_id, right_id, status, confidence, name_sim) of every candidate pair; without ``rejected``,
+    of those that are not rejected."""
+    p = _signals(pairs, feats, conflicts=rejected)
+    a, b = _sides()
+    code, s, rel, loosely, n = (F.col(c) for c in ("sku.code", "sku.score", "rel", "loosely", "n"))
 
     special = lambda x: F.filter(x("words"), lambda w: w.rlike("^[a-z]{3,}$") & ~w.isin(GENERIC_BUR_WORDS))
     only_shape = (s >= 0.55) & code.rlike(GENERIC_BUR_CODE) & (rel != "match") & ~F.arrays_overlap(special(a), special(b))
@@ -118,7 +136,17 @@ def score_pairs(pairs: DataFrame, feats: DataFrame) -> DataFrame:
     taken, open_ = F.col("verdict") == "accept", F.col("verdict") == "review"
     status = F.when(taken, F.when(differs, "variant").otherwise("exact")).when(open_, "needs_review").otherwise("reject")
     confidence = F.when(taken, F.least(F.lit(99), F.floor(F.when(differs, 70).otherwise(75) + 12.5 * (s + n) + 0.5))).when(open_, F.floor(40 + 20 * n + 0.5)).otherwise(0)
-    return p.select("left_id", "right_id", status.alias("status"), confidence.cast("int").alias("confidence"), F.round("n", 9).alias("name_sim"))
+    out = p.select("left_id", "right_id", status.alias("status"), confidence.cast("int").alias("confidence"), F.round("n", 9).alias("name_sim"))
+    return out if rejected else out.where("status <> 'reject'")
+
+
+def name_brand_probe(pairs: DataFrame, feats: DataFrame, save: Callable[[DataFrame], DataFrame], medium: float = 0.7, high: float = 0.8) -> DataFrame:
+    """ER19: (left_id, right_id, name_sim, high, group) of pairs of one brand and different suppliers that no axis and
+    no bare number sets apart and whose names are ``medium`` alike or more; pairs from ``high`` on make groups."""
+    p = _signals(pairs, feats, conflicts=False).where((F.col("left.supplier_id") != F.col("right.supplier_id")) & (F.col("brand") == "match") & ~F.col("loosely") & (F.col("n") >= medium))
+    found = save(p.select("left_id", "right_id", F.round("n", 9).alias("name_sim"), (F.col("n") >= high).alias("high")))
+    groups = connected_components(found.where("high").select(F.col("left_id").alias("u"), F.col("right_id").alias("v")), save)
+    return found.join(groups.select(F.col("vertex").alias("left_id"), F.col("label").alias("group")), "left_id", "left").withColumn("group", F.when(F.col("high"), F.col("group")))
 
 
 def _bounds(feats: DataFrame) -> DataFrame:
@@ -201,10 +229,9 @@ def canonical_ids(members: DataFrame, feats: DataFrame) -> DataFrame:
     return digest.withColumn("n", n).select("cluster", F.concat(F.lit("mcp_auto_"), "d", F.when(F.col("n") > 1, F.concat(F.lit("_"), "n")).otherwise("")).alias("canonical_id"))
 
 
-def families(members: DataFrame, feats: DataFrame) -> DataFrame:
-    """ER12, ER13, ER15: (cluster, family, axis, value, label, rank) of clusters that are variants of one product:
-    equal brand and core words but for those that say the axis, two members and two labels or more.  An axis of a
-    cluster counts where all members that state it agree on one value."""
+def _variants(members: DataFrame, feats: DataFrame) -> DataFrame:
+    """(cluster, brand_words, core_words, model, s) of clusters with an axis that they can be a variant on: all
+    members that state the axis agree on one value, and s is the first such axis by priority."""
     axes = members.join(feats.select("listing_id", F.explode("axes").alias("axis", "v")), "listing_id")
     agreed = axes.groupBy("cluster", "axis").agg(F.array_distinct(F.flatten(F.collect_set("v"))).alias("v")).where("size(v) = 1").select("cluster", "axis", F.get("v", 0).alias("value"))
     shown = None
@@ -214,20 +241,78 @@ def families(members: DataFrame, feats: DataFrame) -> DataFrame:
     best = agreed.withColumn("s", shown).where("s IS NOT NULL").groupBy("cluster").agg(F.min("s").alias("s"))
     first = members.groupBy("cluster").agg(F.min("listing_id").alias("listing_id"))
     words = first.join(feats.select("listing_id", "brand_words", "core_words"), "listing_id").join(best, "cluster")
-    kept = None
-    for a, _ in A.SELECTORS.items():
-        k = F.filter("core_words", lambda w, a=a: ~A.is_strip_token(w, a))
-        kept = F.when(F.col("s.axis") == a, k) if kept is None else kept.when(F.col("s.axis") == a, k)
-    keyed = words.withColumn("model", F.array_sort(kept)).where("size(brand_words) > 0 OR size(model) >= 3")
-    key = F.sha1(F.concat_ws("|", F.array_join("brand_words", " "), F.array_join("model", " "), "s.axis"))
-    rows = keyed.select("cluster", key.alias("family"), "s.axis", "s.value", "s.f.label", "s.f.rank")
+    says = lambda axis: lambda w: A.is_strip_token(w, axis)
+    kept = F.lit(None).cast("array<string>")
+    for a in A.SELECTORS:
+        kept = F.when(F.col("s.axis") == a, F.filter("core_words", lambda w: ~says(a)(w))).otherwise(kept)  # noqa: B023
+    return words.withColumn("model", F.array_sort(kept)).where("size(brand_words) > 0 OR size(model) >= 3")
+
+
+def bridge_orphans(groups: DataFrame) -> DataFrame:
+    """ER14: (cluster, into) for groups (cluster, family, brand, model, core_words, axis, value) of one cluster that go
+    to a family of two or more: the family has three words or more and the orphan's name all of them, the axis is
+    the same, the brands are equal or one is not stated, and the family lacks the value.  The largest family wins,
+    then the least; of orphans with one new value, the least.  One pass: families do not grow meanwhile."""
+    size = groups.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    lone = groups.join(size.where("n = 1").select("family"), "family", "left_semi")
+    large = groups.join(size.where("n >= 2"), "family").where("size(model) >= 3").groupBy("family").agg(F.first("brand").alias("b"), F.first("model").alias("m"), F.first("axis").alias("axis"), F.first("n").alias("n"))
+    # a family is found by its rarest word alone, as an orphan has to have all of them
+    spread = large.select("family", F.explode(F.array_distinct("m")).alias("word"))
+    rare = spread.join(spread.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "word").groupBy("family").agg(F.min(F.struct("df", "word")).alias("k"))
+    keyed = large.join(rare, "family").select(F.col("family").alias("into"), "b", "m", "axis", "n", F.col("k.word").alias("word"))
+    met = lone.withColumn("word", F.explode(F.array_distinct("core_words"))).join(keyed, ["axis", "word"])
+    met = met.where((F.size(F.array_except("m", "core_words")) == 0) & ((F.col("brand") == F.col("b")) | (F.col("brand") == "") | (F.col("b") == "")))
+    has = groups.select(F.col("family").alias("into"), "value").distinct()
+    chosen = met.join(has, ["into", "value"], "left_anti").groupBy("cluster", "value").agg(F.min(F.struct((-F.col("n")).alias("n"), "into")).alias("t"))
+    first = chosen.groupBy("t.into", "value").agg(F.min("cluster").alias("cluster"))
+    return first.select("cluster", "into")
+
+
+def families(members: DataFrame, feats: DataFrame) -> DataFrame:
+    """ER12 to ER15: (cluster, family, axis, value, label, rank) of clusters that are variants of one product: equal
+    brand and core words but for those that say the axis, orphans bridged, two members and two labels or more."""
+    keyed = _variants(members, feats)
+    brand = F.array_join("brand_words", " ")
+    key = F.sha1(F.concat_ws("|", brand, F.array_join("model", " "), "s.axis"))
+    rows = keyed.select("cluster", key.alias("family"), brand.alias("brand"), "model", "core_words", "s.axis", "s.value", "s.f.label", "s.f.rank")
+    into = bridge_orphans(rows)
+    rows = rows.join(into, "cluster", "left").withColumn("family", F.coalesce("into", "family")).select("cluster", "family", "axis", "value", "label", "rank")
     good = rows.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("labels")).where("n >= 2 AND labels >= 2")
     return rows.join(good.select("family"), "family", "left_semi")
 
 
-def discover_axes(feats: DataFrame) -> DataFrame:
-    """ER18: words whose removal makes names of one brand equal: the values of an axis not yet modelled."""
-    left_out = feats.select("listing_id", F.array_join("brand_words", " ").alias("brand"), F.explode("core_words").alias("value"), "core_words")
-    stem = F.array_join(F.array_sort(F.array_remove("core_words", F.col("value"))), " ")
-    g = left_out.select("listing_id", "brand", "value", stem.alias("stem")).where("stem <> ''").groupBy("brand", "stem")
-    return g.agg(F.count_distinct("value").alias("n_values"), F.count_distinct("listing_id").alias("n_listings")).where("n_values >= 2 AND n_listings >= 2")
+def substitutes(products: DataFrame, least: float = 0.5, most: int = 5) -> DataFrame:
+    """ER16: (id, substitute_id, likeness, saving, rank) of products (id, words, brand_words, axes, unit_price,
+    n_suppliers): for each product of two suppliers or more, the ``most`` cheapest of those that share ``least`` of
+    their core words or more (Jaccard), state no conflicting axis value, are of another or an unknown brand, and
+    cost less a unit.
+
+    Word sets are compared once each (``similar_sets``).  Products that agree in words, brand and axes
+    stand in for one another, so only the cheapest ``most`` of them are met."""
+    p = products.where("unit_price > 0").select("id", F.array_sort(F.array_distinct("words")).alias("words"), F.array_join("brand_words", " ").alias("brand"), F.sort_array(F.map_entries("axes")).alias("axes"), "unit_price", "n_suppliers").where("size(words) > 0")
+    sets = p.select("words").distinct().select(F.sha1(F.array_join("words", " ")).alias("left_set"), F.col("words").alias("left_words"))
+    alike = similar_sets(sets, sets.withColumnsRenamed({"left_set": "right_set", "left_words": "right_words"}), least)
+    own = p.withColumn("set", F.sha1(F.array_join("words", " "))).drop("words")
+    cheap = F.row_number().over(W.partitionBy("set", "brand", "axes").orderBy("unit_price", "id"))
+    offers = own.withColumn("c", cheap).where(F.col("c") <= most).select(F.col("set").alias("right_set"), F.col("id").alias("substitute_id"), F.col("brand").alias("other"), F.map_from_entries("axes").alias("y"), F.col("unit_price").alias("price"))
+    wanted = own.where("n_suppliers >= 2").select(F.col("set").alias("left_set"), "id", "brand", F.map_from_entries("axes").alias("x"), "unit_price")
+    met = wanted.join(alike, "left_set").join(offers, "right_set").where((F.col("price") < F.col("unit_price")) & ((F.col("brand") != F.col("other")) | (F.col("brand") == "")) & ~A.axes_conflict(F.col("x"), F.col("y")))
+    rank = F.row_number().over(W.partitionBy("id").orderBy("price", "substitute_id"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= most).select("id", "substitute_id", F.round("likeness", 9).alias("likeness"), (F.col("unit_price") - F.col("price")).alias("saving"), F.least(F.lit(69), F.floor(F.col("likeness") * 69)).cast("int").alias("confidence"), "rank")
+
+
+def discover_axes(members: DataFrame, feats: DataFrame, min_stem: int = 2) -> DataFrame:
+    """ER18: (brand, stem, n_values, n_clusters, n_suppliers, example) of words that set clusters of one brand apart
+    and no selector knows: clusters without an axis value of a selector whose core words, axis words left out, are
+    equal but for one word each; ``min_stem`` words or more are in common, and two clusters and two values there."""
+    stated = F.size(F.filter(F.map_entries("axes"), lambda e: e["key"].isin(list(A.SELECTORS)))) > 0
+    own = members.join(feats.select("listing_id", "supplier_id", stated.alias("stated"), "brand_words", "core_words"), "listing_id")
+    one = own.groupBy("cluster").agg(F.bool_or("stated").alias("stated"), F.min_by(F.struct("brand_words", "core_words"), "listing_id").alias("f")).where("NOT stated")
+    plain = F.array_sort(F.filter("f.core_words", lambda w: ~A.is_strip_token(w)))
+    words = one.select("cluster", F.array_join("f.brand_words", " ").alias("brand"), plain.alias("core")).where(F.size("core") > min_stem)
+    left_out = words.select("cluster", "brand", F.explode("core").alias("value"), "core")
+    stems = left_out.select("cluster", "brand", "value", F.array_join(F.array_remove("core", F.col("value")), " ").alias("stem"))
+    sold = own.select("cluster", "supplier_id").distinct()
+    found = stems.groupBy("brand", "stem").agg(F.count_distinct("value").alias("n_values"), F.count_distinct("cluster").alias("n_clusters"), F.min("value").alias("example")).where("n_values >= 2 AND n_clusters >= 2")
+    spread = stems.join(found.select("brand", "stem"), ["brand", "stem"], "left_semi").select("brand", "stem", "cluster").distinct().join(sold, "cluster").groupBy("brand", "stem").agg(F.count_distinct("supplier_id").alias("n_suppliers"))
+    return found.join(spread, ["brand", "stem"]).select("brand", "stem", "n_values", "n_clusters", "n_suppliers", "example")

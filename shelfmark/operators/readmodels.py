@@ -1,14 +1,21 @@
-"""Read models and listings: latest prices, best offers, category and supplier pages."""
+"""Read models and listings: latest prices, best offers, category and supplier pages.
 
-UNIT_ORDER = "CASE WHEN unit_price_cents IS NULL THEN 1 ELSE 0 END, unit_price_cents, price_cents, listing_id"
+Best offers are taken by aggregates over one pass of ``listed_offer``, which combine before they are shuffled, so
+each model reads the lines once.
+"""
 
-CATEGORY_LISTING = """
-    SELECT b.category_key, b.group_id, b.listing_id AS best_listing_id, b.price_cents, b.unit_price_cents, b.supplier_id AS best_supplier_id,
+#: Order of offers: comparable ones first, by unit price, then by price; the pair of keys breaks ties.
+UNIT_ORDER = "CASE WHEN unit_price_cents IS NULL THEN 1 ELSE 0 END, unit_price_cents, price_cents, supplier_id, canonical_id"
+#: The same order as one value.
+UNIT_KEY = "(CASE WHEN unit_price_cents IS NULL THEN 1 ELSE 0 END, coalesce(unit_price_cents, 0), price_cents, supplier_id, canonical_id)"
+
+CATEGORY_LISTING = f"""
+    SELECT a.category_key, a.group_id, concat(a.best_supplier_id, '-', a.best_canonical_id) AS best_listing_id, a.price_cents, a.unit_price_cents, a.best_supplier_id, a.best_canonical_id,
            a.offer_count, i.n_variants, i.first_name
-    FROM best_offer b
-    JOIN (SELECT category_key, group_id, count(DISTINCT supplier_id) AS offer_count FROM listed_offer GROUP BY category_key, group_id) a
-      ON a.category_key = b.category_key AND a.group_id = b.group_id
-    JOIN (SELECT group_id, count(*) AS n_variants, min(name) AS first_name FROM canonical GROUP BY group_id) i ON i.group_id = b.group_id"""
+    FROM (SELECT category_key, group_id, count(DISTINCT supplier_id) AS offer_count, min(unit_price_cents) AS unit_price_cents, min_by(price_cents, {UNIT_KEY}) AS price_cents,
+                 min_by(supplier_id, {UNIT_KEY}) AS best_supplier_id, min_by(canonical_id, {UNIT_KEY}) AS best_canonical_id
+          FROM listed_offer GROUP BY category_key, group_id) a
+    JOIN (SELECT group_id, count(*) AS n_variants, min(name) AS first_name FROM canonical GROUP BY group_id) i ON i.group_id = a.group_id"""
 
 QUERIES = {
     # latest price of each listing
@@ -20,65 +27,66 @@ QUERIES = {
     "q09_category_priced_count": """
         SELECT category_key, count(DISTINCT group_id) AS priced_count FROM matched_offer WHERE match_status <> 'unmatched' GROUP BY category_key""",
     "q10_supplier_product_count": "SELECT supplier_id, count(*) AS n_products FROM listing GROUP BY supplier_id",
-    "q11_supplier_listing": """
-        SELECT b.supplier_id, b.group_id, b.listing_id, b.price_cents, b.unit_price_cents, v.variant_count
-        FROM (SELECT o.*, row_number() OVER (PARTITION BY supplier_id, group_id ORDER BY """ + UNIT_ORDER + """) AS rn FROM listed_offer o) b
-        JOIN (SELECT supplier_id, group_id, count(DISTINCT listing_id) AS variant_count FROM listed_offer GROUP BY supplier_id, group_id) v
-          ON v.supplier_id = b.supplier_id AND v.group_id = b.group_id
-        WHERE b.rn = 1""",
+    "q11_supplier_listing": f"""
+        SELECT supplier_id, group_id, concat(supplier_id, '-', canonical_id) AS listing_id, price_cents, unit_price_cents, variant_count FROM (
+          SELECT supplier_id, group_id, min_by(canonical_id, {UNIT_KEY}) AS canonical_id, min_by(price_cents, {UNIT_KEY}) AS price_cents, min(unit_price_cents) AS unit_price_cents, count(*) AS variant_count
+          FROM listed_offer GROUP BY supplier_id, group_id) q""",
     "q12_category_listing": CATEGORY_LISTING,
     # the live definition filters one category before it ranks; it agrees with the model above
-    "q01_category_listing_live": """
-        SELECT group_id, listing_id, unit_price_cents, price_cents, offer_count FROM (
-          SELECT o.group_id, o.listing_id, o.unit_price_cents, o.price_cents,
-                 row_number() OVER (PARTITION BY o.group_id ORDER BY """ + UNIT_ORDER + """) AS rn, c.offer_count
-          FROM listed_offer o JOIN (SELECT group_id AS g, count(DISTINCT supplier_id) AS offer_count FROM listed_offer WHERE category ILIKE 'STANDARD%' GROUP BY group_id) c ON c.g = o.group_id
-          WHERE o.category ILIKE 'STANDARD%') q
-        WHERE rn = 1 ORDER BY CASE WHEN unit_price_cents IS NULL THEN 1 ELSE 0 END, unit_price_cents, price_cents, listing_id LIMIT 50""",
+    "q01_category_listing_live": f"""
+        SELECT group_id, concat(supplier_id, '-', canonical_id) AS listing_id, unit_price_cents, price_cents, offer_count FROM (
+          SELECT group_id, min_by(supplier_id, {UNIT_KEY}) AS supplier_id, min_by(canonical_id, {UNIT_KEY}) AS canonical_id, min(unit_price_cents) AS unit_price_cents, min_by(price_cents, {UNIT_KEY}) AS price_cents,
+                 count(DISTINCT supplier_id) AS offer_count
+          FROM listed_offer WHERE category ILIKE 'STANDARD%' GROUP BY group_id) q
+        ORDER BY {UNIT_ORDER} LIMIT 50""",
     # page first, then join
     "q02_category_page": """
         SELECT p.category_key, p.group_id, p.best_listing_id, p.unit_price_cents, p.offer_count, coalesce(s.supplier_name, 'Unknown supplier') AS supplier_name
-        FROM (SELECT * FROM (""" + CATEGORY_LISTING + """) m ORDER BY CASE WHEN unit_price_cents IS NULL THEN 1 ELSE 0 END, unit_price_cents, price_cents, best_listing_id LIMIT 50 OFFSET 10) p
+        FROM (SELECT * FROM (""" + CATEGORY_LISTING + """) m ORDER BY CASE WHEN unit_price_cents IS NULL THEN 1 ELSE 0 END, unit_price_cents, price_cents, best_supplier_id, best_canonical_id LIMIT 50 OFFSET 10) p
         LEFT JOIN supplier_info s ON s.supplier_id = p.best_supplier_id""",
     "q03_supplier_page": """
-        SELECT supplier_id, listing_id, group_id, price_cents FROM listed_offer WHERE supplier_id = 7
-        ORDER BY CASE WHEN unit_price_cents IS NULL THEN 1 ELSE 0 END, unit_price_cents, price_cents, listing_id LIMIT 24""",
+        SELECT supplier_id, listing_id, group_id, price_cents FROM listed_offer WHERE supplier_id = 7 ORDER BY """ + UNIT_ORDER + " LIMIT 24",
     # every sibling of a family with its offers' range
     "q04_product_page": """
         SELECT c.group_id, c.canonical_id, c.variant_rank, count(o.listing_id) AS n_offers, min(o.price_cents) AS lowest, max(o.price_cents) AS highest,
                min(o.unit_price_cents) AS lowest_unit, max(o.unit_price_cents) AS highest_unit
         FROM canonical c LEFT JOIN listed_offer o ON o.canonical_id = c.canonical_id
-        WHERE c.group_id IN (SELECT group_id FROM canonical WHERE canonical_id % 100 = 1)
         GROUP BY c.group_id, c.canonical_id, c.variant_rank""",
     "q05_browse": """
         SELECT c.canonical_id, c.name, min(o.price_cents) AS best_price, count(DISTINCT o.supplier_id) AS n_suppliers
         FROM canonical c JOIN listed_offer o ON o.canonical_id = c.canonical_id WHERE o.supplier_id IN (1, 2, 3, 5, 8)
         GROUP BY c.canonical_id, c.name ORDER BY best_price, c.canonical_id LIMIT 50""",
-    "q13_categories_landing": """
-        SELECT s.category_key, s.n_groups, s.n_suppliers, b.listing_id AS best_listing_id, b.unit_price_cents AS best_unit
-        FROM (SELECT category_key, count(DISTINCT group_id) AS n_groups, count(DISTINCT supplier_id) AS n_suppliers FROM listed_offer GROUP BY category_key) s
-        JOIN (SELECT o.*, row_number() OVER (PARTITION BY category_key ORDER BY """ + UNIT_ORDER + """) AS rn FROM listed_offer o) b ON b.category_key = s.category_key AND b.rn = 1
-        ORDER BY s.n_groups DESC, s.category_key LIMIT 12""",
+    "q13_categories_landing": f"""
+        SELECT category_key, n_groups, n_suppliers, concat(best_supplier_id, '-', best_canonical_id) AS best_listing_id, best_unit FROM (
+          SELECT category_key, count(DISTINCT group_id) AS n_groups, count(DISTINCT supplier_id) AS n_suppliers, min(unit_price_cents) AS best_unit,
+                 min_by(supplier_id, {UNIT_KEY}) AS best_supplier_id, min_by(canonical_id, {UNIT_KEY}) AS best_canonical_id
+          FROM (SELECT category_key, group_id, supplier_id, min(unit_price_cents) AS unit_price_cents, min_by(price_cents, {UNIT_KEY}) AS price_cents, min_by(canonical_id, {UNIT_KEY}) AS canonical_id
+                FROM listed_offer GROUP BY category_key, group_id, supplier_id) s
+          GROUP BY category_key) q
+        ORDER BY n_groups DESC, category_key LIMIT 12""",
     "q14_suppliers": """
         SELECT s.supplier_id, s.supplier_name, s.free_threshold_cents, s.flat_cents, coalesce(c.n, 0) AS n_products
         FROM supplier_info s LEFT JOIN (SELECT supplier_id, count(*) AS n FROM listing GROUP BY supplier_id) c ON c.supplier_id = s.supplier_id""",
     # comparable offers of a product first, by unit price, then the rest by sticker price
     "q20_offer_enrichment": """
-        SELECT canonical_id, listing_id, row_number() OVER (PARTITION BY canonical_id ORDER BY CASE WHEN unit_price_cents IS NULL THEN 1 ELSE 0 END, unit_price_cents, price_cents, listing_id) AS offer_rank
+        SELECT canonical_id, listing_id, row_number() OVER (PARTITION BY canonical_id ORDER BY CASE WHEN unit_price_cents IS NULL THEN 1 ELSE 0 END, unit_price_cents, price_cents, supplier_id) AS offer_rank
         FROM listed_offer WHERE match_status IN ('exact', 'variant')""",
     "q24_inventory_prices": """
         SELECT i.location_id, i.code, min(o.price_cents) AS lowest, max(o.price_cents) AS highest, count(o.listing_id) AS n_offers
         FROM item_state i LEFT JOIN listed_offer o ON o.canonical_id = i.code GROUP BY i.location_id, i.code""",
+    # scanned codes against suppliers' and makers' SKUs, as they are and in capitals
     "q17_sku_scan": """
-        SELECT DISTINCT listing_id, supplier_id, canonical_id FROM (
-          SELECT listing_id, supplier_id, canonical_id FROM listing WHERE upper(brand) = upper('Brand#1')
-          UNION ALL SELECT listing_id, supplier_id, canonical_id FROM listing WHERE canonical_id IN (7, 77, 777)) u""",
+        SELECT DISTINCT s.code, l.listing_id FROM (SELECT DISTINCT code, key FROM (
+            SELECT code, code AS key FROM (SELECT concat('s', user_id % 20, '-', regexp_extract(props, '([0-9]+)', 1)) AS code FROM events UNION ALL SELECT concat('Brand#', user_id % 50, '-', regexp_extract(props, '([0-9]+)', 1)) FROM events) a
+            UNION ALL SELECT code, upper(code) FROM (SELECT concat('s', user_id % 20, '-', regexp_extract(props, '([0-9]+)', 1)) AS code FROM events) b) k) s
+        JOIN (SELECT listing_id, sku AS key FROM listing UNION ALL SELECT listing_id, mfr_sku FROM listing) l ON l.key = s.key""",
+    # a reference's products: the house supplier's own SKU, brand and model, company and model; the suffix path is j10
     "q18_reference_lookup": """
-        SELECT DISTINCT part_id, path FROM (
-          SELECT p_partkey AS part_id, 'exact' AS path FROM part WHERE lower(p_name) = 'p1'
-          UNION SELECT p_partkey, 'key' FROM part WHERE lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) = 'brand12'
-          UNION SELECT p_partkey, 'size' FROM part WHERE p_size = 7
-          UNION SELECT p_partkey, 'type' FROM part WHERE p_type LIKE 'PROMO%') u ORDER BY part_id, path LIMIT 25""",
+        SELECT DISTINCT gtin, part_id FROM (
+          SELECT r.gtin, p.p_partkey AS part_id FROM reference_code r JOIN part p ON lower(regexp_replace(concat('P-', p.p_partkey), '[^A-Za-z0-9]', '', 'g')) = r.model_norm WHERE r.company_norm LIKE 'house%'
+          UNION SELECT r.gtin, p.p_partkey FROM reference_code r JOIN part p ON lower(regexp_replace(p.p_brand, '[^A-Za-z0-9]', '', 'g')) = r.brand_norm AND lower(regexp_replace(p.p_name, '[^A-Za-z0-9]', '', 'g')) = r.model_norm
+          UNION SELECT r.gtin, p.p_partkey FROM reference_code r JOIN part p ON lower(regexp_replace(p.p_brand, '[^A-Za-z0-9]', '', 'g')) = r.company_norm AND lower(regexp_replace(p.p_name, '[^A-Za-z0-9]', '', 'g')) = r.model_norm
+            WHERE length(r.company_norm) >= 4) u""",
     "q19_substitutes": """
         SELECT canonical_id, substitute_id, unit_price_cents FROM (
           SELECT a.canonical_id, b.canonical_id AS substitute_id, b.best_cents AS unit_price_cents,
@@ -89,7 +97,7 @@ QUERIES = {
     "q22_members_and_offers": """
         SELECT canonical_id, listing_id, comparable_cents, offer_rank FROM (
           SELECT o.canonical_id, o.listing_id, coalesce(o.unit_price_cents, o.price_cents) AS comparable_cents,
-                 row_number() OVER (PARTITION BY o.canonical_id ORDER BY CASE WHEN o.availability = 'backordered' THEN 1 ELSE 0 END, coalesce(o.unit_price_cents, o.price_cents), o.listing_id) AS offer_rank
+                 row_number() OVER (PARTITION BY o.canonical_id ORDER BY CASE WHEN o.availability = 'backordered' THEN 1 ELSE 0 END, coalesce(o.unit_price_cents, o.price_cents), o.supplier_id) AS offer_rank
           FROM listed_offer o WHERE o.match_status IN ('exact', 'variant')) q WHERE offer_rank <= 5""",
     "q23_invoice_totals": """
         SELECT invoice_id, CAST(floor(sum(paid_cents * qty) + 0.5) AS BIGINT) AS invoice_cents,
@@ -100,7 +108,7 @@ QUERIES = {
     "q27_match_rows": """
         SELECT r.invoice_id, r.line_no, r.listing_id, r.paid_cents, b.listing_id AS recommended_id, b.unit_price_cents AS recommended_cents,
                CASE WHEN b.listing_id IS NOT NULL AND b.listing_id <> r.listing_id AND b.unit_price_cents < r.paid_cents THEN b.supplier_id END AS switch_to
-        FROM invoice_line r LEFT JOIN (SELECT * FROM (SELECT o.*, row_number() OVER (PARTITION BY canonical_id ORDER BY unit_price_cents, listing_id) AS rn
+        FROM invoice_line r LEFT JOIN (SELECT * FROM (SELECT o.*, row_number() OVER (PARTITION BY canonical_id ORDER BY unit_price_cents, supplier_id) AS rn
           FROM listed_offer o WHERE availability <> 'backordered' AND unit_price_cents > 0) q WHERE rn = 1) b ON b.canonical_id = r.canonical_id""",
     # strictly fastest of two or more delivery estimates
     "q28_fastest_offer": """

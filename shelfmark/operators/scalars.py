@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import codes as C, text as T
+from ..functions import codes as C, packs as P, text as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,7 +40,7 @@ _add(
     "CASE WHEN length(CAST(p_partkey + 990 AS VARCHAR)) >= 4 THEN CAST(p_partkey + 990 AS VARCHAR) ELSE '' END AS core",
 )
 _add("f05_brand_key", "part", "p_partkey", lambda: {"brand": T.brand_key(T.brand_tokens(F.concat(F.col("p_brand"), F.lit(" Inc"))))}, "trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) AS brand")
-_add("f07_pack_quantity", "part", "p_partkey", lambda: {"qty": T.parse_pack_quantity(F.lit(None).cast("string"), _name())}, "CASE WHEN p_size > 0 THEN p_size END AS qty")
+_add("f07_pack_quantity", "part", "p_partkey", lambda: {"qty": P.parse_pack_quantity(F.lit(None).cast("string"), _name())}, "CASE WHEN p_size > 0 THEN p_size END AS qty")
 _add("f09_tokenize", "part", "p_partkey", lambda: {"tokens": F.array_join(T.tokenize_name(_name()), " ")}, f"array_to_string({_STEM}, ' ') AS tokens")
 _add("f10_sku_like", "part", "p_partkey", lambda: {"n": F.size(T.sku_like_tokens(F.concat_ws(" ", "p_name", F.concat(F.lit("AB"), F.col("p_partkey") + 1000))))}, "1 AS n")
 _add(

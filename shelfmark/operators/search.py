@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import codes as C, text as T
+from .overlap import in_blocks, similar_sets
 
 
 def _best(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame:
@@ -59,38 +60,64 @@ def suffix_join(codes: DataFrame, models: DataFrame, least: int = 5) -> DataFram
 
 
 def vendor_jaccard(names: DataFrame, suppliers: DataFrame, least: float = 0.5) -> DataFrame:
-    """The supplier whose words are most like a vendor's, if half of them are shared or more."""
-    words = lambda df, i: df.select(F.col("id").alias(i), F.array_distinct(F.filter(F.split(F.lower("name"), "[^a-z0-9]+"), lambda w: w != "")).alias(f"{i}_w"))
-    a, b = words(names, "vendor_id"), words(suppliers, "supplier_id")
-    met = a.withColumn("w", F.explode("vendor_id_w")).join(b.withColumn("w", F.explode("supplier_id_w")), "w").groupBy("vendor_id", "supplier_id").agg(
-        F.count(F.lit(1)).alias("shared"), F.first("vendor_id_w").alias("x"), F.first("supplier_id_w").alias("y")
-    )
-    scored = met.withColumn("score", F.col("shared") / (F.size("x") + F.size("y") - F.col("shared"))).where(F.col("score") >= least)
-    return _best(scored, ["vendor_id"], [F.desc("score"), "supplier_id"]).select("vendor_id", "supplier_id", "score")
-
-
-def vendor_contains(names: DataFrame, suppliers: DataFrame, least: int = 4) -> DataFrame:
-    """The same normalised name, else one that contains the other; the first supplier wins.  Containment
-    goes through shared substrings of ``least`` characters, so it is an equi-join too."""
-    norm = lambda df, i: df.select(F.col("id").alias(i), F.regexp_replace(F.lower("name"), "[^a-z0-9]", "").alias(f"{i}_n"))
+    """The supplier whose words are most like a vendor's, if the likeness is ``least`` or more; the first supplier
+    wins ties."""
+    words = lambda df, s: df.select(F.col("id").alias(f"{s}_set"), F.array_distinct(F.filter(F.split(F.lower("name"), "[^a-z0-9]+"), lambda w: w != "")).alias(f"{s}_words"))
+    alike = similar_sets(words(names, "left"), words(suppliers, "right"), least).withColumnsRenamed({"left_set": "vendor_id", "right_set": "supplier_id", "likeness": "score"})
+    return _best(alike, ["vendor_id"], [F.desc("score"), "supplier_id"]).select("vendor_id", "supplier_id", "score")
+
+
+def vendor_contains(names: DataFrame, suppliers: DataFrame, least: int = 12) -> DataFrame:
+    """The supplier of the same normalised name, else the first one whose name contains the vendor's or is
+    contained in it; empty names match nothing.  A contained name is found by its rarest piece of ``least`` characters,
+    or by the whole name where it is shorter, among the pieces of the others: an equi-join."""
+    norm = lambda df, i: df.select(F.col("id").alias(i), F.regexp_replace(F.lower("name"), "[^a-z0-9]", "").alias(f"{i}_n")).where(F.length(f"{i}_n") > 0)
     a, b = norm(names, "vendor_id"), norm(suppliers, "supplier_id")
-    grams = lambda df, c: df.where(F.length(c) >= least).withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (least - 1)), lambda i: F.col(c).substr(i, F.lit(least))))))
-    first = lambda df, c: df.where(F.length(c) >= least).withColumn("g", F.substring(c, 1, least))
-    either = grams(a, "vendor_id_n").join(first(b, "supplier_id_n"), "g").unionByName(first(a, "vendor_id_n").join(grams(b, "supplier_id_n"), "g")).drop("g").distinct()
-    same = F.col("vendor_id_n") == F.col("supplier_id_n")
-    hit = either.where(same | F.col("vendor_id_n").contains(F.col("supplier_id_n")) | F.col("supplier_id_n").contains(F.col("vendor_id_n")))
-    return _best(hit, ["vendor_id"], [F.when(same, 0).otherwise(1), "supplier_id"]).select("vendor_id", "supplier_id")
 
+    def pieces(c: str, size) -> F.Column:
+        starts = F.when(F.length(c) >= size, F.sequence(F.lit(1), F.length(c) - size + 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.col(c).substr(i, size)))
 
-def fuzzy_search(queries: DataFrame, products: DataFrame, cut: float = 0.12, limit: int = 10) -> DataFrame:
-    """Q15: the ``limit`` products most like each query (id, text); candidates share a word's first three
-    letters, priced products first."""
+    def inside(inner: DataFrame, i: str, outer: DataFrame, o: str) -> DataFrame:
+        """Pairs whose ``inner`` name is a part of the ``outer`` one."""
+        own = inner.withColumn("size", F.least(F.length(f"{i}_n"), F.lit(least))).withColumn("g", F.explode(pieces(f"{i}_n", F.col("size"))))
+        spread = own.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+        rare = own.join(spread, "g").groupBy(i, f"{i}_n", "size").agg(F.min(F.struct("df", "g")).alias("k")).select(i, f"{i}_n", "size", F.col("k.g").alias("g"))
+        sizes = outer.withColumn("size", F.explode(F.sequence(F.lit(1), F.lit(least)))).join(rare.select("size").distinct(), "size", "left_semi")
+        return sizes.withColumn("g", F.explode(pieces(f"{o}_n", F.col("size")))).join(rare, ["size", "g"]).where(F.col(f"{o}_n").contains(F.col(f"{i}_n"))).select("vendor_id", "vendor_id_n", "supplier_id", "supplier_id_n")
+
+    hit = inside(a, "vendor_id", b, "supplier_id").unionByName(inside(b, "supplier_id", a, "vendor_id")).distinct()
+    return _best(hit, ["vendor_id"], [F.when(F.col("vendor_id_n") == F.col("supplier_id_n"), 0).otherwise(1), "supplier_id"]).select("vendor_id", "supplier_id")
+
+
+def _ranked_names(queries: DataFrame, products: DataFrame, cut: float, limit: int, among=None) -> DataFrame:
+    """(query_id, product_id, score, rank): the ``limit`` products of each query by priced first, score, id.  A query's
+    word list and a name's are compared once however many rows have them; of the products of one name only the first
+    ``limit`` priced and unpriced ones can be among the ``limit``.  ``among`` is a further condition on (q, p)."""
     q = queries.select(F.col("id").alias("query_id"), T.tokenize_name("text").alias("q"))
     p = products.select(F.col("id").alias("product_id"), T.tokenize_name("name").alias("p"), "priced")
-    key = lambda c: F.array_distinct(F.transform(F.filter(c, lambda w: F.length(w) >= 3), lambda w: F.substring(w, 1, 3)))
-    pairs = q.select("query_id", F.explode(key("q")).alias("k")).join(p.select("product_id", F.explode(key("p")).alias("k")), "k").select("query_id", "product_id").distinct()
-    scored = pairs.join(q, "query_id").join(p, "product_id").withColumn("score", F.round(T.name_similarity("q", "p"), 9)).where(F.col("score") >= cut)
-    return _best(scored, ["query_id"], [F.when(F.col("priced"), 0).otherwise(1), F.desc("score"), "product_id"], limit).select("query_id", "product_id", "score", "rank")
+    met = in_blocks(q.select("q").distinct(), p.select("p").distinct(), F.col("p"))
+    if among is not None:
+        met = met.where(among)
+    scored = met.withColumn("score", F.round(T.name_similarity("q", "p"), 9)).where(F.col("score") >= cut)
+    heads = _best(p, ["p", "priced"], ["product_id"], limit).drop("rank")
+    best = _best(scored.join(heads, "p"), ["q"], [F.when(F.col("priced"), 0).otherwise(1), F.desc("score"), "product_id"], limit)
+    return q.join(best.select("q", "product_id", "score", "rank"), "q").select("query_id", "product_id", "score", "rank")
+
+
+def fuzzy_search(queries: DataFrame, products: DataFrame, cut: float = 0.12, limit: int = 10) -> DataFrame:
+    """Q15: the ``limit`` products most like each query (id, text) of a query set, priced ones first.  Every name is
+    compared, so no candidate is lost."""
+    return _ranked_names(queries, products, cut, limit)
+
+
+def substitutes_for(hits: DataFrame, products: DataFrame, cut: float = 0.12, limit: int = 3) -> DataFrame:
+    """Q19: priced products to offer for unpriced hits (id, text): those whose name has one of the three longest words
+    of three letters or more in it, ranked by likeness to the whole name."""
+    letters = F.array_distinct(F.filter("q", lambda w: (F.length(w) >= 3) & w.rlike("[a-z]")))
+    longest = F.transform(F.slice(F.array_sort(F.transform(letters, lambda w: F.struct((-F.length(w)).alias("n"), F.array_position("q", w).alias("i"), w.alias("w")))), 1, 3), lambda x: x["w"])
+    name = F.array_join("p", " ")
+    return _ranked_names(hits, products.where("priced"), cut, limit, F.exists(longest, lambda w: F.contains(name, w)))
 
 
 def resolve_barcodes(scans: DataFrame, products: DataFrame, references: DataFrame) -> DataFrame:
@@ -146,16 +173,76 @@ def match_invoice_lines(lines: DataFrame, listings: DataFrame, cut: float = 0.55
     return l.select("line_id").join(best, "line_id", "left").select("line_id", "listing_id", status.alias("match_status"), F.coalesce("confidence", F.lit(0)).alias("confidence"))
 
 
-def rank_evidence(signals: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Q25: candidates of each signal from tagged reasons (signal_id, candidate_id, reason): weights joined as
-    independent signals, banded, the weak ones dropped, ranked."""
-    weight = F.lit(0.0)
-    for reason, w in weights.items():
-        weight = F.when(F.col("reason") == reason, F.lit(w)).otherwise(weight)
-    rows = signals.distinct().withColumn("w", weight).groupBy("signal_id", "candidate_id").agg(F.array_sort(F.collect_list("w")).alias("ws"), F.count(F.lit(1)).alias("n_reasons"))
-    scored = rows.withColumn("score", F.round(C.noisy_or(F.col("ws")), 9)).withColumn("strength", C.strength_band(F.col("score"))).where("strength IS NOT NULL")
-    rank = F.row_number().over(W.partitionBy("signal_id").orderBy(F.desc("score"), F.desc("n_reasons"), "candidate_id"))
-    return scored.withColumn("rank", rank).select("signal_id", "candidate_id", "score", "strength", "n_reasons", "rank")
+#: Q25: how much each kind of agreement says (fixed values).
+EVIDENCE = {"barcode": 0.97, "lot": 0.7, "expiry": 0.4, "name": 0.55, "part_of_name": 0.3, "place": 0.72, "part_of_place": 0.42}
+HELD, REPORTED, POSSIBLE = 0.85, 0.3, 0.45
+
+
+def _named(signals: DataFrame, text: str, pool: DataFrame, names: list[str], whole: str, part: str) -> DataFrame:
+    """(signal_id, id, reason, w) where a pool row has 60 % or 34 % of the words of a signal's text in one of its names."""
+    q = signals.select("signal_id", T.tokenize_name(text).alias("q")).where(F.size("q") > 0)
+    p = pool.select("id", *[T.tokenize_name(F.coalesce(n, F.lit(""))).alias(f"p{i}") for i, n in enumerate(names)])
+    cols = [f"p{i}" for i in range(len(names))]
+    met = in_blocks(q.select("q").distinct(), p.select(*cols).distinct(), F.struct(*cols))
+    recall = F.greatest(F.lit(0.0), *[_recall(c) for c in cols])
+    met = met.withColumn("r", recall).where(F.col("r") >= 0.34)
+    reason = F.when(F.col("r") >= 0.6, whole).otherwise(part)
+    weight = F.when(F.col("r") >= 0.6, EVIDENCE[whole]).otherwise(EVIDENCE[part])
+    return met.select("q", *cols, reason.alias("reason"), weight.alias("w")).join(q, "q").join(p, cols).select("signal_id", "id", "reason", "w")
+
+
+def _recall(c: str) -> F.Column:
+    return F.size(F.filter("q", lambda w: F.array_contains(F.col(c), w))) / F.size("q")
+
+
+def _weighed(reasons: DataFrame) -> DataFrame:
+    """(signal_id, id, score, n_reasons) of (signal_id, id, reason, w): independent signals joined, weak ones dropped."""
+    score = 1 - F.exp(F.sum(F.log1p(-F.col("w"))))
+    return reasons.groupBy("signal_id", "id").agg(F.round(score, 9).alias("score"), F.count(F.lit(1)).alias("n_reasons")).where(F.col("score") >= REPORTED)
+
+
+def rank_evidence(signals: DataFrame, supplier_products: DataFrame, canonicals: DataFrame, inventory: DataFrame, locations: DataFrame) -> DataFrame:
+    """Q25: (signal_id, target_type, target_id, score, strength, n_reasons, rank) of what documents may be about.
+
+    Signals are (signal_id, sku, manufacturer_sku, barcode, product_name, lot_number, expiration_date, location_hint);
+    the pools (id, sku, manufacturer_sku, barcode, name, canonical_id), (id, name), (id, location_id, name, barcode,
+    lot_number, expiration_date) and (id, name, type).  A possible supplier product promotes its canonical product with
+    its own score; a possible shelf item its location, with HELD of it."""
+    sku, lot = T.normalize_sku, T.normalize_sku
+    s = signals.select(
+        "signal_id", sku("sku").alias("sku"), sku("manufacturer_sku").alias("mfr"), C.canonical_gtin("barcode").alias("gtin"), lot("lot_number").alias("lot"),
+        F.to_date("expiration_date").alias("day"), "product_name", "location_hint",
+    )
+    why = lambda df, reason, w: df.select("signal_id", "id", F.lit(reason).alias("reason"), w.alias("w")).distinct()
+    product_names = lambda pool: _named(s.where("product_name IS NOT NULL"), "product_name", pool, ["name"], "name", "part_of_name")
+
+    sp = supplier_products.select("id", sku("sku").alias("sp_sku"), sku("manufacturer_sku").alias("sp_mfr"), C.canonical_gtin("barcode").alias("k"))
+    codes = sp.select("id", F.explode(F.array_distinct(F.array("sp_sku", "sp_mfr"))).alias("code")).where("code <> ''")
+    by_mfr = s.where("mfr <> sku").join(codes, F.col("mfr") == F.col("code"))
+    products = why(s.where("gtin <> ''").join(sp, F.col("gtin") == F.col("k")), "barcode", F.lit(EVIDENCE["barcode"]))
+    products = products.unionByName(why(s.join(codes, F.col("sku") == F.col("code")), "sku", T.sku_strength(F.col("sku")))).unionByName(why(by_mfr, "mfr", T.sku_strength(F.col("mfr"))))
+    products = _weighed(products.unionByName(product_names(supplier_products)))
+
+    promoted = products.where(F.col("score") >= POSSIBLE).join(supplier_products.select("id", "canonical_id"), "id").where("canonical_id IS NOT NULL")
+    promoted = promoted.select("signal_id", F.col("canonical_id").alias("id"), F.lit("carried").alias("reason"), F.col("score").alias("w")).join(canonicals.select("id"), "id", "left_semi")
+    kinds = _weighed(product_names(canonicals).unionByName(promoted))
+
+    inv = inventory.select("id", C.canonical_gtin("barcode").alias("k"), lot("lot_number").alias("l"), F.to_date("expiration_date").alias("d"))
+    items = why(s.where("gtin <> ''").join(inv, F.col("gtin") == F.col("k")), "barcode", F.lit(EVIDENCE["barcode"]))
+    items = items.unionByName(why(s.where("lot <> ''").join(inv, F.col("lot") == F.col("l")), "lot", F.lit(EVIDENCE["lot"]))).unionByName(why(s.join(inv, F.col("day") == F.col("d")), "expiry", F.lit(EVIDENCE["expiry"])))
+    items = _weighed(items.unionByName(product_names(inventory)))
+
+    held = items.where(F.col("score") >= POSSIBLE).join(inventory.select("id", "location_id"), "id").select("signal_id", F.col("location_id").alias("id"), F.lit("holds").alias("reason"), (F.col("score") * HELD).alias("w"))
+    places = _named(s.where("location_hint IS NOT NULL"), "location_hint", locations, ["name", "type"], "place", "part_of_place").unionByName(held.join(locations.select("id"), "id", "left_semi"))
+
+    found = None
+    for kind, df in (("supplier_product", products), ("canonical_product", kinds), ("inventory_item", items), ("location", _weighed(places))):
+        one = df.select("signal_id", F.lit(kind).alias("target_type"), F.col("id").cast("string").alias("target_id"), "score", "n_reasons")
+        found = one if found is None else found.unionByName(one)
+    band = F.when(F.col("score") >= 0.8, 0).when(F.col("score") >= POSSIBLE, 1).otherwise(2)
+    rank = F.row_number().over(W.partitionBy("signal_id").orderBy("band", F.desc("n_reasons"), "target_id", "target_type"))
+    ranked = found.withColumn("band", band).withColumn("rank", rank)
+    return ranked.select("signal_id", "target_type", "target_id", "score", F.element_at(F.array(F.lit("strong"), F.lit("possible"), F.lit("weak")), F.col("band") + 1).alias("strength"), "n_reasons", "rank")
 
 
 # --- queries
@@ -165,42 +252,58 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def j08_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth part against all parts, by the words they share."""
     p = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.split(F.lower(F.concat_ws(" ", "p_name", "p_type", F.lower("p_brand"))), " ").alias("words"))
-    return overlap_join(p.where("id % 20 = 1"), p, 2)
+    return overlap_join(p.where("id % 50 = 0"), p, 2)
 
 
 def j10_suffix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _read(spark, sf_dir, "part")
-    return suffix_join(p.select(F.col("p_partkey").alias("id"), F.concat(F.lit("219"), F.lower("p_brand"), "p_size").alias("code")), p.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("id"), F.concat(F.substring(F.lower("p_brand"), 2, 20), "p_size").alias("model")))
+    return suffix_join(p.select(F.col("p_partkey").alias("id"), F.concat(F.lit("219"), F.lower("p_brand"), "p_partkey").alias("code")), p.select(F.col("p_partkey").alias("id"), F.concat(F.substring(F.lower("p_brand"), 2, 20), "p_partkey").alias("model")))
 
 
-def _vendors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    s = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.translate("s_name", "#", " ").alias("name"))
-    return s.withColumn("name", F.concat("name", F.lit(" inc"))), s
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
 
 
 def j16_vendor_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, s = _vendors(spark, sf_dir)
-    return vendor_jaccard(v, s)
+    s = _suppliers(spark, sf_dir)
+    n = F.element_at(F.split("name", "#"), -1)
+    vendors = s.select("id", F.when(F.col("id") % 3 == 0, F.concat("name", F.lit(" Inc."))).when(F.col("id") % 3 == 1, F.concat(F.lit("trading house SUPPLIER "), n)).otherwise(F.concat(n, F.lit(" trading house co"))).alias("name"))
+    return vendor_jaccard(vendors, s)
 
 
 def j17_vendor_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, s = _vendors(spark, sf_dir)
-    return vendor_contains(v, s, 12)
+    s = _suppliers(spark, sf_dir)
+    n = F.element_at(F.split("name", "#"), -1)
+    vendors = s.select("id", F.when(F.col("id") % 4 == 0, F.upper("name")).when(F.col("id") % 4 == 1, F.concat(F.lit("The "), "name", F.lit(" Company"))).when(F.col("id") % 4 == 2, F.right(n, F.lit(3))).otherwise(F.concat(n, F.lit(" House"))).alias("name"))
+    return vendor_contains(vendors, s)
+
+
+def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("name"), (F.col("p_retailprice") > 1000).alias("priced"))
 
 
 def q15_fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth part's name, cut short, as a query against all parts."""
     p = _read(spark, sf_dir, "part")
-    products = p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("name"), (F.col("p_retailprice") > 1000).alias("priced"))
-    return fuzzy_search(p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("text")), products)
+    return fuzzy_search(p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("id"), F.concat(F.substring("p_name", 1, 6), F.lit(" "), F.lower("p_type")).alias("text")), _products(spark, sf_dir))
+
+
+def q19_name_substitutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _products(spark, sf_dir)
+    return substitutes_for(p.where("NOT priced AND id % 50 = 0").select("id", F.col("name").alias("text")), p)
 
 
 def q16_barcode_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _read(spark, sf_dir, "part").withColumn("body", F.lpad(F.col("p_partkey").cast("string"), 12, "0"))
-    products = p.select(F.col("p_partkey").alias("product_id"), F.concat("body", C.check_digit(F.col("body"))).alias("barcode"), F.concat(F.lit("SKU"), "p_partkey").alias("sku"))
-    case = F.concat(F.lit("1"), "body")
-    scans = p.select(F.col("p_partkey").alias("scan_id"), F.when(F.col("p_partkey") % 3 == 0, F.concat("body", C.check_digit(F.col("body")))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("+D701SKU"), "p_partkey", F.lit("1X"))).otherwise(F.concat(case, C.check_digit(case))).alias("code"))
-    return resolve_barcodes(scans, products, products.select(F.col("barcode").alias("gtin"), F.lit("none").alias("model_norm")).where("false"))
+    """Scans of each part: its own code, an industry code, a code that only the references know, its case's code."""
+    p = _read(spark, sf_dir, "part").withColumn("body", F.lpad(F.col("p_partkey").cast("string"), 12, "0")).withColumn("kind", F.col("p_partkey") % 4)
+    coded = lambda b: F.concat(b, C.check_digit(b))
+    products = p.select(F.col("p_partkey").alias("product_id"), coded(F.col("body")).alias("barcode"), F.concat(F.lit("SKU"), "p_partkey").alias("sku"))
+    other = F.concat(F.lit("9"), F.substring("body", 2, 11))
+    scans = p.select(F.col("p_partkey").alias("scan_id"), F.when(F.col("kind") == 0, coded(F.col("body"))).when(F.col("kind") == 1, F.concat(F.lit("+D701SKU"), "p_partkey", F.lit("1X"))).when(F.col("kind") == 2, coded(other)).otherwise(coded(F.concat(F.lit("1"), "body"))).alias("code"))
+    references = p.where("kind = 2").select(coded(other).alias("gtin"), F.concat(F.lit("sku"), "p_partkey").alias("model_norm"))
+    return resolve_barcodes(scans, products, references)
 
 
 def q21_invoice_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,20 +317,57 @@ def q21_invoice_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q25_evidence_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _read(spark, sf_dir, "events").select(F.col("user_id").alias("signal_id"), F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("candidate_id"), F.col("event_type").alias("reason"))
-    kinds = ["click", "view", "purchase", "login", "logout", "signup", "error"]
-    return rank_evidence(e, {k: round(0.2 + 0.08 * n, 2) for n, k in enumerate(kinds)})
+    """Every fiftieth event as a document's signal, against parts, product kinds, shelf items and nations."""
+    p = _read(spark, sf_dir, "part").withColumn("body", F.lpad(F.col("p_partkey").cast("string"), 12, "0"))
+    name, kind = F.concat_ws(" ", "p_name", "p_type", "p_brand"), F.concat_ws(" ", "p_name", "p_type")
+    products = p.select(F.col("p_partkey").alias("id"), F.concat(F.lit("K"), "p_partkey", F.lit("X")).alias("sku"), F.concat("p_brand", F.lit("-"), "p_partkey").alias("manufacturer_sku"), F.concat("body", C.check_digit(F.col("body"))).alias("barcode"), name.alias("name"), F.sha1(kind).alias("canonical_id"))
+    canonicals = p.select(F.sha1(kind).alias("id"), kind.alias("name")).distinct()
+    e = _read(spark, sf_dir, "events").withColumn("code", F.regexp_extract("props", "([0-9]+)", 1).cast("long"))
+    known = p.select(F.col("p_partkey").alias("code"), F.concat("body", C.check_digit(F.col("body"))).alias("barcode"), name.alias("name"))
+    item = e.join(known, "code")
+    inventory = item.select(F.col("event_id").alias("id"), (F.col("user_id") % 25).alias("location_id"), "name", F.when(F.col("event_id") % 2 == 0, F.col("barcode")).alias("barcode"), F.concat("event_type", F.col("event_id") % 97).alias("lot_number"), F.date_add("ts", 30).alias("expiration_date"))
+    n = _read(spark, sf_dir, "nation").join(_read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    locations = n.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.col("r_name").alias("type"))
+    none = F.lit(None).cast("string")
+    signals = item.where("event_id % 50 = 0").select(
+        F.col("event_id").alias("signal_id"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("k-"), "code", F.lit("-x"))).alias("sku"), none.alias("manufacturer_sku"), F.when(F.col("event_id") % 4 == 1, F.col("barcode")).alias("barcode"),
+        F.when(F.col("event_id") % 5 > 1, F.col("name")).alias("product_name"), F.concat("event_type", F.col("event_id") % 97).alias("lot_number"), F.when(F.col("event_id") % 7 == 0, F.date_add("ts", 30)).alias("expiration_date"),
+        F.when(F.col("event_id") % 8 == 0, F.concat(F.lit("shelf in nation "), F.col("user_id") % 25)).alias("location_hint"),
+    )
+    return rank_evidence(signals, products, canonicals, inventory, locations)
 
 
-QUERIES = {f.__name__: f for f in (j08_overlap_join, j10_suffix_join, j16_vendor_jaccard, j17_vendor_contains, q15_fuzzy_search, q16_barcode_resolution, q21_invoice_match, q25_evidence_ranking)}
+QUERIES = {f.__name__: f for f in (j08_overlap_join, j10_suffix_join, j16_vendor_jaccard, j17_vendor_contains, q15_fuzzy_search, q16_barcode_resolution, q19_name_substitutes, q21_invoice_match, q25_evidence_ranking)}
+_NUMBER = "split_part(s_name, '#', 2)"
+_WORDS = "list_distinct(list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda w: w <> ''))"
+_CODED = "concat({b}, CAST((10 - list_sum(list_transform(range(1, length({b}) + 1), lambda i: CAST(substr({b}, i, 1) AS INT) * CASE WHEN (length({b}) - i) % 2 = 0 THEN 3 ELSE 1 END)) % 10) % 10 AS INT))"
 ORACLES = {
     "j08_overlap_join": """
-        WITH w AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(lower(concat(p_name, ' ', p_type, ' ', lower(p_brand))), ' ')) AS word FROM part),
-             rare AS (SELECT word FROM w GROUP BY word HAVING count(*) <= 600)
-        SELECT a.id AS left_id, b.id AS right_id, count(*) AS shared FROM w a JOIN w b ON b.word = a.word WHERE a.id % 20 = 1 AND a.word IN (SELECT word FROM rare) GROUP BY a.id, b.id HAVING count(*) >= 2""",
+        WITH w AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(lower(concat(p_name, ' ', p_type, ' ', lower(p_brand))), ' ')) AS word FROM part)
+        SELECT a.id AS left_id, b.id AS right_id, count(*) AS shared FROM w a JOIN w b ON b.word = a.word WHERE a.id % 50 = 0 GROUP BY a.id, b.id HAVING count(*) >= 2""",
     "j10_suffix_join": """
-        SELECT a.p_partkey AS code_id, b.p_partkey AS model_id FROM part a JOIN part b ON b.p_partkey % 10 = 0 AND length(concat(substr(lower(b.p_brand), 2, 20), b.p_size)) >= 5
-          AND suffix(concat('219', lower(a.p_brand), a.p_size), concat(substr(lower(b.p_brand), 2, 20), b.p_size))""",
-    "j16_vendor_jaccard": "SELECT s_suppkey AS vendor_id, s_suppkey AS supplier_id, 2.0 / 3 AS score FROM supplier",
-    "j17_vendor_contains": "SELECT s_suppkey AS vendor_id, s_suppkey AS supplier_id FROM supplier",
+        SELECT a.p_partkey AS code_id, b.p_partkey AS model_id FROM part a JOIN part b ON length(concat(substr(lower(b.p_brand), 2, 20), b.p_partkey)) >= 5
+          AND suffix(concat('219', lower(a.p_brand), a.p_partkey), concat(substr(lower(b.p_brand), 2, 20), b.p_partkey))""",
+    "j16_vendor_jaccard": f"""
+        WITH v AS (SELECT id, {_WORDS} AS w FROM (SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN concat(s_name, ' Inc.') WHEN 1 THEN concat('trading house SUPPLIER ', {_NUMBER}) ELSE concat({_NUMBER}, ' trading house co') END AS name FROM supplier) x),
+             s AS (SELECT id, {_WORDS} AS w FROM (SELECT s_suppkey AS id, s_name AS name FROM supplier) y)
+        SELECT vendor_id, supplier_id, score FROM (SELECT v.id AS vendor_id, s.id AS supplier_id, len(list_intersect(v.w, s.w)) * 1.0 / len(list_distinct(list_concat(v.w, s.w))) AS score,
+          row_number() OVER (PARTITION BY v.id ORDER BY len(list_intersect(v.w, s.w)) * 1.0 / len(list_distinct(list_concat(v.w, s.w))) DESC, s.id) AS rn FROM v, s) q WHERE rn = 1 AND score >= 0.5""",
+    "j17_vendor_contains": f"""
+        WITH v AS (SELECT s_suppkey AS id, regexp_replace(lower(CASE s_suppkey % 4 WHEN 0 THEN upper(s_name) WHEN 1 THEN concat('The ', s_name, ' Company') WHEN 2 THEN right({_NUMBER}, 3) ELSE concat({_NUMBER}, ' House') END), '[^a-z0-9]', '', 'g') AS n FROM supplier),
+             s AS (SELECT s_suppkey AS id, regexp_replace(lower(s_name), '[^a-z0-9]', '', 'g') AS n FROM supplier)
+        SELECT vendor_id, supplier_id FROM (SELECT v.id AS vendor_id, s.id AS supplier_id, row_number() OVER (PARTITION BY v.id ORDER BY CASE WHEN v.n = s.n THEN 0 ELSE 1 END, s.id) AS rn
+          FROM v, s WHERE contains(v.n, s.n) OR contains(s.n, v.n)) q WHERE rn = 1""",
+    "q16_barcode_resolution": f"""
+        WITH p AS (SELECT p_partkey AS id, p_partkey % 4 AS kind, lpad(CAST(p_partkey AS VARCHAR), 12, '0') AS body FROM part),
+             x AS (SELECT id, kind, {_CODED.format(b="body")} AS own, {_CODED.format(b="concat('9', substr(body, 2, 11))")} AS other, {_CODED.format(b="concat('1', body)")} AS box FROM p),
+             products AS (SELECT id AS product_id, ltrim(own, '0') AS k, concat('SKU', id) AS sku FROM x),
+             scans AS (SELECT id AS scan_id, CASE kind WHEN 0 THEN own WHEN 1 THEN concat('+D701SKU', id, '1X') WHEN 2 THEN other ELSE box END AS code FROM x),
+             refs AS (SELECT ltrim(other, '0') AS k, concat('sku', id) AS model FROM x WHERE kind = 2),
+             found AS (
+               SELECT scan_id, 1 AS tier, product_id FROM scans JOIN products ON products.k = ltrim(code, '0') AND regexp_full_match(code, '[0-9]{{8,14}}') AND products.k <> ''
+               UNION SELECT scan_id, 2, product_id FROM scans JOIN products ON code LIKE '+%' AND sku = substr(code, 6, length(code) - 7)
+               UNION SELECT scan_id, 3, product_id FROM scans JOIN refs ON refs.k = ltrim(code, '0') JOIN products ON lower(sku) = model
+               UNION SELECT scan_id, 4, product_id FROM scans JOIN products ON regexp_full_match(code, '[1-8][0-9]{{13}}') AND products.k <> '' AND products.k = ltrim({_CODED.format(b="concat('0', substr(code, 2, 12))")}, '0'))
+        SELECT scan_id, tier, product_id FROM (SELECT *, min(tier) OVER (PARTITION BY scan_id) AS least FROM found) q WHERE tier = least""",
 }

@@ -36,9 +36,8 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_invoice_csv(spark: SparkSession, path: str) -> DataFrame:
     """SRC05: description, sku, qty, unit, unit_price_cents; descriptions of 3 or more characters."""
     df = read_csv(spark, path)
-    known = {c.strip().lower(): c for c in df.columns}
-    pick = lambda name: next((F.col(f"`{known[a]}`") for a in INVOICE_ALIASES[name] if a in known), F.lit(None).cast("string"))
-    money = F.regexp_replace(pick("price"), "[^0-9.]", "").try_cast("double")
+    pick = lambda name: next((F.col(f"`{c}`") for c in df.columns if c.strip().lower() in INVOICE_ALIASES[name]), F.lit(None).cast("string"))
+    money = F.regexp_replace(pick("price"), r"[$,\s]", "").try_cast("double")
     out = df.select(
         F.trim(pick("description")).alias("description"), pick("sku").alias("sku"), F.coalesce(pick("qty").try_cast("double"), F.lit(1.0)).alias("qty"),
         pick("unit").alias("unit"), F.floor(money * 100 + 0.5).cast("long").alias("unit_price_cents"),

@@ -25,7 +25,7 @@ def _folded(spark: SparkSession, stream: DataFrame, merge: S.Merge) -> DataFrame
 
 def st01_latest_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _stream(spark, sf_dir, "lineitem").select(
-        (F.col("l_suppkey") * 1000000 + F.col("l_partkey")).alias("listing_id"), F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long").alias("price_cents"),
+        F.concat_ws("-", "l_suppkey", "l_partkey").alias("listing_id"), F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long").alias("price_cents"),
         F.col("l_shipdate").alias("captured_at"), F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"),
     )
     return _folded(spark, s, S.merge_latest_price)
@@ -81,7 +81,7 @@ QUERIES = {f.__name__: f for f in (st01_latest_price, st02_catalog_reconcile, st
 ORACLES = {
     "st01_latest_price": """
         SELECT listing_id, price_cents, captured_at, order_id, line_no FROM (
-          SELECT l_suppkey * 1000000 + l_partkey AS listing_id, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS price_cents, l_shipdate AS captured_at, l_orderkey AS order_id, l_linenumber AS line_no,
+          SELECT concat(l_suppkey, '-', l_partkey) AS listing_id, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS price_cents, l_shipdate AS captured_at, l_orderkey AS order_id, l_linenumber AS line_no,
                  row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_shipdate DESC NULLS LAST, l_orderkey DESC, l_linenumber DESC) AS rn FROM lineitem) q WHERE rn = 1""",
     "st02_catalog_reconcile": "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_id % 3 > 0)",
     "st03_scan_upsert": """

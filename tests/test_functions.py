@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.functions import codes as C, text as T
+from shelfmark.functions import codes as C, packs as P, text as T
 from shelfmark.operators import matching as M, plan
 from shelfmark.session import saver
 from shelfmark.sources import readers as R, sinks as S
@@ -18,7 +18,7 @@ def _one(spark, *columns):
 
 def test_pack_quantity(spark):
     cases = [("Pkg of 5", "", 5), ("100/Box", "", 100), ("", "Flexform Saliva Ejector 100/Pack", 100), ("", "Bur FG (12)", 12), ("", "Points 334 (1 x 8)", 8), ("", "Gloves Case of 1000", 1000), ("", "Elevator", None)]
-    assert _one(spark, *[T.parse_pack_quantity(F.lit(p), F.lit(n)) for p, n, _ in cases]) == [q for *_, q in cases]
+    assert _one(spark, *[P.parse_pack_quantity(F.lit(p), F.lit(n)) for p, n, _ in cases]) == [q for *_, q in cases]
 
 
 def test_sku_strength(spark):
@@ -93,7 +93,7 @@ def test_a_listing_without_pack_does_not_weld_two(spark):
 
 
 def test_readers(spark, tmp_path):
-    (tmp_path / "i.csv").write_text('Item Description,Qty,Unit Price,SKU\n"Gloves ""L"", blue",2,"$1,012.50",AB-1\n\n,,,\nab,1,2,3\nGauze pads,,3.10,\n')
+    (tmp_path / "i.csv").write_text('Description,Qty,Unit Price,SKU\n"Gloves ""L"", blue",2,"$1,012.50",AB-1\n\n,,,\nab,1,2,3\nGauze pads,,3.10,\n')
     rows = R.read_invoice_csv(spark, str(tmp_path / "i.csv")).collect()
     assert [(r.description, r.qty, r.unit_price_cents) for r in rows] == [('Gloves "L", blue', 2.0, 101250), ("Gauze pads", 1.0, 310)]
     lines = spark.createDataFrame([("AB-123 Gloves nitrile 3 $10.00 $30.00",), ("nothing here",)], "line string")
@@ -157,9 +157,9 @@ def test_stored_packs(spark):
         ("200/Box", "", 200, "box", "each"), ("20 - 0.2g Capsules", "", 20, "pack", "each"), ("24x1.2mL Syringe", "", 24, "pack", "each"), ("Pkg of 10", "", 10, "pack", "each"),
         ("Case of 10", "", 10, "case", "each"), ("10 x 100", "", 1000, "case", "each"), ("", "Gauze (Pkg. 200)", 200, "pack", "each"), ("60/Can x 12/Case", "", 720, "case", "each"), ("Jar 50gm", "", 50, "each", "g"),
     ]
-    got = _one(spark, *[A.parse_pack(F.lit(p), F.lit(n)) for p, n, *_ in cases])
+    got = _one(spark, *[P.parse_pack(F.lit(p), F.lit(n)) for p, n, *_ in cases])
     assert [(int(g.pack_quantity), g.basis, g.base_unit) for g in got] == [tuple(c[2:]) for c in cases]
-    assert _one(spark, A.parse_pack(F.lit("Set-up Tray Box 3 System"), F.lit("")))[0] is None
+    assert _one(spark, P.parse_pack(F.lit("Set-up Tray Box 3 System"), F.lit("")))[0] is None
 
 
 def test_label_text(spark):

@@ -52,7 +52,7 @@ def test_query(spark, data, duck, name):
 
 def test_live_listing_agrees_with_the_model(spark, data):
     live = QUERIES["q01_category_listing_live"](spark, data).select("group_id", "listing_id")
-    model = catalog.run(spark, data, "SELECT group_id, min_by(listing_id, unit_price_cents * 1000000000 + listing_id) AS listing_id FROM listed_offer WHERE category ILIKE 'STANDARD%' GROUP BY group_id")
+    model = catalog.run(spark, data, "SELECT group_id, min_by(listing_id, (unit_price_cents, price_cents, supplier_id, canonical_id)) AS listing_id FROM listed_offer WHERE category ILIKE 'STANDARD%' GROUP BY group_id")
     assert live.join(model, ["group_id", "listing_id"], "left_anti").count() == 0
 
 

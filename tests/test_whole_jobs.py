@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
-from shelfmark.operators import axis_queries, matching as M, search
+from shelfmark.functions import text as T
+from shelfmark.operators import matching as M, overlap, search
 from shelfmark.session import saver
 
 
@@ -60,12 +63,77 @@ def test_common_words_are_indexed(spark):
     assert [r.key for r in keys.collect()] == ["words:acme:fine:paper"]
 
 
-def test_name_brand_probe_keeps_long_lists(spark, tmp_path):
-    rows = [(i, "Acme", "Fine Point", i % 7) for i in range(130)]
-    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_name string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
-    got = axis_queries.er19_name_brand_probe(spark, str(tmp_path)).collect()
-    want = {(a, b) for b in range(130) for a in range(b) if abs(a % 7 - b % 7) <= 2}
-    assert len(got) == len(want) and {tuple(r) for r in got} == want
+def test_name_brand_probe(spark):
+    """Pairs of one brand and different suppliers by likeness, in groups; long lists keep all their pairs."""
+    f = _features(spark, 130, "", "Fine Paper Point")
+    save = saver(spark)
+    got = M.name_brand_probe(M.candidate_pairs(M.blocking_index(f), 50), save(f), save).collect()
+    assert {(r.left_id, r.right_id) for r in got} == {(a, b) for b in range(130) for a in range(b)} and {(r.high, r.group) for r in got} == {(True, 0)}
+    rows = [(1, "a", "", "Acme", "Fine Paper Point Large"), (2, "b", "", "Acme", "Fine Paper Point Small"), (3, "b", "", "Other", "Fine Paper Point Large"), (4, "a", "", "Acme", "Fine Paper Points Large"), (5, "c", "", "Acme", "Fine Paper Point Holder Large Kit Blue")]
+    f = save(M.features(spark.createDataFrame([(*r, "") for r in rows], "listing_id long, supplier_id string, sku string, brand string, name string, pack_size string")))
+    got = {(r.left_id, r.right_id): r for r in M.name_brand_probe(M.candidate_pairs(M.blocking_index(f)), f, save, 0.5, 0.9).collect()}
+    assert set(got) == {(1, 5), (4, 5)} and not any(r.high for r in got.values())
+
+
+def test_similar_sets(spark):
+    draw = random.Random(3)
+    sets = {i: sorted({"supplier", *(f"w{draw.randrange(12)}" for _ in range(draw.randrange(1, 7)))}) for i in range(150)}
+    left = spark.createDataFrame(list(sets.items()), "left_set long, left_words array<string>")
+    for least in (0.5, 0.8):
+        want = {(a, b, round(j, 9)) for a in sets for b in sets if (j := len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]})) >= least}
+        got = overlap.similar_sets(left, left.withColumnsRenamed({"left_set": "right_set", "left_words": "right_words"}), least).collect()
+        assert len(got) == len(want) and {(r.left_set, r.right_set, round(r.likeness, 9)) for r in got} == want
+
+
+def test_vendor_names_contain(spark):
+    names = spark.createDataFrame(list(enumerate(["Abc", "the ABC corp of long names", "bc", "xyz", "", None, "longnames co"])), "id int, name string")
+    suppliers = spark.createDataFrame([(1, "Abc Corp"), (2, "abc"), (3, "B"), (4, "of long names company"), (5, "")], "id int, name string")
+    assert {tuple(r) for r in search.vendor_contains(names, suppliers, 4).collect()} == {(0, 2), (1, 1), (2, 1)} | {(6, 4)}
+
+
+def test_fuzzy_search_compares_every_name(spark, data):
+    got = search.q15_fuzzy_search(spark, data).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "product_id", "score"))).alias("l")).collect()
+    p = spark.read.parquet(f"{data}/part.parquet")
+    q = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("q_id"), T.tokenize_name(F.concat(F.substring("p_name", 1, 6), F.lit(" "), F.lower("p_type"))).alias("q"))
+    scored = q.crossJoin(search._products(spark, data).withColumn("p", T.tokenize_name("name"))).select("q_id", "id", "priced", F.round(T.name_similarity("q", "p"), 9).alias("s")).where("s >= 0.12").collect()
+    want = {}
+    for r in scored:
+        want.setdefault(r.q_id, []).append((not r.priced, -r.s, r.id))
+    assert {r.query_id: [(x.product_id, x.score) for x in r.l] for r in got} == {k: [(i, -s) for _, s, i in sorted(v)[:10]] for k, v in want.items()}
+
+
+def test_evidence_pools(spark):
+    """A supplier's product promotes its kind, a shelf item its place; weights join as independent signals."""
+    s = "signal_id int, sku string, manufacturer_sku string, barcode string, product_name string, lot_number string, expiration_date date, location_hint string"
+    signals = spark.createDataFrame([(1, "DCG30-UNI", None, None, "Cameron Elevator", "L-1", None, None), (2, None, None, None, None, None, None, "store room"), (3, "", None, "", "zzz", "", None, None)], s)
+    products = spark.createDataFrame([("msp_1", "dcg30uni", "", "", "Elevator Cameron large", "mcp_1"), ("msp_2", "99", "", "", "Gauze", "mcp_2")], "id string, sku string, manufacturer_sku string, barcode string, name string, canonical_id string")
+    kinds = spark.createDataFrame([("mcp_1", "Elevator"), ("mcp_2", "Gauze")], "id string, name string")
+    shelf = spark.createDataFrame([("i1", "loc1", "Elevator", None, "l1", None)], "id string, location_id string, name string, barcode string, lot_number string, expiration_date date")
+    places = spark.createDataFrame([("loc1", "Room 4", "op"), ("loc2", "Store room", "storage")], "id string, name string, type string")
+    got = {(r.signal_id, r.target_id): (r.strength, r.score, r.n_reasons, r.rank) for r in search.rank_evidence(signals, products, kinds, shelf, places).collect()}
+    sp = 1 - 0.05 * 0.45
+    item = 1 - 0.3 * 0.7
+    want = {(1, "msp_1"): ("strong", sp, 2, 1), (1, "mcp_1"): ("strong", 1 - (1 - sp) * 0.7, 2, 2), (1, "i1"): ("possible", item, 2, 3), (1, "loc1"): ("possible", item * 0.85, 1, 4), (2, "loc2"): ("possible", 0.72, 1, 1), (2, "loc1"): ("possible", 0.42, 1, 2)}
+    want[2, "loc1"] = ("weak", 0.42, 1, 2)
+    want[1, "mcp_1"], want[1, "msp_1"] = (*want[1, "mcp_1"][:3], 1), (*want[1, "msp_1"][:3], 2)
+    assert set(got) == set(want)
+    for k, (strength, score, n, rank) in want.items():
+        assert got[k][0] == strength and abs(got[k][1] - score) < 1e-6 and got[k][2:] == (n, rank), k
+
+
+def test_substitutes_by_words(spark):
+    rows = [(1, ["fine", "paper", "point"], ["acme"], {"size": ["L"]}, 100, 2), (2, ["fine", "paper", "point", "kit"], ["best"], {"size": ["L"]}, 60, 1), (3, ["fine", "paper", "point"], ["best"], {"size": ["S"]}, 50, 1), (4, ["fine", "paper", "point"], ["acme"], {}, 40, 1), (5, ["fine", "hat"], ["best"], {}, 10, 1), (6, ["paper", "point"], [], {}, 99, 1)]
+    got = M.substitutes(spark.createDataFrame(rows, "id int, words array<string>, brand_words array<string>, axes map<string,array<string>>, unit_price int, n_suppliers int")).collect()
+    assert [(r.id, r.substitute_id, round(r.likeness, 6), r.saving, r.rank) for r in got] == [(1, 2, 0.75, 40, 1), (1, 6, round(2 / 3, 6), 1, 2)]
+
+
+def test_families_and_orphans(spark):
+    """A size ladder is one family; a verbose listing without a brand joins it with a new size, not with one it has."""
+    names = [("a", "G1S", "Best", "Nitrile Exam Glove Textured Small"), ("a", "G1M", "Best", "Nitrile Exam Glove Textured Medium"), ("b", "Q9", "", "Best Nitrile Exam Glove Textured Fingertip Purple Extra Large"), ("b", "Q7", "", "Best Nitrile Exam Glove Textured Fingertip Blue Small")]
+    f = M.features(spark.createDataFrame([(i, s, sku, b, n, "") for i, (s, sku, b, n) in enumerate(names)], "listing_id long, supplier_id string, sku string, brand string, name string, pack_size string"))
+    members = f.select("listing_id", F.col("listing_id").alias("cluster"))
+    got = {r.cluster: (r.family, r.label) for r in M.families(members, saver(spark)(f)).collect()}
+    assert set(got) == {0, 1, 2} and len({k for k, _ in got.values()}) == 1 and [got[i][1] for i in range(3)] == ["Small", "Medium", "X-Large"]
 
 
 def test_invoice_match_reads_every_line(spark, data):
