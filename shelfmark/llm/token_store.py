@@ -43,8 +43,9 @@ from .units import Runs, UnitEncoder, as_runs
 END_ID = 2
 WINDOW, MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 16, 64, 8, 2048
 ADDRESS_BYTES = 20
-#: Pieces that a worker keeps in a generation of its cache (see units).
-CACHE_PIECES = 500_000
+#: Pieces that a worker keeps in a generation of its cache, and bytes of a group of texts (see units): each group
+#: searches the whole cache, so groups are large.
+CACHE_PIECES, GROUP_BYTES = 1_000_000, 1 << 24
 #: How byte-level vocabularies write a space.
 SPACE = "\u0120"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -180,7 +181,7 @@ def _encoder(spec: str) -> UnitEncoder:
         def whole(texts: list[str]) -> Runs:
             return as_runs([np.array(e.ids, dtype="<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)])
 
-        _encoders[key] = UnitEncoder(_library_units(t, starts), whole, special, CACHE_PIECES)
+        _encoders[key] = UnitEncoder(_library_units(t, starts), whole, special, CACHE_PIECES, GROUP_BYTES)
     return _encoders[key]
 
 
@@ -351,13 +352,16 @@ def read_sums(spark: SparkSession, path: str, width: str) -> DataFrame:
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, crc = [], []
-            for a, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if address(data) != a:
-                    raise ValueError("a chunk does not have its address")
-                ids = np.frombuffer(data, dtype=width).astype("<u4")
-                n.append(len(ids))
-                crc.append(zlib.crc32(ids.tobytes()))
+            # all chunks of a batch are widened at once
+            size = np.dtype(width).itemsize
+            chunks = batch.column(1).to_pylist()
+            if any(address(c) != a for a, c in zip(batch.column(0).to_pylist(), chunks, strict=True)):
+                raise ValueError("a chunk does not have its address")
+            ends = np.cumsum([len(c) for c in chunks], dtype=np.int64) // size
+            wide = memoryview(np.frombuffer(b"".join(chunks), dtype=width).astype("<u4").tobytes())
+            starts = [0, *(4 * ends).tolist()]
+            n = np.diff(ends, prepend=0).tolist()
+            crc = [zlib.crc32(wide[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(crc, pa.int64())], names=["address", "n", "crc"])
 
     chunks = spark.read.schema("address binary, data binary").parquet(f"{path}/chunks").mapInArrow(sums, "address binary, n int, crc long")

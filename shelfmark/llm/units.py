@@ -23,7 +23,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Pieces a generation of a cache holds, and the longest one it keeps.
 CACHE_PIECES, CACHE_BYTES = 200_000, 48
 #: Bytes of text in a group; a longer text is a group of its own.
-_GROUP_BYTES = 1 << 22
+GROUP_BYTES = 1 << 22
 _BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: White space of any kind before a space, and at the end.
 _ODD, _BLANK_END = _BLANK + " ", _BLANK + "$"
@@ -79,10 +79,10 @@ class UnitEncoder:
 
     The latest pieces are kept: when a generation is full, only what the next one meets again stays."""
 
-    def __init__(self, encode_units: Callable[[pa.Array], Runs], encode_texts: Callable[[list[str]], Runs], special: tuple[str, ...] = (), pieces: int = CACHE_PIECES):
+    def __init__(self, encode_units: Callable[[pa.Array], Runs], encode_texts: Callable[[list[str]], Runs], special: tuple[str, ...] = (), pieces: int = CACHE_PIECES, group: int = GROUP_BYTES):
         self.encode_units, self.encode_texts = encode_units, encode_texts
         self.whole = "|".join([_ODD, *map(re.escape, special)])
-        self.size = pieces
+        self.size, self.group = pieces, group
         self.now, self.before = Encodings.empty(), Encodings.empty()
 
     def _encodings(self, pieces: pa.Array) -> tuple[Encodings, np.ndarray]:
@@ -145,7 +145,7 @@ class UnitEncoder:
         size = pc.binary_length(texts).to_numpy()
         start = n = 0
         for k, s in enumerate(size.tolist()):
-            if n and n + s > _GROUP_BYTES:
+            if n and n + s > self.group:
                 yield self._group(texts.slice(start, k - start))
                 start, n = k, 0
             n += s + 1
