@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import ship
 
@@ -11,27 +13,53 @@ PASSES, LEAST_GAIN, LEAST_SAVING = 20, 1e-6, 0.5
 SCHEMA = "list_id long, line_no long, supplier_id long, cost double, plan_total double, cheapest_total double"
 
 
-def _total(chosen: dict, cost: dict, policy: dict) -> float:
-    spent: dict = {}
-    for line, s in chosen.items():
-        spent[s] = spent.get(s, 0.0) + cost[line][s]
-    return sum(v + (0.0 if policy[s][0] is not None and v >= policy[s][0] else policy[s][1]) for s, v in spent.items())
+class _Baskets:
+    """What a choice of suppliers costs; a change of one line changes two baskets."""
+
+    def __init__(self, chosen: dict, cost: dict, policy: dict):
+        self.chosen, self.cost, self.policy = dict(chosen), cost, policy
+        self.spent, self.lines = defaultdict(float), Counter()
+        for line, s in chosen.items():
+            self.spent[s] += cost[line][s]
+            self.lines[s] += 1
+
+    def _due(self, s: int, spent: float, lines: int) -> float:
+        free, flat = self.policy[s]
+        return 0.0 if not lines else spent + (0.0 if free is not None and spent >= free else flat)
+
+    def total(self) -> float:
+        return sum(self._due(s, self.spent[s], n) for s, n in self.lines.items())
+
+    def gain(self, line: int, to: int) -> float:
+        now = self.chosen[line]
+        if now == to:
+            return 0.0
+        a, b = self.cost[line][now], self.cost[line][to]
+        before = self._due(now, self.spent[now], self.lines[now]) + self._due(to, self.spent[to], self.lines[to])
+        return before - self._due(now, self.spent[now] - a, self.lines[now] - 1) - self._due(to, self.spent[to] + b, self.lines[to] + 1)
+
+    def move(self, line: int, to: int) -> None:
+        now = self.chosen[line]
+        self.spent[now] -= self.cost[line][now]
+        self.spent[to] += self.cost[line][to]
+        self.lines[now] -= 1
+        self.lines[to] += 1
+        self.chosen[line] = to
 
 
 def _improve(chosen: dict, cost: dict, policy: dict) -> tuple[float, dict]:
     """Move one line at a time while that lowers the total."""
-    best = _total(chosen, cost, policy)
+    baskets = _Baskets(chosen, cost, policy)
     for _ in range(PASSES):
         moved = False
-        for line in sorted(chosen):
+        for line in sorted(cost):
             for s in sorted(cost[line]):
-                trial = chosen | {line: s}
-                t = _total(trial, cost, policy)
-                if t < best - LEAST_GAIN:
-                    best, chosen, moved = t, trial, True
+                if baskets.gain(line, s) > LEAST_GAIN:
+                    baskets.move(line, s)
+                    moved = True
         if not moved:
             break
-    return best, chosen
+    return baskets.total(), baskets.chosen
 
 
 def _plan(offers: pd.DataFrame) -> pd.DataFrame:
@@ -40,29 +68,46 @@ def _plan(offers: pd.DataFrame) -> pd.DataFrame:
         cost.setdefault(r.line_no, {})[r.supplier_id] = min(r.cost, cost.get(r.line_no, {}).get(r.supplier_id, float("inf")))
         policy[r.supplier_id] = (None if pd.isna(r.free_threshold) else r.free_threshold, 0.0 if pd.isna(r.flat) else r.flat)
     cheapest = {line: min(c, key=lambda s: (c[s], s)) for line, c in cost.items()}
-    base = _total(cheapest, cost, policy)
-    starts = [cheapest] + [{line: s if s in c else cheapest[line] for line, c in cost.items()} for s in sorted(policy)]
-    total, chosen = min((_improve(dict(s), cost, policy) for s in starts), key=lambda x: x[0])
+    base = _Baskets(cheapest, cost, policy).total()
+    shared = [s for s, n in Counter(s for c in cost.values() for s in c).items() if n > 1]
+    starts = [cheapest] + [{line: s if s in c else cheapest[line] for line, c in cost.items()} for s in sorted(shared)]
+    total, chosen = min((_improve(s, cost, policy) for s in starts), key=lambda x: x[0])
     if base - total <= LEAST_SAVING:
         total, chosen = base, cheapest
     rows = [(int(offers["list_id"].iloc[0]), line, s, cost[line][s], round(total, 6), round(base, 6)) for line, s in sorted(chosen.items())]
     return pd.DataFrame(rows, columns=["list_id", "line_no", "supplier_id", "cost", "plan_total", "cheapest_total"])
 
 
-def optimise(offers: DataFrame) -> DataFrame:
-    """Q26: (list_id, line_no, supplier_id, cost, free_threshold, flat) to one supplier a line.  Lists are
-    planned apart, each as one group: a list has as many rows as its lines have offers."""
+def worth_trying(offers: DataFrame) -> DataFrame:
+    """The offers that a best plan may need: those of suppliers that offer two lines of the list or more, and of a
+    line's other suppliers the cheapest one with its shipping; and each line's cheapest offer.  A supplier of one line
+    alone costs what it costs whatever the rest of the plan, so the others of its kind are never better."""
+    once = offers.groupBy("list_id", "line_no", "supplier_id").agg(F.min("cost").alias("cost"), F.first("free_threshold").alias("free_threshold"), F.first("flat").alias("flat"))
+    lines = once.groupBy("list_id", "supplier_id").agg(F.count(F.lit(1)).alias("lines"))
+    rows = once.join(lines, ["list_id", "supplier_id"])
+    alone = F.col("cost") + F.when(F.col("cost") >= F.col("free_threshold"), 0.0).otherwise(F.coalesce("flat", F.lit(0.0)))
+    by = W.partitionBy("list_id", "line_no")
+    rows = rows.withColumn("by_cost", F.row_number().over(by.orderBy("cost", "supplier_id"))).withColumn("by_total", F.row_number().over(by.orderBy(F.when(F.col("lines") > 1, 1).otherwise(0), alone, "supplier_id")))
+    return rows.where("lines > 1 OR by_cost = 1 OR by_total = 1").drop("lines", "by_cost", "by_total")
+
+
+def optimise(lines: DataFrame, offers: DataFrame) -> DataFrame:
+    """Q26: one supplier for each of ``lines`` (list_id, line_no), of ``offers`` (list_id, line_no, supplier_id, cost,
+    free_threshold, flat); a line without an offer stays, without a supplier.  Spark reduces the offers to those worth
+    trying; lists are then planned apart, each in one task with its lines and those few offers."""
     ship(offers.sparkSession)
-    return offers.groupBy("list_id").applyInPandas(_plan, SCHEMA)
+    plans = worth_trying(offers).groupBy("list_id").applyInPandas(_plan, SCHEMA)
+    return lines.select("list_id", "line_no").distinct().join(plans, ["list_id", "line_no"], "left")
 
 
 def q26_landed_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("list_id"), F.col("l_partkey"), F.col("l_quantity").alias("qty")).groupBy("list_id", "l_partkey").agg(F.sum("qty").alias("qty"))
-    prices = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_partkey", F.col("l_suppkey").alias("supplier_id")).agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"))
-    near = prices.where("(l_partkey + supplier_id) % 4 = 0")
+    """Every order is a list; every supplier that has ever sold a part offers it at its lowest unit price."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines = li.groupBy(F.col("l_orderkey").alias("list_id"), F.col("l_partkey").alias("line_no")).agg(F.sum("l_quantity").alias("qty"))
+    prices = li.where("l_quantity > 0").groupBy(F.col("l_partkey").alias("line_no"), F.col("l_suppkey").alias("supplier_id")).agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"))
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("supplier_id"), F.when(F.col("s_acctbal") > 0, F.lit(20000.0)).alias("free_threshold"), F.lit(9.95).alias("flat"))
-    offers = lines.join(near, "l_partkey").join(supplier, "supplier_id").select("list_id", F.col("l_partkey").alias("line_no"), "supplier_id", F.round(F.col("unit") * F.col("qty"), 2).alias("cost"), "free_threshold", "flat")
-    return optimise(offers)
+    offers = lines.join(prices.join(supplier, "supplier_id"), "line_no").select("list_id", "line_no", "supplier_id", F.round(F.col("unit") * F.col("qty"), 2).alias("cost"), "free_threshold", "flat")
+    return optimise(lines, offers)
 
 
 QUERIES = {"q26_landed_cost": q26_landed_cost}

@@ -23,9 +23,5 @@ def src11_generic_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.generic_products(_pages(spark, sf_dir)).drop("html")
 
 
-def src14_marketplace_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.marketplace_cards(_pages(spark, sf_dir))
-
-
-QUERIES = {f.__name__: f for f in (src09_html_meta, src10_image_urls, src11_generic_products, src14_marketplace_cards)}
+QUERIES = {f.__name__: f for f in (src09_html_meta, src10_image_urls, src11_generic_products)}
 ORACLES = {"src10_image_urls": "SELECT page_id, len(list_distinct(list_filter(regexp_extract_all(html, '<img[^>]+src=[\"'']([^\"'']+)', 1), lambda u: NOT regexp_matches(lower(u), 'logo|sprite|pixel|icon|[.]svg')))) AS n_images FROM pages"}

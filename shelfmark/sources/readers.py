@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as T
@@ -113,10 +110,10 @@ def generic_products(pages: DataFrame, html: str = "html") -> DataFrame:
     return m.select(*pages.columns, T.strip_tags("title").alias("name"), price.alias("price_cents"), (F.size("json_ld") > 0).alias("has_json_ld"))
 
 
-def shopify_products(spark: SparkSession, path: str) -> DataFrame:
-    """SRC12: pages of a shop's product list, one row per variant."""
+def shopify_products(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """SRC12: pages of a shop's product list, a file each (or a line each), one row per variant."""
     schema = "products array<struct<id:bigint,title:string,vendor:string,product_type:string,handle:string,variants:array<struct<id:bigint,title:string,sku:string,price:string,available:boolean>>>>"
-    p = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("products").alias("p")).select("p.*", F.explode("p.variants").alias("v"))
+    p = spark.read.schema(schema).json(path, multiLine=not lines).select(F.explode("products").alias("p")).select("p.*", F.explode("p.variants").alias("v"))
     return p.select(
         F.col("id").alias("product_id"), "title", "vendor", "product_type", "handle", F.col("v.id").alias("variant_id"), F.col("v.title").alias("variant"), F.col("v.sku").alias("sku"),
         F.floor(F.col("v.price").try_cast("double") * 100 + 0.5).cast("long").alias("price_cents"), F.when(F.col("v.available"), "in_stock").otherwise("backordered").alias("availability"),
@@ -134,20 +131,20 @@ def gudid_devices(spark: SparkSession, path: str) -> DataFrame:
     return out.where(F.length("model_norm") >= 4).dropDuplicates(["gtin", "brand_norm", "model_norm"])
 
 
-def marketplace_cards(pages: DataFrame, html: str = "html") -> DataFrame:
-    """SRC14: anchors of search pages with the text that follows within 1,800 characters."""
-    import re
-
-    anchor = re.compile(r"<a[^>]+href=[\"']([^\"'#]+)[\"'][^>]*>(.*?)</a>", re.I | re.S)
-
-    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [(m.group(1), re.sub(r"<[^>]*>", " ", m.group(2)).strip(), p[m.end() : m.end() + 1800]) for p in pdf["html"].fillna("") for m in anchor.finditer(p)]
-            yield pd.DataFrame(out, columns=["url", "title", "after"])
-
-    found = pages.select(F.col(html).alias("html")).mapInPandas(per_batch, "url string, title string, after string")
-    found = found.withColumn("price_cents", T.money_cents(T.strip_tags("after"))).withColumn("url", T.normalize_url("url")).where("url <> ''")
-    return found.groupBy("url").agg(F.max("title").alias("title"), F.min("price_cents").alias("price_cents"), F.count(F.lit(1)).alias("n_links"))
+def marketplace_cards(pages: DataFrame, html: str = "html", reach: int = 1800) -> DataFrame:
+    """SRC14: links of search pages, one row a link: its longest text, and the first price and image within ``reach``
+    characters after one of its anchors."""
+    anchor = r"(?is)<a[^>]+href=[\"']([^\"'#]+)[\"'][^>]*>(.*?)</a>"
+    # the text between two anchors stands after the first of them
+    parts = F.split(F.col(html), "(?i)(?=<a\\s)")
+    one = pages.select(F.monotonically_increasing_id().alias("page"), F.posexplode(parts).alias("pos", "part"))
+    found = one.select("page", "pos", F.regexp_extract("part", anchor, 1).alias("url"), T.strip_tags(F.regexp_extract("part", anchor, 2)).alias("title"), F.substring("part", 1, reach).alias("near"))
+    found = found.withColumn("url", T.normalize_url("url")).where("url <> ''")
+    price, image = T.money_cents(T.strip_tags(F.regexp_replace("near", anchor, " "))), F.nullif(F.regexp_extract("near", r"(?is)<img[^>]+src=[\"']([^\"']+)", 1), F.lit(""))
+    first = lambda c: F.min_by(c, F.when(c.isNotNull(), F.struct("page", "pos")))
+    return found.withColumns({"price": price, "image": image}).groupBy("url").agg(
+        F.max_by("title", F.struct(F.length("title"), F.col("title"))).alias("title"), first(F.col("price")).alias("price_cents"), first(F.col("image")).alias("image"), F.count(F.lit(1)).alias("n_links"),
+    )
 
 
 def seed_queries(spark: SparkSession, path: str) -> DataFrame:

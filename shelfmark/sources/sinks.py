@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from graphlib import TopologicalSorter
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from ..streaming.state import VersionedTable
+
 
 def append(df: DataFrame, path: str) -> None:
     """SNK01."""
@@ -13,20 +16,32 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """SNK02: written beside the old table, then renamed over it, so readers never see half of it."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{path}.new")
-    jvm = spark._jvm
-    new, old = jvm.org.apache.hadoop.fs.Path(f"{path}.new"), jvm.org.apache.hadoop.fs.Path(path)
-    fs = old.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"{path}.new could not be renamed")
-
-
-def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """SNK03: incoming rows, and the existing ones whose key they do not have."""
-    return existing.join(incoming.select(*keys).distinct(), keys, "left_anti").unionByName(incoming)
+    """SNK02: written as a new version beside the old one, which ``current`` reads until the new one is complete.  The
+    version before stays for readers that have begun; older ones are deleted."""
+    table = VersionedTable(df.sparkSession, path)
+    version = max((v for vs in table.versions().values() for v in vs), default=0) + 1
+    table.write(df, version)
+    table.purge(version)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """SNK02: the newest complete version of a table that ``replace`` wrote."""
+    found = VersionedTable(spark, path).read()
+    if found is None:
+        raise FileNotFoundError(f"{path} has no complete version")
+    return found
+
+
+def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
+    """SNK03: incoming rows, one a key (the first by ``order``, else by all columns), and the existing ones whose key they
+    do not have.  Null keys are equal."""
+    first = F.row_number().over(W.partitionBy(*keys).orderBy(*(order or incoming.columns)))
+    new = incoming.withColumn("_rn", first).where("_rn = 1").drop("_rn")
+    named = new.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return existing.join(named, on, "left_anti").unionByName(new)
 
 
 def update_from(existing: DataFrame, values: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -36,12 +51,14 @@ def update_from(existing: DataFrame, values: DataFrame, keys: list[str], columns
     return joined.select(*[F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in existing.columns])
 
 
-def refresh(spark: SparkSession, models: list[tuple[str, Callable[[SparkSession], DataFrame]]], root: str) -> list[str]:
-    """SNK05: build read models in their order; each later one may read the earlier ones as views."""
-    for name, build in models:
-        replace(build(spark), f"{root}/{name}")
-        spark.read.parquet(f"{root}/{name}").createOrReplaceTempView(name)
-    return [name for name, _ in models]
+def refresh(spark: SparkSession, models: dict[str, tuple[list[str], Callable[[SparkSession], DataFrame]]], root: str) -> list[str]:
+    """SNK05: build read models (name -> names it reads, builder), each after those it reads, which it finds as views.
+    Gives the order; a circle is an error."""
+    order = list(TopologicalSorter({name: [r for r in reads if r in models] for name, (reads, _) in models.items()}).static_order())
+    for name in order:
+        replace(models[name][1](spark), f"{root}/{name}")
+        current(spark, f"{root}/{name}").createOrReplaceTempView(name)
+    return order
 
 
 def csv_report(df: DataFrame, path: str) -> None:

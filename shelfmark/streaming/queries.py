@@ -16,24 +16,25 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/{name}.parquet*")
 
 
-def _folded(spark: SparkSession, stream: DataFrame, merge: S.Merge) -> DataFrame:
+def _folded(spark: SparkSession, stream: DataFrame, merge: S.Merge, *keys: str) -> DataFrame:
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    table = S.VersionedTable(spark, f"{root}/table")
+    table = S.VersionedTable(spark, f"{root}/table", keys)
     S.upsert_stream(stream, table, merge, f"{root}/checkpoint").awaitTermination()
-    return table.read()
+    found = table.read()
+    return merge(None, spark.createDataFrame([], stream.schema)) if found is None else found
 
 
 def st01_latest_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _stream(spark, sf_dir, "lineitem").select(
-        F.concat_ws("-", "l_suppkey", "l_partkey").alias("listing_id"), F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long").alias("price_cents"),
+        F.concat_ws("-", "l_suppkey", "l_partkey").alias("listing_id"), F.col("l_suppkey").alias("supplier_id"), F.col("l_partkey").alias("canonical_id"), F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long").alias("price_cents"),
         F.col("l_shipdate").alias("captured_at"), F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"),
     )
-    return _folded(spark, s, S.merge_latest_price)
+    return _folded(spark, s, S.merge_latest_price, "supplier_id", "canonical_id").drop("supplier_id", "canonical_id")
 
 
 def st02_catalog_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _stream(spark, sf_dir, "events").where("event_id % 3 > 0").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), "event_type")
-    seen = _folded(spark, s, S.merge_first_row)
+    seen = _folded(spark, s, S.merge_first_row, "id")
     existing = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), F.lit(None).cast("timestamp").alias("deleted_at"))
     return S.stale_rows(existing, seen).select("id")
 
@@ -47,7 +48,7 @@ def _scans(df: DataFrame) -> DataFrame:
 
 
 def st03_scan_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _folded(spark, _scans(_stream(spark, sf_dir, "events")), S.merge_scans)
+    return _folded(spark, _scans(_stream(spark, sf_dir, "events")), S.merge_scans, "item_id", "lot", "location_id")
 
 
 def st04_scan_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,12 +61,14 @@ def st05_list_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("list_id"), F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("item_id"), F.col("ts").alias("updated_at"),
         (F.col("event_type") == "purchase").alias("deleted"), F.col("value").alias("payload"),
     )
-    return _folded(spark, s, S.merge_lists)
+    rows = _folded(spark, s, S.merge_lists, "list_id", "item_id")
+    now = rows.agg(F.max("updated_at").alias("now"))  # one row
+    return S.list_view(rows.join(F.broadcast(now)), F.col("now"), 3, 5).drop("now")
 
 
 def st07_event_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _stream(spark, sf_dir, "events").select("event_id", F.col("ts").alias("seq"), "event_type")
-    return _folded(spark, s, S.merge_events)
+    return _folded(spark, s, S.merge_events, "event_id")
 
 
 def st08_stale_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +92,11 @@ ORACLES = {
                min(pulled_at) AS pulled_at, max(seq) AS seq FROM (
           SELECT CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS item_id, event_type AS lot, user_id AS location_id, CASE WHEN event_id % 2 = 0 THEN value END AS quantity,
                  CASE WHEN event_id % 3 = 0 THEN CAST(ts AS DATE) END AS expiration, CASE WHEN event_id % 50 = 0 THEN ts END AS pulled_at, event_id AS seq FROM events) q GROUP BY item_id, lot, location_id""",
+    "st05_list_merge": """
+        SELECT list_id, item_id, updated_at, deleted, payload FROM (SELECT r.*, row_number() OVER (PARTITION BY list_id, deleted ORDER BY updated_at DESC, item_id) AS place FROM (
+          SELECT * FROM (SELECT q.*, row_number() OVER (PARTITION BY list_id, item_id ORDER BY updated_at DESC, deleted DESC, payload DESC) AS rn, max(updated_at) OVER () AS last_write FROM (
+            SELECT user_id AS list_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS item_id, ts AS updated_at, event_type = 'purchase' AS deleted, value AS payload FROM events) q) w
+          WHERE rn = 1 AND (NOT deleted OR updated_at >= last_write - INTERVAL 3 DAYS)) r) v WHERE NOT deleted OR place <= 5""",
     "st07_event_ledger": "SELECT event_id, min(ts) AS seq, arg_min(event_type, ts) AS event_type FROM events GROUP BY event_id",
     "st08_stale_jobs": """
         SELECT event_id, CASE WHEN event_type = 'click' AND ts < TIMESTAMP '2024-01-14 23:50:00' THEN 'queued' WHEN event_type = 'click' THEN 'running' ELSE 'done' END AS status, ts AS heartbeat_at FROM events""",

@@ -1,8 +1,10 @@
 """Order-insensitive state: latest prices, catalog reconcile, scans, list merge, event ledger.
 
 Each operator is a rule on DataFrames (``merge_*``) that gives the same result whatever the batches
-and their order, and a ``foreachBatch`` sink that applies it to a table in the shared folder.  A batch
-number names each version of the table, so a batch that is run again after a failure changes nothing.
+and their order, and a ``foreachBatch`` sink that applies it to a table in the shared folder.  The
+table's rows are spread over buckets by key; a batch reads and writes only the buckets that it
+touches.  A batch number names each version of a bucket, so a batch that is run again after a failure
+changes nothing, and versions that no running batch can need are deleted.
 """
 
 from __future__ import annotations
@@ -15,34 +17,64 @@ Merge = Callable[[DataFrame | None, DataFrame], DataFrame]
 
 
 class VersionedTable:
-    """A Parquet table with one folder for each batch; readers take the newest complete one."""
+    """A Parquet table below ``path``, as v=<version>/b=<bucket>; a bucket's rows are those of its newest complete
+    version.  ``keys`` are the columns whose hash is the bucket; without them all rows are in one bucket."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: tuple[str, ...] = (), buckets: int = 32):
+        self.spark, self.path, self.keys, self.buckets = spark, path, keys, buckets if keys else 1
+        self._root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self._fs = self._root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _names(self, path: str, prefix: str) -> list[int]:
+        found = [s.getPath().getName() for s in self._fs.listStatus(self._at(path))]
+        return sorted(int(n[len(prefix) :]) for n in found if n.startswith(prefix))
+
+    def _at(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def versions(self) -> dict[int, list[int]]:
+        """Complete versions of each bucket, oldest first."""
+        out: dict[int, list[int]] = {}
+        if self._fs.exists(self._root):
+            for v in self._names(self.path, "v="):
+                if self._fs.exists(self._at(f"{self.path}/v={v}/_SUCCESS")):
+                    for b in self._names(f"{self.path}/v={v}", "b="):
+                        out.setdefault(b, []).append(v)
+        return out
+
+    def bucket(self) -> F.Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int") if self.keys else F.lit(0)
+
+    def read(self, before: int | None = None, only: set[int] | None = None) -> DataFrame | None:
+        """The newest rows, of the ``only`` buckets and of versions older than ``before``; None where there are none."""
+        newest = {b: [v for v in vs if before is None or v < before] for b, vs in self.versions().items() if only is None or b in only}
+        paths = [f"{self.path}/v={vs[-1]}/b={b}" for b, vs in newest.items() if vs]
+        return self.spark.read.parquet(*paths) if paths else None
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
+    def write(self, df: DataFrame, version: int) -> None:
+        df.withColumn("b", self.bucket()).write.mode("overwrite").partitionBy("b").parquet(f"{self.path}/v={version}")
 
-    def read(self, before: int | None = None) -> DataFrame | None:
-        """The newest version, or the newest one older than ``before``."""
-        found = [v for v in self._versions() if before is None or v < before]
-        return self.spark.read.parquet(f"{self.path}/v={found[-1]}") if found else None
+    def apply(self, merge: Merge, new: DataFrame, version: int) -> None:
+        """Merge ``new`` into the buckets that it touches."""
+        touched = {r[0] for r in new.select(self.bucket()).distinct().collect()}  # as many as buckets, at most
+        if touched:
+            self.write(merge(self.read(version, touched), new), version)
+            self.purge(version)
 
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+    def purge(self, version: int) -> None:
+        """Delete what is older than the newest version before ``version``: a repeated batch reads that one."""
+        for b, vs in self.versions().items():
+            for v in [v for v in vs if v < version][:-1]:
+                self._fs.delete(self._at(f"{self.path}/v={v}/b={b}"), True)
 
 
 def upsert_stream(stream: DataFrame, table: VersionedTable, merge: Merge, checkpoint: str, **trigger):
-    """Fold a stream into ``table``: each batch is merged with the version before it."""
+    """Fold a stream into ``table``, batch by batch."""
 
     def batch(df: DataFrame, number: int) -> None:
-        table.write(merge(table.read(before=number), df), number)
+        df.persist()
+        table.apply(merge, df, number)
+        df.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -58,7 +90,7 @@ def _with(old: DataFrame | None, new: DataFrame) -> DataFrame:
 
 def merge_latest_price(old: DataFrame | None, new: DataFrame) -> DataFrame:
     """ST01: the latest snapshot of each listing; equal times go to the larger order and line."""
-    return _newest(_with(old, new), ["listing_id"], [F.desc_nulls_last("captured_at"), F.desc("order_id"), F.desc("line_no")])
+    return _newest(_with(old, new), ["supplier_id", "canonical_id"], [F.desc_nulls_last("captured_at"), F.desc("order_id"), F.desc("line_no")])
 
 
 def merge_first_row(old: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -78,11 +110,18 @@ def merge_scans(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return rows.groupBy("item_id", "lot", "location_id").agg(latest("quantity"), latest("expiration"), F.min("pulled_at").alias("pulled_at"), F.max("seq").alias("seq"))
 
 
-def merge_lists(old: DataFrame | None, new: DataFrame, max_tombstones: int = 100) -> DataFrame:
-    """ST05, ST06: the newest write of an item wins, a deletion wins a tie; each list keeps its newest deletions."""
-    rows = _newest(_with(old, new), ["list_id", "item_id"], [F.desc("updated_at"), F.desc("deleted"), F.desc("payload")])
+def merge_lists(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """ST05, ST06: the newest write of an item wins, a deletion wins a tie.  Deletions stay in the state, so an old write
+    that comes late revives nothing."""
+    return _newest(_with(old, new), ["list_id", "item_id"], [F.desc("updated_at"), F.desc("deleted"), F.desc("payload")])
+
+
+def list_view(rows: DataFrame, as_of, days: int = 30, most: int = 100) -> DataFrame:
+    """ST05: the lists as they are handed out at ``as_of``: deletions of the last ``days`` days only, and of them the
+    newest ``most`` of a list."""
     rank = F.row_number().over(W.partitionBy("list_id", "deleted").orderBy(F.desc("updated_at"), "item_id"))
-    return rows.withColumn("_r", rank).where(~F.col("deleted") | (F.col("_r") <= max_tombstones)).drop("_r")
+    kept = rows.where(~F.col("deleted") | (F.col("updated_at") >= as_of - F.expr(f"INTERVAL {days} DAYS")))
+    return kept.withColumn("_r", rank).where(~F.col("deleted") | (F.col("_r") <= most)).drop("_r")
 
 
 def merge_events(old: DataFrame | None, new: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Scalar functions, entity resolution, sources and sinks on small fixtures."""
 
+import itertools
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,8 +120,13 @@ def test_sinks(spark, tmp_path):
     assert sorted(map(tuple, S.update_from(a, b, ["k"], ["v"]).collect())) == [(1, "a"), (2, "B")]
     S.replace(a, str(tmp_path / "t"))
     S.replace(b, str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
-    assert S.refresh(spark, [("m1", lambda s: a), ("m2", lambda s: s.table("m1").where("k = 1"))], str(tmp_path)) == ["m1", "m2"]
+    S.replace(b.limit(1), str(tmp_path / "t"))
+    assert S.current(spark, str(tmp_path / "t")).count() == 1 and len(list((tmp_path / "t").glob("v=*/b=0"))) == 2
+    with pytest.raises(FileNotFoundError):
+        S.current(spark, str(tmp_path / "none"))
+    c = spark.createDataFrame([(None, "n"), (2, "Z"), (2, "A")], "k long, v string")
+    assert sorted(map(str, S.upsert(a.unionByName(c.where("k IS NULL")), c, ["k"], [F.desc("v")]).collect())) == ["Row(k=1, v='a')", "Row(k=2, v='Z')", "Row(k=None, v='n')"]
+    assert S.refresh(spark, {"m2": (["m1"], lambda s: s.table("m1").where("k = 1")), "m1": ([], lambda s: a)}, str(tmp_path)) == ["m1", "m2"]
 
 
 def test_plan_uses_the_free_threshold():
@@ -130,6 +137,41 @@ def test_plan_uses_the_free_threshold():
     assert set(out.supplier_id) == {1} and out.plan_total[0] == 101.0 and out.cheapest_total[0] == 119.0
 
 
+def test_plans_against_all_choices(spark):
+    """No plan is dearer than the cheapest offers or cheaper than the best of all choices; lists keep all their lines."""
+    draw, offers = random.Random(1), []
+    for k in range(12):
+        for line in range(3):
+            for s in draw.sample(range(6), 4 if line else 0 if k == 11 else 3):
+                offers.append((k, line, s, round(draw.uniform(5, 60), 2), 80.0 if s % 2 else None, 7.0))
+    df = spark.createDataFrame(offers, "list_id long, line_no long, supplier_id long, cost double, free_threshold double, flat double")
+    lines = spark.createDataFrame([(k, line) for k in range(12) for line in range(3)], "list_id long, line_no long")
+    got = {}
+    for r in plan.optimise(lines, df).collect():
+        got.setdefault(r.list_id, {})[r.line_no] = r
+    for k in range(12):
+        cost = {}
+        for i, line, s, c, *_ in offers:
+            if i == k:
+                cost.setdefault(line, {})[s] = c
+        policy = {s: (80.0 if s % 2 else None, 7.0) for s in range(6)}
+        best = min(plan._Baskets(dict(zip(cost, pick, strict=True)), cost, policy).total() for pick in itertools.product(*cost.values()))
+        rows = got[k]
+        assert len(rows) == 3 and all((r.supplier_id is None) == (n not in cost) for n, r in rows.items())
+        some = next(r for r in rows.values() if r.supplier_id is not None)
+        assert best - 1e-6 <= some.plan_total <= some.cheapest_total + 1e-6 and some.plan_total <= best + 3
+        kept = plan._Baskets({n: r.supplier_id for n, r in rows.items() if r.supplier_id is not None}, cost, policy).total()
+        assert abs(kept - some.plan_total) < 1e-6
+    few = {}
+    for r in plan.worth_trying(df).collect():
+        few.setdefault((r.list_id, r.line_no), {})[r.supplier_id] = r.cost
+    for k in range(12):  # the offers left out are in no best plan
+        full = {line: {s: c for i, n, s, c, *_ in offers if (i, n) == (k, line)} for line in range(3) if any((i, n) == (k, line) for i, n, *_ in offers)}
+        part = {line: few[k, line] for line in full}
+        total = lambda cost: min(plan._Baskets(dict(zip(cost, pick, strict=True)), cost, policy).total() for pick in itertools.product(*cost.values()))
+        assert abs(total(full) - total(part)) < 1e-9
+
+
 def test_state_is_the_same_in_any_order(spark):
     rows = [("l", i % 5, f"2024-01-0{1 + i % 7} 00:00:00", i % 3 == 0, float(i)) for i in range(30)]
     df = spark.createDataFrame(rows, "list_id string, item_id long, updated_at string, deleted boolean, payload double")
@@ -142,12 +184,25 @@ def test_state_is_the_same_in_any_order(spark):
     assert sorted(map(tuple, state.merge_lists(folded, parts[0]).collect())) == whole  # a batch that comes again
 
 
+def test_late_writes_revive_nothing(spark):
+    """A deletion beyond those handed out stays in the state."""
+    gone = [("l", i, f"2024-01-{1 + i % 28:02d} {i // 28:02d}:00:00", True, 0.0) for i in range(150)]
+    df = spark.createDataFrame(gone, "list_id string, item_id long, updated_at string, deleted boolean, payload double").withColumn("updated_at", F.to_timestamp("updated_at"))
+    late = df.select("list_id", "item_id", (F.col("updated_at") - F.expr("INTERVAL 1 SECONDS")).alias("updated_at"), F.lit(False).alias("deleted"), "payload")
+    rows = state.merge_lists(state.merge_lists(None, df), late)
+    assert rows.where("NOT deleted").count() == 0 and state.list_view(rows, F.lit("2024-02-01").cast("timestamp")).count() == 100
+    assert state.list_view(rows, F.lit("2024-02-20").cast("timestamp")).count() == sum(r[2] >= "2024-01-21" for r in gone)
+
+
 def test_versioned_table_repeats_a_batch(spark, tmp_path):
-    t = state.VersionedTable(spark, str(tmp_path / "v"))
-    df = spark.createDataFrame([(1, "x", 5)], "event_id long, event_type string, seq long")
-    for number in (0, 1, 1):
-        t.write(state.merge_events(t.read(before=number), df), number)
-    assert t.read().count() == 1
+    t = state.VersionedTable(spark, str(tmp_path / "v"), ("event_id",), 8)
+    batch = lambda ids: spark.createDataFrame([(i, "x", 5) for i in ids], "event_id long, event_type string, seq long")
+    for number, ids in ((0, range(50)), (1, [1, 99]), (1, [1, 99]), (2, []), (3, [1]), (4, [1])):
+        t.apply(state.merge_events, batch(ids), number)
+    assert sorted(r.event_id for r in t.read().collect()) == [*range(50), 99]
+    versions = t.versions()
+    assert len(versions) == 8 and max(map(len, versions.values())) == 2  # old versions go, untouched buckets stay
+    assert sum(4 in v for v in versions.values()) == 1
 
 
 def test_stored_packs(spark):
