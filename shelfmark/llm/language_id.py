@@ -1,20 +1,24 @@
 """Language identification by language-bitmask n-gram filters.
 
-One bit-sliced Bloom filter serves all languages: row r holds a word with one bit per language.  An
-n-gram's N_HASHES rows, ANDed, give at once the set of all languages that contain it.  For a text
-the bits are counted per language over all its n-grams, each count is corrected by its language's
-false-positive rate, and the largest decides.
+One bit-sliced Bloom filter serves all languages: row r holds words of 64 bits with one bit per
+language.  An n-gram's N_HASHES rows, ANDed, give at once the set of all languages that contain it.
+For a text the bits are counted per language over all its n-grams, each count is corrected by its
+language's false-positive rate, and the largest decides.
 
 Training counts the byte n-grams (3 to 5 bytes of lower-cased letters) of about PER_LANGUAGE
 documents of each language, drawn by a hash of the id; an n-gram enters a language's filter when it
 makes up MIN_SHARE of that language's n-grams or more, so a language adds 1 / MIN_SHARE at most.
-What reaches the driver is the filter itself: ROWS rows at most, however many texts there are.
+What reaches the driver is the filter itself: ROWS rows at most for each 64 languages, however many
+texts there are.
 
 Cases with a defined result
     null text, or no letter in it: ``und``, score 0
-    letters but no n-gram (one or two letters), or none known: the language with most training text
+    letters but no n-gram (one or two letters), or none known: the language of most training documents
     ties: the language that sorts first
+    any number of languages: a filter row has a word for each 64
+    very long text: read whole, _STEP bytes at a time
     null or repeated ids: each row is judged on its own text; null ids are never held out
+    extra columns, whatever their names: not read
     no training rows: ``und`` for every text
     empty table: an empty result
 """
@@ -37,7 +41,7 @@ SIZES = (3, 4, 5)
 PER_LANGUAGE = 5_000
 MIN_SHARE = 1e-5
 ROWS, N_HASHES = 1 << 20, 4
-MAX_LANGUAGES = 64
+WORD_BITS = 64
 _STEP = 1 << 18
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
@@ -70,27 +74,35 @@ def rows_of(h: np.ndarray) -> Iterator[np.ndarray]:
 
 @dataclass
 class Filters:
+    """``masks`` has a row of ROWS words for each WORD_BITS languages."""
+
     languages: list[str]
     masks: np.ndarray
     common: int
 
     def __post_init__(self) -> None:
         one = np.uint64(1)
-        fill = np.array([((self.masks >> np.uint64(i)) & one).mean() for i in range(len(self.languages))])
+        fill = np.array([((self.masks[i // WORD_BITS] >> np.uint64(i % WORD_BITS)) & one).mean() for i in range(len(self.languages))])
         self.false_rate = np.minimum(fill**N_HASHES, 0.99)
 
-    def judge(self, text: str | None) -> tuple[str, float]:
-        if not self.languages or not text or not _LETTER.search(text):
-            return "und", 0.0
+    def counts(self, text: str) -> tuple[np.ndarray, int]:
+        """How many n-grams of the text each language's filter has, and how many there are."""
         count, n = np.zeros(len(self.languages)), 0
         for h in ngrams(text):
-            found = None
-            for r in rows_of(h):
-                m = self.masks[r]
-                found = m if found is None else found & m
-            for i in range(len(self.languages)):
-                count[i] += np.count_nonzero(found & np.uint64(1 << i))
+            rows = list(rows_of(h))
+            for word, masks in enumerate(self.masks):
+                found = masks[rows[0]]
+                for r in rows[1:]:
+                    found = found & masks[r]
+                for i in range(word * WORD_BITS, min((word + 1) * WORD_BITS, len(self.languages))):
+                    count[i] += np.count_nonzero(found & np.uint64(1 << i % WORD_BITS))
             n += len(h)
+        return count, n
+
+    def judge(self, text: str | None) -> tuple[str, float]:
+        if not self.languages or not text or not _LETTER.search(text):
+            return "und", 0.0
+        count, n = self.counts(text)
         true = np.maximum(0.0, (count - n * self.false_rate) / (1 - self.false_rate))
         best = int(true.argmax())
         if true[best] <= 0:
@@ -103,18 +115,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     ship(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("_id"), docs[lang_col].alias("_lang"), docs[text_col].alias("_text"))
     rows = rows.where(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & ~held_out(F.col("_id")))
-    sizes = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy("_lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"a filter row has bits for {MAX_LANGUAGES} languages")
+    sizes = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy("_lang").collect()  # a row a language
     languages = [r["_lang"] for r in sizes]
     if not languages:
-        return Filters([], np.zeros(ROWS, np.uint64), 0)
-    share = F.lit(0.0)
-    number = F.lit(-1)
-    for i, r in enumerate(sizes):  # MAX_LANGUAGES at most
-        share = F.when(F.col("_lang") == r["_lang"], F.lit(min(1.0, PER_LANGUAGE / r["n"]))).otherwise(share)
-        number = F.when(F.col("_lang") == r["_lang"], F.lit(i)).otherwise(number)
-    drawn = F.pmod(F.xxhash64("_id", F.lit(4)), F.lit(1 << 30)) < share * F.lit(float(1 << 30))
+        return Filters([], np.zeros((0, ROWS), np.uint64), 0)
+    known = docs.sparkSession.createDataFrame([(r["_lang"], i, min(1.0, PER_LANGUAGE / r["n"])) for i, r in enumerate(sizes)], "l string, number int, share double")
+    rows = rows.join(known, F.col("_lang") == F.col("l"))
+    drawn = F.pmod(F.xxhash64("_id", F.lit(4)), F.lit(1 << 30)) < F.col("share") * F.lit(float(1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Distinct n-grams of each language in a batch, with their numbers."""
@@ -127,21 +134,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     gram, n = np.unique(np.concatenate(parts), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), lang, np.int32)), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    grams = rows.where(drawn).select(number.alias("lang"), "_text").mapInArrow(count, "lang int, gram long, n long")
+    grams = rows.where(drawn).select(F.col("number").alias("lang"), "_text").mapInArrow(count, "lang int, gram long, n long")
     grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    total = grams.groupBy("lang").agg(F.sum("n").alias("total")).withColumnRenamed("lang", "l")  # MAX_LANGUAGES rows
+    total = grams.groupBy("lang").agg(F.sum("n").alias("total")).withColumnRenamed("lang", "l")  # a row a language
     kept = grams.join(F.broadcast(total), F.col("lang") == F.col("l")).where(F.col("n") >= F.lit(MIN_SHARE) * F.col("total"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang = batch.column(0).to_numpy()
             gram = batch.column(1).to_numpy().view(np.uint64)
+            bit = np.left_shift(np.uint64(1), (lang % WORD_BITS).astype(np.uint64)).view(np.int64)
             for r in rows_of(gram):
-                yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(np.left_shift(np.uint64(1), lang.astype(np.uint64)).view(np.int64))], names=["row", "mask"])
+                yield pa.RecordBatch.from_arrays([pa.array(lang // WORD_BITS), pa.array(r), pa.array(bit)], names=["word", "row", "mask"])
 
-    placed = kept.select("lang", "gram").mapInArrow(place, "row long, mask long").groupBy("row").agg(F.bit_or("mask").alias("mask")).toPandas()
-    masks = np.zeros(ROWS, np.uint64)
-    masks[placed["row"].to_numpy(np.int64)] = placed["mask"].to_numpy(np.int64).view(np.uint64)
+    placed = kept.select("lang", "gram").mapInArrow(place, "word int, row long, mask long").groupBy("word", "row").agg(F.bit_or("mask").alias("mask")).toPandas()
+    masks = np.zeros((-(-len(languages) // WORD_BITS), ROWS), np.uint64)
+    masks[placed["word"].to_numpy(np.int64), placed["row"].to_numpy(np.int64)] = placed["mask"].to_numpy(np.int64).view(np.uint64)
     return Filters(languages, masks, max(range(len(sizes)), key=lambda i: (sizes[i]["n"], -i)))
 
 
