@@ -106,6 +106,12 @@ def test_digest_index_takes_new_batches(spark, docs):
     assert {(r.doc_id, r.keep_id) for r in exact_dedup.deduplicate(first, index, scratch).collect()} == {(5, 5), (6, 5), (7, 7)}
     assert {(r.doc_id, r.keep_id) for r in exact_dedup.deduplicate(second, index, scratch).collect()} == {(1, 5), (2, 2), (3, 2)}
     assert index.entries().count() == 3
+    index.forget()
+    again = exact_dedup.DigestIndex(spark, index.path, buckets=4)  # as a later session finds it
+    third = spark.createDataFrame([(0, "c "), (9, "e")], "doc_id long, text string")
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.deduplicate(third, again, scratch).collect()} == {(0, 7, 1), (9, 9, 1)}
+    assert again.entries().count() == 4
+    index = again
     assert "SortMergeJoin" in index.entries().hint("merge").join(index.entries().select("digest"), "digest")._jdf.queryExecution().toString()
 
 
@@ -366,15 +372,72 @@ def test_language_id(spark, docs, empty, data):
 
 def test_language_filters_have_no_false_negatives():
     words = [f"wort{i}" for i in range(200)]
-    masks = np.zeros(language_id.ROWS, np.uint64)
+    masks = np.zeros((1, language_id.ROWS), np.uint64)
     for w in words:
         for h in language_id.ngrams(w):
             for r in language_id.rows_of(h):
-                np.bitwise_or.at(masks, r, np.uint64(2))
+                np.bitwise_or.at(masks[0], r, np.uint64(2))
     f = language_id.Filters(["aa", "bb"], masks, 0)
     assert all(f.judge(w) == ("bb", 1.0) for w in words)
 
 
+def test_language_counts_of_many_languages(spark):
+    """Of 70 languages, two words a filter row: each text's counts are those of plain sets of n-grams."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    vocabulary = {f"l{i:02d}": [word() for _ in range(30)] for i in range(70)}
+    rows = [(100 * i + k, " ".join(draw.choices(ws, k=40)), lang) for i, (lang, ws) in enumerate(vocabulary.items()) for k in range(6)]
+    f = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert f.languages == sorted(vocabulary) and f.masks.shape == (2, language_id.ROWS)
+    grams = lambda t: [x for h in language_id.ngrams(t) for x in h.tolist()]
+    known = {lang: set() for lang in vocabulary}
+    for i, t, lang in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            known[lang] |= set(grams(t))
+    for i, t, lang in rows[::7]:
+        count, n = f.counts(t)
+        own = grams(t)
+        assert n == len(own) and f.judge(t)[0] == lang
+        for k, x in enumerate(f.languages):
+            true = sum(g in known[x] for g in own)
+            assert true <= count[k] <= true + 2 + n * 50 * f.false_rate[k]
+    tied = spark.createDataFrame([(1, "same words here", "bb"), (3, "same words here", "aa")], "doc_id long, text string, lang string")
+    assert language_id.fit(tied).judge("same words") == ("aa", 0.5)
+
+
+def test_url_model_is_the_plain_descent(spark):
+    """Weights and probabilities against gradient descent written out; held-out URLs of other sites."""
+    def grams(host, path):
+        out = []
+        for tag, text in (("h", host), ("p", path)):
+            text = f"^{text}$"
+            for size in url_filter.SIZES:
+                out += [xxhash.xxh64_intdigest(text[i : i + size].encode(), xxhash.xxh64_intdigest(tag.encode(), 42)) for i in range(len(text) - size + 1)]
+        return Counter(((g - (1 << 64) if g >> 63 else g) % url_filter.BUCKETS) for g in out)
+
+    def vector(host, path):
+        v = np.zeros(url_filter.BUCKETS)
+        for b, n in grams(host, path).items():
+            v[b] = n
+        return v / max(1.0, np.sqrt((v * v).sum()))
+
+    x = np.array([vector(h, p) for h, p, _ in url_filter.LABELLED])
+    y = np.array([t for *_, t in url_filter.LABELLED], float)
+    gram, alpha = x @ x.T + url_filter.CONSTANT, np.zeros(len(y))
+    for _ in range(url_filter.EPOCHS):
+        alpha = alpha - url_filter.RATE * (url_filter.PENALTY * alpha - y + 1 / (1 + np.exp(-gram @ alpha)))
+    weights = url_filter.train(spark)
+    assert np.allclose(weights[:-1], alpha @ x, atol=1e-9) and abs(weights[-1] - url_filter.CONSTANT * alpha.sum()) < 1e-9
+    held = [("www.poker-spins.com", "/bonus", 1), ("cheap-viagra-pills.org", "/order/3", 1), ("free-xxx-porn.net", "/live", 1), ("best-bets-casino.org", "/win", 1), ("ads.click-track.net", "/banner/4", 1), ("loans-cheap.com", "/apply", 1),
+            ("www.mountain-library.org", "/wiki/Stone", 0), ("theatre.org", "/programme/2020", 0), ("blog.school.net", "/cours/12", 0), ("news.weather.org", "/article-9", 0), ("physics.edu", "/papers/41", 0), ("kitchen.garden.com", "/soup", 0)]
+    rows = spark.createDataFrame(held + [("", "", 0), ("a" * 200_000, "/x", 0)], "host string, path string, y int")
+    got = url_filter.scored(rows, weights).collect()
+    for r in got[:-1]:
+        assert abs(r.score - 1 / (1 + np.exp(-(vector(r.host, r.path) @ np.array(weights[:-1]) + weights[-1])))) < 1e-9
+    assert sum((r.score >= url_filter.CUT) == (r.y == 1) for r in got[: len(held)]) >= 0.9 * len(held)
+    assert url_filter.train(spark, ()) == [0.0] * (url_filter.BUCKETS + 1)
+
+
 def test_url_filter(spark):
     urls = ["https://a.Example.ORG/es/1?x", "http://example.org/en/12", "http://x.org/de", "http://org", "https://q.com/fr/", "http://q.com/de/#a", "http://notorg/fr/", "no scheme", "", None, "http://free-casino.example.net/win", "http://www.garden.example.net/en/5"]
     pages = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls)], "page_id long, url string, host string")
@@ -462,6 +525,12 @@ def test_pii_recall_by_kind(spark, kind, text):
     assert surface.k == kind
 
 
+def test_pipeline_of_nothing(spark, data, tmp_path):
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{data}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, data):
     """run() against the stages' plain versions."""
     docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
