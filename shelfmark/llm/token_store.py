@@ -119,24 +119,39 @@ def _times(a: int, b: int) -> int:
     return out
 
 
-_shifts: dict[int, int] = {}
+def _powers() -> np.ndarray:
+    """x to the power of 8 * v * 256**k, as row k, column v."""
+    out, step = np.empty((5, 256), np.uint32), 1 << 23  # x to the power of 8
+    for row in out:
+        row[0] = value = 1 << 31
+        for v in range(1, 256):
+            row[v] = value = _times(value, step)
+        step = _times(value, step)
+    return out
+
+
+_POWERS = _powers()
 
 
-def _shift(n_bytes: int) -> int:
-    """x to the power of 8 * n_bytes."""
-    if n_bytes not in _shifts:
-        out, power, n = 1 << 31, 1 << 30, 8 * n_bytes
-        while n:
-            if n & 1:
-                out = _times(out, power)
-            power = _times(power, power)
-            n >>= 1
-        _shifts[n_bytes] = out
-    return _shifts[n_bytes]
+def _times_all(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """_times of each a with its b."""
+    out, one = np.zeros(len(a), np.uint32), np.uint32(1)
+    for k in range(31, -1, -1):
+        out ^= b * (a >> np.uint32(k) & one)
+        b = (b >> one) ^ (np.uint32(_POLY) * (b & one))
+    return out
 
 
-def join_crc(first: int, second: int, second_bytes: int) -> int:
-    return _times(_shift(second_bytes), first) ^ second
+def join_crcs(crc: np.ndarray, n_bytes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """CRC of each run of pieces joined; ``first`` says where the runs start, and none is empty.  A piece counts as its
+    CRC times x to the power of the bits that follow it in its run."""
+    upto = np.cumsum(n_bytes, dtype=np.int64)
+    ends = np.append(first[1:], len(crc)) - 1
+    after = (np.repeat(upto[ends], np.diff(first, append=len(crc))) - upto).astype(np.int64)
+    out = crc.astype(np.uint32)
+    for k in range(int(after.max(initial=0)).bit_length() + 7 >> 3):
+        out = _times_all(_POWERS[k][after >> 8 * k & 255], out)
+    return np.bitwise_xor.reduceat(out, first) if len(crc) else out
 
 
 _encoders: dict[str, UnitEncoder] = {}
@@ -372,16 +387,15 @@ def read_sums(spark: SparkSession, path: str, width: str) -> DataFrame:
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, crcs = [], []
-            for ns, cs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if None in ns:
-                    raise ValueError("a document's chunk is missing from the store")
-                crc = cs[0]
-                for n, c in zip(ns[1:], cs[1:], strict=True):
-                    crc = join_crc(crc, c, 4 * n)
-                total.append(sum(ns))
-                crcs.append(crc)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total, pa.int64()), pa.array(crcs, pa.int64())], names=["part", "row", "n", "crc"])
+            sizes, sums = batch.column(2), batch.column(3).flatten()
+            n = sizes.flatten()
+            if n.null_count:
+                raise ValueError("a document's chunk is missing from the store")
+            first = (sizes.offsets.to_numpy()[:-1] - sizes.offsets[0].as_py()).astype(np.int64)
+            n = n.to_numpy().astype(np.int64)
+            total = np.add.reduceat(n, first) if len(n) else n
+            crcs = join_crcs(sums.to_numpy(), 4 * n, first).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total), pa.array(crcs)], names=["part", "row", "n", "crc"])
 
     found = lists.selectExpr("part", "row", "transform(l, x -> x.n) AS ns", "transform(l, x -> x.crc) AS cs").mapInArrow(combine, "p int, r long, n long, crc long")
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
