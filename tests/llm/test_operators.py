@@ -296,7 +296,9 @@ def test_merkle_trees_of_any_depth(spark, monkeypatch):
 def test_token_store_parts():
     rng = random.Random(1)
     a, b = rng.randbytes(100), rng.randbytes(77)
-    assert token_store.join_crc(zlib.crc32(a), zlib.crc32(b), 77) == zlib.crc32(a + b)
+    pieces = [a, b, b"", b"x" * 70_000, a]
+    got = token_store.join_crcs(np.array([zlib.crc32(p) for p in pieces]), np.array([len(p) for p in pieces]), np.array([0, 2]))
+    assert got.tolist() == [zlib.crc32(a + b), zlib.crc32(b"".join(pieces[2:]))]
     ids = np.array([rng.randrange(50_000) for _ in range(20_000)])
     ends = token_store.cuts(ids)
     assert ends[-1] == len(ids) and all(0 < b - a <= token_store.MAX_CHUNK for a, b in zip([0, *ends], ends))
