@@ -180,12 +180,14 @@ def axis_values(name: str, code: str = "''", raw_code: str = "''", brand: str =
 
 def selector(values: Column) -> Column:
     """ER12: (axis, label, value) of the first axis by priority with exactly one value."""
-    out = None
-    for a, x in sorted(SELECTORS.items(), key=lambda kv: kv[1].priority):
-        v = values[a]
-        hit = F.struct(F.lit(a).alias("axis"), F.lit(x.label).alias("label"), F.get(v, 0).alias("value"))
-        out = F.when(F.size(v) == 1, hit) if out is None else out.when(F.size(v) == 1, hit)
-    return out
+    def first(found: Column) -> Column:
+        out = None
+        for a, x in sorted(SELECTORS.items(), key=lambda kv: kv[1].priority):
+            hit = F.struct(F.lit(a).alias("axis"), F.lit(x.label).alias("label"), F.get(found[a], 0).alias("value"))
+            out = F.when(F.size(found[a]) == 1, hit) if out is None else out.when(F.size(found[a]) == 1, hit)
+        return out
+
+    return F.get(F.transform(F.array(values), first), 0)  # the values are found once
 
 
 def format_variant(axis: str, value: Column) -> Column:

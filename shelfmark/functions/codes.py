@@ -46,11 +46,11 @@ def gtin_variants(c) -> Column:
 
 def base_unit_variants(c) -> Column:
     """Codes of the single unit behind a case code with indicator 1 to 8."""
-    d = digits(c)
-    body = F.concat(F.lit("0"), d.substr(2, 12))
-    base = F.concat(body, check_digit(body))
-    ok = (F.length(d) == 14) & valid_gtin(d) & ~d.substr(1, 1).isin("0", "9")
-    return F.when(ok, F.filter(gtin_variants(base), lambda v: v != d)).otherwise(F.array().cast("array<string>"))
+    once = lambda value, make: F.get(F.transform(F.array(value), make), 0)
+    unit = lambda d: once(F.concat(F.lit("0"), d.substr(2, 12)), lambda body: F.concat(body, check_digit(body)))
+    others = lambda d: F.filter(once(unit(d), gtin_variants), lambda v: v != d)
+    ok = lambda d: (F.length(d) == 14) & valid_gtin(d) & ~d.substr(1, 1).isin("0", "9")
+    return once(digits(c), lambda d: F.when(ok(d), others(d)).otherwise(F.array().cast("array<string>")))
 
 
 def gs1_date(c) -> Column:

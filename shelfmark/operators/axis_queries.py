@@ -32,7 +32,11 @@ def c29_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c09_parse_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _named(spark, sf_dir).select("p_partkey", P.parse_pack(F.lit(None).cast("string"), F.concat("p_size", F.lit("/Box"))).alias("p")).select("p_partkey", F.col("p.pack_quantity").cast("int").alias("qty"), "p.basis", "p.confidence")
+    """Packs from the name, as a case of units, as a product, and none."""
+    kind = F.col("p_partkey") % 4
+    size = F.when(kind == 1, F.concat(F.lit("Case of "), "p_size")).when(kind == 2, F.concat("p_size", F.lit(" x 10"))).when(kind == 3, "Set-up tray")
+    pack = P.parse_pack(size, F.when(kind == 0, F.concat_ws(" ", "p_name", F.concat("p_size", F.lit("/Box")))).otherwise(F.col("p_name")))
+    return _read(spark, sf_dir, "part").select("p_partkey", pack.alias("p")).select("p_partkey", F.col("p.pack_quantity").cast("int").alias("qty"), "p.basis", "p.confidence", "p.source")
 
 
 def f31_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,12 +44,17 @@ def f31_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f35_name_differs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names against themselves with another pack word, with one more word, and in another order."""
     p = _named(spark, sf_dir)
-    return p.select("p_partkey", A.listing_name_differs(F.col("name"), F.regexp_replace("name", "/Box", "/bx")).alias("differs"))
+    other = F.when(F.col("p_partkey") % 3 == 0, F.regexp_replace("name", "/Box", "/bx")).when(F.col("p_partkey") % 3 == 1, F.concat("name", F.lit(" large"))).otherwise(F.array_join(F.reverse(F.split("name", " ")), ", "))
+    return p.select("p_partkey", A.listing_name_differs(F.col("name"), other).alias("differs"))
 
 
 def f36_pack_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "part").select("p_partkey", A.pack_label(F.col("p_size"), F.lit("box"), F.lit("each"), F.lit("")).alias("label"))
+    kind = F.col("p_partkey") % 4
+    quantity = F.when(kind != 2, F.col("p_size"))
+    label = A.pack_label(quantity, F.when(kind == 3, "each").otherwise("box"), F.when(kind == 1, "ml").otherwise("each"), F.when(kind == 2, F.concat(F.col("p_size") + 1, F.lit("/bx"))).otherwise(""))
+    return _read(spark, sf_dir, "part").select("p_partkey", label.alias("label"))
 
 
 def f41_family_name(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,10 +89,13 @@ def c15_ground_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c26_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn is a version of its conversation: numbered, and superseded by the next accepted one."""
-    t = _read(spark, sf_dir, "conversations")
+    """Each turn is a version of its conversation, one that answers an accepted one: numbered, and an accepted one is
+    superseded by the next; the others stay pending."""
+    t = _read(spark, sf_dir, "conversations").withColumn("taken", F.col("role") == "assistant")
     w = W.partitionBy("conv_id").orderBy("turn")
-    return t.select("conv_id", "turn", F.row_number().over(w).alias("version"), F.when(F.lead("turn").over(w).isNull(), "current").otherwise("superseded").alias("status"))
+    after = F.min(F.when(F.col("taken"), F.col("turn"))).over(w.rowsBetween(1, W.unboundedFollowing))
+    status = F.when(~F.col("taken"), "pending").when(after.isNull(), "accepted").otherwise("superseded")
+    return t.select("conv_id", "turn", F.row_number().over(w).alias("version"), status.alias("status"), F.when(F.col("taken"), after).alias("superseded_by"))
 
 
 def c27_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,15 +118,25 @@ QUERIES = {f.__name__: f for f in (
     c04_base_units, c15_ground_days, c26_versions, c27_gaps, er14_orphan_bridge,
 )}
 ORACLES = {
+    "f31_taxonomy": "SELECT p_partkey, CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN 'Economy' WHEN p_type = 'STANDARD' THEN 'Standard' ELSE 'Other' END AS department FROM part",
+    "c15_ground_days": """
+        SELECT c_custkey, CASE WHEN m <= 150 THEN 1 WHEN m <= 450 THEN 2 WHEN m <= 900 THEN 3 WHEN m <= 1500 THEN 4 WHEN m <= 2200 THEN 5 ELSE 6 END AS days FROM (
+          SELECT c_custkey, least(2 * 3958.8 * asin(sqrt(power(sin(radians(25.0 + c_nationkey - 40.0) / 2), 2) + cos(radians(40.0)) * cos(radians(25.0 + c_nationkey)) * power(sin(radians(-90.0 + 75.0) / 2), 2))),
+            2 * 3958.8 * asin(sqrt(power(sin(radians(25.0 + c_nationkey - 34.0) / 2), 2) + cos(radians(34.0)) * cos(radians(25.0 + c_nationkey)) * power(sin(radians(-90.0 + 118.0) / 2), 2)))) AS m FROM customer) q""",
     "c28_axis_values": "SELECT p_partkey, CAST(p_size AS VARCHAR) AS mm, CASE WHEN p_size % 2 = 0 THEN 'blue' END AS color, CAST(p_partkey % 9 AS VARCHAR) AS hash, CASE WHEN p_size % 2 <> 0 THEN 'S' END AS size FROM part",
     "c29_selector": """
         SELECT p_partkey, CASE WHEN s <> l THEN 'size' ELSE '#' END AS axis, CASE WHEN s <> l THEN 'Size' ELSE 'Number' END AS label, CASE WHEN s AND NOT l THEN 'S' WHEN l AND NOT s THEN 'L' ELSE CAST(p_partkey % 9 AS VARCHAR) END AS value
         FROM (SELECT p_partkey, p_name LIKE '%small%' OR p_size % 2 <> 0 AS s, p_name LIKE '%large%' AS l FROM part) q""",
-    "c09_parse_pack": "SELECT p_partkey, p_size AS qty, 'box' AS basis, 0.7 AS confidence FROM part",
-    "f35_name_differs": "SELECT p_partkey, false AS differs FROM part",
-    "f36_pack_label": "SELECT p_partkey, concat(p_size, '/Box') AS label FROM part",
+    "c09_parse_pack": """
+        SELECT p_partkey, CASE p_partkey % 4 WHEN 2 THEN p_size * 10 WHEN 3 THEN NULL ELSE p_size END AS qty, CASE p_partkey % 4 WHEN 0 THEN 'box' WHEN 3 THEN NULL ELSE 'case' END AS basis,
+               CASE p_partkey % 4 WHEN 0 THEN 0.7 WHEN 3 THEN NULL ELSE 0.92 END AS confidence, CASE p_partkey % 4 WHEN 0 THEN 'name' WHEN 3 THEN NULL ELSE 'pack_size' END AS source FROM part""",
+    "f35_name_differs": "SELECT p_partkey, p_partkey % 3 = 1 AND p_name NOT LIKE '%large%' AS differs FROM part",
+    "f36_pack_label": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN concat(p_size, '/Box') WHEN 1 THEN concat(p_size, ' ml') WHEN 2 THEN concat(p_size + 1, '/Box') ELSE concat(p_size, '/Pack') END AS label FROM part",
     "c04_base_units": "SELECT p_partkey, 4 AS n FROM part WHERE p_partkey > 0",
-    "c26_versions": "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS version, CASE WHEN lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL THEN 'current' ELSE 'superseded' END AS status FROM conversations",
+    "c26_versions": """
+        SELECT t.conv_id, t.turn, row_number() OVER (PARTITION BY t.conv_id ORDER BY t.turn) AS version, CASE WHEN t.role <> 'assistant' THEN 'pending' WHEN n.next_turn IS NULL THEN 'accepted' ELSE 'superseded' END AS status, n.next_turn AS superseded_by
+        FROM conversations t LEFT JOIN (SELECT a.conv_id, a.turn, min(b.turn) AS next_turn FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn > a.turn AND b.role = 'assistant' WHERE a.role = 'assistant' GROUP BY a.conv_id, a.turn) n
+          ON n.conv_id = t.conv_id AND n.turn = t.turn""",
     "c27_gaps": "SELECT u.user_id, t.missing FROM (SELECT DISTINCT user_id FROM events) u, (VALUES ('click'), ('view'), ('audit')) t(missing) WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = u.user_id AND e.event_type = t.missing)",
     "er14_orphan_bridge": """
         WITH g AS (SELECT p_name, p_brand, count(*) AS n, min(p_partkey) AS family FROM part GROUP BY p_name, p_brand)

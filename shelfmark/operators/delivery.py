@@ -78,7 +78,7 @@ ORACLES = {
           CASE WHEN o_orderkey % 2 = 0 THEN 3 ELSE 5 END + CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END] AS DATE) END AS day FROM orders""".replace("i -> ", "lambda i: ").replace("d -> ", "lambda d: "),
     "c20_attention": """
         SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'unidentified' WHEN value < 5 THEN 'expired' WHEN value < 10 THEN 'expiring' WHEN event_id % 3 = 0 THEN 'missing_trace' END AS reason FROM events""",
-    "c21_moved": "SELECT s_suppkey AS location_id FROM supplier WHERE s_suppkey % 2 = 0",
+    "c21_moved": "SELECT s_suppkey AS location_id FROM supplier WHERE CASE WHEN s_suppkey % 2 = 0 THEN -1 ELSE s_nationkey END IS DISTINCT FROM s_nationkey",
     "c31_best_offer": """
         SELECT line_id, price_cents FROM (SELECT q.*, row_number() OVER (PARTITION BY line_id ORDER BY CASE WHEN orderable THEN 0 ELSE 1 END, CASE WHEN price_cents > 0 THEN price_cents END NULLS LAST, offer_id) AS rn FROM (
           SELECT l_partkey AS line_id, l_returnflag <> 'R' AS orderable, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS price_cents, l_orderkey * 10 + l_linenumber AS offer_id, l_suppkey IN (1, 2, 3) AS liked,

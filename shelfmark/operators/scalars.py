@@ -32,8 +32,9 @@ _STEM = "list_transform(" + _TOKENS + ", lambda w: CASE WHEN NOT regexp_matches(
 
 _add("f02_normalize_sku", "part", "p_partkey", lambda: {"sku": T.normalize_sku(_code())}, f"{_SKU} AS sku")
 _add(
-    "f03_sku_strength", "part", "p_partkey", lambda: {"strength": T.sku_strength(T.normalize_sku(_code()))},
-    f"CASE WHEN length({_SKU}) >= 6 THEN 0.95 WHEN length({_SKU}) = 5 THEN 0.85 WHEN length({_SKU}) = 4 THEN 0.6 ELSE 0.3 END AS strength",
+    "f03_sku_strength", "part", "p_partkey", lambda: {"strength": T.sku_strength(F.when(F.col("p_size") % 3 == 0, F.col("p_partkey").cast("string")).when(F.col("p_size") % 3 == 1, F.concat(F.lit("A"), "p_partkey")).otherwise(F.upper(F.regexp_replace("p_name", "[^a-z]", ""))))},
+    "CASE p_size % 3 WHEN 0 THEN CASE WHEN regexp_full_match(CAST(p_partkey AS VARCHAR), '0+|1+|2+|3+|4+|5+|6+|7+|8+|9+') THEN 0.1 WHEN p_partkey < 1000 THEN 0.12 WHEN p_partkey < 10000 THEN 0.35 ELSE 0.5 END"
+    " WHEN 1 THEN CASE WHEN p_partkey < 100 THEN 0.3 WHEN p_partkey < 1000 THEN 0.6 WHEN p_partkey < 10000 THEN 0.85 ELSE 0.95 END ELSE CASE WHEN length(p_name) > 6 THEN 0.6 ELSE 0.3 END END AS strength",
 )
 _add(
     "f04_sku_core", "part", "p_partkey", lambda: {"core": T.sku_model_core(F.concat(F.lit("219-"), F.col("p_partkey") + 990))},
@@ -42,7 +43,8 @@ _add(
 _add("f05_brand_key", "part", "p_partkey", lambda: {"brand": T.brand_key(T.brand_tokens(F.concat(F.col("p_brand"), F.lit(" Inc"))))}, "trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) AS brand")
 _add("f07_pack_quantity", "part", "p_partkey", lambda: {"qty": P.parse_pack_quantity(F.lit(None).cast("string"), _name())}, "CASE WHEN p_size > 0 THEN p_size END AS qty")
 _add("f09_tokenize", "part", "p_partkey", lambda: {"tokens": F.array_join(T.tokenize_name(_name()), " ")}, f"array_to_string({_STEM}, ' ') AS tokens")
-_add("f10_sku_like", "part", "p_partkey", lambda: {"n": F.size(T.sku_like_tokens(F.concat_ws(" ", "p_name", F.concat(F.lit("AB"), F.col("p_partkey") + 1000))))}, "1 AS n")
+_add("f10_sku_like", "part", "p_partkey", lambda: {"codes": F.array_join(T.sku_like_tokens(F.concat_ws(" ", "p_name", F.concat(F.lit("AB-"), F.col("p_partkey") + 1000), F.concat(F.col("p_partkey") + 1000, F.lit("mm")), F.concat(F.col("p_size"), F.lit("box")))), ",")},
+     "concat('AB', p_partkey + 1000) AS codes")
 _add(
     "f12_jaccard", "part", "p_partkey",
     lambda: {"score": F.round(T.jaccard(F.split(F.lower("p_type"), " "), F.array(F.lit("standard"), F.lit("steel"), F.lit("small"))), 9)},
@@ -54,7 +56,8 @@ ORACLES["f13_trigrams"] = f"SELECT p_partkey, len({_GRAMS}) AS n FROM (SELECT p_
 _add("f17_prefix_recall", "part", "p_partkey", lambda: {"recall": T.prefix_recall(F.array(F.lit("st"), F.lit("po")), F.split(F.lower("p_type"), " "))},
      "(CASE WHEN len(list_filter(string_split(lower(p_type), ' '), lambda w: w LIKE 'st%')) > 0 THEN 0.5 ELSE 0 END + CASE WHEN len(list_filter(string_split(lower(p_type), ' '), lambda w: w LIKE 'po%')) > 0 THEN 0.5 ELSE 0 END) AS recall")
 _add("f19_name_similarity", "part", "p_partkey", lambda: {"score": T.name_similarity(F.array(F.lit("steel"), F.lit("part")), T.tokenize_name(_name()))})
-_add("f20_title_overlap", "part", "p_partkey", lambda: {"pct": T.title_overlap(F.split(F.lower("p_type"), " "), F.array(F.lit("steel"), F.lit("brushed")))})
+_add("f20_title_overlap", "part", "p_partkey", lambda: {"pct": T.title_overlap(F.split(F.concat_ws(" ", "p_name", F.lit("of"), F.element_at(F.split("p_name", " "), 1)), " "), F.array(F.lit("hot"), F.lit("ring"), F.lit("of")))},
+     "CAST(floor(100.0 * (CASE WHEN p_name LIKE 'hot %' THEN 2 ELSE 0 END + CASE WHEN p_name LIKE '% ring' THEN 1 ELSE 0 END) / 3 + 0.5) AS INT) AS pct")
 _add("f21_status", "part", "p_partkey", lambda: {"status": T.status_of_confidence(F.col("p_partkey") % 100)},
      "CASE WHEN p_partkey % 100 >= 80 THEN 'exact' WHEN p_partkey % 100 >= 55 THEN 'variant' WHEN p_partkey % 100 >= 30 THEN 'needs_review' ELSE 'unmatched' END AS status")
 _add("f24_strip_tags", "pages", "page_id", lambda: {"plain": T.strip_tags("html")}, "trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS plain")
@@ -69,10 +72,11 @@ _add("f42_money", "part", "p_partkey", lambda: {"cents": T.money_cents(F.concat(
 _BODY = "lpad(CAST(p_partkey AS VARCHAR), 12, '0')"
 _body = lambda: F.lpad(F.col("p_partkey").cast("string"), 12, "0")
 _DIGIT = f"(10 - list_sum(list_transform(range(1, 13), lambda i: CAST(substr({_BODY}, i, 1) AS INT) * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END)) % 10) % 10"
-_add("c01_check_digit", "part", "p_partkey", lambda: {"code": F.concat(_body(), C.check_digit(_body())), "ok": C.valid_gtin(F.concat(_body(), C.check_digit(_body())))}, f"concat({_BODY}, CAST({_DIGIT} AS INT)) AS code, true AS ok")
+_add("c01_check_digit", "part", "p_partkey", lambda: {"code": F.concat(_body(), C.check_digit(_body())), "ok": C.valid_gtin(F.concat(_body(), (F.col("p_size") % 10).cast("string")))}, f"concat({_BODY}, CAST({_DIGIT} AS INT)) AS code, CAST({_DIGIT} AS INT) = p_size % 10 AS ok")
 _add("c02_gtin_variants", "part", "p_partkey", lambda: {"n": F.size(C.gtin_variants(F.concat(_body(), C.check_digit(_body()))))}, "CASE WHEN p_partkey = 0 THEN 3 ELSE 4 END AS n")
 _add("c03_canonical_gtin", "part", "p_partkey", lambda: {"core": C.canonical_gtin(_body())}, "CASE WHEN p_partkey = 0 THEN '' ELSE CAST(p_partkey AS VARCHAR) END AS core")
-_add("c06_gs1_date", "orders", "o_orderkey", lambda: {"d": C.gs1_date(F.date_format("o_orderdate", "yyMMdd"))})
+_add("c06_gs1_date", "orders", "o_orderkey", lambda: {"d": C.gs1_date(F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyMM00")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyMMdd")).otherwise("991341"))},
+     "CASE o_orderkey % 3 WHEN 0 THEN last_day(CAST(concat('20', strftime(o_orderdate, '%y-%m-01')) AS DATE)) WHEN 1 THEN CAST(concat('20', strftime(o_orderdate, '%y-%m-%d')) AS DATE) END AS d")
 _add("c10_unit_price", "lineitem", "l_orderkey", lambda: {"cents": C.unit_price_cents(C.half_up(F.col("l_extendedprice") * 100), F.col("l_quantity"))}, "CASE WHEN l_quantity > 0 AND l_extendedprice > 0 THEN CAST(floor(floor(l_extendedprice * 100 + 0.5) / l_quantity + 0.5) AS BIGINT) END AS cents")
 _add("c12_savings", "lineitem", "l_orderkey", lambda: {"cents": C.savings(F.col("l_extendedprice"), F.lit(30000.0), F.col("l_quantity"))}, "greatest(0, CAST(floor((l_extendedprice - 30000.0) * l_quantity + 0.5) AS BIGINT)) AS cents")
 _add("c13_noisy_or", "part", "p_partkey", lambda: {"p": F.round(C.noisy_or(F.array(F.col("p_size") / 100.0, F.lit(0.3), F.lit(0.1))), 9)}, "round(1 - (1 - p_size / 100.0) * 0.7 * 0.9, 9) AS p")

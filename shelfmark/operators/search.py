@@ -281,7 +281,7 @@ def j17_vendor_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("name"), (F.col("p_retailprice") > 1000).alias("priced"))
+    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("name"), (F.col("p_partkey") % 3 > 0).alias("priced"))
 
 
 def q15_fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:

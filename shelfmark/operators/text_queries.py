@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import axes as A, codes as C, ingest_text as I, text as T
+from ..functions import axes as A, codes as C, ingest_text as I, labels as L, taxonomy as X, text as T
 from ..session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,38 @@ def f15_sku_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["f15_sku_evidence"] = """
     SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 0.95 WHEN 1 THEN 0.9 ELSE 0.0 END AS score, CASE WHEN p_partkey % 3 < 2 THEN concat('AB', lpad(CAST(p_partkey AS VARCHAR), 7, '0')) ELSE '' END AS code FROM part"""
 QUERIES |= {f.__name__: f for f in (c24_ladder, f15_sku_evidence, f25_decode_pages)}
+
+_SHAPES = ("'yyyy-MM-dd'", "'yyyy/MM'", "'MM/dd/yyyy'", "'dd.MM.yyyy'", "'dd MMM yyyy'", "'MMM yyyy'", "'yyyyMMdd'", "'MM/yy'")
+_later = "(o_orderdate + INTERVAL 30 YEARS)"  # dates of this century
+_printed = "CASE " + " ".join(f"WHEN o_orderkey % 8 = {k} THEN concat('use by ', date_format({_later}, {f}))" for k, f in enumerate(_SHAPES)) + " END"
+_add("c08_expiry", "orders", "o_orderkey", lambda: {"expiry": L.expiry(_printed, short=True), "gs1": L.gs1_expiry(f"date_format({_later}, 'yyMM00')"), "misread": L.expiry(f"translate(date_format({_later}, 'MM.yyyy'), '1', 'I')")}, "")
+ORACLES["c08_expiry"] = """
+    SELECT o_orderkey, strftime(CASE WHEN o_orderkey % 8 IN (1, 5, 7) THEN last_day(d) WHEN o_orderkey % 8 = 3 AND day(d) <= 12 THEN make_date(year(d), day(d), month(d)) ELSE d END, '%Y-%m-%d') AS expiry,
+           strftime(last_day(d), '%Y-%m-%d') AS gs1, strftime(last_day(d), '%Y-%m-%d') AS misread FROM (SELECT o_orderkey, CAST(o_orderdate + INTERVAL 30 YEARS AS DATE) AS d FROM orders) q"""
+_add("c15_zip_state", "customer", "c_custkey", lambda: {"state": L.state_of_zip(F.lpad((F.col("c_custkey") * 37 % 100000).cast("string"), 5, "0"))}, "")
+ORACLES["c15_zip_state"] = "SELECT c_custkey, state FROM customer LEFT JOIN (VALUES " + ", ".join(map(str, L.STATES)) + ") z(low, high, state) ON c_custkey * 37 % 100000 // 100 BETWEEN low AND high"
+_link = lambda: F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("https://a.example/dp/B"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.lit("/ref=1"))).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("https://b.example/item_"), F.col("p_partkey") + 1000000, F.lit(".html"))).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("https://c.example/p/"), F.col("p_partkey") + 10000000, F.lit("?x=1"))).otherwise(F.concat(F.lit("https://d.example/x-"), "p_partkey", F.lit("?q=12345678")))
+_add("f28_listing_id", "part", "p_partkey", lambda: {"id": L.listing_id(_link())}, """CASE p_partkey % 4 WHEN 0 THEN concat('B', lpad(CAST(p_partkey AS VARCHAR), 9, '0')) WHEN 1 THEN CAST(p_partkey + 1000000 AS VARCHAR)
+    WHEN 2 THEN CAST(p_partkey + 10000000 AS VARCHAR) ELSE substr(sha1(concat('https://d.example/x-', p_partkey)), 1, 12) END AS id""")
+_DEPARTMENTS = [
+    X.Rule("rings", "Rings & Rods", ("ring", "steel rods"), r"\bring", r"ring|\brod\b", (("Hot Rings", r"\bhot\b"),)),
+    X.Rule("low-price", "Economy", ("economy", "promo"), "economy|promo", "old"),
+]
+_category = lambda: F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).when(F.col("p_partkey") % 3 == 1, "General")
+
+
+def f31_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = X.classify(_category(), F.lit(None).cast("string"), F.col("p_name"), _DEPARTMENTS)
+    return _read(spark, sf_dir, "part").select("p_partkey", c.alias("c")).select("p_partkey", "c.department", "c.part", "c.confidence")
+
+
+ORACLES["f31_classify"] = """
+    SELECT p_partkey, CASE WHEN a = 0 AND b = 0 THEN NULL WHEN a >= b THEN 'Rings & Rods' ELSE 'Economy' END AS department,
+           CASE WHEN a = 0 AND b = 0 THEN NULL WHEN a >= b THEN CASE WHEN p_name LIKE 'hot%' THEN 'Hot Rings' ELSE 'Rings & Rods' END ELSE 'Economy' END AS part,
+           CASE WHEN a > 0 OR b > 0 THEN least(100, greatest(a, b)) END AS confidence
+    FROM (SELECT p_partkey, p_name, CASE WHEN regexp_matches(p_name, 'ring|rod') THEN CASE WHEN p_partkey % 3 = 0 THEN 35 ELSE 55 END ELSE 0 END AS a,
+                 CASE WHEN p_partkey % 3 = 0 AND p_type IN ('ECONOMY', 'PROMO') THEN 190 ELSE 0 END + CASE WHEN p_name LIKE 'old%' OR p_name LIKE 'cold%' THEN CASE WHEN p_partkey % 3 = 0 THEN 35 ELSE 55 END ELSE 0 END AS b FROM part) q"""
+_add("f32_display_category", "part", "p_partkey", lambda: {"shown": X.display(F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit(" "), F.lower("p_type"))).when(F.col("p_partkey") % 4 == 1, "rings &  rods").when(F.col("p_partkey") % 4 == 2, F.concat_ws("  ", F.lit("kit"), "p_name")), _DEPARTMENTS)}, """
+    CASE p_partkey % 4 WHEN 0 THEN CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN 'Economy' ELSE concat(substr(p_type, 1, 1), lower(substr(p_type, 2))) END WHEN 1 THEN 'Rings & Rods'
+      WHEN 2 THEN array_to_string(list_transform(string_split(concat('kit ', p_name), ' '), lambda w: CASE WHEN length(w) <= 3 THEN upper(w) ELSE concat(upper(substr(w, 1, 1)), substr(w, 2)) END), ' ') ELSE 'Other' END AS shown""")
+QUERIES["f31_classify"] = f31_classify
