@@ -17,6 +17,7 @@ Cases with a defined result
     very long text or word: merging is n log n; words over units.CACHE_BYTES are not kept
     special tokens written out in a text: encoded as their ids, as the library does
     repeated rows and ids, nulls in other columns: each row is encoded on its own
+    equal merge ranks in a word: the leftmost first; extra columns, whatever their names: not read
     empty table: an empty result
 """
 

@@ -13,6 +13,8 @@ Cases with a defined result
     null or empty text: all features zero; scored like any other
     very long text: read whole, in one linear pass
     null or repeated ids: each row is scored on its own text; null ids are held in (never held out)
+    ties: rows of equal hash are taken by id, splits of equal gain by place
+    extra columns, whatever their names: not read
     no labelled rows, or one class only: every score is that class's share (0.5 with none)
     empty table: an empty result
 """

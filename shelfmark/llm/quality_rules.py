@@ -8,6 +8,9 @@ Cases with a defined result
     null or empty text: no words, so the base rule fails it; score 0
     fewer bytes than an n-gram: score 0
     null or repeated ids: each row is scored on its own text
+    very long text: read whole; repeated rows: judged and counted each
+    a score that equals the threshold: kept
+    empty table: an empty result
     no trusted rows at all: every ratio is 0, so the base rule decides alone
     extra columns, whatever their names: passed through by ``filter_documents``
 """
