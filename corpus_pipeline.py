@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a
 DataFrame; it is written as Parquet and read again as the next stage's docs.  All stages but the
 last return the columns of ``documents``.
+
+Cases with a defined result
+    null, empty or very short text: rejected by the quality rules; very long text: read whole by every stage
+    null id, repeated rows and ids: as each stage's module says; ties: by least id
+    extra columns of any name: carried to the last stage, which returns its own
+    empty tables: an empty result
 """
 
 from __future__ import annotations
