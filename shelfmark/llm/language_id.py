@@ -119,8 +119,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     languages = [r["_lang"] for r in sizes]
     if not languages:
         return Filters([], np.zeros((0, ROWS), np.uint64), 0)
-    known = docs.sparkSession.createDataFrame([(r["_lang"], i, min(1.0, PER_LANGUAGE / r["n"])) for i, r in enumerate(sizes)], "l string, number int, share double")
-    rows = rows.join(known, F.col("_lang") == F.col("l"))
+    # a literal, so that texts are not shuffled to meet it
+    known = F.create_map(*[x for i, r in enumerate(sizes) for x in (F.lit(r["_lang"]), F.struct(F.lit(i).alias("number"), F.lit(min(1.0, PER_LANGUAGE / r["n"])).alias("share")))])
+    rows = rows.withColumn("_k", known[F.col("_lang")]).select("*", "_k.number", "_k.share")
     drawn = F.pmod(F.xxhash64("_id", F.lit(4)), F.lit(1 << 30)) < F.col("share") * F.lit(float(1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
