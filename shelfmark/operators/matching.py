@@ -54,17 +54,25 @@ def blocking_index(feats: DataFrame) -> DataFrame:
     return by_code.unionByName(words.where("brand IS NOT NULL").select("listing_id", F.explode(two).alias("key")))
 
 
-def candidate_pairs(index: DataFrame, block: int = BLOCK, rules: bool = False) -> DataFrame:
-    """ER04, J08, J12: distinct pairs that share a posting list, with ``rules`` also by which kind of key.  A list of
-    more than ``block`` listings becomes a grid of blocks, a row of it for the left side and a column for the right."""
+def candidate_pairs(index: DataFrame, block: int = BLOCK, rules: bool = False, feats: DataFrame | None = None) -> DataFrame:
+    """ER04, J08, J12: distinct pairs that share a posting list of ``index`` (listing_id, key), whose rows differ; with
+    ``rules`` also by which kind of key.  A list of more than ``block`` listings becomes a grid of blocks, a row of it
+    for the left side and a column for the right.  Both sides bring all their keys, and a pair is made under the first
+    that it shares only, so no pairs are brought together to find the distinct ones.  With ``feats`` a pair has both
+    listings' features (left, right), which travel once a posting and not once a pair."""
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("key", F.ceil(F.col("n") / block).cast("int").alias("n"))
-    lists = index.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("listing_id"), "n").cast("int")).withColumn("every", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    left = lists.select("key", F.col("listing_id").alias("left_id"), F.col("own").alias("i"), F.col("every").alias("j"))
-    right = lists.select("key", F.col("listing_id").alias("right_id"), F.col("every").alias("i"), F.col("own").alias("j"))
-    met = left.join(right, ["key", "i", "j"]).where("left_id < right_id")
-    if not rules:
-        return met.select("left_id", "right_id").distinct()
-    return met.groupBy("left_id", "right_id").agg(F.bool_or(F.startswith("key", F.lit("code:"))).alias("by_code"), F.bool_or(F.startswith("key", F.lit("words:"))).alias("by_words"))
+    shared = index.join(sizes, "key")
+    own = shared.groupBy("listing_id").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("l"))
+    with_f = [] if feats is None else ["f"]
+    if feats is not None:
+        own = own.join(feats.select("listing_id", F.struct(*SCORED).alias("f")), "listing_id")
+    lists = own.select("listing_id", *with_f, F.transform("l", lambda x: x["key"]).alias("keys"), F.explode("l").alias("e")).select("listing_id", *with_f, "keys", "e.key", "e.n")
+    lists = lists.withColumn("own", F.pmod(F.xxhash64("listing_id"), "n").cast("int")).withColumn("every", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    left = lists.select("key", F.col("listing_id").alias("left_id"), F.col("keys").alias("a"), F.col("own").alias("i"), F.col("every").alias("j"), *[F.col(c).alias("left") for c in with_f])
+    right = lists.select("key", F.col("listing_id").alias("right_id"), F.col("keys").alias("b"), F.col("every").alias("i"), F.col("own").alias("j"), *[F.col(c).alias("right") for c in with_f])
+    met = left.join(right, ["key", "i", "j"]).where("left_id < right_id").withColumn("both", F.array_intersect("a", "b")).where(F.get("both", 0) == F.col("key"))
+    kind = lambda k: F.exists("both", lambda x: F.startswith(x, F.lit(k)))
+    return met.select("left_id", "right_id", *(["left", "right"] if with_f else []), *([kind("code:").alias("by_code"), kind("words:").alias("by_words")] if rules else []))
 
 
 def _code_evidence(a: Callable, b: Callable, brand: Column) -> Column:
@@ -87,6 +95,10 @@ def _code_evidence(a: Callable, b: Callable, brand: Column) -> Column:
     )
 
 
+#: The features that pairs are scored on.
+SCORED = ["supplier_id", "code", "strength", "core", "brand_words", "words", "name_codes", "grams", "pack", "axes", "loose"]
+
+
 def _sides() -> tuple[Callable[[str], Column], Callable[[str], Column]]:
     return (lambda c: F.col(f"left.{c}")), (lambda c: F.col(f"right.{c}"))
 
@@ -95,9 +107,8 @@ def _signals(pairs: DataFrame, feats: DataFrame, conflicts: bool = True) -> Data
     """``pairs`` with both sides' features, brand (relation), sku (code evidence), rel (brand, or one product line),
     loosely (bare numbers apart) and n (likeness of the names); without ``conflicts``, pairs whose axes conflict are
     dropped before the names are compared."""
-    cols = ["supplier_id", "code", "strength", "core", "brand_words", "words", "name_codes", "grams", "pack", "axes", "loose"]
-    side = lambda s: feats.select(F.col("listing_id").alias(f"{s}_id"), F.struct(*cols).alias(s))
-    p = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
+    side = lambda s: feats.select(F.col("listing_id").alias(f"{s}_id"), F.struct(*SCORED).alias(s))
+    p = pairs if "left" in pairs.columns else pairs.join(side("left"), "left_id").join(side("right"), "right_id")
     a, b = _sides()
     if not conflicts:
         p = p.where(~A.axes_conflict(a("axes"), b("axes")))
@@ -114,8 +125,9 @@ def _signals(pairs: DataFrame, feats: DataFrame, conflicts: bool = True) -> Data
 
 
 def score_pairs(pairs: DataFrame, feats: DataFrame, rejected: bool = True) -> DataFrame:
-    """ER05, ER06: (left_id, right_id, status, confidence, name_sim) of every candidate pair; without ``rejected``,
-    of those that are not rejected."""
+    """ER05, ER06: (left_id, right_id, status, confidence, name_sim) of every candidate pair; without ``rejected``, of
+    those whose axes do not conflict.  A filter on the status belongs after the pairs are written: before, it would
+    be pushed below and compare the names again."""
     p = _signals(pairs, feats, conflicts=rejected)
     a, b = _sides()
     code, s, rel, loosely, n = (F.col(c) for c in ("sku.code", "sku.score", "rel", "loosely", "n"))
@@ -136,8 +148,7 @@ def score_pairs(pairs: DataFrame, feats: DataFrame, rejected: bool = True) -> Da
     taken, open_ = F.col("verdict") == "accept", F.col("verdict") == "review"
     status = F.when(taken, F.when(differs, "variant").otherwise("exact")).when(open_, "needs_review").otherwise("reject")
     confidence = F.when(taken, F.least(F.lit(99), F.floor(F.when(differs, 70).otherwise(75) + 12.5 * (s + n) + 0.5))).when(open_, F.floor(40 + 20 * n + 0.5)).otherwise(0)
-    out = p.select("left_id", "right_id", status.alias("status"), confidence.cast("int").alias("confidence"), F.round("n", 9).alias("name_sim"))
-    return out if rejected else out.where("status <> 'reject'")
+    return p.select("left_id", "right_id", status.alias("status"), confidence.cast("int").alias("confidence"), F.round("n", 9).alias("name_sim"))
 
 
 def name_brand_probe(pairs: DataFrame, feats: DataFrame, save: Callable[[DataFrame], DataFrame], medium: float = 0.7, high: float = 0.8) -> DataFrame:
