@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, mixing, pii, quality_gam, quality_rules, simhash, token_store, url_filter
+from . import bpe, exact_dedup, filter_audit, language_id, mixing, pii, quality_gam, quality_rules, secret_scan, simhash, token_store, url_filter, word_runs
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -56,11 +56,24 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_gam, op2_pii_surrogates, op3_exact_dedup, op4_language_id, op5_mixing,
         op6_url_filter, op7_simhash, op8_bpe, op9_quality_rules, op10_token_store,
+        op11_secret_scan, op12_filter_audit, op13_word_runs,
     )
 }
-ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op12_filter_audit": filter_audit.ORACLE}
