@@ -54,25 +54,21 @@ def blocking_index(feats: DataFrame) -> DataFrame:
     return by_code.unionByName(words.where("brand IS NOT NULL").select("listing_id", F.explode(two).alias("key")))
 
 
-def candidate_pairs(index: DataFrame, block: int = BLOCK, rules: bool = False, feats: DataFrame | None = None) -> DataFrame:
+def candidate_pairs(index: DataFrame, block: int = BLOCK, rules: bool = False) -> DataFrame:
     """ER04, J08, J12: distinct pairs that share a posting list of ``index`` (listing_id, key), whose rows differ; with
     ``rules`` also by which kind of key.  A list of more than ``block`` listings becomes a grid of blocks, a row of it
     for the left side and a column for the right.  Both sides bring all their keys, and a pair is made under the first
-    that it shares only, so no pairs are brought together to find the distinct ones.  With ``feats`` a pair has both
-    listings' features (left, right), which travel once a posting and not once a pair."""
+    that it shares only, so no pairs are brought together to find the distinct ones."""
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("key", F.ceil(F.col("n") / block).cast("int").alias("n"))
     shared = index.join(sizes, "key")
     own = shared.groupBy("listing_id").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("l"))
-    with_f = [] if feats is None else ["f"]
-    if feats is not None:
-        own = own.join(feats.select("listing_id", F.struct(*SCORED).alias("f")), "listing_id")
-    lists = own.select("listing_id", *with_f, F.transform("l", lambda x: x["key"]).alias("keys"), F.explode("l").alias("e")).select("listing_id", *with_f, "keys", "e.key", "e.n")
+    lists = own.select("listing_id", F.transform("l", lambda x: x["key"]).alias("keys"), F.explode("l").alias("e")).select("listing_id", "keys", "e.key", "e.n")
     lists = lists.withColumn("own", F.pmod(F.xxhash64("listing_id"), "n").cast("int")).withColumn("every", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    left = lists.select("key", F.col("listing_id").alias("left_id"), F.col("keys").alias("a"), F.col("own").alias("i"), F.col("every").alias("j"), *[F.col(c).alias("left") for c in with_f])
-    right = lists.select("key", F.col("listing_id").alias("right_id"), F.col("keys").alias("b"), F.col("every").alias("i"), F.col("own").alias("j"), *[F.col(c).alias("right") for c in with_f])
+    left = lists.select("key", F.col("listing_id").alias("left_id"), F.col("keys").alias("a"), F.col("own").alias("i"), F.col("every").alias("j"))
+    right = lists.select("key", F.col("listing_id").alias("right_id"), F.col("keys").alias("b"), F.col("every").alias("i"), F.col("own").alias("j"))
     met = left.join(right, ["key", "i", "j"]).where("left_id < right_id").withColumn("both", F.array_intersect("a", "b")).where(F.get("both", 0) == F.col("key"))
     kind = lambda k: F.exists("both", lambda x: F.startswith(x, F.lit(k)))
-    return met.select("left_id", "right_id", *(["left", "right"] if with_f else []), *([kind("code:").alias("by_code"), kind("words:").alias("by_words")] if rules else []))
+    return met.select("left_id", "right_id", *([kind("code:").alias("by_code"), kind("words:").alias("by_words")] if rules else []))
 
 
 def _code_evidence(a: Callable, b: Callable, brand: Column) -> Column:
@@ -108,7 +104,7 @@ def _signals(pairs: DataFrame, feats: DataFrame, conflicts: bool = True) -> Data
     loosely (bare numbers apart) and n (likeness of the names); without ``conflicts``, pairs whose axes conflict are
     dropped before the names are compared."""
     side = lambda s: feats.select(F.col("listing_id").alias(f"{s}_id"), F.struct(*SCORED).alias(s))
-    p = pairs if "left" in pairs.columns else pairs.join(side("left"), "left_id").join(side("right"), "right_id")
+    p = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
     a, b = _sides()
     if not conflicts:
         p = p.where(~A.axes_conflict(a("axes"), b("axes")))
@@ -143,21 +139,16 @@ def score_pairs(pairs: DataFrame, feats: DataFrame, rejected: bool = True) -> Da
         .when(s >= 0.3, decide((n >= 0.6) & (rel != "conflict"), n >= 0.45)).when(s > 0, decide((n >= 0.8) & (rel == "match"), n >= 0.7))
         .when((rel == "match") & ~loosely, decide((n >= 0.92) & ~apart, n >= 0.8)).otherwise("reject")
     )
-    differs = T.pack_relation("left.pack", "right.pack") == "differs"
-    p = p.withColumn("verdict", verdict)
-    taken, open_ = F.col("verdict") == "accept", F.col("verdict") == "review"
-    status = F.when(taken, F.when(differs, "variant").otherwise("exact")).when(open_, "needs_review").otherwise("reject")
-    confidence = F.when(taken, F.least(F.lit(99), F.floor(F.when(differs, 70).otherwise(75) + 12.5 * (s + n) + 0.5))).when(open_, F.floor(40 + 20 * n + 0.5)).otherwise(0)
-    return p.select("left_id", "right_id", status.alias("status"), confidence.cast("int").alias("confidence"), F.round("n", 9).alias("name_sim"))
+    status, confidence = verdict_columns(F.col("verdict"), s, n, T.pack_relation("left.pack", "right.pack") == "differs")
+    return p.withColumn("verdict", verdict).select("left_id", "right_id", status.alias("status"), confidence.alias("confidence"), F.round("n", 9).alias("name_sim"))
 
 
-def name_brand_probe(pairs: DataFrame, feats: DataFrame, save: Callable[[DataFrame], DataFrame], medium: float = 0.7, high: float = 0.8) -> DataFrame:
-    """ER19: (left_id, right_id, name_sim, high, group) of pairs of one brand and different suppliers that no axis and
-    no bare number sets apart and whose names are ``medium`` alike or more; pairs from ``high`` on make groups."""
-    p = _signals(pairs, feats, conflicts=False).where((F.col("left.supplier_id") != F.col("right.supplier_id")) & (F.col("brand") == "match") & ~F.col("loosely") & (F.col("n") >= medium))
-    found = save(p.select("left_id", "right_id", F.round("n", 9).alias("name_sim"), (F.col("n") >= high).alias("high")))
-    groups = connected_components(found.where("high").select(F.col("left_id").alias("u"), F.col("right_id").alias("v")), save)
-    return found.join(groups.select(F.col("vertex").alias("left_id"), F.col("label").alias("group")), "left_id", "left").withColumn("group", F.when(F.col("high"), F.col("group")))
+def verdict_columns(verdict: Column, s: Column, n: Column, differs: Column) -> tuple[Column, Column]:
+    """Status and confidence of a verdict with code score ``s`` and name score ``n``, by whether packs differ."""
+    taken, open_ = verdict == "accept", verdict == "review"
+    status = F.when(taken, F.when(differs, "variant").otherwise("exact")).when(open_, "needs_review").otherwise("reject")
+    confidence = F.when(taken, F.least(F.lit(99), F.floor(F.when(differs, 70).otherwise(75) + 12.5 * (s + n) + 0.5))).when(open_, F.floor(40 + 20 * n + 0.5)).otherwise(0)
+    return status, confidence.cast("int")
 
 
 def _bounds(feats: DataFrame) -> DataFrame:
