@@ -1,11 +1,8 @@
-"""Joins of word sets, and of a query set with all rows in blocks."""
+"""Joins of word sets."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-#: Blocks of the rows that a query set meets.
-BLOCKS = 64
+from pyspark.sql import DataFrame, functions as F
 
 
 def similar_sets(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
@@ -29,10 +26,3 @@ def similar_sets(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     shared = F.size(F.array_intersect("left_words", "right_words"))
     likeness = shared / (F.size("left_words") + F.size("right_words") - shared)
     return both.withColumn("likeness", likeness).where(F.col("likeness") >= least).select("left_set", "right_set", "likeness")
-
-
-def in_blocks(queries: DataFrame, rows: DataFrame, key: Column, blocks: int = BLOCKS) -> DataFrame:
-    """Every row beside every query: ``rows`` are spread over blocks by ``key`` and the query set, a stated and smaller
-    one, goes to each block."""
-    spread = rows.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
-    return queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(spread, "_block").drop("_block")

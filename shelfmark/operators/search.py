@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import codes as C, text as T
-from .overlap import in_blocks, similar_sets
+from ..session import saver
+from .overlap import similar_sets
+from .top_names import NameIndex, containing, similar_names
 
 
 def _best(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame:
@@ -94,20 +96,18 @@ def _ranked_names(queries: DataFrame, products: DataFrame, cut: float, limit: in
     """(query_id, product_id, score, rank): the ``limit`` products of each query by priced first, score, id.  A query's
     word list and a name's are compared once however many rows have them; of the products of one name only the first
     ``limit`` priced and unpriced ones can be among the ``limit``.  ``among`` is a further condition on (q, p)."""
-    q = queries.select(F.col("id").alias("query_id"), T.tokenize_name("text").alias("q"))
-    p = products.select(F.col("id").alias("product_id"), T.tokenize_name("name").alias("p"), "priced")
-    met = in_blocks(q.select("q").distinct(), p.select("p").distinct(), F.col("p"))
-    if among is not None:
-        met = met.where(among)
-    scored = met.withColumn("score", F.round(T.name_similarity("q", "p"), 9)).where(F.col("score") >= cut)
-    heads = _best(p, ["p", "priced"], ["product_id"], limit).drop("rank")
-    best = _best(scored.join(heads, "p"), ["q"], [F.when(F.col("priced"), 0).otherwise(1), F.desc("score"), "product_id"], limit)
-    return q.join(best.select("q", "product_id", "score", "rank"), "q").select("query_id", "product_id", "score", "rank")
+    save = saver(products.sparkSession)
+    q = queries.select(F.col("id").alias("query_id"), T.tokenize_name("text").alias("q")).withColumn("query", F.array_join("q", " "))
+    p = save(products.select(F.col("id").alias("product_id"), T.tokenize_name("name").alias("p"), "priced"))
+    found = similar_names(save(q.select("query", "q").distinct()), NameIndex(p, limit, save), cut, limit, save, among)
+    heads = _best(p.withColumn("key", F.array_join("p", " ")), ["key", "priced"], ["product_id"], limit).select("key", "priced", "product_id")
+    best = _best(found.join(heads, "key"), ["query"], [F.when(F.col("priced"), 0).otherwise(1), F.desc("score"), "product_id"], limit)
+    return q.join(best.select("query", "product_id", "score", "rank"), "query").select("query_id", "product_id", "score", "rank")
 
 
 def fuzzy_search(queries: DataFrame, products: DataFrame, cut: float = 0.12, limit: int = 10) -> DataFrame:
-    """Q15: the ``limit`` products most like each query (id, text) of a query set, priced ones first.  Every name is
-    compared, so no candidate is lost."""
+    """Q15: the ``limit`` products most like each query (id, text) of a query set, priced ones first.  No
+    candidate is lost: lists that are not read cannot hold one."""
     return _ranked_names(queries, products, cut, limit)
 
 
@@ -180,19 +180,16 @@ HELD, REPORTED, POSSIBLE = 0.85, 0.3, 0.45
 
 def _named(signals: DataFrame, text: str, pool: DataFrame, names: list[str], whole: str, part: str) -> DataFrame:
     """(signal_id, id, reason, w) where a pool row has 60 % or 34 % of the words of a signal's text in one of its names."""
-    q = signals.select("signal_id", T.tokenize_name(text).alias("q")).where(F.size("q") > 0)
-    p = pool.select("id", *[T.tokenize_name(F.coalesce(n, F.lit(""))).alias(f"p{i}") for i, n in enumerate(names)])
-    cols = [f"p{i}" for i in range(len(names))]
-    met = in_blocks(q.select("q").distinct(), p.select(*cols).distinct(), F.struct(*cols))
-    recall = F.greatest(F.lit(0.0), *[_recall(c) for c in cols])
-    met = met.withColumn("r", recall).where(F.col("r") >= 0.34)
-    reason = F.when(F.col("r") >= 0.6, whole).otherwise(part)
-    weight = F.when(F.col("r") >= 0.6, EVIDENCE[whole]).otherwise(EVIDENCE[part])
-    return met.select("q", *cols, reason.alias("reason"), weight.alias("w")).join(q, "q").join(p, cols).select("signal_id", "id", "reason", "w")
-
-
-def _recall(c: str) -> F.Column:
-    return F.size(F.filter("q", lambda w: F.array_contains(F.col(c), w))) / F.size("q")
+    save = saver(pool.sparkSession)
+    q = save(signals.select("signal_id", T.tokenize_name(text).alias("q")).where(F.size("q") > 0).withColumn("query", F.array_join("q", " ")))
+    p = pool.select("id", F.explode(F.array_distinct(F.array(*[T.tokenize_name(F.coalesce(n, F.lit(""))) for n in names]))).alias("p")).withColumn("name", F.array_join("p", " "))
+    p = save(p)
+    met = containing(q.select("query", "q").distinct(), save(p.select("name", "p").distinct()), 0.34)
+    met = met.join(q.select("signal_id", "query"), "query").join(p.select("id", "name"), "name")
+    met = met.select("signal_id", "id", "recall") if len(names) == 1 else met.groupBy("signal_id", "id").agg(F.max("recall").alias("recall"))
+    reason = F.when(F.col("recall") >= 0.6, whole).otherwise(part)
+    weight = F.when(F.col("recall") >= 0.6, EVIDENCE[whole]).otherwise(EVIDENCE[part])
+    return met.select("signal_id", "id", reason.alias("reason"), weight.alias("w"))
 
 
 def _weighed(reasons: DataFrame) -> DataFrame:

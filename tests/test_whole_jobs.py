@@ -6,8 +6,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from shelfmark.functions import text as T
-from shelfmark.operators import matching as M, overlap, search
+from shelfmark.functions import axes as A, text as T
+from shelfmark.operators import matching as M, matching_queries, name_classes as N, overlap, search, top_names
 from shelfmark.session import saver
 
 
@@ -67,14 +67,41 @@ def test_name_brand_probe(spark):
     """Pairs of one brand and different suppliers by likeness, in groups; long lists keep all their pairs."""
     f = _features(spark, 130, "", "Fine Paper Point")
     save = saver(spark)
-    got = M.name_brand_probe(M.candidate_pairs(M.blocking_index(f), 50), save(f), save).collect()
+    got = N.name_brand_probe(save(f), save).collect()
     assert {(r.left_id, r.right_id) for r in got} == {(a, b) for b in range(130) for a in range(b)} and {(r.high, r.group) for r in got} == {(True, 0)}
     rows = [(1, "a", "", "Acme", "Fine Paper Point Large"), (2, "b", "", "Acme", "Fine Paper Point Small"), (3, "b", "", "Other", "Fine Paper Point Large"), (4, "a", "", "Acme", "Fine Paper Points Large"), (5, "c", "", "Acme", "Fine Paper Point Holder Large Kit Blue")]
     f = save(M.features(spark.createDataFrame([(*r, "") for r in rows], "listing_id long, supplier_id string, sku string, brand string, name string, pack_size string")))
-    got = {(r.left_id, r.right_id): r for r in M.name_brand_probe(M.candidate_pairs(M.blocking_index(f)), f, save, 0.5, 0.9).collect()}
+    got = {(r.left_id, r.right_id): r for r in N.name_brand_probe(f, save, 0.5, 0.9).collect()}
     assert set(got) == {(1, 5), (4, 5)} and not any(r.high for r in got.values())
 
 
+def _catalog(spark):
+    """Listings that repeat names, packs and codes, short and weak codes and codes in names among them."""
+    draw = random.Random(4)
+    words = ["glove", "nitrile", "exam", "textured", "small", "large", "paper", "point", "fine", "bur", "diamond", "kit", "25", "30", "#15", "K3XF12345", "AB9871", "AB98765X"]
+    names = [" ".join(draw.sample(words, draw.randint(1, 6))) for _ in range(40)]
+    codes = ["", "0044", "12", "AB9871", "AB98765X", "8234155", "823-4155", "0000", "K3XF12345", "DOCP12", "4302", "219-4302"]
+    rows = [(i, draw.choice(["msup_dentalcity_com", "msup_dcdental_com", "b", "c"]), draw.choice([*codes, f"Z{i // 2}00{i // 2}Q"]), draw.choice(["Acme", "Acme", "Acme Best", "Kerr", ""]), draw.choice(names), draw.choice(["", "10/Box", "25/Box", "100/Box"])) for i in range(420)]
+    return M.features(spark.createDataFrame(rows, "listing_id long, supplier_id string, sku string, brand string, name string, pack_size string"))
+
+
+def test_classes_score_as_pairs_do(spark, data):
+    save = saver(spark)
+    for f, least in ((_catalog(spark), 1000), (M.features(matching_queries.listings(spark, data)), 20)):
+        f = save(f)
+        plain = save(M.score_pairs(M.candidate_pairs(M.blocking_index(f)), f)).where("status <> 'reject'").collect()
+        got = save(N.score_by_classes(f, save)).collect()
+        assert len(got) == len(plain) >= least and {tuple(r) for r in got} == {tuple(r) for r in plain}
+        # the probe's pairs, by its own rule
+        own = M._signals(M.candidate_pairs(M.blocking_index(f).where("key LIKE 'words:%'")), f).where("left.supplier_id <> right.supplier_id AND brand = 'match' AND NOT loosely AND n >= 0.7").where(~A.axes_conflict(F.col("left.axes"), F.col("right.axes")))
+        assert {(r.left_id, r.right_id) for r in own.select("left_id", "right_id").collect()} == {(r.left_id, r.right_id) for r in N.name_brand_probe(f, save).collect()}
+        # classes stand for the pairs that share no code
+        codes = {r.listing_id: {c for c in (r.code, r.core, *r.name_codes) if c} for r in f.collect()}
+        want = sum(not codes[r.left_id] & codes[r.right_id] for r in plain)
+        links = N.link_classes(f, save).collect()
+        assert sum(r.n_links for r in links) == want and len({(r.left_class, r.right_class) for r in links}) == len(links) <= want
+
+
 def test_similar_sets(spark):
     draw = random.Random(3)
     sets = {i: sorted({"supplier", *(f"w{draw.randrange(12)}" for _ in range(draw.randrange(1, 7)))}) for i in range(150)}
@@ -102,6 +129,45 @@ def test_fuzzy_search_compares_every_name(spark, data):
     assert {r.query_id: [(x.product_id, x.score) for x in r.l] for r in got} == {k: [(i, -s) for _, s, i in sorted(v)[:10]] for k, v in want.items()}
 
 
+def test_searches_stay_exact_when_lists_are_passed_over(spark, monkeypatch):
+    """The floors of the first look and the bounds, against every query beside every name."""
+    draw = random.Random(8)
+    words = ["glove", "gloves", "nitrile", "exam", "ex", "e", "paper", "points", "fine", "large", "x", "25mm", "kit", "blue"]
+    rows = [(i, " ".join(draw.choices(words, k=draw.randint(0, 6))), draw.random() < 0.6) for i in range(900)]
+    products = spark.createDataFrame(rows, "id long, name string, priced boolean")
+    queries = spark.createDataFrame([(i, " ".join(draw.choices([*words, "unknown", "glo", "pap"], k=draw.randint(0, 4)))) for i in range(60)], "id long, text string")
+    every = queries.select(F.col("id").alias("query_id"), T.tokenize_name("text").alias("q")).crossJoin(products.select("id", "priced", T.tokenize_name("name").alias("p")))
+    every = every.withColumn("s", F.round(T.name_similarity("q", "p"), 9)).where("s >= 0.12").collect()
+    for units, names, limit in ((8, 64, 10), (1, 2, 3), (30, 900, 3)):
+        monkeypatch.setattr(top_names, "UNITS", units)
+        monkeypatch.setattr(top_names, "NAMES", names)
+        want = {}
+        for r in every:
+            want.setdefault(r.query_id, []).append((not r.priced, -r.s, r.id))
+        got = search.fuzzy_search(queries, products, 0.12, limit).collect()
+        assert {(r.query_id, r.rank, r.product_id, r.score) for r in got} == {(q, k, i, -s) for q, v in want.items() for k, (_, s, i) in enumerate(sorted(v)[:limit], 1)}
+    # substitutes: priced products that have one of the three longest words
+    got = {(r.query_id, r.rank, r.product_id) for r in search.substitutes_for(queries, products).collect()}
+    want = {}
+    for r in every:
+        long = sorted({w: -len(w) for w in reversed(r.q) if len(w) >= 3 and any(c.isalpha() for c in w)}.items(), key=lambda x: (x[1], r.q.index(x[0])))[:3]
+        if r.priced and any(w in " ".join(r.p) for w, _ in long):
+            want.setdefault(r.query_id, []).append((-r.s, r.id))
+    assert got == {(q, k, i) for q, v in want.items() for k, (_, i) in enumerate(sorted(v)[:3], 1)}
+
+
+def test_containing(spark):
+    draw = random.Random(9)
+    words = ["common"] * 6 + ["often"] * 3 + [f"w{i}" for i in range(30)]
+    sets = {f"n{i}": draw.choices(words, k=draw.randint(1, 6)) for i in range(300)}
+    asked = {f"q{i}": draw.choices([*words, "absent"], k=draw.randint(1, 7)) for i in range(80)}
+    names, queries = (spark.createDataFrame(list(x.items()), s) for x, s in ((sets, "name string, p array<string>"), (asked, "query string, q array<string>")))
+    for least in (0.34, 0.6, 1.0):
+        want = {(q, n) for q, ws in asked.items() for n, p in sets.items() if sum(w in p for w in ws) / len(ws) >= least}
+        got = top_names.containing(queries, names, least).collect()
+        assert len(got) == len(want) and {(r.query, r.name) for r in got} == want
+
+
 def test_evidence_pools(spark):
     """A supplier's product promotes its kind, a shelf item its place; weights join as independent signals."""
     s = "signal_id int, sku string, manufacturer_sku string, barcode string, product_name string, lot_number string, expiration_date date, location_hint string"
