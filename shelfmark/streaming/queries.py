@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
-from . import state as S
+from . import state as S, store as B
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +16,10 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/{name}.parquet*")
 
 
-def _folded(spark: SparkSession, stream: DataFrame, merge: S.Merge, *keys: str) -> DataFrame:
+def _folded(spark: SparkSession, stream: DataFrame, merge: B.Merge) -> DataFrame:
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    table = S.VersionedTable(spark, f"{root}/table", keys)
-    S.upsert_stream(stream, table, merge, f"{root}/checkpoint").awaitTermination()
+    table = B.StateTable(spark, f"{root}/table", merge)
+    B.upsert_stream(stream, table, f"{root}/checkpoint").awaitTermination()
     found = table.read()
     return merge(None, spark.createDataFrame([], stream.schema)) if found is None else found
 
@@ -29,12 +29,12 @@ def st01_latest_price(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("-", "l_suppkey", "l_partkey").alias("listing_id"), F.col("l_suppkey").alias("supplier_id"), F.col("l_partkey").alias("canonical_id"), F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long").alias("price_cents"),
         F.col("l_shipdate").alias("captured_at"), F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"),
     )
-    return _folded(spark, s, S.merge_latest_price, "supplier_id", "canonical_id").drop("supplier_id", "canonical_id")
+    return _folded(spark, s, S.merge_latest_price).drop("supplier_id", "canonical_id")
 
 
 def st02_catalog_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _stream(spark, sf_dir, "events").where("event_id % 3 > 0").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), "event_type")
-    seen = _folded(spark, s, S.merge_first_row, "id")
+    s = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), "event_type")
+    seen = _folded(spark, s, S.merge_first_row)
     existing = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), F.lit(None).cast("timestamp").alias("deleted_at"))
     return S.stale_rows(existing, seen).select("id")
 
@@ -48,7 +48,7 @@ def _scans(df: DataFrame) -> DataFrame:
 
 
 def st03_scan_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _folded(spark, _scans(_stream(spark, sf_dir, "events")), S.merge_scans, "item_id", "lot", "location_id")
+    return S.scan_view(_folded(spark, S.scan_state(_scans(_stream(spark, sf_dir, "events"))), S.merge_scans))
 
 
 def st04_scan_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,14 +61,14 @@ def st05_list_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("list_id"), F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("item_id"), F.col("ts").alias("updated_at"),
         (F.col("event_type") == "purchase").alias("deleted"), F.col("value").alias("payload"),
     )
-    rows = _folded(spark, s, S.merge_lists, "list_id", "item_id")
+    rows = _folded(spark, s, S.merge_lists)
     now = rows.agg(F.max("updated_at").alias("now"))  # one row
     return S.list_view(rows.join(F.broadcast(now)), F.col("now"), 3, 5).drop("now")
 
 
 def st07_event_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _stream(spark, sf_dir, "events").select("event_id", F.col("ts").alias("seq"), "event_type")
-    return _folded(spark, s, S.merge_events, "event_id")
+    return _folded(spark, s, S.merge_events)
 
 
 def st08_stale_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,7 @@ ORACLES = {
         SELECT listing_id, price_cents, captured_at, order_id, line_no FROM (
           SELECT concat(l_suppkey, '-', l_partkey) AS listing_id, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS price_cents, l_shipdate AS captured_at, l_orderkey AS order_id, l_linenumber AS line_no,
                  row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_shipdate DESC NULLS LAST, l_orderkey DESC, l_linenumber DESC) AS rn FROM lineitem) q WHERE rn = 1""",
-    "st02_catalog_reconcile": "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_id % 3 > 0)",
+    "st02_catalog_reconcile": "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)",
     "st03_scan_upsert": """
         SELECT item_id, lot, location_id, arg_max(quantity, seq) FILTER (WHERE quantity IS NOT NULL) AS quantity, arg_max(expiration, seq) FILTER (WHERE expiration IS NOT NULL) AS expiration,
                min(pulled_at) AS pulled_at, max(seq) AS seq FROM (

@@ -1,83 +1,12 @@
 """Order-insensitive state: latest prices, catalog reconcile, scans, list merge, event ledger.
 
 Each operator is a rule on DataFrames (``merge_*``) that gives the same result whatever the batches
-and their order, and a ``foreachBatch`` sink that applies it to a table in the shared folder.  The
-table's rows are spread over buckets by key; a batch reads and writes only the buckets that it
-touches.  A batch number names each version of a bucket, so a batch that is run again after a failure
-changes nothing, and versions that no running batch can need are deleted.
+and their order; ``store.StateTable`` applies it to a table in the shared folder, batch by batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
-
-Merge = Callable[[DataFrame | None, DataFrame], DataFrame]
-
-
-class VersionedTable:
-    """A Parquet table below ``path``, as v=<version>/b=<bucket>; a bucket's rows are those of its newest complete
-    version.  ``keys`` are the columns whose hash is the bucket; without them all rows are in one bucket."""
-
-    def __init__(self, spark: SparkSession, path: str, keys: tuple[str, ...] = (), buckets: int = 32):
-        self.spark, self.path, self.keys, self.buckets = spark, path, keys, buckets if keys else 1
-        self._root = spark._jvm.org.apache.hadoop.fs.Path(path)
-        self._fs = self._root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-    def _names(self, path: str, prefix: str) -> list[int]:
-        found = [s.getPath().getName() for s in self._fs.listStatus(self._at(path))]
-        return sorted(int(n[len(prefix) :]) for n in found if n.startswith(prefix))
-
-    def _at(self, path: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
-
-    def versions(self) -> dict[int, list[int]]:
-        """Complete versions of each bucket, oldest first."""
-        out: dict[int, list[int]] = {}
-        if self._fs.exists(self._root):
-            for v in self._names(self.path, "v="):
-                if self._fs.exists(self._at(f"{self.path}/v={v}/_SUCCESS")):
-                    for b in self._names(f"{self.path}/v={v}", "b="):
-                        out.setdefault(b, []).append(v)
-        return out
-
-    def bucket(self) -> F.Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int") if self.keys else F.lit(0)
-
-    def read(self, before: int | None = None, only: set[int] | None = None) -> DataFrame | None:
-        """The newest rows, of the ``only`` buckets and of versions older than ``before``; None where there are none."""
-        newest = {b: [v for v in vs if before is None or v < before] for b, vs in self.versions().items() if only is None or b in only}
-        paths = [f"{self.path}/v={vs[-1]}/b={b}" for b, vs in newest.items() if vs]
-        return self.spark.read.parquet(*paths) if paths else None
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.withColumn("b", self.bucket()).write.mode("overwrite").partitionBy("b").parquet(f"{self.path}/v={version}")
-
-    def apply(self, merge: Merge, new: DataFrame, version: int) -> None:
-        """Merge ``new`` into the buckets that it touches."""
-        touched = {r[0] for r in new.select(self.bucket()).distinct().collect()}  # as many as buckets, at most
-        if touched:
-            self.write(merge(self.read(version, touched), new), version)
-            self.purge(version)
-
-    def purge(self, version: int) -> None:
-        """Delete what is older than the newest version before ``version``: a repeated batch reads that one."""
-        for b, vs in self.versions().items():
-            for v in [v for v in vs if v < version][:-1]:
-                self._fs.delete(self._at(f"{self.path}/v={v}/b={b}"), True)
-
-
-def upsert_stream(stream: DataFrame, table: VersionedTable, merge: Merge, checkpoint: str, **trigger):
-    """Fold a stream into ``table``, batch by batch."""
-
-    def batch(df: DataFrame, number: int) -> None:
-        df.persist()
-        table.apply(merge, df, number)
-        df.unpersist()
-
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 def _newest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     rn = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
@@ -103,11 +32,21 @@ def stale_rows(existing: DataFrame, seen: DataFrame) -> DataFrame:
     return existing.where("deleted_at IS NULL").join(seen.select("id"), "id", "left_anti")
 
 
+def scan_state(scans: DataFrame) -> DataFrame:
+    """ST03: scans as state: each value with the number of the scan that said it."""
+    said = lambda c: F.when(F.col(c).isNotNull(), F.struct("seq", F.col(c).alias("value"))).alias(c)
+    return scans.select("item_id", "lot", "location_id", said("quantity"), said("expiration"), "pulled_at", "seq")
+
+
 def merge_scans(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    """ST03: one row per (item, lot, location); newer values fill or replace, a pulled row stays pulled."""
+    """ST03: one row of state per (item, lot, location); newer values fill or replace, a pulled row stays pulled."""
     rows = _with(old, new)
-    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
-    return rows.groupBy("item_id", "lot", "location_id").agg(latest("quantity"), latest("expiration"), F.min("pulled_at").alias("pulled_at"), F.max("seq").alias("seq"))
+    return rows.groupBy("item_id", "lot", "location_id").agg(F.max("quantity").alias("quantity"), F.max("expiration").alias("expiration"), F.min("pulled_at").alias("pulled_at"), F.max("seq").alias("seq"))
+
+
+def scan_view(rows: DataFrame) -> DataFrame:
+    """ST03: the values themselves."""
+    return rows.select("item_id", "lot", "location_id", F.col("quantity.value").alias("quantity"), F.col("expiration.value").alias("expiration"), "pulled_at", "seq")
 
 
 def merge_lists(old: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -116,6 +55,17 @@ def merge_lists(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return _newest(_with(old, new), ["list_id", "item_id"], [F.desc("updated_at"), F.desc("deleted"), F.desc("payload")])
 
 
+def expired_deletions(rows: DataFrame, as_of, days: int) -> DataFrame:
+    """ST05: state without the deletions that are older than ``days`` days at ``as_of``: writes as old as that are no
+    longer accepted (``accepted_writes``), so none can come that they would have to outlive."""
+    return rows.where(~F.col("deleted") | (F.col("updated_at") >= as_of - F.expr(f"INTERVAL {days} DAYS")))
+
+
+def accepted_writes(rows: DataFrame, as_of, days: int) -> DataFrame:
+    """ST05: writes that are not older than ``days`` days at ``as_of``."""
+    return rows.where(F.col("updated_at") >= as_of - F.expr(f"INTERVAL {days} DAYS"))
+
+
 def list_view(rows: DataFrame, as_of, days: int = 30, most: int = 100) -> DataFrame:
     """ST05: the lists as they are handed out at ``as_of``: deletions of the last ``days`` days only, and of them the
     newest ``most`` of a list."""

@@ -121,7 +121,7 @@ def test_sinks(spark, tmp_path):
     S.replace(a, str(tmp_path / "t"))
     S.replace(b, str(tmp_path / "t"))
     S.replace(b.limit(1), str(tmp_path / "t"))
-    assert S.current(spark, str(tmp_path / "t")).count() == 1 and len(list((tmp_path / "t").glob("v=*/b=0"))) == 2
+    assert S.current(spark, str(tmp_path / "t")).count() == 1 and len(list((tmp_path / "t").glob("tables/rows/*"))) == 2
     with pytest.raises(FileNotFoundError):
         S.current(spark, str(tmp_path / "none"))
     c = spark.createDataFrame([(None, "n"), (2, "Z"), (2, "A")], "k long, v string")
@@ -194,17 +194,6 @@ def test_late_writes_revive_nothing(spark):
     assert state.list_view(rows, F.lit("2024-02-20").cast("timestamp")).count() == sum(r[2] >= "2024-01-21" for r in gone)
 
 
-def test_versioned_table_repeats_a_batch(spark, tmp_path):
-    t = state.VersionedTable(spark, str(tmp_path / "v"), ("event_id",), 8)
-    batch = lambda ids: spark.createDataFrame([(i, "x", 5) for i in ids], "event_id long, event_type string, seq long")
-    for number, ids in ((0, range(50)), (1, [1, 99]), (1, [1, 99]), (2, []), (3, [1]), (4, [1])):
-        t.apply(state.merge_events, batch(ids), number)
-    assert sorted(r.event_id for r in t.read().collect()) == [*range(50), 99]
-    versions = t.versions()
-    assert len(versions) == 8 and max(map(len, versions.values())) == 2  # old versions go, untouched buckets stay
-    assert sum(4 in v for v in versions.values()) == 1
-
-
 def test_stored_packs(spark):
     from shelfmark.functions import axes as A
 
