@@ -18,7 +18,8 @@ A key of real use comes from a secret store; it is part of the query's plan, so
 
 Cases with a defined result
     null text: stays null, no entities; empty text: stays empty
-    very long text: read whole; quantifiers are bounded, so a long run of like characters is linear
+    very long text: read whole; a long run of like characters is linear, and a long secret has no bound
+    a number of 13 to 19 digits that is grouped as a card's: replaced if it has 16 digits or its check digit is right, else kept
     repeated rows: each gets its own result row, and all the same text
     null id: like any other id; extra columns, whatever their names, are not read
     two parts that draw the same surrogate: the first by canonical form has it, the other draws again
@@ -57,20 +58,27 @@ HONORIFICS = {
 _TITLES = "|".join(t for ts in HONORIFICS.values() for t in sorted(ts, key=len, reverse=True))
 _FIRST = "|".join(sorted({n for ns in FIRST_NAMES.values() for n in ns}, key=len, reverse=True))
 _NAME = r"\p{Lu}[\p{L}'’-]{1,30}"
+#: A known first name, as written or in capitals, perhaps joined to another.
+_GIVEN = rf"(?:{_FIRST}|{_FIRST.upper()})(?:-\p{{Lu}}\p{{L}}{{1,30}})?"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
+_GROUP = "[0-9a-fA-F]{1,4}"
 
-#: Kinds in the order in which they are tried at a place.  Quantifiers are bounded, so a long run of
-#: like characters costs linear time.
+#: Kinds in the order in which they are tried at a place.  A quantifier without a bound is possessive or
+#: starts at a fixed text, so a long run of like characters costs linear time.  The local part of an address
+#: has 64 characters at most, and a label 63, as mail systems have it.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "ipv6": r"(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])",
-    "secret": r"(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![0-9A-Za-z])",
+    "email": r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,63}(?![A-Za-z0-9])",
+    "ipv6": rf"(?:(?:{_GROUP}:){{7}}{_GROUP}|(?=[a-fA-F:]{{0,39}}[0-9])(?:{_GROUP}:){{1,6}}(?::{_GROUP}){{1,6}})(?![0-9A-Za-z:])",
+    "secret": r"(?:[0-9a-f]{32,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{30,}+|sk-[A-Za-z0-9_-]{20,}+)(?![0-9A-Za-z])",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ip": rf"(?<!\.)(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])",
     "ssn": r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "card": r"(?<![.-])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z-])",
-    "phone": r"(?<![+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z-])",
-    "person": rf"(?:(?:{_TITLES})\.? {_NAME}(?: {_NAME})?|(?:{_FIRST}) \p{{Lu}}\p{{Ll}}{{2,30}}(?![\p{{L}}\p{{M}}]))",
+    "card": r"(?<![.+-])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z-])",
+    "phone": (
+        r"(?<![+-])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}"
+        r"|\+[1-9][0-9]{0,2}(?:[ .()/-]{0,2}[0-9]){7,13}|\(?0[0-9]{2,4}(?:\) ?|[/ -])[0-9]{5,8})(?![0-9A-Za-z-])"
+    ),
+    "person": rf"(?:(?:{_TITLES})\.? {_NAME}(?: {_NAME})?|{_GIVEN} \p{{Lu}}(?:\p{{Ll}}{{2,30}}|\p{{Lu}}{{2,30}})(?:-\p{{Lu}}\p{{L}}{{1,30}})?(?![\p{{L}}\p{{M}}]))",
 }
 #: All kinds as one pattern.  No entity starts inside a word, and the first character says which kinds
 #: are worth trying, so most places are passed over after one look.
@@ -95,21 +103,24 @@ def _in(values: list[str]) -> str:
 
 # --- what an entity is made of
 
-#: Kind of a whole entity.
-KIND = "CASE " + " ".join(f"WHEN surface rlike {_sql(f'^(?:{p})$')} THEN '{k}'" for k, p in PATTERNS.items()) + " END"
 _DIGITS = "regexp_replace(surface, '[^0-9]', '')"
+#: A number of another length than 16 is a card's only if its check digit is right.
+_ALSO = {"card": f" AND (length({_DIGITS}) = 16 OR luhn_check({_DIGITS}))"}
+#: Kind of a whole entity.
+KIND = "CASE " + " ".join(f"WHEN surface rlike {_sql(f'^(?:{p})$')}{_ALSO.get(k, '')} THEN '{k}'" for k, p in PATTERNS.items()) + " END"
 _TITLE = f"regexp_extract(surface, {_sql(f'^((?:{_TITLES})[.]? )')}, 1)"
 _NAMES = f"split(regexp_replace(surface, {_sql(f'^(?:{_TITLES})[.]? ')}, ''), ' ')"
 _SCRIPT = r"CASE WHEN surface rlike '\\p{IsCyrillic}' THEN 'cyrillic' ELSE 'latin' END"
-_KNOWN = {g: _in(FIRST_NAMES[f"{g}:latin"] + FIRST_NAMES[f"{g}:cyrillic"]) for g in "mf"}
+_KNOWN = {g: _in([n.lower() for n in FIRST_NAMES[f"{g}:latin"] + FIRST_NAMES[f"{g}:cyrillic"]]) for g in "mf"}
+_GIVEN_NAME = f"substring_index(lower({_NAMES}[0]), '-', 1)"
 _GENDER = (
-    "CASE " + " ".join(f"WHEN {_NAMES}[0] IN {_KNOWN[g]} THEN '{g}'" for g in "mf") + " "
+    "CASE " + " ".join(f"WHEN {_GIVEN_NAME} IN {_KNOWN[g]} THEN '{g}'" for g in "mf") + " "
     + " ".join(f"WHEN surface rlike {_sql('^(?:' + '|'.join(HONORIFICS[g]) + ')[.]? ')} THEN '{g}'" for g in "mf") + " ELSE 'u' END"
 )
 #: Ends of surnames that take an -а for women.
 _FEMININE = "(ов|ев|ёв|ин)а$"
 _SURNAME = f"regexp_replace(lower(element_at({_NAMES}, -1)), '{_FEMININE}', '$1')"
-_HAS_FIRST = f"(size({_NAMES}) = 2 OR {_NAMES}[0] IN {_KNOWN['m']} OR {_NAMES}[0] IN {_KNOWN['f']})"
+_HAS_FIRST = f"(size({_NAMES}) = 2 OR {_GIVEN_NAME} IN {_KNOWN['m']} OR {_GIVEN_NAME} IN {_KNOWN['f']})"
 _HAS_LAST = f"(size({_NAMES}) = 2 OR NOT {_HAS_FIRST})"
 
 
@@ -189,7 +200,7 @@ def _surrogate() -> str:
     )
     hex_like = f"array_join(transform(split(canon, ''), (c, i) -> CASE WHEN c = ':' THEN c ELSE substr(h, i + 1, 1) END), '')"
     ipv6 = f"concat(substring_index(canon, ':', 1), substr({hex_like}, length(substring_index(canon, ':', 1)) + 1))"
-    secret = f"CASE WHEN canon rlike '^[0-9a-f]+$' THEN substr(h, 1, length(canon)) ELSE concat(substr(canon, 1, 4), {_like('substr(canon, 5)')}) END"
+    secret = f"CASE WHEN canon rlike '^[0-9a-f]+$' THEN array_join(transform(split(canon, ''), (c, i) -> substr(h, i % 128 + 1, 1)), '') ELSE concat(substr(canon, 1, 4), {_like('substr(canon, 5)')}) END"
     phone = f"concat(translate(substr({_DECIMAL}, 1, 1), '01', '23'), substr({_DECIMAL}, 2, length(canon) - 1), {_MORE_DIGITS})"
     account = f"concat(substr(canon, 1, 2), {_like('substr(canon, 5)')})"
     iban = f"concat(substr(canon, 1, 2), {_check_digits(account)}, substr({account}, 3), {_MORE_DIGITS})"
@@ -217,7 +228,9 @@ def _fill(kept: str, taken: str, length: str) -> str:
 
 _BOTH = "concat(s[0], '@', s[1])"
 _LAST = f"concat(element_at(s, -1), CASE WHEN lower(surface) rlike '{_FEMININE}' THEN 'а' ELSE '' END)"
-_PERSON = f"CASE WHEN NOT {_HAS_LAST} THEN initcap(s[0]) WHEN size(s) = 2 THEN concat(initcap(s[0]), ' ', initcap({_LAST})) ELSE initcap({_LAST}) END"
+#: A joined surname gets a joined one.
+_WRITTEN_LAST = f"CASE WHEN element_at({_NAMES}, -1) LIKE '%_-_%' THEN concat(initcap(substr({_LAST}, 1, length({_LAST}) DIV 2)), '-', initcap(substr({_LAST}, length({_LAST}) DIV 2 + 1))) ELSE initcap({_LAST}) END"
+_PERSON = f"CASE WHEN NOT {_HAS_LAST} THEN initcap(s[0]) WHEN size(s) = 2 THEN concat(initcap(s[0]), ' ', {_WRITTEN_LAST}) ELSE {_WRITTEN_LAST} END"
 #: An entity's surrogate in the format of a mention, from (kind, surface) and the parts' surrogates ``s``.
 WRITTEN = f"""CASE
   WHEN kind IN ('ssn', 'card') THEN {_fill('0', '[0-9]', f'length({_DIGITS})')}
@@ -283,9 +296,9 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     written = scratch.cut(replacements(mentions.select("surface").distinct(), key, scratch), "written").withColumnRenamed("surface", "form")
     listed = (
         mentions.join(written, F.col("surface") == F.col("form"), "left").groupBy(F.col("row").alias("_row"))
-        .agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("written", "surface").alias("w")))).alias("l"))
+        .agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("written", "surface").alias("w")))).alias("l"), F.count("written").cast("int").alias("n"))
     )
     again = F.array_join(F.zip_with("pieces", F.transform("l", lambda x: x["w"]), lambda p, w: F.concat(p, F.coalesce(w, F.lit("")))), "")
     clean = seen.where("found IS NULL").select("doc_id", "text", F.lit(0).alias("n_entities"))
     joined = seen.where("found IS NOT NULL").select("doc_id", "row", "pieces").join(listed, F.col("row") == F.col("_row"))
-    return clean.unionByName(joined.select("doc_id", again.alias("text"), F.size("l").alias("n_entities")))
+    return clean.unionByName(joined.select("doc_id", again.alias("text"), F.col("n").alias("n_entities")))

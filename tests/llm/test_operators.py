@@ -519,7 +519,22 @@ def test_pii_surrogates_stay_distinct(spark):
     assert not {(r.kind, r.scope, r.s) for r in rows} & {(r.kind, r.scope, r.canon) for r in rows}
 
 
-@pytest.mark.parametrize("kind, text", [("email", "write to j.doe@corp.example.org now"), ("secret", "key AKIA" + "ABCD" * 4), ("iban", "GB82 WEST 1234 5698 7654 32 is it"), ("ip", "at 172.16.0.9 here"), ("ssn", "no 078-05-1120."), ("card", "5500 0000 0000 0004 ok"), ("phone", "tel 030 1234 5678 a"), ("person", "by Prof. Lind today"), ("ipv6", "fe80:0:0:0:1:2:3:4 up")])
+PII_MORE = [
+    ("secret", "see " + "0f" * 66 + " here"), ("secret", "sk-" + "aB3" * 30 + "!"), ("secret", "use sk-proj-" + "Ab_9-" * 12 + "z ok"), ("email", "to a@" + "x." * 14 + "example.org,"),
+    ("phone", "ring +4915112345678 now"), ("phone", "ring 0171/1234567."), ("phone", "+44 20 7946 0958 it is"), ("person", "by ANNA MARTIN today"), ("person", "by Jean-Paul Martin" if "Jean" in pii.FIRST_NAMES["m:latin"] else "by Hans-Peter Martin today"),
+    ("person", "Frau Müller-Lüdenscheidt kam"), ("ipv6", "at 2001:db8::1 up"), ("ipv6", "at fe80::1:2 up"), ("card", "paid 378282246310005 ok"),
+]
+
+
+def test_pii_keeps_the_form_of_names(spark):
+    docs = spark.createDataFrame([(1, "ANNA MARTIN and Anna Martin; Frau Müller-Lüdenscheidt. Order 3782 8224 6310 0061 stays, a::b and std::map too.")], "doc_id int, text string")
+    r = pii.pseudonymise(docs, KEY).first()
+    m = re.fullmatch(r"([A-ZÀ-Ý]+) ([A-Z]+) and (\S+) (\w+); Frau ([A-Z][a-z]+-[A-Z][a-z]+)\. (Order .*)", r.text)
+    assert m and (m[1], m[2]) == (m[3].upper(), m[4].upper()) and m[2] != "MARTIN" and r.n_entities == 4 - (m[6] == "Order 3782 8224 6310 0061 stays, a::b and std::map too.")
+    assert "a::b and std::map too." in r.text
+
+
+@pytest.mark.parametrize("kind, text", [("email", "write to j.doe@corp.example.org now"), ("secret", "key AKIA" + "ABCD" * 4), ("iban", "GB82 WEST 1234 5698 7654 32 is it"), ("ip", "at 172.16.0.9 here"), ("ssn", "no 078-05-1120."), ("card", "5500 0000 0000 0004 ok"), ("phone", "tel 030 1234 5678 a"), ("person", "by Prof. Lind today"), ("ipv6", "fe80:0:0:0:1:2:3:4 up"), *PII_MORE])
 def test_pii_recall_by_kind(spark, kind, text):
     r = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id int, text string"), KEY).first()
     assert r.n_entities == 1 and r.text != text
