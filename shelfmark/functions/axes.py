@@ -290,6 +290,25 @@ def decode_entities(c) -> Column:
     return F.regexp_replace(out, r"(?i)( - [^-]{2,40})\1$", "$1")
 
 
+def clean_product_name(c) -> Column:
+    """decoded; a question mark where a symbol was lost becomes a space, and the spacing around it is put right (a
+    name without one keeps its own); options after the last dash go if there are two or more, each of them in the
+    name before it."""
+    name = decode_entities(c)
+    mended = F.trim(F.regexp_replace(F.regexp_replace(F.replace(name, F.lit("?"), F.lit(" ")), r"\s+,", ","), r"\s{2,}", " "))
+    name = F.when(F.contains(name, F.lit("?")), mended).otherwise(name)
+    # what follows reads the name several times: it is bound to a name of its own
+    return F.get(F.transform(F.array(name), _without_options), 0)
+
+
+def _without_options(name: Column) -> Column:
+    tail = F.substring_index(name, " - ", -1)
+    head = F.trim(F.substring(name, F.lit(1), F.length(name) - F.length(tail) - 3))
+    options = F.filter(F.transform(F.split(tail, " / "), F.trim), lambda o: o != "")
+    redundant = F.contains(name, F.lit(" - ")) & (F.size(options) >= 2) & F.forall(options, lambda o: F.contains(F.lower(head), F.lower(o)))
+    return F.when(redundant, head).otherwise(name)
+
+
 def family_name(c) -> Column:
     """a name without measures, packs and trailing joints."""
     bare = F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?i)\b\d+(?:\.\d+)?\s*(?:{UNITS.replace('|%', '')})\b|\b\d+\s*/\s*[a-z]+\b|#\s?\d+", " ")

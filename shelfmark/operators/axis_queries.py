@@ -17,11 +17,6 @@ def _named(spark: SparkSession, sf_dir: str, first: str = "p_name") -> DataFrame
     return _read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", F.expr(first), F.concat("p_size", F.lit("mm")), F.when(F.col("p_size") % 2 == 0, "Blue").otherwise("Small"), F.concat(F.lit("#"), F.col("p_partkey") % 9), F.concat("p_size", F.lit("/Box"))).alias("name"), "p_type", "p_brand", "p_size")
 
 
-def ag19_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fixed sample: the 50 rows with the lowest hash."""
-    return _read(spark, sf_dir, "part").select("p_partkey").orderBy(F.xxhash64("p_partkey", F.lit(42)), "p_partkey").limit(50)
-
-
 def c28_axis_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = A.axis_values("name")
     return _named(spark, sf_dir, "'Item'").select("p_partkey", F.array_join(v["mm"], "|").alias("mm"), F.array_join(v["color"], "|").alias("color"), F.array_join(v["#"], "|").alias("hash"), F.array_join(v["size"], "|").alias("size"))
@@ -114,7 +109,7 @@ def er14_orphan_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    ag19_sample, c28_axis_values, c29_selector, c09_parse_pack, f31_taxonomy, f35_name_differs, f36_pack_label, f41_family_name, f22_anchor, f37_variant_options,
+    c28_axis_values, c29_selector, c09_parse_pack, f31_taxonomy, f35_name_differs, f36_pack_label, f41_family_name, f22_anchor, f37_variant_options,
     c04_base_units, c15_ground_days, c26_versions, c27_gaps, er14_orphan_bridge,
 )}
 ORACLES = {

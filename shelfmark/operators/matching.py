@@ -250,11 +250,15 @@ def _variants(members: DataFrame, feats: DataFrame) -> DataFrame:
     return words.withColumn("model", F.array_sort(kept)).where("size(brand_words) > 0 OR size(model) >= 3")
 
 
-def bridge_orphans(groups: DataFrame) -> DataFrame:
+def bridge_orphans(groups: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """ER14: (cluster, into) for groups (cluster, family, brand, model, core_words, axis, value) of one cluster that go
     to a family of two or more: the family has three words or more and the orphan's name all of them, the axis is
-    the same, the brands are equal or one is not stated, and the family lacks the value.  The largest family wins,
-    then the least; of orphans with one new value, the least.  One pass: families do not grow meanwhile."""
+    the same, the brands are equal or one is not stated, and the family lacks the value.  Orphans choose in order
+    of their cluster, each the largest family (then the least) that still lacks its value.
+
+    All families are ranked alike, so the choices one after the other are those of rounds: each orphan that holds no
+    place asks for its next one, of those that ask for a value of a family or hold it the least cluster has it, and
+    only the others ask again.  Rounds end when none asks."""
     size = groups.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
     lone = groups.join(size.where("n = 1").select("family"), "family", "left_semi")
     large = groups.join(size.where("n >= 2"), "family").where("size(model) >= 3").groupBy("family").agg(F.first("brand").alias("b"), F.first("model").alias("m"), F.first("axis").alias("axis"), F.first("n").alias("n"))
@@ -265,19 +269,26 @@ def bridge_orphans(groups: DataFrame) -> DataFrame:
     met = lone.withColumn("word", F.explode(F.array_distinct("core_words"))).join(keyed, ["axis", "word"])
     met = met.where((F.size(F.array_except("m", "core_words")) == 0) & ((F.col("brand") == F.col("b")) | (F.col("brand") == "") | (F.col("b") == "")))
     has = groups.select(F.col("family").alias("into"), "value").distinct()
-    chosen = met.join(has, ["into", "value"], "left_anti").groupBy("cluster", "value").agg(F.min(F.struct((-F.col("n")).alias("n"), "into")).alias("t"))
-    first = chosen.groupBy("t.into", "value").agg(F.min("cluster").alias("cluster"))
-    return first.select("cluster", "into")
+    places = save(met.join(has, ["into", "value"], "left_anti").select("cluster", "value", F.struct((-F.col("n")).alias("n"), "into").alias("place")))
+    held, asking = None, places
+    while True:
+        asks = asking.groupBy("cluster", "value").agg(F.min("place").alias("place"))
+        first = F.min("cluster").over(W.partitionBy("place.into", "value"))
+        met = save((asks if held is None else held.unionByName(asks)).withColumn("first", first))
+        held, lost = met.where("cluster = first").drop("first"), met.where("cluster <> first").select("cluster", F.col("place").alias("at"))
+        if lost.isEmpty():
+            return held.select("cluster", F.col("place.into").alias("into"))
+        asking = places.join(lost, "cluster").where(F.col("place") > F.col("at")).drop("at")
 
 
-def families(members: DataFrame, feats: DataFrame) -> DataFrame:
+def families(members: DataFrame, feats: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """ER12 to ER15: (cluster, family, axis, value, label, rank) of clusters that are variants of one product: equal
     brand and core words but for those that say the axis, orphans bridged, two members and two labels or more."""
     keyed = _variants(members, feats)
     brand = F.array_join("brand_words", " ")
     key = F.sha1(F.concat_ws("|", brand, F.array_join("model", " "), "s.axis"))
-    rows = keyed.select("cluster", key.alias("family"), brand.alias("brand"), "model", "core_words", "s.axis", "s.value", "s.f.label", "s.f.rank")
-    into = bridge_orphans(rows)
+    rows = save(keyed.select("cluster", key.alias("family"), brand.alias("brand"), "model", "core_words", "s.axis", "s.value", "s.f.label", "s.f.rank"))
+    into = bridge_orphans(rows, save)
     rows = rows.join(into, "cluster", "left").withColumn("family", F.coalesce("into", "family")).select("cluster", "family", "axis", "value", "label", "rank")
     good = rows.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("labels")).where("n >= 2 AND labels >= 2")
     return rows.join(good.select("family"), "family", "left_semi")

@@ -38,6 +38,7 @@ QUERIES["f16_pack_relation"] = lambda spark, sf_dir: _read(spark, sf_dir, "part"
 ORACLES["f16_pack_relation"] = "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'unknown' WHEN p_size % 4 = p_partkey % 4 THEN 'same' ELSE 'differs' END AS relation FROM part"
 _add("f18_head_noun", "part", "p_partkey", lambda: {"head": T.head_noun(T.tokenize_name(_text("p_name", "= ", "p_size", "=mm ", "p_size", "= box of the")))}, "string_split(p_name, ' ')[2] AS head")
 _add("f23_clean_text", "part", "p_partkey", lambda: {"name": A.decode_entities(_text("p_name", "=&trade;&nbsp;&nbsp;&amp; Co &lt;", "p_size", "=&gt;&#39; - Blue - Blue"))}, "concat(p_name, '™ & Co <', p_size, '>'' - Blue') AS name")
+_add("f23_product_name", "part", "p_partkey", lambda: {"name": A.clean_product_name(_text("p_name", "=?Gloves? , &amp; Blue, ", "p_size", "=/Bx - blue / ", "p_size", "=/bx"))}, "concat(p_name, ' Gloves, & Blue, ', p_size, '/Bx') AS name")
 _add("f30_lead_class", "documents", "doc_id", lambda: {"kind": I.classify_lead(F.concat("source", F.when(F.col("doc_id") % 3 == 0, " CATALOG add to cart").when(F.col("doc_id") % 3 == 1, " our dentists").otherwise(" none")))["kind"], "confidence": I.classify_lead(F.concat(F.coalesce("source", F.lit("")), F.when(F.col("doc_id") % 3 == 0, " CATALOG add to cart").otherwise(" our dentists")))["confidence"]},
      "CASE WHEN source IS NULL THEN 'unknown' WHEN doc_id % 3 = 0 THEN 'supplier' WHEN doc_id % 3 = 1 THEN 'practice' ELSE 'unknown' END AS kind, CASE WHEN doc_id % 3 = 0 THEN 70 ELSE 40 END AS confidence")
 _RULES = [("Rings", ["ring", "round"]), ("Plates", ["plate"]), ("Cheap", ["economy", "promo"])]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as T
+from ..session import saver
 
 #: Header aliases of invoice columns.
 INVOICE_ALIASES = {
@@ -21,9 +22,43 @@ def active(df: DataFrame) -> DataFrame:
     return df.where("deleted_at IS NULL")
 
 
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, record, text): the records of quoted CSV files, from 0 in each, whatever line ends their fields hold.
+
+    A file is read in splits.  Whether a line begins inside quotes is told by the number of quotes before it: counted
+    by split, summed over the splits of a file (a row each), and then over the lines of a split.  Records of one line,
+    nearly all, stay where they were read; only lines of longer ones are brought together."""
+    save = saver(spark)
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.col("value").alias("text"),
+        (F.regexp_count("value", F.lit('"')) % 2).cast("int").alias("odd"),
+    )
+    lines = save(lines)
+    by_file, by_block = W.partitionBy("file").orderBy("block"), W.partitionBy("file", "block").orderBy("line")
+    before = by_file.rowsBetween(W.unboundedPreceding, -1)
+    parity = lines.groupBy("file", "block").agg(F.sum("odd").alias("odd")).withColumn("start", F.coalesce(F.sum("odd").over(before), F.lit(0)))
+    inside = F.col("start") + F.coalesce(F.sum("odd").over(by_block.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    quoted = lines.join(parity.select("file", "block", "start"), ["file", "block"]).withColumn("begins", (inside % 2 == 0).cast("int"))
+    quoted = save(quoted.withColumn("own", F.sum("begins").over(by_block)).select("file", "block", "line", "text", "odd", "begins", "own"))
+    known = quoted.groupBy("file", "block").agg(F.sum("begins").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).select("file", "block", "first")
+    numbered = quoted.join(known, ["file", "block"]).withColumn("record", F.col("first") + F.col("own") - 1)
+    whole = numbered.where("begins = 1 AND odd = 0").select("file", "record", "text")
+    parts = numbered.where("begins = 0 OR odd = 1").groupBy("file", "record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "line", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return whole.unionByName(parts)
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """SRC04: quoted fields with doubled quotes and line ends inside; blank rows skipped."""
-    df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    """SRC04: quoted fields with doubled quotes and line ends inside; blank rows skipped.  The first record of a file
+    names its columns, the first file's those of all.  Large files are read by many tasks (``csv_records``)."""
+    save = saver(spark)
+    records = save(csv_records(spark, path).withColumn("text", F.regexp_replace("text", "\r$", "")).where(F.trim("text") != ""))
+    head = records.groupBy("file").agg(F.min("record").alias("record"))
+    top = records.join(head, ["file", "record"]).agg(F.min(F.struct("file", "text"))["text"]).first()[0]
+    options = {"quote": '"', "escape": '"', "multiLine": "true", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    names = spark.read.options(**options, header="true").csv(spark.sparkContext.parallelize([top or ""], 1)).columns
+    schema = ", ".join(f"`{n}` string" for n in names)
+    rows = records.join(F.broadcast(head.withColumnRenamed("record", "head")), "file").where("record <> head")
+    df = rows.select(F.from_csv("text", schema, options).alias("r")).select("r.*")
     filled = F.lit(False)
     for c in df.columns:
         filled = filled | (F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))) != "")

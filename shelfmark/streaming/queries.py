@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
-from . import state as S, store as B
+from . import sessions as P, state as S, store as B
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,8 +52,11 @@ def st03_scan_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def st04_scan_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second scan is a plain barcode, without lot and date; the others are data matrices."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return S.pair_scans(_scans(e).withColumn("ts", F.lit(None).cast("timestamp")).drop("ts").join(e.select(F.col("event_id").alias("seq"), "ts"), "seq"), "6 hours")
+    two = F.col("event_id") % 2 == 0
+    scans = e.select("ts", F.col("user_id").alias("location_id"), (F.regexp_extract("props", "([0-9]+)", 1).cast("long") % 10).alias("item_id"), F.col("event_id").alias("seq"), F.when(two, F.col("event_type")).alias("lot"), F.when(two, F.to_date("ts")).alias("expiration"))
+    return P.pair_scans(scans, 6 * 3600)
 
 
 def st05_list_merge(spark: SparkSession, sf_dir: str) -> DataFrame:

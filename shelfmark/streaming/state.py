@@ -79,13 +79,6 @@ def merge_events(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return _newest(_with(old, new), ["event_id"], [F.asc("seq")])
 
 
-def pair_scans(scans: DataFrame, gap: str = "2 minutes") -> DataFrame:
-    """ST04: scans of one package within a session become one row: same item, lots that do not differ."""
-    sessions = scans.groupBy("location_id", "item_id", F.session_window("ts", gap).alias("w"))
-    out = sessions.agg(F.min("lot").alias("lot"), F.max("lot").alias("other_lot"), F.max("expiration").alias("expiration"), F.count(F.lit(1)).alias("n_scans"), F.min("ts").alias("first_ts"))
-    return out.withColumn("conflict", F.col("lot") != F.col("other_lot")).drop("w", "other_lot")
-
-
 def reap_stale_jobs(jobs: DataFrame, now, minutes: int = 10) -> DataFrame:
     """ST08: running jobs without a sign of life for that long go back to the queue."""
     stale = (F.col("status") == "running") & (F.col("heartbeat_at") < now - F.expr(f"INTERVAL {minutes} MINUTES"))

@@ -219,3 +219,62 @@ def test_decoding_and_leads(spark):
     raw = spark.createDataFrame([(1, bytearray("größe".encode("windows-1252")), None), (2, bytearray("größe".encode()), None), (3, bytearray(b'<meta charset="latin-1">\xe9'), None), (4, None, "x")], "id long, body binary, charset string")
     assert {r.id: r.text for r in I.decode_pages(raw).collect()} == {1: "größe", 2: "größe", 3: '<meta charset="latin-1">é', 4: None}
     assert _one(spark, I.classify_lead(F.lit("Dental supply catalog: add to cart")), I.classify_lead(F.lit("hello"))) == [("supplier", 100), ("unknown", 10)]
+
+
+def test_product_names_are_mended(spark):
+    from shelfmark.functions import axes as A
+
+    cases = {
+        "Nitrile?Gloves": "Nitrile Gloves", "ProNamel? Toothpaste": "ProNamel Toothpaste", "Jackets?10Pk": "Jackets 10Pk", "Size 6 ?, blue": "Size 6, blue", " .04 Taper": ".04 Taper", "What?": "What", "": "",
+        "HSB - Nitrile Gloves, Blue, X-Large 100/Bx - Blue / X-Large / 100/Bx": "HSB - Nitrile Gloves, Blue, X-Large 100/Bx", "Gauze - Each": "Gauze - Each", "Gauze Blue - Blue / Red": "Gauze Blue - Blue / Red", "A / B - a / b": "A / B",
+    }
+    assert _one(spark, *[A.clean_product_name(F.lit(c)) for c in cases]) == list(cases.values())
+    assert _one(spark, *[A.clean_product_name(F.lit(c)) for c in cases.values()]) == list(cases.values())
+
+
+@pytest.mark.parametrize("size", ["37b", "200b", "128m"])
+def test_csv_in_splits(spark, tmp_path, size):
+    """A file is cut anywhere, inside quotes too, and reads as it does whole."""
+    draw = random.Random(5)
+    cell = lambda: draw.choice(["", "plain", "two words", 'say ""so""', "a,b", "line\none", "l\n\nm", '""', "\r\n", "x" * 60, "größe"])
+    text = '"the\nname",b,c\n' + "".join(",".join(f'"{cell()}"' if draw.random() < 0.7 else str(k) for k in range(3)) + draw.choice(["\n", "\r\n", "\n\n"]) for _ in range(120))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text(text, newline="")
+    (tmp_path / "in" / "b.csv").write_text('"the\nname",b,c\n1,"2\n3",4', newline="")
+    plain = spark.read.csv(str(tmp_path / "in"), header=True, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    want = sorted((tuple(r) for r in plain.collect() if any((x or "").strip() for x in r)), key=str)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        assert sorted(map(tuple, R.read_csv(spark, str(tmp_path / "in")).collect()), key=str) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_sample_is_the_plain_shuffle(spark):
+    from shelfmark.operators import reports
+
+    for n, count, seed in ((1, 5, 42), (2, 2, 7), (137, 20, 42), (20_000, 200, 42)):
+        items, state_ = list(range(n)), float(seed)
+        for i in range(n - 1, 0, -1):
+            state_ = (state_ * 1103515245 + 12345) % 2147483648.0
+            j = int(state_ / 2147483648.0 * (i + 1))
+            items[i], items[j] = items[j], items[i]
+        df = spark.range(n).withColumn("id", F.col("id") * 3).repartition(3)
+        assert [(r.place, r.id) for r in reports.sample(df, [F.col("id")], count, seed).orderBy("place").collect()] == [(k, 3 * x) for k, x in enumerate(items[:count])]
+
+
+def test_supplier_pairs_in_pieces(spark):
+    from shelfmark.operators import reports
+
+    draw = random.Random(2)
+    offers = [(p, s) for p in range(40) for s in draw.sample(range(30), draw.choice([0, 1, 2, 9, 30]))] + [(None, 1), (3, None)]
+    df = spark.createDataFrame(offers * 2, "product_id long, supplier_id long")
+    want = {}
+    for p in range(40):
+        own = sorted({s for q, s in offers if q == p and s is not None})
+        for k, a in enumerate(own):
+            for b in own[k + 1 :]:
+                want[a, b] = want.get((a, b), 0) + 1
+    for block in (200, 7, 1):
+        assert {(r.supplier_a, r.supplier_b): r.n_products for r in reports.supplier_pairs(df, block).collect()} == want

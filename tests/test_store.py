@@ -118,3 +118,54 @@ def test_deletions_expire_with_the_oldest_run(spark, tmp_path):
     assert sorted((r.item_id, r.deleted) for r in t.read().collect())[:2] == [(1, True), (2, True)]  # the oldest run is as it was
     t.apply(write(*(("l", 100 + i, f"2024-01-19 00:00:{i:02d}", False, i / 7) for i in range(60))), 2)
     assert len(t.runs()) == 1 and sorted((r.item_id, r.deleted) for r in t.read().collect())[:4] == [(2, True), (3, False), (4, False), (5, False)]
+
+
+def test_sessions_close_at_the_watermark(spark, tmp_path):
+    """Batches with late rows: lines of closed sessions only, as a plain version has them."""
+    from shelfmark.streaming import sessions
+
+    draw, day, batches, seq = random.Random(3), 1_704_067_200, [], 0
+    for b in range(6):
+        rows = []
+        for _ in range(40):
+            lot = draw.choice([None, None, "A", "B"])
+            rows.append((day + b * 900 + draw.randint(-1500, 900), draw.randrange(2), draw.randrange(3), seq, lot, "2027-01-01" if lot and draw.random() < 0.5 else None))
+            seq += 1
+        batches.append(rows)
+    source, gap, late = tmp_path / "in", 120, 600
+    schema = "at long, location_id long, item_id long, seq long, lot string, expiration string"
+    for b, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source / f"b={b}"))
+    stream = spark.readStream.schema(schema + ", b int").option("maxFilesPerTrigger", 1).parquet(str(source)).withColumn("ts", F.timestamp_seconds("at"))
+    out = sessions.scan_sessions(stream.drop("at", "b"), gap, f"{late} seconds")
+    query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = [(r.location_id, r.item_id, r.lot, str(r.expiration), r.n_scans, r.first, r.last) for r in spark.read.parquet(str(tmp_path / "out")).selectExpr("*", "unix_seconds(first_ts) AS first", "unix_seconds(last_ts) AS last").collect()]
+    kept, mark = {}, 0
+    for rows in batches:
+        for at, place, item, n, lot, expiration in rows:
+            if at > mark:
+                kept.setdefault((place, item), []).append((at * 1_000_000, n, lot, expiration))
+        mark = max([mark, *(r[0] - late for r in rows)])
+    want, lost = [], 240 - sum(map(len, kept.values()))
+    for key, scans in kept.items():
+        for s in sessions.sessions(scans, gap * 1_000_000):
+            if s[-1][0] // 1_000_000 + gap <= mark:
+                want += [(*key, lot, str(expiration), n, first // 1_000_000, last // 1_000_000) for lot, expiration, n, first, last in sessions.fold(s)]
+    assert sorted(got, key=str) == sorted(want, key=str) and lost > 5 and len(want) > 30
+    # the table's version, over all scans
+    table = spark.createDataFrame([r for b in batches for r in b], schema).withColumn("ts", F.timestamp_seconds("at"))
+    got = [(r.location_id, r.item_id, r.lot, r.n_scans) for r in sessions.pair_scans(table, gap).collect()]
+    every = {}
+    for at, place, item, n, lot, expiration in (r for b in batches for r in b):
+        every.setdefault((place, item), []).append((at * 1_000_000, n, lot, expiration))
+    want = [(*key, x[0], x[2]) for key, scans in every.items() for s in sessions.sessions(scans, gap * 1_000_000) for x in sessions.fold(s)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_scans_of_one_package():
+    from shelfmark.streaming.sessions import fold
+
+    assert fold([(1, 1, None, None), (2, 2, "2640AB", "2026-02-12")]) == [["2640AB", "2026-02-12", 2, 1, 2]]
+    assert fold([(1, 1, "L99", "2026-02-12"), (2, 2, None, None)]) == [["L99", "2026-02-12", 2, 1, 2]]
+    assert fold([(1, 1, "AAA111", "2026-01-31"), (2, 2, "BBB222", "2027-01-31"), (3, 3, "AAA111", None), (4, 4, "", "2028-01-01")]) == [["AAA111", "2026-01-31", 2, 1, 3], ["BBB222", "2027-01-31", 2, 2, 4]]

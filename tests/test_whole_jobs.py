@@ -198,10 +198,39 @@ def test_families_and_orphans(spark):
     names = [("a", "G1S", "Best", "Nitrile Exam Glove Textured Small"), ("a", "G1M", "Best", "Nitrile Exam Glove Textured Medium"), ("b", "Q9", "", "Best Nitrile Exam Glove Textured Fingertip Purple Extra Large"), ("b", "Q7", "", "Best Nitrile Exam Glove Textured Fingertip Blue Small")]
     f = M.features(spark.createDataFrame([(i, s, sku, b, n, "") for i, (s, sku, b, n) in enumerate(names)], "listing_id long, supplier_id string, sku string, brand string, name string, pack_size string"))
     members = f.select("listing_id", F.col("listing_id").alias("cluster"))
-    got = {r.cluster: (r.family, r.label) for r in M.families(members, saver(spark)(f)).collect()}
+    got = {r.cluster: (r.family, r.label) for r in M.families(members, saver(spark)(f), saver(spark)).collect()}
     assert set(got) == {0, 1, 2} and len({k for k, _ in got.values()}) == 1 and [got[i][1] for i in range(3)] == ["Small", "Medium", "X-Large"]
 
 
+def test_orphans_choose_one_after_the_other(spark):
+    draw = random.Random(6)
+    words = [f"w{i}" for i in range(9)]
+    groups = []
+    for k in range(24):
+        model = sorted(draw.sample(words, draw.randint(2, 4)))
+        brand, axis = draw.choice(["", "acme", "best"]), draw.choice(["size", "shade"])
+        for value in draw.sample("abcdefgh", draw.choice([2, 2, 3, 4])):
+            groups.append((1000 + len(groups), f"f{k:02d}", brand, model, model, axis, value))
+    for k in range(160):
+        core = sorted(draw.sample(words, draw.randint(3, 8)))
+        groups.append((k, f"o{k:03d}", draw.choice(["", "acme", "best"]), core, core, draw.choice(["size", "shade"]), draw.choice("abcdefgh")))
+    members = {}
+    for g in groups:
+        members.setdefault(g[1], []).append(g)
+    size, want = {f: len(m) for f, m in members.items()}, {}
+    values = {f: {g[6] for g in m} for f, m in members.items()}
+    for o in sorted(g for g in groups if size[g[1]] == 1):
+        for f in sorted((f for f in size if size[f] >= 2), key=lambda f: (-size[f], f)):
+            t = members[f][0]
+            if t[5] == o[5] and (t[2] == o[2] or "" in (t[2], o[2])) and len(t[3]) >= 3 and set(t[3]) <= set(o[4]) and o[6] not in values[f]:
+                values[f].add(o[6])
+                want[o[0]] = f
+                break
+    df = spark.createDataFrame(groups, "cluster long, family string, brand string, model array<string>, core_words array<string>, axis string, value string")
+    got = {r.cluster: r.into for r in M.bridge_orphans(df, saver(spark)).collect()}
+    assert got == want and len(want) > 40
+
+
 def test_invoice_match_reads_every_line(spark, data):
     lines = spark.read.parquet(f"{data}/lineitem.parquet").select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("line_id")).distinct()
     got = search.q21_invoice_match(spark, data).select("line_id")
