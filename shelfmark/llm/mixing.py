@@ -8,8 +8,13 @@ about FAN_IN documents; each block leaves one undecided document, and these resi
 blocks again until every source has one left, which is drawn by its fraction.
 
 That last draw misses the target by a document at most, up or down, so that the words expected are
-the target.  MOVES documents of fitting size are then moved by a copy against the miss.  As its sign
-is drawn, they go up as many words as down on average; which of the fitting ones it is, is drawn too.
+the target and each document's expected copies are its fraction.  A block takes its documents from the
+longest to the shortest: a long one that is undecided is settled by the words of the shorter ones after
+it, so what a block leaves, and what is drawn in the end, is short as a rule.  The miss is then made
+good by documents drawn by lot, DRAWN of each source at most: each that brings the source nearer to its
+target goes down by the copy that rounding gave it, or up by the one that it kept back.  The last draw
+goes up by ``1 - p`` of its words with probability ``p`` and down by ``p`` of them otherwise, so a document is
+drawn to go down as often as to go up, and its expected copies stay its fraction.
 
 Rows that agree in every column are one unit of m rows.  Settled among themselves they take the
 whole part of their m fractions between them, and one row stays for the pairs above; so different
@@ -37,8 +42,8 @@ MAX_COPIES = 3
 #: Undecided documents of a block, on average.
 FAN_IN = 48
 SEED = 20_240_607
-#: Documents of each source moved by one copy at the end.
-MOVES = 3
+#: Documents of a source that may make good what the last draw of it misses.
+DRAWN = 64
 #: Source tables up to this many rows are broadcast; larger ones are joined by shuffle.
 MAX_BROADCAST_SOURCES = 10_000
 
@@ -122,7 +127,8 @@ def _round_once(pending: DataFrame, seed: int) -> DataFrame:
     keep = {v: ", ".join(f"'{f.name}', {v}.{f.name}" for f in fields) for v in ("a.c", "x")}
     fold = _FOLD.format(unit=unit, seed=seed, keep_x=keep["x"], keep_c=keep["a.c"])
     block = F.pmod(F.xxhash64("h", F.lit(seed)), F.col("blocks")).alias("block")
-    lists = pending.groupBy("source", "blocks", block).agg(F.array_sort(F.collect_list(F.struct(*[f.name for f in fields], "p"))).alias("list"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("by"), F.struct(*[f.name for f in fields], "p").alias("d"))))
+    lists = pending.groupBy("source", "blocks", block).agg(F.transform(ordered, lambda x: x["d"]).alias("list"))
     folded = lists.selectExpr("source", "blocks", f"{fold} AS r")
     return folded.selectExpr("source", "blocks", "explode(concat(transform(r.done, d -> struct(d AS d, true AS settled)), array(struct(r.c AS d, false AS settled)))) AS e").select(
         "source", "blocks", "e.d.*", (F.col("e.settled") | (F.col("e.d.p") <= 0) | (F.col("e.d.p") >= 1)).alias("settled")
@@ -169,24 +175,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     out = settled[0]
     for part in settled[1:]:
         out = out.unionByName(part)
-    for _ in range(MOVES):
-        out = _even_out(scratch.cut(out, "settled"), n_sources <= MAX_BROADCAST_SOURCES)
-    return out
+    return _made_good(scratch.cut(out, "settled"), n_sources * DRAWN <= MAX_BROADCAST_SOURCES)
 
 
-def _even_out(rows: DataFrame, small: bool) -> DataFrame:
-    """Move one document of each source by one copy: of those that bring the source's words nearest to its
-    target, the one with the least hash."""
-    gaps = rows.groupBy("source").agg((F.sum(F.col("copies") * F.col("size")) - F.max("target")).alias("gap")).withColumnRenamed("source", "_source")
+def _made_good(rows: DataFrame, small: bool) -> DataFrame:
+    """``rows`` with the copies of some drawn documents changed by one, each source against what it misses."""
     hint = F.broadcast if small else (lambda df: df)
-    can = F.when(F.col("gap") > 0, F.col("copies") > 0).otherwise(F.col("copies") < MAX_COPIES * F.col("m"))
-    left = F.abs(F.abs("gap") - F.col("size"))
-    moves = rows.join(hint(gaps), F.col("source").eqNullSafe(F.col("_source"))).where(can & (F.col("size") > 0) & (left < F.abs("gap")))
-    best = moves.groupBy("source").agg(F.min(F.struct(left.alias("left"), F.xxhash64("g", F.lit(SEED)).alias("h"), "doc_id", "size", "g", "gap")).alias("b"))
-    best = best.select(F.col("source").alias("_s"), F.col("b.doc_id").alias("_d"), F.col("b.size").alias("_z"), F.col("b.g").alias("_g"), F.when(F.col("b.gap") > 0, -1).otherwise(1).alias("by"))
+    gaps = rows.groupBy("source").agg((F.sum(F.col("copies") * F.col("size")) - F.max("target")).alias("gap")).withColumnRenamed("source", "_source")
+    exact = F.col("m") * F.col("target") / F.col("source_size")
+    may = F.when(F.col("gap") > 0, F.col("copies") > F.floor(exact)).otherwise((F.col("copies") <= F.floor(exact)) & (exact > F.floor(exact)))
+    could = rows.where("size > 0").join(hint(gaps), F.col("source").eqNullSafe(F.col("_source"))).where(may & (F.col("size") <= F.abs("gap")))
+    lot = F.row_number().over(W.partitionBy("source").orderBy(F.xxhash64("g", F.lit(SEED + 1)), "g", "doc_id", "size"))
+    lots = could.withColumn("lot", lot).where(F.col("lot") <= DRAWN)
+    lots = lots.groupBy("source", "gap").agg(F.array_sort(F.collect_list(F.struct("lot", "doc_id", "size", "g"))).alias("l"))
+    taken = """aggregate(l, named_struct('rest', abs(gap), 'out', slice(l, 1, 0)), (a, x) ->
+      IF(x.size <= a.rest, named_struct('rest', a.rest - x.size, 'out', concat(a.out, array(x))), a)).out"""
+    moves = lots.select(F.col("source").alias("_s"), F.when(F.col("gap") > 0, -1).otherwise(1).alias("by"), F.explode(F.expr(taken)).alias("d"))
+    moves = moves.select("_s", "by", F.col("d.doc_id").alias("_d"), F.col("d.size").alias("_z"), F.col("d.g").alias("_g"))
     on = F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("size") == F.col("_z")) & (F.col("g") == F.col("_g"))
-    moved = rows.join(hint(best), on, "left")
-    return moved.withColumn("copies", F.col("copies") + F.coalesce("by", F.lit(0))).select(*rows.columns)
+    return rows.join(hint(moves), on, "left").withColumn("copies", F.col("copies") + F.coalesce("by", F.lit(0))).select(*rows.columns)
 
 
 #: Rows that a unit is written out in at a time.

@@ -197,6 +197,22 @@ def test_mixing_is_unbiased(spark):
     assert abs(sum(r.taken for r in got) - sum(r.target for r in got)) <= 0.05 * sum(r.target for r in got)
 
 
+def test_copies_come_as_often_as_their_fractions_say(spark):
+    """Documents of unlike sizes, the same in each of many sources: pairs and last draws keep every expectation."""
+    sizes, sources = (400, 230, 100, 60, 35, 7), 450
+    rows = [(k * 10 + j, "w " * n, f"s{k:04d}") for k in range(sources) for j, n in enumerate(sizes)]
+    got = mixing.mix_report(spark.createDataFrame(rows, "doc_id int, text string, source string")).collect()
+    share = sum(sizes) * sources / (2 * sources)  # weights 1, 2, 3
+    for weight in (1, 2, 3):
+        fraction = share * weight / sum(sizes)
+        for j, n in enumerate(sizes):
+            mine = [r.copies for r in got if r.doc_id % 10 == j and int(r.source[1:]) % 3 == weight - 1]
+            assert len(mine) == sources // 3 and set(mine) <= {int(fraction), int(fraction) + 1}
+            assert abs(sum(mine) / len(mine) - fraction) <= 4 * (max(fraction % 1 * (1 - fraction % 1), 1e-9) / len(mine)) ** 0.5 + 1e-9
+    missed = [abs(sum(r.taken for r in got if r.source == s) - share * (int(s[1:]) % 3 + 1)) for s in {r.source for r in got}]
+    assert max(missed) <= 400 and sum(missed) / len(missed) <= 100
+
+
 def test_running_sums(spark):
     rows = spark.createDataFrame([(k * 7919 % 500, k) for k in range(500)], "o int, v int")
     got = sorted(mixing.running(rows, [mixing.F.col("o")], {"before": mixing.F.col("v")}, Scratch(spark, "test-running")).collect())
