@@ -1,6 +1,6 @@
 """URL filter: path rules, then logistic regression on hashed character n-grams of host and path.
 
-The model is trained on a small table of labelled URLs (LABELLED, or the caller's) in its dual form: the
+The model is trained on a small table of labelled URLs (LABELLED and ``varied``, or the caller's) in its dual form: the
 weights are a sum of the training rows, so gradient descent keeps one number per row, over the matrix of
 their products.  Table, matrix and descent are one SQL expression over one row, so no rows are joined.
 The weights (BUCKETS numbers) become a constant of the scoring expression, so ``pages`` is scored in the
@@ -23,7 +23,7 @@ BUCKETS, SIZES = 8192, (3, 4, 5)
 EPOCHS, RATE, PENALTY = 200, 0.12, 0.01
 #: Square of the constant feature.
 CONSTANT = 0.1
-CUT = 0.5
+CUT = 0.45
 
 #: (host, path, verdict).
 RULES = (
@@ -60,6 +60,34 @@ LABELLED = (
     ("weight-loss-pills.com", "/trial", 1), ("crypto-doubler.net", "/deposit", 1),
 )
 
+#: Words that ordinary and unwanted sites are called by, for ``varied``.
+PLAIN_WORDS = (
+    "garden library museum weather school harbour kitchen theatre valley orchard bridge station village market forest letters journal science history music "
+    "travel housing parents teachers farming fishing cycling sailing poetry physics nursing railway pottery council archive pharmacy dentist bakery hotel review"
+).split()
+SPAM_WORDS = "casino viagra pills porn xxx adult bet poker jackpot lottery prize replica warez crack malware phish spam ads track click loans payday cams escort hack cheap free win bonus farm".split()
+_SUBDOMAINS, _ENDS = ("", "www.", "blog.", "m.", "news.", "shop."), (".com", ".org", ".net", ".de", ".info", ".example.com", ".example.org", ".example.net")
+_PATHS = ("/", "/en/{n}", "/de/{n}/", "/fr/{n}.html", "/es/{n}", "/page/{n}", "/{n}/index.html", "/archive/{n}", "/item-{n}", "/a/{n}/b")
+_ONSETS, _RESTS = "b c d f g h k l m n p r s t v w st tr br th sh".split(), "an er in on el at is or um ea io ai ent our all est".split()
+
+
+def varied(each: int = 60) -> tuple[tuple[str, str, int], ...]:
+    """``each`` unwanted and twice as many ordinary URLs by rule, with the same endings, subdomains and paths on both sides,
+    so that only the names tell them apart: two of SPAM_WORDS, or words of PLAIN_WORDS and invented names."""
+    rows = []
+    for k in range(each):
+        syllable = lambda n: _ONSETS[n % len(_ONSETS)] + _RESTS[n // 3 % len(_RESTS)]
+        invented = "".join(syllable(7 * k + 11 * j) for j in range(2 + k % 2))
+        plain = PLAIN_WORDS[k % len(PLAIN_WORDS)] + ("-" + PLAIN_WORDS[(k + 7) % len(PLAIN_WORDS)] if k % 2 else "")
+        bad = SPAM_WORDS[k % len(SPAM_WORDS)] + ("-" if k % 3 else "") + (SPAM_WORDS[(5 * k + 3) % len(SPAM_WORDS)] if k % 5 else "x" if k % 2 else invented[:4])
+        for name, label in ((invented, 0), (plain, 0), (bad, 1)):
+            rows.append((_SUBDOMAINS[k % len(_SUBDOMAINS)] + name + _ENDS[k % len(_ENDS)], _PATHS[k % len(_PATHS)].format(n=37 * k % 9973), label))
+    return tuple(rows)
+
+
+#: Rows that one task trains on; more have to be thinned by the caller.
+MAX_LABELLED = 2_000
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -106,8 +134,12 @@ _LENGTH = (
 )
 
 
-def train(spark: SparkSession, labelled=LABELLED) -> list[float]:
-    """Weights by bucket, with the intercept last, of ``labelled`` (host, path, 0 or 1)."""
+def train(spark: SparkSession, labelled=None) -> list[float]:
+    """Weights by bucket, with the intercept last, of ``labelled`` (host, path, 0 or 1), MAX_LABELLED rows at most; by
+    default LABELLED and ``varied``."""
+    labelled = LABELLED + varied() if labelled is None else labelled
+    if len(labelled) > MAX_LABELLED:
+        raise ValueError(f"{len(labelled)} labelled rows; one task trains on {MAX_LABELLED} at most")
     if not labelled:
         return [0.0] * (BUCKETS + 1)
     quoted = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -439,8 +439,9 @@ def test_url_model_is_the_plain_descent(spark):
             v[b] = n
         return v / max(1.0, np.sqrt((v * v).sum()))
 
-    x = np.array([vector(h, p) for h, p, _ in url_filter.LABELLED])
-    y = np.array([t for *_, t in url_filter.LABELLED], float)
+    labelled = url_filter.LABELLED + url_filter.varied()
+    x = np.array([vector(h, p) for h, p, _ in labelled])
+    y = np.array([t for *_, t in labelled], float)
     gram, alpha = x @ x.T + url_filter.CONSTANT, np.zeros(len(y))
     for _ in range(url_filter.EPOCHS):
         alpha = alpha - url_filter.RATE * (url_filter.PENALTY * alpha - y + 1 / (1 + np.exp(-gram @ alpha)))
@@ -467,6 +468,22 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.where("false"), weights).count() == 0
 
 
+def test_url_filter_leaves_ordinary_hosts(spark):
+    """Names that the labelled table does not have: made of other syllables, and pairs of words."""
+    rng = random.Random(20)
+    syllables = ["lor", "min", "dax", "fel", "quo", "vin", "zer", "bol", "tan", "rik", "mus", "par", "gel", "hof", "ney"]
+    words = "castle chess museum flower bakery railway senate dentist harvest winter lantern bicycle teacup novel concert meadow student carpet island nephew".split()
+    name = lambda: "".join(rng.choices(syllables, k=rng.randint(2, 4))) if rng.random() < 0.6 else "-".join(rng.sample(words, rng.randint(1, 2)))
+    plain = [f"https://{rng.choice(['', 'www.', 'm.'])}{name()}.{rng.choice(['net', 'de', 'example.net', 'info'])}/{rng.choice(['en', 'x', 'item'])}/{rng.randint(1, 9999)}" for _ in range(1000)]
+    bad = [f"http://{a}-{b}.{rng.choice(['net', 'info'])}/{rng.randint(1, 999)}" for a in ("casino", "viagra", "porn", "spam", "malware", "jackpot", "payday") for b in ("palace", "deals", "world", "now", "zone")]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(plain + bad)), "page_id long, url string"), url_filter.train(spark)).collect()}
+    assert all(r.rule is None for r in got.values())
+    assert sum(got[k].verdict == "block" for k in range(1000)) <= 30
+    assert sum(got[1000 + k].verdict == "block" for k in range(len(bad))) >= 0.75 * len(bad)
+    with pytest.raises(ValueError):
+        url_filter.train(spark, url_filter.LABELLED * 40)
+
+
 KEY = b"a key"
 
 
