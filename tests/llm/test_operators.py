@@ -596,17 +596,128 @@ def test_pipeline(spark, data):
     got = corpus_pipeline.run(spark, data).collect()
     n = Counter(r.doc_id for r in got)
     assert set(n) <= set(rows) and max(n.values()) <= 3
-    source = {r.doc_id: r.source for r in docs.collect()}
-    total, weight, taken, most = Counter(), {s: 1 + k % 3 for k, s in enumerate(sorted({source[i] for i in rows}))}, Counter(), Counter()
-    for i, t in rows.items():
-        total[source[i]] += len(_words(t))
-        taken[source[i]] += n[i] * len(_words(t))
-        most[source[i]] = max(most[source[i]], len(_words(t)))
-    share = sum(total.values()) / sum(weight.values())
-    free = [s for s in total if share * weight[s] <= 3 * total[s]]
-    if len(free) == len(total):
-        assert all(abs(taken[s] - share * weight[s]) <= most[s] / 2 + 1 for s in total)
+    # what the mix takes of just these rows; its draws have their own tests
+    want = {r.doc_id: r.copies for r in mixing.mix_report(docs.where(mixing.F.col("doc_id").isin(sorted(rows)))).collect()}
+    assert set(want) == set(rows) and n == +Counter(want)
     t = Tokenizer.from_file(VOCABULARY)
     for r in got:
         e = t.encode(rows[r.doc_id], add_special_tokens=False).ids
         assert r.n_tokens == len(e) and r.ids_sha256 == hashlib.sha256(",".join(map(str, e)).encode()).hexdigest()
+
+
+def test_pipeline_of_awkward_rows(spark, docs, data):
+    """Null and repeated ids, repeated rows and columns whose names the stages use: each stage keeps the columns, no two
+    documents that are left are copies, and what comes out are encodings of texts that went in."""
+    now, seen = docs, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = spark.createDataFrame(stage(spark, now, data).collect(), docs.schema)
+        assert now.columns == docs.columns, name
+        seen.append(now)
+    every = {(r.doc_id, r.text) for r in docs.collect()}
+    for a, b in zip([docs, *seen[:2]], seen[:3], strict=True):
+        assert not Counter(tuple(r) for r in b.collect()) - Counter(tuple(r) for r in a.collect())
+    left = [(r.doc_id, r.text) for r in seen[2].collect()]
+    squeezed = [re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t in set(left)]
+    assert set(left) <= every and len(set(squeezed)) == len(squeezed) > 0
+    prints = [_fingerprint(t) for _, t in set(left)]
+    assert _components(prints) == list(range(len(prints)))
+    mixed = Counter((r.doc_id, r.text) for r in seen[3].collect())
+    assert set(mixed) <= set(left)
+    t = Tokenizer.from_file(VOCABULARY)
+    want = Counter()
+    for (i, text), k in mixed.items():
+        e = t.encode(text or "", add_special_tokens=False).ids
+        want[i, len(e), hashlib.sha256(",".join(map(str, e)).encode()).hexdigest(), hashlib.sha256(t.decode(e, skip_special_tokens=False).encode()).hexdigest()] += k
+    assert _bag(corpus_pipeline.STAGES[-1][1](spark, now, data).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()) == want
+
+
+def _plain_gam(x, y, rounds, pairs):
+    """Boosting written out: every cut of every tree, every cross of every pair of features."""
+    g2, rate, pen, least = (lambda g, h: g * g / (h + quality_gam.PENALTY)), quality_gam.RATE, quality_gam.PENALTY, quality_gam.MIN_HESSIAN
+    n, m = len(x), len(x[0])
+    start = float(np.log(sum(y) / (n - sum(y))))
+
+    def edges(j, bins):
+        cuts = sorted(set(np.quantile([r[j] for r in x], np.linspace(0, 1, bins + 1)[1:-1])))
+        return [c for c in cuts if c > min(r[j] for r in x)]
+
+    fine, coarse = ([edges(j, b) for j in range(m)] for b in (quality_gam.MAX_BINS, quality_gam.PAIR_BINS))
+    place = lambda e, v: sum(c <= v for c in e)
+    total, tables = [start] * n, [[0.0] * (len(e) + 1) for e in fine]
+    slope = lambda: [(1 / (1 + np.exp(-t)) - a, max((p := 1 / (1 + np.exp(-t))) * (1 - p), 1e-6)) for t, a in zip(total, y, strict=True)]
+
+    def sums(s, where):
+        rows = [k for k in range(n) if where(k)]
+        return sum(s[k][0] for k in rows), sum(s[k][1] for k in rows)
+
+    def cut(s, b, lo, hi):
+        best = (0.0, 0)
+        for c in range(lo + 1, hi):
+            (gl, hl), (gr, hr) = sums(s, lambda k: lo <= b[k] < c), sums(s, lambda k: c <= b[k] < hi)  # noqa: B023
+            if hl >= least and hr >= least and (gain := g2(gl, hl) + g2(gr, hr) - g2(gl + gr, hl + hr)) > best[0] + 1e-12:
+                best = (gain, c)
+        return best if best[0] > 1e-9 else (0.0, 0)
+
+    for _ in range(rounds):
+        for j in range(m):
+            s, b, size = slope(), [place(fine[j], r[j]) for r in x], len(tables[j])
+            _, c = cut(s, b, 0, size)
+            if not c:
+                continue
+            sides = [(0, c), (c, size)]
+            inner = [cut(s, b, *side) for side in sides]
+            k = int(inner[1][0] > inner[0][0])
+            if inner[k][1]:
+                sides[k : k + 1] = [(sides[k][0], inner[k][1]), (inner[k][1], sides[k][1])]
+            for lo, hi in sides:
+                g, h = sums(s, lambda r: lo <= b[r] < hi)  # noqa: B023
+                for z in range(lo, hi):
+                    tables[j][z] += rate * -g / (h + pen)
+                for r in range(n):
+                    total[r] += rate * -g / (h + pen) if lo <= b[r] < hi else 0.0
+
+    def cross(s, i, j):
+        best = None
+        for a in range(len(coarse[i])):
+            for c in range(len(coarse[j])):
+                parts = [(u, v) + sums(s, lambda r: (place(coarse[i], x[r][i]) > a) == u and (place(coarse[j], x[r][j]) > c) == v) for u in (False, True) for v in (False, True)]  # noqa: B023
+                gain = sum(g2(g, h) for *_, g, h in parts) - g2(sum(p[2] for p in parts), sum(p[3] for p in parts))
+                if best is None or gain > best[0] + 1e-12:
+                    best = (gain, a, c, parts)
+        return best
+
+    s = slope()
+    chosen = sorted(((cross(s, i, j)[0], i, j) for i in range(m) for j in range(i)), reverse=True)[:pairs]
+    for _ in range(rounds // 3):
+        for _, i, j in chosen:
+            _, a, c, parts = cross(slope(), i, j)
+            for u, v, g, h in parts:
+                if h >= least:
+                    for r in range(n):
+                        if (place(coarse[i], x[r][i]) > a) == u and (place(coarse[j], x[r][j]) > c) == v:
+                            total[r] += rate * -g / (h + pen)
+    return tables, [1 / (1 + np.exp(-t)) for t in total]
+
+
+def test_gam_is_the_plain_boosting(spark, docs, monkeypatch):
+    for name, value in (("ROUNDS", 6), ("MAX_BINS", 5), ("PAIR_BINS", 3), ("N_PAIRS", 2)):
+        monkeypatch.setattr(quality_gam, name, value)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(70, 3)).round(2)
+    y = ((x[:, 0] > 0.1) ^ (x[:, 1] > 0.3) | (rng.random(70) < 0.1)).astype(float)
+    model = quality_gam.train(x, y)
+    tables, scores = _plain_gam(x.tolist(), y.tolist(), 6, 2)
+    assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(model.tables, tables, strict=True)) and len(model.pairs) == 2
+    assert np.allclose(model.score(x), scores, atol=1e-9)
+    # a document's score is its bins' table values, added
+    whole = quality_gam.fit(docs, labels := spark.createDataFrame([(i, i % 3 == 0, 0) for i in range(60)] + [(5, True, 0), (5, None, 1)], "doc_id long, quality boolean, toxic int").selectExpr("doc_id", "int(quality) AS quality", "toxic"))
+    assert labels.count() == 62
+    got = Counter((r.doc_id, round(r.score, 9), r.predicted) for r in quality_gam.score(docs, whole).collect())
+    want = Counter()
+    for i, text, *_ in ROWS:
+        f = quality_gam.features(text)
+        t = whole.intercept + sum(tab[sum(c <= v for c in e)] for e, tab, v in zip(whole.edges, whole.tables, f, strict=True))
+        t += sum(tab[sum(c <= f[a] for c in whole.coarse[a])][sum(c <= f[b] for c in whole.coarse[b])] for a, b, tab in whole.pairs)
+        p = 1 / (1 + np.exp(-t))
+        want[i, round(p, 9), int(p >= quality_gam.CUT)] += 1
+    assert got == want
