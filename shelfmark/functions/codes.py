@@ -129,7 +129,7 @@ def strength_band(p) -> Column:
 def haversine_miles(lat1, lon1, lat2, lon2) -> Column:
     """C14."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * 3958.8 * F.asin(F.sqrt(a))
+    return 2 * 3959 * F.asin(F.sqrt(a))
 
 
 def ground_days(miles) -> Column:

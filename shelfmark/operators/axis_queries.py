@@ -116,8 +116,8 @@ ORACLES = {
     "f31_taxonomy": "SELECT p_partkey, CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN 'Economy' WHEN p_type = 'STANDARD' THEN 'Standard' ELSE 'Other' END AS department FROM part",
     "c15_ground_days": """
         SELECT c_custkey, CASE WHEN m <= 150 THEN 1 WHEN m <= 450 THEN 2 WHEN m <= 900 THEN 3 WHEN m <= 1500 THEN 4 WHEN m <= 2200 THEN 5 ELSE 6 END AS days FROM (
-          SELECT c_custkey, least(2 * 3958.8 * asin(sqrt(power(sin(radians(25.0 + c_nationkey - 40.0) / 2), 2) + cos(radians(40.0)) * cos(radians(25.0 + c_nationkey)) * power(sin(radians(-90.0 + 75.0) / 2), 2))),
-            2 * 3958.8 * asin(sqrt(power(sin(radians(25.0 + c_nationkey - 34.0) / 2), 2) + cos(radians(34.0)) * cos(radians(25.0 + c_nationkey)) * power(sin(radians(-90.0 + 118.0) / 2), 2)))) AS m FROM customer) q""",
+          SELECT c_custkey, least(2 * 3959 * asin(sqrt(power(sin(radians(25.0 + c_nationkey - 40.0) / 2), 2) + cos(radians(40.0)) * cos(radians(25.0 + c_nationkey)) * power(sin(radians(-90.0 + 75.0) / 2), 2))),
+            2 * 3959 * asin(sqrt(power(sin(radians(25.0 + c_nationkey - 34.0) / 2), 2) + cos(radians(34.0)) * cos(radians(25.0 + c_nationkey)) * power(sin(radians(-90.0 + 118.0) / 2), 2)))) AS m FROM customer) q""",
     "c28_axis_values": "SELECT p_partkey, CAST(p_size AS VARCHAR) AS mm, CASE WHEN p_size % 2 = 0 THEN 'blue' END AS color, CAST(p_partkey % 9 AS VARCHAR) AS hash, CASE WHEN p_size % 2 <> 0 THEN 'S' END AS size FROM part",
     "c29_selector": """
         SELECT p_partkey, CASE WHEN s <> l THEN 'size' ELSE '#' END AS axis, CASE WHEN s <> l THEN 'Size' ELSE 'Number' END AS label, CASE WHEN s AND NOT l THEN 'S' WHEN l AND NOT s THEN 'L' ELSE CAST(p_partkey % 9 AS VARCHAR) END AS value

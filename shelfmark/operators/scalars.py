@@ -81,7 +81,7 @@ _add("c10_unit_price", "lineitem", "l_orderkey", lambda: {"cents": C.unit_price_
 _add("c12_savings", "lineitem", "l_orderkey", lambda: {"cents": C.savings(F.col("l_extendedprice"), F.lit(30000.0), F.col("l_quantity"))}, "greatest(0, CAST(floor((l_extendedprice - 30000.0) * l_quantity + 0.5) AS BIGINT)) AS cents")
 _add("c13_noisy_or", "part", "p_partkey", lambda: {"p": F.round(C.noisy_or(F.array(F.col("p_size") / 100.0, F.lit(0.3), F.lit(0.1))), 9)}, "round(1 - (1 - p_size / 100.0) * 0.7 * 0.9, 9) AS p")
 _add("c14_haversine", "customer", "c_custkey", lambda: {"miles": F.round(C.haversine_miles(F.lit(40.0), F.lit(-75.0), F.lit(30.0) + F.col("c_nationkey"), F.lit(-80.0)), 6)},
-     "round(2 * 3958.8 * asin(sqrt(power(sin(radians(30.0 + c_nationkey - 40.0) / 2), 2) + cos(radians(40.0)) * cos(radians(30.0 + c_nationkey)) * power(sin(radians(-80.0 + 75.0) / 2), 2))), 6) AS miles")
+     "round(2 * 3959 * asin(sqrt(power(sin(radians(30.0 + c_nationkey - 40.0) / 2), 2) + cos(radians(40.0)) * cos(radians(30.0 + c_nationkey)) * power(sin(radians(-80.0 + 75.0) / 2), 2))), 6) AS miles")
 _add("c16_business_days", "orders", "o_orderkey", lambda: {"d": C.add_business_days(F.to_date("o_orderdate"), F.lit(3))},
      "CAST(list_filter(list_transform(range(1, 12), lambda i: CAST(o_orderdate AS DATE) + CAST(i AS INT)), lambda d: dayofweek(d) NOT IN (0, 6))[3] AS DATE) AS d")
 _add("c18_shipping", "orders", "o_orderkey", lambda: {"cents": C.shipping_cents(F.col("o_totalprice"), F.lit(250000.0), F.lit(995).cast("long"), F.array(F.struct(F.lit(50000).cast("long").alias("min_subtotal_cents"), F.lit(495).cast("long").alias("flat_cents"))))},

@@ -115,7 +115,16 @@ ORACLES["c08_expiry"] = """
     SELECT o_orderkey, strftime(CASE WHEN o_orderkey % 8 IN (1, 5, 7) THEN last_day(d) WHEN o_orderkey % 8 = 3 AND day(d) <= 12 THEN make_date(year(d), day(d), month(d)) ELSE d END, '%Y-%m-%d') AS expiry,
            strftime(last_day(d), '%Y-%m-%d') AS gs1, strftime(last_day(d), '%Y-%m-%d') AS misread FROM (SELECT o_orderkey, CAST(o_orderdate + INTERVAL 30 YEARS AS DATE) AS d FROM orders) q"""
 _add("c15_zip_state", "customer", "c_custkey", lambda: {"state": L.state_of_zip(F.lpad((F.col("c_custkey") * 37 % 100000).cast("string"), 5, "0"))}, "")
-ORACLES["c15_zip_state"] = "SELECT c_custkey, state FROM customer LEFT JOIN (VALUES " + ", ".join(map(str, L.STATES)) + ") z(low, high, state) ON c_custkey * 37 % 100000 // 100 BETWEEN low AND high"
+#: First and last prefix and state, stated apart from the code under test (fixed values).
+_ZIPS = """
+    (10, 27, 'MA'), (28, 29, 'RI'), (30, 38, 'NH'), (39, 49, 'ME'), (50, 59, 'VT'), (60, 69, 'CT'), (70, 89, 'NJ'), (100, 149, 'NY'), (150, 196, 'PA'),
+    (197, 199, 'DE'), (200, 205, 'DC'), (206, 219, 'MD'), (220, 246, 'VA'), (247, 268, 'WV'), (270, 289, 'NC'), (290, 299, 'SC'), (300, 319, 'GA'),
+    (320, 349, 'FL'), (350, 369, 'AL'), (370, 385, 'TN'), (386, 397, 'MS'), (398, 399, 'GA'), (400, 427, 'KY'), (430, 459, 'OH'), (460, 479, 'IN'),
+    (480, 499, 'MI'), (500, 528, 'IA'), (530, 549, 'WI'), (550, 567, 'MN'), (570, 577, 'SD'), (580, 588, 'ND'), (590, 599, 'MT'), (600, 629, 'IL'),
+    (630, 658, 'MO'), (660, 679, 'KS'), (680, 693, 'NE'), (700, 714, 'LA'), (716, 729, 'AR'), (730, 749, 'OK'), (750, 799, 'TX'), (800, 816, 'CO'),
+    (820, 831, 'WY'), (832, 838, 'ID'), (840, 847, 'UT'), (850, 865, 'AZ'), (870, 884, 'NM'), (889, 898, 'NV'), (900, 961, 'CA'), (967, 968, 'HI'),
+    (970, 979, 'OR'), (980, 994, 'WA'), (995, 999, 'AK')"""
+ORACLES["c15_zip_state"] = "SELECT c_custkey, state FROM customer LEFT JOIN (VALUES " + _ZIPS + ") z(low, high, state) ON c_custkey * 37 % 100000 // 100 BETWEEN low AND high"
 _link = lambda: F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("https://a.example/dp/B"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.lit("/ref=1"))).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("https://b.example/item_"), F.col("p_partkey") + 1000000, F.lit(".html"))).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("https://c.example/p/"), F.col("p_partkey") + 10000000, F.lit("?x=1"))).otherwise(F.concat(F.lit("https://d.example/x-"), "p_partkey", F.lit("?q=12345678")))
 _add("f28_listing_id", "part", "p_partkey", lambda: {"id": L.listing_id(_link())}, """CASE p_partkey % 4 WHEN 0 THEN concat('B', lpad(CAST(p_partkey AS VARCHAR), 9, '0')) WHEN 1 THEN CAST(p_partkey + 1000000 AS VARCHAR)
     WHEN 2 THEN CAST(p_partkey + 10000000 AS VARCHAR) ELSE substr(sha1(concat('https://d.example/x-', p_partkey)), 1, 12) END AS id""")

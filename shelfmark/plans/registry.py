@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import aggregates, axis_queries, delivery, matching_queries, ordering_views, plan, predicates_joins, readmodels, reports, scalars, search, text_queries
+from ..operators import aggregates, axis_queries, delivery, lists, matching_queries, ordering_views, plan, predicates_joins, readmodels, reports, scalars, search, text_queries
 from ..sources import io_queries, queries as source_queries
 from ..streaming import queries as streaming_queries
 from . import catalog
@@ -17,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Modules whose queries are one SQL text for both engines.
 SQL_MODULES = (readmodels, predicates_joins, aggregates, ordering_views)
 #: Modules with QUERIES (name -> function) and ORACLES (name -> SQL).
-FRAME_MODULES = (scalars, reports, text_queries, axis_queries, delivery, matching_queries, search, plan, streaming_queries, source_queries, io_queries)
+FRAME_MODULES = (scalars, reports, lists, text_queries, axis_queries, delivery, matching_queries, search, plan, streaming_queries, source_queries, io_queries)
 
 
 def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -278,3 +278,27 @@ def test_supplier_pairs_in_pieces(spark):
                 want[a, b] = want.get((a, b), 0) + 1
     for block in (200, 7, 1):
         assert {(r.supplier_a, r.supplier_b): r.n_products for r in reports.supplier_pairs(df, block).collect()} == want
+
+
+def test_option_lists_and_anchors(spark):
+    from shelfmark.operators import lists
+
+    rows = [("a", 0, "808 ga - 5/Pk"), ("a", 1, "808 GA - 5/Pkg"), ("a", 2, "900 ga"), ("a", 3, ""), ("b", 0, "S - 5/Bx"), ("b", 1, "S - 9/Box"), ("b", 2, "S - 9/bx"), ("c", 0, "10/Box")]
+    got = sorted(map(tuple, lists.variant_options(spark.createDataFrame(rows, "family string, position int, label string")).collect()))
+    assert got == [("a", 0, "808 ga", [0, 1]), ("a", 1, "900 ga", [2]), ("a", 2, "Option 4", [3]), ("b", 0, "S - 5/Bx", [0]), ("b", 1, "S - 9/Box", [1, 2]), ("c", 0, "10/Box", [0])]
+    products = spark.createDataFrame([(1, "Nitrile Exam Gloves Large"), (2, "Nitrile Exam Gloves"), (3, "Exam"), (4, "Nitrile exam gloves"), (5, "Dental Mirror")], "id int, name string")
+    seeds = spark.createDataFrame([(1, "Dental nitrile exam gloves"), (2, "disposable mirror"), (3, "nothing like it"), (4, "")], "id int, text string")
+    assert sorted(map(tuple, lists.best_anchors(seeds, products).collect())) == [(1, 3, 100), (2, 5, 50), (3, 3, 0), (4, 3, 0)]
+    assert lists.best_anchors(seeds, products.where("false")).count() == 0
+
+
+def test_versions_keep_what_they_captured(spark):
+    from shelfmark.operators import lists
+
+    v = spark.createDataFrame([(1, "f", "pending", None), (2, "g", "accepted", "x")], "id int, file_name string, status string, captured_by string")
+    patch = lambda *r: spark.createDataFrame(list(r), "id int, status string, file_name string, captured_by string")
+    assert sorted(map(tuple, lists.apply_status_updates(v, patch((1, "accepted", "f", None), (9, "x", "y", "z"))).collect())) == [(1, "f", "accepted", None), (2, "g", "accepted", "x")]
+    with pytest.raises(Exception, match="file_name is immutable"):
+        lists.apply_status_updates(v, patch((1, "accepted", "other", None))).collect()
+    with pytest.raises(Exception, match="captured_by is immutable"):
+        lists.apply_status_updates(v, patch((2, "accepted", "g", None))).collect()
