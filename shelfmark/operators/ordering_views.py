@@ -35,7 +35,7 @@ QUERIES = {
         SELECT user_id, job, event_id FROM (SELECT user_id, job, event_id, row_number() OVER (PARTITION BY user_id ORDER BY tier, ts, event_id) AS rn FROM (
           SELECT user_id, 'queued' AS job, 0 AS tier, ts, event_id FROM events WHERE event_type = 'view'
           UNION ALL SELECT user_id, 'stale', 1, ts, event_id FROM events WHERE event_type = 'click' AND ts < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES) u) q WHERE rn = 1""",
-    "er01_load_listings": "SELECT l.listing_id, l.name, l.brand, c.price_cents, c.availability FROM listing l LEFT JOIN current_price c ON c.supplier_id = l.supplier_id AND c.canonical_id = l.canonical_id",
+    "er01_load_listings": "SELECT listing_id, name, brand, price_cents, availability FROM priced_listing",
     "er12_agreed_axis": "SELECT group_id, min(variant_rank) AS value FROM canonical GROUP BY group_id HAVING count(DISTINCT variant_rank) = 1",
     "er13_family_groups": "SELECT p_brand, p_name, count(DISTINCT p_size) AS n_values, count(*) AS n FROM part GROUP BY p_brand, p_name HAVING count(DISTINCT p_size) >= 2",
     "er15_emit_families": """

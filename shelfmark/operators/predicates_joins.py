@@ -8,7 +8,7 @@ QUERIES = {
         SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('O', 'P') AND (o_orderpriority ILIKE '1-%' OR o_totalprice > 300000)
         ORDER BY o_orderkey LIMIT 100""",
     "src03_scan_all": "SELECT doc_id, lang, source, n_chars FROM documents",
-    "src17_latest_price_read": "SELECT l.listing_id, l.name, c.price_cents FROM listing l LEFT JOIN current_price c ON c.supplier_id = l.supplier_id AND c.canonical_id = l.canonical_id",
+    "src17_latest_price_read": "SELECT listing_id, name, price_cents FROM priced_listing",
     "p01_substring_search": "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%er%' OR p_brand ILIKE '%3%'",
     "p02_regex_search": "SELECT p_partkey, p_type FROM part WHERE regexp_like(p_type, '(?i)(standard|economy|tin)$')",
     "p03_optional_predicate": "SELECT p_partkey FROM part WHERE (CAST(NULL AS VARCHAR(10)) IS NULL OR p_brand = 'x') AND (p_size = 5 OR 5 IS NULL)",
@@ -32,8 +32,7 @@ QUERIES = {
     "p13_orderable": "SELECT listing_id, availability <> 'backordered' AS orderable FROM current_price",
     "p14_page_clamp": "SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 50 OFFSET 20",
     "j01_match_price_product": """
-        SELECT l.listing_id, l.match_status, c.price_cents, l.name, k.group_id FROM listing l
-        JOIN current_price c ON c.supplier_id = l.supplier_id AND c.canonical_id = l.canonical_id JOIN canonical k ON k.canonical_id = l.canonical_id""",
+        SELECT l.listing_id, l.match_status, l.price_cents, l.name, k.group_id FROM priced_listing l JOIN canonical k ON k.canonical_id = l.canonical_id""",
     "j02_left_supplier_default": """
         SELECT x.supplier_id, coalesce(s.supplier_name, 'Unknown supplier') AS supplier_name, x.n FROM (SELECT supplier_id + 3 AS supplier_id, count(*) AS n FROM listing GROUP BY supplier_id) x
         LEFT JOIN supplier_info s ON s.supplier_id = x.supplier_id""",

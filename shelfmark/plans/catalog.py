@@ -17,6 +17,13 @@ BASE = "region nation customer supplier part orders lineitem events documents em
 MATCH_STATUS = """CASE ({c} * 7 + {s}) % 10 WHEN 0 THEN 'unmatched' WHEN 1 THEN 'substitute' WHEN 2 THEN 'needs_review' WHEN 3 THEN 'variant' WHEN 4 THEN 'variant' ELSE 'exact' END"""
 CONFIDENCE = "CAST(({c} * 13 + {s} * 7) % 100 AS INT)"
 
+#: A price snapshot, of a line.
+SNAPSHOT = """concat(l_suppkey, '-', l_partkey) AS listing_id, l_suppkey AS supplier_id, l_partkey AS canonical_id,
+               CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS price_cents, l_quantity AS pack_quantity,
+               CASE WHEN l_quantity > 0 THEN CAST(floor(floor(l_extendedprice * 100 + 0.5) / l_quantity + 0.5) AS BIGINT) END AS unit_price_cents,
+               CASE l_returnflag WHEN 'N' THEN 'in_stock' WHEN 'A' THEN 'limited' ELSE 'backordered' END AS availability,
+               l_shipdate AS captured_at, l_orderkey AS order_id, l_linenumber AS line_no"""
+
 #: A listing is keyed by (supplier_id, canonical_id); listing_id is that pair as text, so no two pairs share one
 #: however large the keys are.  Joins and windows go by the pair.
 VIEWS: dict[str, str] = {
@@ -28,16 +35,16 @@ VIEWS: dict[str, str] = {
         FROM (SELECT DISTINCT l_suppkey AS supplier_id, l_partkey AS canonical_id FROM lineitem) x
         JOIN part p ON p.p_partkey = x.canonical_id""",
     # one price snapshot per line; the last two columns break ties of captured_at
-    "snapshot": """
-        SELECT concat(l_suppkey, '-', l_partkey) AS listing_id, l_suppkey AS supplier_id, l_partkey AS canonical_id,
-               CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS price_cents, l_quantity AS pack_quantity,
-               CASE WHEN l_quantity > 0 THEN CAST(floor(floor(l_extendedprice * 100 + 0.5) / l_quantity + 0.5) AS BIGINT) END AS unit_price_cents,
-               CASE l_returnflag WHEN 'N' THEN 'in_stock' WHEN 'A' THEN 'limited' ELSE 'backordered' END AS availability,
-               l_shipdate AS captured_at, l_orderkey AS order_id, l_linenumber AS line_no
-        FROM lineitem""",
-    "current_price": """
-        SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY supplier_id, canonical_id ORDER BY captured_at DESC NULLS LAST, order_id DESC, line_no DESC) AS rn FROM snapshot s) q
+    "snapshot": f"SELECT {SNAPSHOT} FROM lineitem",
+    # a line's own columns go through the window; what is made of them is made of the rows that are left
+    "current_price": f"""
+        SELECT {SNAPSHOT}, rn FROM (SELECT l.*, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_shipdate DESC NULLS LAST, l_orderkey DESC, l_linenumber DESC) AS rn FROM lineitem l) q
         WHERE rn = 1""",
+    # a listing with its latest price, of which it has one: the lines are read once
+    "priced_listing": f"""
+        SELECT c.*, p.p_name AS name, p.p_brand AS brand, p.p_type AS category, p.p_size AS pack_size, concat('S', c.supplier_id, '-', c.canonical_id) AS sku, concat(p.p_brand, '-', c.canonical_id) AS mfr_sku,
+               {MATCH_STATUS.format(c="c.canonical_id", s="c.supplier_id")} AS match_status, {CONFIDENCE.format(c="c.canonical_id", s="c.supplier_id")} AS confidence
+        FROM current_price c JOIN part p ON p.p_partkey = c.canonical_id""",
     "match_row": "SELECT listing_id, supplier_id, canonical_id, match_status, confidence FROM listing",
     "family": """
         SELECT p_name AS family_name, p_type AS family_type, min(p_partkey) AS family_id, count(DISTINCT p_size) AS n_sizes
