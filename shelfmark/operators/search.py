@@ -161,14 +161,19 @@ def match_invoice_lines(lines: DataFrame, listings: DataFrame, cut: float = 0.55
     """Q21: the listing of each line (line_id, supplier_id, sku, description): the vendor's own SKU if it names
     one product (exact 97), else a shared code (exact), else a like name with two shared core words
     (needs_review, 40 + 30 x likeness), else unmatched."""
-    l = lines.withColumn("code", T.normalize_sku("sku")).withColumn("words", T.tokenize_name("description")).withColumn("core", T.core_tokens(F.col("words")))  # noqa: E741
-    r = listings.withColumn("code", T.normalize_sku("sku")).withColumn("words", T.tokenize_name("name")).withColumn("core", T.core_tokens(F.col("words")))
+    # lines and listings are prepared once; a description that many lines have is split into words once
+    save = saver(lines.sparkSession)
+    texts = lines.select("description").distinct().withColumn("words", T.tokenize_name("description")).withColumn("core", T.core_tokens(F.col("words"))).withColumnRenamed("description", "_text")
+    l = save(lines.join(texts, F.col("description").eqNullSafe(F.col("_text"))).select("line_id", "supplier_id", T.normalize_sku("sku").alias("code"), "words", "core"))  # noqa: E741
+    r = save(listings.withColumn("code", T.normalize_sku("sku")).withColumn("words", T.tokenize_name("name")).withColumn("core", T.core_tokens(F.col("words"))))
     by_sku = l.where("code <> ''").join(r.select("supplier_id", "code", "listing_id", "name"), ["supplier_id", "code"])
     one = by_sku.groupBy("line_id").agg(F.count_distinct("name").alias("n"), F.min("listing_id").alias("listing_id")).where("n = 1")
     t1 = one.select("line_id", "listing_id", F.lit(1).alias("tier"), F.lit(97).alias("confidence"))
     t2 = l.where("length(code) >= 5").join(r.select("code", "listing_id"), "code").groupBy("line_id").agg(F.min("listing_id").alias("listing_id")).select("line_id", "listing_id", F.lit(2).alias("tier"), F.lit(85).alias("confidence"))
-    t3 = _like_names(l, r, cut).select("line_id", "listing_id", F.lit(3).alias("tier"), F.floor(40 + 30 * F.col("sim") + 0.5).cast("int").alias("confidence"))
-    best = _best(t1.unionByName(t2).unionByName(t3), ["line_id"], ["tier"]).drop("rank")
+    coded = save(_best(t1.unionByName(t2), ["line_id"], ["tier"]).drop("rank"))
+    open_ = l.join(coded.select("line_id"), "line_id", "left_anti")  # names speak for lines that no code does
+    named = _like_names(open_, r, cut).select("line_id", "listing_id", F.lit(3).alias("tier"), F.floor(40 + 30 * F.col("sim") + 0.5).cast("int").alias("confidence"))
+    best = coded.unionByName(named)
     status = F.when(F.col("tier") <= 2, "exact").when(F.col("tier") == 3, "needs_review").otherwise("unmatched")
     return l.select("line_id").join(best, "line_id", "left").select("line_id", "listing_id", status.alias("match_status"), F.coalesce("confidence", F.lit(0)).alias("confidence"))
 
