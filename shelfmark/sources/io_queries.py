@@ -149,6 +149,14 @@ def snk07_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("p_brand string, n long, first string").json(path)
 
 
+def snk07_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of the brands as pages, and its cells read back."""
+    path = _path(spark, "pages")
+    S.html_report(_read(spark, sf_dir, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.concat(F.min("p_name"), F.lit(" <&>")).alias("first")), path, "Brands & parts")
+    cells = spark.read.text(path).select(F.regexp_extract_all("value", F.lit("<td>([^<]*)</td>"), F.lit(1)).alias("c")).where("size(c) = 3")
+    return cells.select(F.col("c")[0].alias("p_brand"), F.col("c")[1].cast("long").alias("n"), F.col("c")[2].alias("first"))
+
+
 def snk08_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.ranked_candidates(_read(spark, sf_dir, "part").select("p_brand", "p_partkey"), "p_brand", [F.desc("p_partkey")])
 
@@ -167,7 +175,7 @@ def st06_state_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     src04_csv, src05_invoice_csv, src06_pdf_rows, src07_invoice_lines, src08_sitemap, src12_shop_products, src13_devices, src14_marketplace_cards, src15_json_ld, src16_seeds,
-    snk01_append, snk02_replace, snk03_upsert, snk04_update, snk05_refresh, snk07_summary, snk08_ranks, st06_state_merge,
+    snk01_append, snk02_replace, snk03_upsert, snk04_update, snk05_refresh, snk07_summary, snk07_html, snk08_ranks, st06_state_merge,
 )}
 _STOCK = "SELECT p_partkey * 2 AS p_partkey, upper(p_name) AS p_name FROM part WHERE p_partkey % 3 = 0"
 ORACLES = {
@@ -196,6 +204,7 @@ ORACLES = {
     "snk04_update": f"SELECT p.p_partkey, coalesce(n.p_name, p.p_name) AS p_name, p.p_size FROM part p LEFT JOIN ({_STOCK}) n ON n.p_partkey = p.p_partkey",
     "snk05_refresh": "SELECT l_suppkey, count(*) AS n, max(l_quantity) AS most FROM lineitem GROUP BY l_suppkey",
     "snk07_summary": "SELECT p_brand, count(*) AS n, min(p_name) AS first FROM part GROUP BY p_brand",
+    "snk07_html": "SELECT p_brand, count(*) AS n, concat(min(p_name), ' &lt;&amp;&gt;') AS first FROM part GROUP BY p_brand",
     "snk08_ranks": "SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) AS rank FROM part",
     "st06_state_merge": """
         SELECT list_id, item_id, updated_at, deleted, payload FROM (SELECT q.*, row_number() OVER (PARTITION BY list_id, item_id ORDER BY updated_at DESC, deleted DESC, payload DESC) AS rn FROM (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from graphlib import TopologicalSorter
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..streaming.store import Published, Run
 
@@ -113,6 +113,22 @@ def json_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def html_report(df: DataFrame, path: str, title: str) -> None:
+    """SNK07: a page a part of the result, each whole in itself: the title, a row of headings and the rows, escaped.  Rows
+    are written where they are."""
+    def escaped(c: Column) -> Column:
+        for char, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ('"', "quot")):
+            c = F.replace(c, F.lit(char), F.lit(f"&{name};"))
+        return c
+
+    line = lambda tag, cells: F.concat(F.lit("<tr>"), *[F.concat(F.lit(f"<{tag}>"), escaped(c), F.lit(f"</{tag}>")) for c in cells], F.lit("</tr>"))
+    head = F.concat(F.lit("<!doctype html><meta charset='utf-8'><title>"), escaped(F.lit(title)), F.lit("</title><h1>"), escaped(F.lit(title)), F.lit("</h1><table>"), line("th", [F.lit(c) for c in df.columns]))
+    rows = df.select(line("td", [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]).alias("value"), F.spark_partition_id().alias("part"))
+    # a page's rows are one text; parts are bounded by the readers' splits
+    pages = rows.groupBy("part").agg(F.array_join(F.collect_list("value"), "\n").alias("value"))
+    pages.select(F.concat(head, F.lit("\n"), "value", F.lit("\n</table>")).alias("value")).write.mode("overwrite").text(path)
+
+
 def ranked_candidates(df: DataFrame, group: str, order: list) -> DataFrame:
     """SNK08: candidates with a rank from 1."""
     return df.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order)))
