@@ -92,9 +92,11 @@ def invoice_rows(items: DataFrame, y_gap: float = 3.0, x_gap: float = 8.0) -> Da
 
 def parse_invoice_rows(rows: DataFrame, line: str = "line") -> DataFrame:
     """SRC07: the last two amounts of a line are unit price and total; the quantity is the whole number of
-    the line that solves unit x qty = total within 2 cents or 1 %."""
+    the line that solves unit x qty = total within 2 cents or 1 %.  The digits of the line's own code are none,
+    unless that code is a bare number."""
     amounts = F.transform(F.regexp_extract_all(F.col(line), F.lit(r"\$?\s?([0-9][0-9,]*\.[0-9]{2})\b"), F.lit(1)), lambda m: F.floor(F.replace(m, F.lit(","), F.lit("")).cast("double") * 100 + 0.5).cast("long"))
-    whole = F.transform(F.regexp_extract_all(F.col(line), F.lit(r"(?<![0-9.,])([0-9]{1,4})(?![0-9.,])"), F.lit(1)), lambda m: m.cast("long"))
+    rest = F.regexp_replace(line, r"^\s*(?=[0-9]*[A-Z-])[A-Z0-9][A-Z0-9-]{3,}\b", "")
+    whole = F.transform(F.regexp_extract_all(rest, F.lit(r"(?<![0-9.,])([0-9]{1,4})(?![0-9.,])"), F.lit(1)), lambda m: m.cast("long"))
     r = rows.withColumn("amounts", amounts).withColumn("whole", whole).where(F.size("amounts") >= 2)
     unit, total = F.get("amounts", F.size("amounts") - 2), F.get("amounts", F.size("amounts") - 1)
     r = r.withColumn("unit_price_cents", unit).withColumn("total_cents", total)

@@ -302,3 +302,9 @@ def test_versions_keep_what_they_captured(spark):
         lists.apply_status_updates(v, patch((1, "accepted", "other", None))).collect()
     with pytest.raises(Exception, match="captured_by is immutable"):
         lists.apply_status_updates(v, patch((2, "accepted", "g", None))).collect()
+
+
+def test_digits_of_a_code_are_no_quantity(spark):
+    lines = ["AB-7720 blue ring 3 bx $68.45 $532,385.65", "7720 blue ring 3 bx $68.45 $528,434.00", "AB-40 ring 40 bx $1.00 $40.00"]
+    r = R.parse_invoice_rows(spark.createDataFrame([(x,) for x in lines], "line string")).collect()
+    assert [(x.sku, x.qty) for x in r] == [("AB-7720", None), ("7720", 7720), ("AB-40", 40)]
