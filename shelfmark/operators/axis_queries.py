@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import axes as A, codes as C, packs as P
+from ..session import spread
 
 DEPARTMENTS = [("Metals", ["steel", "brass", "copper", "nickel", "tin"]), ("Economy", ["economy", "promo"]), ("Standard", ["standard"]), ("Other", ["small", "medium", "large"])]
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("part", "orders") else df
 
 
 def _named(spark: SparkSession, sf_dir: str, first: str = "p_name") -> DataFrame:

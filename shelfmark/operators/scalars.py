@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import codes as C, packs as P, text as T
+from ..session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("part", "orders") else df
 
 
 def _add(name: str, table: str, key: str, make: Callable[[], dict[str, Column]], oracle: str | None = None) -> None:
@@ -55,7 +57,7 @@ _add("f13_trigrams", "part", "p_partkey", lambda: {"n": F.size(T.trigrams("p_typ
 ORACLES["f13_trigrams"] = f"SELECT p_partkey, len({_GRAMS}) AS n FROM (SELECT p_partkey, concat('  ', p_type, ' ') AS t FROM part) q"
 _add("f17_prefix_recall", "part", "p_partkey", lambda: {"recall": T.prefix_recall(F.array(F.lit("st"), F.lit("po")), F.split(F.lower("p_type"), " "))},
      "(CASE WHEN len(list_filter(string_split(lower(p_type), ' '), lambda w: w LIKE 'st%')) > 0 THEN 0.5 ELSE 0 END + CASE WHEN len(list_filter(string_split(lower(p_type), ' '), lambda w: w LIKE 'po%')) > 0 THEN 0.5 ELSE 0 END) AS recall")
-_add("f19_name_similarity", "part", "p_partkey", lambda: {"score": T.name_similarity(F.array(F.lit("steel"), F.lit("part")), T.tokenize_name(_name()))})
+_add("f19_name_similarity", "part", "p_partkey", lambda: {"score": F.get(F.transform(F.array(T.tokenize_name(_name())), lambda words: T.name_similarity(F.array(F.lit("steel"), F.lit("part")), words)), 0)})
 _add("f20_title_overlap", "part", "p_partkey", lambda: {"pct": T.title_overlap(F.split(F.concat_ws(" ", "p_name", F.lit("of"), F.element_at(F.split("p_name", " "), 1)), " "), F.array(F.lit("hot"), F.lit("ring"), F.lit("of")))},
      "CAST(floor(100.0 * (CASE WHEN p_name LIKE 'hot %' THEN 2 ELSE 0 END + CASE WHEN p_name LIKE '% ring' THEN 1 ELSE 0 END) / 3 + 0.5) AS INT) AS pct")
 _add("f21_status", "part", "p_partkey", lambda: {"status": T.status_of_confidence(F.col("p_partkey") % 100)},

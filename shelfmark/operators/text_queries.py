@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import axes as A, codes as C, ingest_text as I, labels as L, taxonomy as X, text as T
-from ..session import ship
+from ..session import ship, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("part", "orders") else df
 
 
 def _add(name: str, table: str, key: str, make: Callable[[], dict[str, Column]], oracle: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import axes as A, text as T
 from shelfmark.operators import matching as M, matching_queries, name_classes as N, overlap, search, top_names
 from shelfmark.plans import registry
-from shelfmark.session import saver
+from shelfmark.session import saver, spread
 
 
 def test_overlap_join_keeps_common_words(spark):
@@ -254,3 +254,12 @@ def test_lookups_make_no_pairs_that_they_drop(spark, data, tmp_path):
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "dense_rank" in plan if name.startswith("q19") else not plan.lstrip().startswith("Aggregate")
 
+
+
+def test_rows_of_a_small_file_are_many_tasks(spark, data):
+    """Long work for each row is spread, though the file is one split; scans of many splits stay as they are."""
+    n = 4 * spark.sparkContext.defaultParallelism
+    for name in ("f19_name_similarity", "c29_selector", "c28_axis_values", "f06_brands_agree", "f15_sku_evidence", "c02_gtin_variants", "er03_blocking_index"):
+        assert registry.queries()[name](spark, data).rdd.getNumPartitions() >= n, name
+    many = spark.range(0, 100, 1, n + 3)
+    assert spread(many) is many
