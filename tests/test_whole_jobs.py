@@ -263,3 +263,15 @@ def test_rows_of_a_small_file_are_many_tasks(spark, data):
         assert registry.queries()[name](spark, data).rdd.getNumPartitions() >= n, name
     many = spark.range(0, 100, 1, n + 3)
     assert spread(many) is many
+
+
+def test_links_are_counted_as_pairs_are(spark, data):
+    save = saver(spark)
+    for f in (_catalog(spark), M.features(matching_queries.listings(spark, data))):
+        f = save(f)
+        want = {r.listing_id: [0, 0, 0] for r in f.select("listing_id").collect()}
+        for r in N.score_by_classes(f, save).collect():
+            for i in (r.left_id, r.right_id):
+                want[i][("exact", "variant", "needs_review").index(r.status)] += 1
+        got = N.link_counts(f, save).collect()
+        assert len(got) == len(want) and {r.listing_id: [r.n_exact, r.n_variant, r.n_review] for r in got} == want and all(r.n_links == sum(want[r.listing_id]) for r in got)
