@@ -275,3 +275,15 @@ def test_links_are_counted_as_pairs_are(spark, data):
                 want[i][("exact", "variant", "needs_review").index(r.status)] += 1
         got = N.link_counts(f, save).collect()
         assert len(got) == len(want) and {r.listing_id: [r.n_exact, r.n_variant, r.n_review] for r in got} == want and all(r.n_links == sum(want[r.listing_id]) for r in got)
+
+
+def test_probe_groups_are_those_of_its_pairs(spark, data):
+    save = saver(spark)
+    for f in (_catalog(spark), M.features(matching_queries.listings(spark, data))):
+        f = save(f)
+        want = {r.listing_id: [0, 0, None] for r in f.select("listing_id").collect()}
+        for r in N.name_brand_probe(f, save).collect():
+            for i in (r.left_id, r.right_id):
+                want[i] = [want[i][0] + 1, want[i][1] + r.high, r.group if r.high else want[i][2]]
+        got = N.name_brand_groups(f, save).collect()
+        assert len(got) == len(want) and {r.listing_id: [r.n_links, r.n_high, r.group] for r in got} == want
