@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from shelfmark.functions import axes as A, text as T
-from shelfmark.operators import matching as M, matching_queries, name_classes as N, overlap, search, top_names
+from shelfmark.operators import class_clusters, matching as M, matching_queries, name_classes as N, overlap, search, top_names
 from shelfmark.plans import registry
 from shelfmark.session import saver, spread
 
@@ -287,3 +287,58 @@ def test_probe_groups_are_those_of_its_pairs(spark, data):
                 want[i] = [want[i][0] + 1, want[i][1] + r.high, r.group if r.high else want[i][2]]
         got = N.name_brand_groups(f, save).collect()
         assert len(got) == len(want) and {r.listing_id: [r.n_links, r.n_high, r.group] for r in got} == want
+
+
+def test_clusters_by_classes_are_whole(spark, data):
+    """Listings of a cluster agree in every bound that two of them state and are linked; no accepted pair is left open."""
+    save = saver(spark)
+    blank = _catalog(spark).withColumn("code", F.when(F.col("listing_id") % 3 > 0, F.col("code")).otherwise(""))
+    for f, least in ((_catalog(spark), 30), (blank, 30), (M.features(matching_queries.listings(spark, data)), 3)):
+        f = save(f)
+        scored = save(N.score_by_classes(f, save))
+        links = [(r.left_id, r.right_id) for r in scored.where("status IN ('exact', 'variant')").collect()]
+        bounds = {r.id: {k: set(v) for k, v in r.bounds.items()} for r in M._bounds(f).collect()}
+        rows = class_clusters.clusters_by_classes(f, save).collect()
+        got = {r.listing_id: r.cluster for r in rows}
+        assert len(rows) == len(got) == len(bounds)
+        members, stated = {}, {}
+        for i, c in got.items():
+            members.setdefault(c, []).append(i)
+            for k, v in bounds[i].items():
+                stated.setdefault(c, {}).setdefault(k, []).append(v)
+        common = {c: {k: set.intersection(*v) for k, v in b.items()} for c, b in stated.items()}
+        assert all(v for b in common.values() for v in b.values()) and all(min(m) == c for c, m in members.items())
+        root = {i: i for i in got}
+
+        def top(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in links:
+            if got[a] == got[b]:
+                root[top(a)] = top(b)
+            else:
+                x, y = common.get(got[a], {}), common.get(got[b], {})
+                assert any(not x[k] & y[k] for k in x.keys() & y.keys()), (a, b)
+        assert all(len({top(i) for i in m}) == 1 for m in members.values())
+        assert sum(len(m) > 1 for m in members.values()) >= least
+
+
+def test_copies_make_no_pairs_of_clusters(spark):
+    """Eight times the copies of a name, of four suppliers, are clusters of four each, by no more rounds or links."""
+    sizes = []
+    for n in (40, 320):
+        rows = [(i, "abcd"[i % 4], f"QX{i}77Z", "Acme", "Fine Paper Point", "10/Box") for i in range(n)]
+        f = M.features(spark.createDataFrame(rows, "listing_id long, supplier_id string, sku string, brand string, name string, pack_size string"))
+        save, written = saver(spark), []
+
+        def counted(df, save=save, written=written):
+            out = save(df)
+            written.append(out)
+            return out
+
+        got = class_clusters.clusters_by_classes(counted(f), counted).groupBy("cluster").count().collect()
+        assert len(got) == n // 4 and {r["count"] for r in got} == {4}
+        sizes.append((len(written), max(df.count() for df in written)))
+    assert sizes[1][0] == sizes[0][0] and sizes[1][1] <= 320
