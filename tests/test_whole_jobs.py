@@ -357,3 +357,20 @@ def test_lists_are_planned_in_batches(spark, data):
     want = {tuple(r) for k in range(30) for r in plan._plan(rows[rows.list_id == k]).itertuples(index=False)}
     got = out.select(*plan.NAMES).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_substitutes_of_copies_are_ranked_once(spark, data):
+    """Every product's cheaper ones against brute force; copies share a ranking, and features are planned once."""
+    draw = random.Random(5)
+    names = [sorted(draw.sample(["fine", "paper", "point", "kit", "blue"], draw.randint(1, 4))) for _ in range(6)]
+    rows = [(i, draw.choice(names), draw.choice([["acme"], ["best"], []]), draw.choice([{}, {"size": ["L"]}, {"size": ["S"]}]), draw.randint(1, 40), draw.randint(1, 3)) for i in range(150)]
+    df = spark.createDataFrame(rows, "id int, words array<string>, brand_words array<string>, axes map<string,array<string>>, unit_price int, n_suppliers int")
+    want = set()
+    for i, w, b, x, u, n in rows:
+        met = [(v, j) for j, y, c, z, v, _ in rows if v < u and len({*w} & {*y}) / len({*w} | {*y}) >= 0.5 and (b != c or not b) and (not x or not z or x == z)]
+        want |= {(i, j, u - v, k) for k, (v, j) in enumerate(sorted(met)[:5], 1) if n >= 2}
+    out = M.substitutes(df)
+    got = [(r.id, r.substitute_id, r.saving, r["rank"]) for r in out.collect()]
+    assert len(got) == len(want) > 200 and {*got} == want
+    assert "windowspecdefinition(left_set" in out._jdf.queryExecution().analyzed().toString()
+    assert not any("part.parquet" in f for f in matching_queries.er16_core_substitutes(spark, data).inputFiles())
