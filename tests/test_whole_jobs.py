@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -374,3 +375,21 @@ def test_substitutes_of_copies_are_ranked_once(spark, data):
     assert len(got) == len(want) > 200 and {*got} == want
     assert "windowspecdefinition(left_set" in out._jdf.queryExecution().analyzed().toString()
     assert not any("part.parquet" in f for f in matching_queries.er16_core_substitutes(spark, data).inputFiles())
+
+
+def test_candidates_are_counted_as_pairs_are(spark, data):
+    save = saver(spark)
+    for f in (_catalog(spark), M.features(matching_queries.listings(spark, data)), _features(spark, 700, "AB1234", "Fine Paper Point")):
+        f = save(f)
+        index = save(M.blocking_index(f))
+        want = {r.listing_id: [0, 0, 0] for r in f.select("listing_id").collect()}
+        for r in M.candidate_pairs(index, rules=True).collect():
+            for i in (r.left_id, r.right_id):
+                want[i] = [n + k for n, k in zip(want[i], (1, r.by_code, r.by_words))]
+        got = M.candidate_counts(f, index, save).collect()
+        assert len(got) == len(want) and {r.listing_id: [r.n_links, r.n_code, r.n_words] for r in got} == want
+        kinds = {}
+        for r in index.where("key LIKE 'words:%'").groupBy("listing_id").agg(F.sort_array(F.collect_list("key")).alias("k")).collect():
+            kinds.setdefault(tuple(r.k), []).append(r.listing_id)
+        named = {i: min(ids) for ids in kinds.values() for i in ids}
+        assert {r.listing_id: r.class_id for r in got} == {i: named.get(i, i) for i in want}
