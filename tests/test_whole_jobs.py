@@ -393,3 +393,16 @@ def test_candidates_are_counted_as_pairs_are(spark, data):
             kinds.setdefault(tuple(r.k), []).append(r.listing_id)
         named = {i: min(ids) for ids in kinds.values() for i in ids}
         assert {r.listing_id: r.class_id for r in got} == {i: named.get(i, i) for i in want}
+
+
+def test_overlaps_are_counted_as_pairs_are(spark):
+    words = {i: ["common", "often" if i % 2 else "else", "often" if i % 3 else "third", f"w{i % 40}", None][: 1 + i % 6] for i in range(700)}
+    df = spark.createDataFrame(list(words.items()), "id long, words array<string>")
+    sets = {i: frozenset(w for w in ws if w) for i, ws in words.items()}
+    left = [i for i in words if i % 20 < 2]
+    for least in (1, 2):
+        met = {a: [n for b in words if (n := len(sets[a] & sets[b])) >= least] for a in left}
+        least_of = {a: min(b for b in left if sets[b] == sets[a]) if len(sets[a]) >= least else a for a in left}
+        want = {(a, least_of[a], len(n), sum(n)) for a, n in met.items()}
+        got = search.overlap_counts(df.where("id % 20 < 2"), df, least, 7).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
