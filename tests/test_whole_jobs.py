@@ -406,3 +406,23 @@ def test_overlaps_are_counted_as_pairs_are(spark):
         want = {(a, least_of[a], len(n), sum(n)) for a, n in met.items()}
         got = search.overlap_counts(df.where("id % 20 < 2"), df, least, 7).collect()
         assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_functional_keys_and_siblings_give_a_row_a_part(spark, data):
+    """Classes and numbers stand for all pairs, and places give each part's siblings in order."""
+    parts = spark.read.parquet(f"{data}/part.parquet").collect()
+    key = {p.p_partkey: (re.sub("[^A-Za-z0-9]", "", p.p_brand).lower(), p.p_name) for p in parts}
+    got = registry.queries()["j11_functional_key_join"](spark, data).collect()
+    assert {(r.part_id, r.class_id, r.n_links) for r in got} == {(i, min(j for j in key if key[j] == k), sum(key[j] == k for j in key) - 1) for i, k in key.items()} and len(got) == len(parts)
+    sizes = {}
+    for p in parts:
+        sizes.setdefault((p.p_name, p.p_type), set()).add(p.p_size)
+    rows = {}
+    for r in registry.queries()["j19_family_siblings"](spark, data).collect():
+        rows.setdefault(r.group_id, []).append(r)
+    assert sum(map(len, rows.values())) == len(parts)
+    for p in parts:
+        family = [q for q in parts if (q.p_name, q.p_type) == (p.p_name, p.p_type)] if len(sizes[p.p_name, p.p_type]) >= 2 else [p]
+        group = sorted(rows[min(q.p_partkey for q in family)], key=lambda r: r.position)
+        assert [r.canonical_id for r in group] == [q.p_partkey for q in sorted(family, key=lambda q: (q.p_size, q.p_name, q.p_partkey))]
+        assert {r.n_siblings for r in group} == {len(family) - 1} and [r.position for r in group] == list(range(1, len(group) + 1))
