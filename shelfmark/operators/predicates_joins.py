@@ -74,10 +74,11 @@ QUERIES = {
           UNION ALL SELECT lower(family_name), family_id, 2 FROM family
           UNION ALL SELECT lower(listing_id), canonical_id, 3 FROM listing
           UNION ALL SELECT substr(lower(name), 1, 8), canonical_id, 4 FROM canonical) h) q WHERE rn = 1""",
-    # a search: the siblings of every fiftieth product, whatever the family's size
+    # each product's family (itself, if it has none), its place there and its number of siblings: those of a product are the
+    # other rows of its family, in the order of their places
     "j19_family_siblings": """
-        SELECT a.canonical_id, b.canonical_id AS sibling_id, b.variant_rank, row_number() OVER (PARTITION BY a.canonical_id ORDER BY b.variant_rank NULLS LAST, b.name, b.canonical_id) AS position
-        FROM canonical a JOIN canonical b ON b.family_id = a.family_id AND b.canonical_id <> a.canonical_id WHERE a.canonical_id % 50 = 0""",
+        SELECT canonical_id, group_id, variant_rank, row_number() OVER (PARTITION BY group_id ORDER BY variant_rank NULLS LAST, name, canonical_id) AS position, count(*) OVER (PARTITION BY group_id) - 1 AS n_siblings
+        FROM canonical""",
     "u01_union_paths": """
         SELECT part_id FROM (SELECT p_partkey AS part_id FROM part WHERE p_size = 3 UNION SELECT p_partkey FROM part WHERE p_brand LIKE '%1' UNION SELECT l_partkey FROM lineitem WHERE l_quantity = 50) u
         ORDER BY part_id LIMIT 25""",
