@@ -426,3 +426,12 @@ def test_functional_keys_and_siblings_give_a_row_a_part(spark, data):
         group = sorted(rows[min(q.p_partkey for q in family)], key=lambda r: r.position)
         assert [r.canonical_id for r in group] == [q.p_partkey for q in sorted(family, key=lambda q: (q.p_size, q.p_name, q.p_partkey))]
         assert {r.n_siblings for r in group} == {len(family) - 1} and [r.position for r in group] == list(range(1, len(group) + 1))
+
+
+def test_vendors_of_one_name_are_looked_up_once(spark):
+    names = spark.createDataFrame([(i, "ABC corp" if i % 2 else "bc") for i in range(300)], "id int, name string")
+    suppliers = spark.createDataFrame([(i, "abc" if i % 2 else "Abc Corp") for i in range(10, 310)], "id int, name string")
+    got = search.vendor_contains(names, suppliers, 4)
+    assert {tuple(r) for r in got.collect()} == {(i, 10) for i in range(300)}
+    # the found suppliers go back to the vendors by name
+    assert re.search(r"Join Inner, \(vendor_id_n#\d+ = vendor_id_n#\d+\)", got._jdf.queryExecution().optimizedPlan().toString())
