@@ -8,7 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from shelfmark.functions import axes as A, text as T
-from shelfmark.operators import class_clusters, matching as M, matching_queries, name_classes as N, overlap, plan, search, top_names
+from shelfmark.operators import class_clusters, matching as M, matching_queries, name_classes as N, overlap, plan, reports, search, top_names
 from shelfmark.plans import registry
 from shelfmark.session import saver, spread
 
@@ -435,3 +435,16 @@ def test_vendors_of_one_name_are_looked_up_once(spark):
     assert {tuple(r) for r in got.collect()} == {(i, 10) for i in range(300)}
     # the found suppliers go back to the vendors by name
     assert re.search(r"Join Inner, \(vendor_id_n#\d+ = vendor_id_n#\d+\)", got._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_cheaper_products_of_other_brands(spark):
+    draw = random.Random(6)
+    rows = [(i, draw.choice(["a", "b", None]), draw.choice([1, 2]), draw.choice(["x", "x", "x", "y", "z", None]), draw.choice([None, *range(100, 140)]), draw.choice([1, 2, 3])) for i in range(400)]
+    want = set()
+    for i, name, size, brand, best, n in rows:
+        if n >= 2 and None not in (name, brand, best):
+            near = sorted((c, j) for j, m, s, b, c, _ in rows if m == name and s == size and b not in (None, brand) and c is not None and c < best)
+            want |= {(i, j, best - c) for c, j in near[:5]}
+    offers = spark.createDataFrame(rows, "canonical_id long, name string, size int, brand string, best_cents long, n_suppliers int")
+    got = M.cheaper_elsewhere(offers).collect()
+    assert len(got) == len(want) > 300 and {tuple(r) for r in got} == want
