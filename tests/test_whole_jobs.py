@@ -437,6 +437,23 @@ def test_vendors_of_one_name_are_looked_up_once(spark):
     assert re.search(r"Join Inner, \(vendor_id_n#\d+ = vendor_id_n#\d+\)", got._jdf.queryExecution().optimizedPlan().toString())
 
 
+def _recorded(monkeypatch, saved: list):
+    """Lets ``search`` note the columns and numbers of rows of what it writes."""
+    plain = search.saver
+
+    def saver_(spark):
+        save = plain(spark)
+
+        def noted(df):
+            out = save(df)
+            saved.append((set(out.columns), out.count()))
+            return out
+
+        return noted
+
+    monkeypatch.setattr(search, "saver", saver_)
+
+
 def test_cheaper_products_of_other_brands(spark):
     draw = random.Random(6)
     rows = [(i, draw.choice(["a", "b", None]), draw.choice([1, 2]), draw.choice(["x", "x", "x", "y", "z", None]), draw.choice([None, *range(100, 140)]), draw.choice([1, 2, 3])) for i in range(400)]
@@ -448,3 +465,14 @@ def test_cheaper_products_of_other_brands(spark):
     offers = spark.createDataFrame(rows, "canonical_id long, name string, size int, brand string, best_cents long, n_suppliers int")
     got = M.cheaper_elsewhere(offers).collect()
     assert len(got) == len(want) > 300 and {tuple(r) for r in got} == want
+
+
+def test_copies_of_a_name_are_split_once(spark, monkeypatch):
+    names = ["blue glove", "blue paper", "red glove kit", "kit", "paper points fine"]
+    products = spark.createDataFrame([(i, names[i % 5], i % 3 > 0) for i in range(3000)], "id long, name string, priced boolean")
+    queries = spark.createDataFrame([(7, "red gloves"), (8, "kit")], "id long, text string")
+    saved = []
+    _recorded(monkeypatch, saved)
+    got = {(r.query_id, r.rank): r.product_id for r in search.fuzzy_search(queries, products, 0.12, 3).collect()}
+    assert [got[7, k] for k in (1, 2, 3)] == [2, 7, 17] and [got[8, k] for k in (1, 2, 3)] == [8, 13, 23]
+    assert saved and max(n for _, n in saved) < 200
