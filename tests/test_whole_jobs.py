@@ -476,3 +476,14 @@ def test_copies_of_a_name_are_split_once(spark, monkeypatch):
     got = {(r.query_id, r.rank): r.product_id for r in search.fuzzy_search(queries, products, 0.12, 3).collect()}
     assert [got[7, k] for k in (1, 2, 3)] == [2, 7, 17] and [got[8, k] for k in (1, 2, 3)] == [8, 13, 23]
     assert saved and max(n for _, n in saved) < 200
+
+
+def test_invoice_lines_of_one_kind_are_matched_once(spark, monkeypatch):
+    lines = spark.createDataFrame([(f"l{i}", 1, [None, "K1X", "K77777X"][i % 3], ["blue bracket kit", None][i % 2]) for i in range(600)], "line_id string, supplier_id long, sku string, description string")
+    listings = spark.createDataFrame([(5, 1, "K1X", "blue bracket kit"), (6, 2, "K77777X", "other")], "listing_id long, supplier_id long, sku string, name string")
+    saved = []
+    _recorded(monkeypatch, saved)
+    got = {r.line_id: (r.listing_id, r.match_status, r.confidence) for r in search.match_invoice_lines(lines, listings).collect()}
+    by_sku = [{0: (5, "needs_review", 70), 1: (None, "unmatched", 0)}, {0: (5, "exact", 97), 1: (5, "exact", 97)}, {0: (6, "exact", 85), 1: (6, "exact", 85)}]
+    assert got == {f"l{i}": by_sku[i % 3][i % 2] for i in range(600)}
+    assert max(n for c, n in saved if "words" in c) == 6
