@@ -72,17 +72,20 @@ def sample(df: DataFrame, order: list[Column], count: int = SAMPLE, seed: int =
 def supplier_pairs(offers: DataFrame, block: int = BLOCK) -> DataFrame:
     """AG18: (supplier_a, supplier_b, n_products) of suppliers that offer the same products (product_id, supplier_id);
     at most as many rows as suppliers squared.  Products with one set of suppliers are counted once, and a set longer
-    than ``block`` is paired in pieces, so no task makes all pairs of a large one."""
-    sets = offers.where("supplier_id IS NOT NULL AND product_id IS NOT NULL").groupBy("product_id").agg(F.array_sort(F.collect_set("supplier_id")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    pieces = sets.where("size(s) >= 2").withColumn("piece", F.explode(F.expr(f"sequence(0, (size(s) - 1) DIV {block})"))).repartition("s", "piece")
+    than ``block`` is paired in pieces, so no task makes all pairs of a large one.  A supplier and those behind it in a
+    set are brought to its place before they are paired, so a task counts the pairs of its own suppliers only, and
+    pairs are not shuffled."""
+    rows = offers.where("supplier_id IS NOT NULL AND product_id IS NOT NULL").repartition("product_id")
+    sets = rows.groupBy("product_id").agg(F.array_sort(F.collect_set("supplier_id")).alias("s")).where("size(s) >= 2").groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    pieces = sets.withColumn("piece", F.explode(F.expr(f"sequence(0, (size(s) - 1) DIV {block})"))).repartition("s", "piece")
     left = pieces.select("n", "s", F.posexplode(F.expr(f"slice(s, piece * {block} + 1, {block})")).alias("k", "supplier_a"), "piece")
-    pairs = left.select("n", "supplier_a", F.explode(F.expr(f"slice(s, piece * {block} + k + 2, size(s))")).alias("supplier_b"))
-    return pairs.groupBy("supplier_a", "supplier_b").agg(F.sum("n").alias("n_products"))
+    tails = left.select("n", "supplier_a", F.expr(f"slice(s, piece * {block} + k + 2, size(s))").alias("tail")).repartition("supplier_a")
+    return tails.select("n", "supplier_a", F.explode("tail").alias("supplier_b")).groupBy("supplier_a", "supplier_b").agg(F.sum("n").alias("n_products"))
 
 
 def ag18_supplier_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return supplier_pairs(li.select(F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("supplier_id")).distinct())
+    return supplier_pairs(li.select(F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("supplier_id")))
 
 
 def ag19_sample(spark: SparkSession, sf_dir: str) -> DataFrame:

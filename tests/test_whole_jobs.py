@@ -487,3 +487,11 @@ def test_invoice_lines_of_one_kind_are_matched_once(spark, monkeypatch):
     by_sku = [{0: (5, "needs_review", 70), 1: (None, "unmatched", 0)}, {0: (5, "exact", 97), 1: (5, "exact", 97)}, {0: (6, "exact", 85), 1: (6, "exact", 85)}]
     assert got == {f"l{i}": by_sku[i % 3][i % 2] for i in range(600)}
     assert max(n for c, n in saved if "words" in c) == 6
+
+
+def test_supplier_pairs_are_not_shuffled(spark):
+    offers = spark.createDataFrame([(p, s) for p in range(60) for s in range(p % 7)], "product_id long, supplier_id long")
+    got = reports.supplier_pairs(offers, 3)
+    assert {tuple(r) for r in got.collect()} == {(a, b, sum(p % 7 > b for p in range(60))) for b in range(6) for a in range(b)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(supplier_a" in plan and not re.search(r"hashpartitioning\(supplier_a#\d+L, supplier_b", plan)
