@@ -80,14 +80,15 @@ def read_invoice_csv(spark: SparkSession, path: str) -> DataFrame:
 def invoice_rows(items: DataFrame, y_gap: float = 3.0, x_gap: float = 8.0) -> DataFrame:
     """SRC06: text items (page, x, y, width, text) of a document to rows of cells: items within ``y_gap``
     make a row, and a gap of more than ``x_gap`` starts a new cell."""
+    # a row's items come together once; they are few, so its cells are made within it
     by_y = W.partitionBy("doc", "page").orderBy(F.desc("y"), "x")
     r = items.withColumn("new_row", (F.lag("y").over(by_y) - F.col("y") > y_gap).cast("int"))
     r = r.withColumn("row", F.sum(F.coalesce("new_row", F.lit(0))).over(by_y))
-    by_x = W.partitionBy("doc", "page", "row").orderBy("x")
-    r = r.withColumn("new_cell", (F.col("x") - F.lag(F.col("x") + F.col("width")).over(by_x) > x_gap).cast("int"))
-    r = r.withColumn("cell", F.sum(F.coalesce("new_cell", F.lit(0))).over(by_x))
-    cells = r.groupBy("doc", "page", "row", "cell").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda i: i["text"]), " ").alias("t"))
-    return cells.groupBy("doc", "page", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "t"))), lambda i: i["t"]).alias("cells"))
+    own = r.groupBy("doc", "page", "row").agg(F.array_sort(F.collect_list(F.struct("x", "text", "width"))).alias("i"))
+    begins = F.filter(F.sequence(F.lit(0), F.size("i") - 1), lambda k: (k == 0) | (F.get(F.col("i.x"), k) - (F.get(F.col("i.x"), k - 1) + F.get(F.col("i.width"), k - 1)) > x_gap))
+    own = own.withColumn("b", begins)
+    cell = lambda k, n: F.array_join(F.slice(F.col("i.text"), k + 1, F.coalesce(F.get("b", n + 1), F.size("i")) - k), " ")
+    return own.select("doc", "page", "row", F.transform("b", cell).alias("cells"))
 
 
 def parse_invoice_rows(rows: DataFrame, line: str = "line") -> DataFrame:

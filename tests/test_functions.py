@@ -308,3 +308,28 @@ def test_digits_of_a_code_are_no_quantity(spark):
     lines = ["AB-7720 blue ring 3 bx $68.45 $532,385.65", "7720 blue ring 3 bx $68.45 $528,434.00", "AB-40 ring 40 bx $1.00 $40.00"]
     r = R.parse_invoice_rows(spark.createDataFrame([(x,) for x in lines], "line string")).collect()
     assert [(x.sku, x.qty) for x in r] == [("AB-7720", None), ("7720", 7720), ("AB-40", 40)]
+
+
+def test_cells_of_a_row_are_made_within_it(spark):
+    draw = random.Random(5)
+    items = [(d, p, round(draw.uniform(0, 300), 1), draw.choice([700.0, 698.0, 650.0, 640.0]), 12.0, f"t{d}{p}{k}") for d in range(3) for p in range(2) for k in range(14)]
+    want = []
+    for d in range(3):
+        for p in range(2):
+            rows, last = [], None
+            for _, _, x, y, w, t in sorted((i for i in items if i[:2] == (d, p)), key=lambda i: (-i[3], i[2])):
+                if last is None or last - y > 3.0:
+                    rows.append([])
+                rows[-1].append((x, t, w))
+                last = y
+            for row in rows:
+                cells, end = [], None
+                for x, t, w in sorted(row):
+                    if end is None or x - end > 8.0:
+                        cells.append([])
+                    cells[-1].append(t)
+                    end = x + w
+                want.append((d, p, [" ".join(c) for c in cells]))
+    got = R.invoice_rows(spark.createDataFrame(items, "doc int, page int, x double, y double, width double, text string"))
+    assert sorted((r.doc, r.page, r.cells) for r in got.collect()) == sorted(want)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1  # items are gathered once
