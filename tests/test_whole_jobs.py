@@ -189,6 +189,36 @@ def test_evidence_pools(spark):
         assert got[k][0] == strength and abs(got[k][1] - score) < 1e-6 and got[k][2:] == (n, rank), k
 
 
+def test_evidence_is_counted_as_it_is_ranked(spark):
+    """Counts by agreements are those of the ranked pairs, for copies, missing fields and codes that agree in two ways."""
+    draw = random.Random(8)
+    some = lambda values, none=0.3: None if draw.random() < none else draw.choice(values)
+    words, codes = ["blue", "ring", "steel", "plate", "small", "x"], ["AB-1", "ab1", "77", "CD234567", "123456", "111", ""]
+    text = lambda: " ".join(draw.choices(words, k=draw.randint(0, 4)))
+    bars, lots, days = ["0012", "12", "99", ""], ["L1", "l-1", "L2", ""], ["2024-02-01", "2024-02-02"]
+    code = "id int, sku string, manufacturer_sku string, barcode string"
+    signals = spark.createDataFrame([(i, some(codes), some(codes), some(bars), some([text()]), some(lots), some(days), some(["room one", "store", "op two three", text()])) for i in range(90)], "signal_id int, sku string, manufacturer_sku string, barcode string, product_name string, lot_number string, expiration_date string, location_hint string")
+    signals = signals.unionByName(signals.withColumn("signal_id", F.col("signal_id") + 90))
+    products = spark.createDataFrame([(i, some(codes), some(codes), some(bars), some([text()]), some(["k1", "k2", "k3", "gone"])) for i in range(120)], code + ", name string, canonical_id string")
+    kinds = spark.createDataFrame([(f"k{i}", text()) for i in range(1, 9)], "id string, name string")
+    shelf = spark.createDataFrame([(i, draw.randint(1, 5), some([text()]), some(bars), some(lots), some(days)) for i in range(150)], "id int, location_id int, name string, barcode string, lot_number string, expiration_date string")
+    places = spark.createDataFrame([(1, "Room one", "op"), (2, "Store", None), (3, "two", "three"), (4, "", "store")], "id int, name string, type string")
+    ranked = search.rank_evidence(signals, products, kinds, shelf, places).collect()
+    want = {}
+    for r in ranked:
+        n = want.setdefault(r.signal_id, {})
+        for c, k in ((f"n_{r.strength}", 1), ("n_reasons", r.n_reasons), (f"n_{r.target_type}s", 1)):
+            n[c] = n.get(c, 0) + k
+    assert len(ranked) > 5000
+    got = [r.asDict() for r in search.count_evidence(signals, products, kinds, shelf, places).collect()]
+    assert sorted(r["signal_id"] for r in got) == list(range(180))
+    for r in got:
+        n = want.get(r["signal_id"], {})
+        assert {c: v for c, v in r.items() if c.startswith("n_") and v} == n, r
+        assert r["status"] == ("ok" if n.get("n_strong", 0) + n.get("n_possible", 0) else "needs_manual_review")
+        assert r["class_id"] <= r["signal_id"] % 90
+
+
 def test_substitutes_by_words(spark):
     rows = [(1, ["fine", "paper", "point"], ["acme"], {"size": ["L"]}, 100, 2), (2, ["fine", "paper", "point", "kit"], ["best"], {"size": ["L"]}, 60, 1), (3, ["fine", "paper", "point"], ["best"], {"size": ["S"]}, 50, 1), (4, ["fine", "paper", "point"], ["acme"], {}, 40, 1), (5, ["fine", "hat"], ["best"], {}, 10, 1), (6, ["paper", "point"], [], {}, 99, 1)]
     got = M.substitutes(spark.createDataFrame(rows, "id int, words array<string>, brand_words array<string>, axes map<string,array<string>>, unit_price int, n_suppliers int")).collect()
