@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as T
-from ..session import saver
+from ..session import saver, ship
 
 #: Header aliases of invoice columns.
 INVOICE_ALIASES = {
@@ -26,33 +31,97 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     """(file, record, text): the records of quoted CSV files, from 0 in each, whatever line ends their fields hold.
 
     A file is read in splits.  Whether a line begins inside quotes is told by the number of quotes before it: counted
-    by split, summed over the splits of a file (a row each), and then over the lines of a split.  Records of one line,
-    nearly all, stay where they were read; only lines of longer ones are brought together."""
+    by split, summed over the splits of a file (a row each), and then over the lines of a split where they are read.
+    Records are put together there too, and written once; only those that go on in another split are brought together."""
     save = saver(spark)
+    ship(spark)
     lines = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.col("value").alias("text"),
-        (F.regexp_count("value", F.lit('"')) % 2).cast("int").alias("odd"),
-    )
-    lines = save(lines)
-    by_file, by_block = W.partitionBy("file").orderBy("block"), W.partitionBy("file", "block").orderBy("line")
-    before = by_file.rowsBetween(W.unboundedPreceding, -1)
-    parity = lines.groupBy("file", "block").agg(F.sum("odd").alias("odd")).withColumn("start", F.coalesce(F.sum("odd").over(before), F.lit(0)))
-    inside = F.col("start") + F.coalesce(F.sum("odd").over(by_block.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    quoted = lines.join(parity.select("file", "block", "start"), ["file", "block"]).withColumn("begins", (inside % 2 == 0).cast("int"))
-    quoted = save(quoted.withColumn("own", F.sum("begins").over(by_block)).select("file", "block", "line", "text", "odd", "begins", "own"))
-    known = quoted.groupBy("file", "block").agg(F.sum("begins").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).select("file", "block", "first")
-    numbered = quoted.join(known, ["file", "block"]).withColumn("record", F.col("first") + F.col("own") - 1)
-    whole = numbered.where("begins = 1 AND odd = 0").select("file", "record", "text")
-    parts = numbered.where("begins = 0 OR odd = 1").groupBy("file", "record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "line", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return whole.unionByName(parts)
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), (F.regexp_count("value", F.lit('"')) % 2).cast("int").alias("odd"), F.col("value").alias("text")
+    )
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    splits = lines.select("file", "block", "odd").mapInArrow(_quotes_by_split, "file string, block long, odd long, even_begins long, odd_begins long")
+    splits = splits.withColumn("start", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2)
+    begins = F.when(F.col("start") == 0, F.col("even_begins")).otherwise(F.col("odd_begins"))
+    splits = splits.withColumn("first", F.coalesce(F.sum(begins).over(before), F.lit(0))).select("file", "block", "start", "first")
+    # a row a split: lines stay in their places and order
+    parts = lines.join(F.broadcast(save(splits)), ["file", "block"]).select("file", "block", "start", "first", "odd", "text")
+    parts = save(parts.mapInArrow(_records_of_split, "file string, block long, record long, whole boolean, text string"))
+    cut = parts.where("NOT whole").groupBy("file", "record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return parts.where("whole").select("file", "record", "text").unionByName(cut)
+
+
+def _split_runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
+    """The rows of a batch by (file, block); a task reads the lines of a split one after the other."""
+    if not batch.num_rows:
+        return
+    file, block = batch.column("file").dictionary_encode(), batch.column("block").to_numpy(zero_copy_only=False)
+    codes, names = file.indices.to_numpy(zero_copy_only=False), file.dictionary
+    ends = [*(np.flatnonzero((np.diff(block) != 0) | (np.diff(codes) != 0)) + 1).tolist(), batch.num_rows]
+    for at, end in zip([0, *ends], ends):
+        yield (names[int(codes[at])].as_py(), int(block[at])), batch.slice(at, end - at)
+
+
+def _quotes_by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A split's lines with an odd number of quotes, and its lines before which their number is even, and odd."""
+    found: list[list] = []
+    for batch in batches:
+        for key, run in _split_runs(batch):
+            if not found or found[-1][0] != key:
+                found.append([key, 0, 0, 0])
+            own = found[-1]
+            odd = run.column("odd").to_numpy(zero_copy_only=False).astype("int64")
+            n_inside = int(((own[1] + np.cumsum(odd) - odd) % 2).sum())
+            own[1], own[2], own[3] = own[1] + int(odd.sum()), own[2] + len(odd) - n_inside, own[3] + n_inside
+    columns = [[k[0] for k, *_ in found], [k[1] for k, *_ in found], *[[x[i] for x in found] for i in (1, 2, 3)]]
+    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *[pa.array(c, pa.int64()) for c in columns[1:]]], ["file", "block", "odd", "even_begins", "odd_begins"])
+
+
+def _records_of_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of each split; not ``whole`` where lines of it are, or may be, in another one."""
+    key, quotes, record, known, open_ = None, 0, 0, False, []
+
+    def out(records: list[int], whole: list[bool], texts: pa.Array) -> pa.RecordBatch:
+        n = len(records)
+        return pa.RecordBatch.from_arrays([pa.array([key[0]] * n, pa.string()), pa.array([key[1]] * n, pa.int64()), pa.array(records, pa.int64()), pa.array(whole, pa.bool_()), texts], ["file", "block", "record", "whole", "text"])
+
+    def joined(lines: list[pa.Array], starts: list[int]) -> pa.Array:
+        values = pa.concat_arrays(lines)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array([*starts, len(values)], pa.int32()), values), "\n")
+
+    for batch in batches:
+        for own, run in _split_runs(batch):
+            if own != key:
+                if open_:  # the last record of a split is whole if its quotes are closed and it began there
+                    yield out([record], [known and quotes % 2 == 0], joined(open_, [0]))
+                key, quotes, record, known, open_ = own, run.column("start")[0].as_py(), run.column("first")[0].as_py() - 1, False, []
+            odd, text = run.column("odd").to_numpy(zero_copy_only=False).astype("int64"), run.column("text")
+            begins = np.flatnonzero((quotes + np.cumsum(odd) - odd) % 2 == 0).tolist()
+            quotes += int(odd.sum())
+            if not begins:
+                open_.append(text)
+                continue
+            records, whole = [], []
+            if begins[0] > 0:
+                open_.append(text.slice(0, begins[0]))
+            if open_:
+                records, whole = [record], [known]
+            n_open = sum(map(len, open_))
+            closed = [*open_, text.slice(begins[0], begins[-1] - begins[0])]
+            records += range(record + 1, record + len(begins))
+            whole += [True] * (len(begins) - 1)
+            if records:
+                yield out(records, whole, joined(closed, [*([0] if open_ else []), *[n_open + b - begins[0] for b in begins[:-1]]]))
+            record, known, open_ = record + len(begins), True, [text.slice(begins[-1])]
+    if open_:
+        yield out([record], [known and quotes % 2 == 0], joined(open_, [0]))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """SRC04: quoted fields with doubled quotes and line ends inside; blank rows skipped.  The first record of a file
     names its columns, the first file's those of all.  Large files are read by many tasks (``csv_records``)."""
     save = saver(spark)
-    records = save(csv_records(spark, path).withColumn("text", F.regexp_replace("text", "\r$", "")).where(F.trim("text") != ""))
-    head = records.groupBy("file").agg(F.min("record").alias("record"))
+    records = csv_records(spark, path).withColumn("text", F.regexp_replace("text", "\r$", "")).where(F.trim("text") != "")
+    head = save(records.groupBy("file").agg(F.min("record").alias("record")))
     top = records.join(head, ["file", "record"]).agg(F.min(F.struct("file", "text"))["text"]).first()[0]
     options = {"quote": '"', "escape": '"', "multiLine": "true", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
     names = spark.read.options(**options, header="true").csv(spark.sparkContext.parallelize([top or ""], 1)).columns

@@ -251,6 +251,27 @@ def test_csv_in_splits(spark, tmp_path, size):
         spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
 
 
+def test_csv_records_are_put_together_where_they_are_read(spark, tmp_path, monkeypatch):
+    """Texts are written once and not brought together by key, in whatever batches a task gets its lines."""
+    draw = random.Random(3)
+    cells = [[f"{i}", "\n".join(draw.choices(["", "a,b", 'say "so"', "line"], k=draw.randint(1, 9)))] for i in range(150)]
+    text = "id,t\n" + "".join(i + ',"' + t.replace('"', '""') + '"\n' for i, t in cells)
+    (tmp_path / "a.csv").write_text(text, newline="")
+    saved, real = [], R.saver
+    monkeypatch.setattr(R, "saver", lambda s: lambda df: saved.append(df.columns) or real(s)(df))
+    conf = {"spark.sql.files.maxPartitionBytes": "300b", "spark.sql.execution.arrow.maxRecordsPerBatch": "3"}
+    kept = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        records = R.csv_records(spark, str(tmp_path)).orderBy("record").collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert [(r.record, r.text) for r in records] == [(0, "id,t"), *[(n, i + ',"' + t.replace('"', '""') + '"') for n, (i, t) in enumerate(cells, 1)]]
+    assert sum("text" in columns for columns in saved) == 1
+
+
 def test_sample_is_the_plain_shuffle(spark):
     from shelfmark.operators import reports
 
