@@ -425,6 +425,20 @@ def test_candidates_are_counted_as_pairs_are(spark, data):
         assert {r.listing_id: r.class_id for r in got} == {i: named.get(i, i) for i in want}
 
 
+def test_candidate_queries_give_every_pair(spark, data):
+    """Pairs made between kinds are those of the lists, each once, and the queries give them all."""
+    save = saver(spark)
+    for f in (_catalog(spark), _features(spark, 700, "AB1234", "Fine Paper Point"), M.features(matching_queries.listings(spark, data))):
+        index = save(M.blocking_index(save(f)))
+        want = {tuple(r) for r in M.candidate_pairs(index, rules=True).collect()}
+        got = M.kind_pairs(index, save).select("left_id", "right_id", "by_code", "by_words").collect()
+        assert len(got) == len(want) > 1000 and {tuple(r) for r in got} == want
+    got = registry.queries()["er04_blocking"](spark, data).select("left_id", "right_id", "by_code", "by_words").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    got = registry.queries()["j12_candidate_pairs"](spark, data).collect()
+    assert len(got) == len(want) and {(r.left_id, r.right_id) for r in got} == {p[:2] for p in want}
+
+
 def test_overlaps_are_counted_as_pairs_are(spark):
     words = {i: ["common", "often" if i % 2 else "else", "often" if i % 3 else "third", f"w{i % 40}", None][: 1 + i % 6] for i in range(700)}
     df = spark.createDataFrame(list(words.items()), "id long, words array<string>")
