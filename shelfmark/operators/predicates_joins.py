@@ -48,11 +48,9 @@ QUERIES = {
     "j09_latest_left_join": """
         SELECT l.listing_id, c.captured_at, c.price_cents FROM listing l
         LEFT JOIN (SELECT * FROM current_price WHERE availability = 'in_stock') c ON c.supplier_id = l.supplier_id AND c.canonical_id = l.canonical_id""",
-    # parts of one brand key and name are linked with each other: each part's class and number of links
     "j11_functional_key_join": """
-        WITH keyed AS (SELECT p_partkey AS part_id, lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) AS brand_key, p_name AS name FROM part),
-             grouped AS (SELECT brand_key, name, min(part_id) AS class_id, count(*) AS n FROM keyed GROUP BY brand_key, name)
-        SELECT k.part_id, coalesce(g.class_id, k.part_id) AS class_id, coalesce(g.n - 1, 0) AS n_links FROM keyed k LEFT JOIN grouped g ON g.brand_key = k.brand_key AND g.name = k.name""",
+        SELECT a.p_partkey AS left_id, b.p_partkey AS right_id FROM part a JOIN part b
+          ON lower(regexp_replace(a.p_brand, '[^A-Za-z0-9]', '', 'g')) = lower(regexp_replace(b.p_brand, '[^A-Za-z0-9]', '', 'g')) AND a.p_name = b.p_name AND a.p_partkey < b.p_partkey""",
     "j13_snapshot_classify": """
         SELECT coalesce(n.listing_id, o.listing_id) AS listing_id,
                CASE WHEN o.listing_id IS NULL THEN 'create' WHEN n.listing_id IS NULL THEN 'stale' WHEN o.hidden THEN 'restore' ELSE 'update' END AS action
@@ -107,3 +105,9 @@ QUERIES = {
         GROUP BY link""",
     "st10_retention_purge": "SELECT listing_id, captured_at FROM current_price WHERE availability = 'backordered' AND captured_at < TIMESTAMP '1997-01-01 00:00:00'",
 }
+#: Small tables that make many pairs: a join by hash would make them all in the one task that reads the file.
+SPARK = {
+    "j11_functional_key_join": """
+        WITH keyed AS (SELECT p_partkey AS part_id, lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) AS brand_key, p_name AS name FROM part)
+        SELECT /*+ MERGE(a, b) */ a.part_id AS left_id, b.part_id AS right_id FROM keyed a JOIN keyed b ON b.brand_key = a.brand_key AND b.name = a.name AND a.part_id < b.part_id""",
+}
