@@ -72,11 +72,9 @@ QUERIES = {
           UNION ALL SELECT lower(family_name), family_id, 2 FROM family
           UNION ALL SELECT lower(listing_id), canonical_id, 3 FROM listing
           UNION ALL SELECT substr(lower(name), 1, 8), canonical_id, 4 FROM canonical) h) q WHERE rn = 1""",
-    # each product's family (itself, if it has none), its place there and its number of siblings: those of a product are the
-    # other rows of its family, in the order of their places
     "j19_family_siblings": """
-        SELECT canonical_id, group_id, variant_rank, row_number() OVER (PARTITION BY group_id ORDER BY variant_rank NULLS LAST, name, canonical_id) AS position, count(*) OVER (PARTITION BY group_id) - 1 AS n_siblings
-        FROM canonical""",
+        SELECT a.canonical_id, b.canonical_id AS sibling_id, b.variant_rank, row_number() OVER (PARTITION BY a.canonical_id ORDER BY b.variant_rank NULLS LAST, b.name, b.canonical_id) AS position
+        FROM canonical a JOIN canonical b ON b.family_id = a.family_id AND b.canonical_id <> a.canonical_id""",
     "u01_union_paths": """
         SELECT part_id FROM (SELECT p_partkey AS part_id FROM part WHERE p_size = 3 UNION SELECT p_partkey FROM part WHERE p_brand LIKE '%1' UNION SELECT l_partkey FROM lineitem WHERE l_quantity = 50) u
         ORDER BY part_id LIMIT 25""",
@@ -110,4 +108,11 @@ SPARK = {
     "j11_functional_key_join": """
         WITH keyed AS (SELECT p_partkey AS part_id, lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) AS brand_key, p_name AS name FROM part)
         SELECT /*+ MERGE(a, b) */ a.part_id AS left_id, b.part_id AS right_id FROM keyed a JOIN keyed b ON b.brand_key = a.brand_key AND b.name = a.name AND a.part_id < b.part_id""",
+    # a family is put in order once; a sibling's position is its place there, less the product's own if that comes first, so
+    # the pairs themselves are neither shuffled nor sorted
+    "j19_family_siblings": """
+        WITH placed AS (SELECT canonical_id, family_id, variant_rank, row_number() OVER (PARTITION BY family_id ORDER BY variant_rank NULLS LAST, name, canonical_id) AS place
+          FROM canonical WHERE family_id IS NOT NULL AND canonical_id IS NOT NULL)
+        SELECT /*+ MERGE(a, b) */ a.canonical_id, b.canonical_id AS sibling_id, b.variant_rank, b.place - CASE WHEN a.place < b.place THEN 1 ELSE 0 END AS position
+        FROM placed a JOIN placed b ON b.family_id = a.family_id AND b.canonical_id <> a.canonical_id""",
 }
