@@ -565,3 +565,18 @@ def test_items_are_planned_as_their_offers_are(spark):
     assert sum(r.supplier_id is None for r in rows) >= 3 and any(r.plan_total < r.cheapest_total for r in rows if r.plan_total)
     # offers make no rows before they are chosen from
     assert "Generate explode(offers" not in got._jdf.queryExecution().toString()
+
+
+def test_clusters_meet_by_codes_only_while_some_do(spark):
+    """Clusters and their bounds are not brought to pairs by codes when there are none."""
+    rows = [(i, str(i), f"AB{i}00{i}Q", "Acme", f"Fine Paper Point {'blue' if i % 2 else 'red'}", "10/Box") for i in range(12)]
+    f = M.features(spark.createDataFrame(rows, "listing_id long, supplier_id string, sku string, brand string, name string, pack_size string"))
+    kept, save = [], saver(spark)
+
+    def noted(df):
+        kept.append(df.columns)
+        return save(df)
+
+    got = class_clusters.clusters_by_classes(save(f), noted).collect()
+    assert len(got) == len(rows) and len({r.cluster for r in got}) < len(rows)
+    assert not any("x_classes" in c for c in kept)
